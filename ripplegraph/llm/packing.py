@@ -127,53 +127,53 @@ def plan(histogram: dict[int, int], capacity: int, groups: int, small: int) -> P
     large = sorted((s for s in left if s > small), reverse=True)
     total = sum(left[s] for s in large)
     if total > groups:
-        members: list[dict[int, int]] = []  # by group: how many pieces of which length
-        each, room = -(-total // groups), 0
+        members: list[list[int]] = []  # lengths by group, largest first; a length is in one group
+        seen = 0
         for s in large:
-            n = left[s]
-            while n:
-                if not room:
-                    members.append({})
-                    room = each
-                k = min(n, room)
-                members[-1][s] = members[-1].get(s, 0) + k
-                n, room = n - k, room - k
-        sizes: list[int] = []
-        merged: list[dict[int, int]] = []
-        for g in members:  # groups that round to one size are one
-            if sizes and sizes[-1] == max(g):
-                for s, k in g.items():
-                    merged[-1][s] = merged[-1].get(s, 0) + k
-            else:
-                sizes.append(max(g))
-                merged.append(dict(g))
-        demand = np.array([sum(g.values()) for g in merged], float)
-        for column, bins in configurations(np.array(sizes), demand, capacity):
-            _substitute(out, merged, column.astype(int), int(bins))
-        left = {s: left[s] - out.used[s] for s in left}
+            if seen * groups >= len(members) * total:
+                members.append([])
+            members[-1].append(s)
+            seen += left[s]
+        sizes = np.array([g[0] for g in members])  # rounded up to the largest of the group
+        demand = np.array([sum(left[s] for s in g) for g in members], float)
+        rest = np.zeros(capacity + 1, np.int64)
+        rest[large] = [left[s] for s in large]
+        for column, bins in sorted(configurations(sizes, demand, capacity), key=lambda x: -x[1]):
+            _substitute(out, members, rest, column.astype(int), int(bins))
+    left = {s: left[s] - out.used[s] for s in left}
     for s in sorted(left, reverse=True):
         if left[s]:
             out.best_fit(s, left[s])
     return out
 
 
-def _substitute(out: Plan, members: list[dict[int, int]], column: np.ndarray, bins: int) -> None:
-    """Fill ``bins`` copies of a configuration with actual pieces of its groups, largest first."""
+def _substitute(out: Plan, members: list[list[int]], rest: np.ndarray, column: np.ndarray, bins: int) -> None:
+    """Fill ``bins`` copies of a configuration with actual pieces, largest first.
+
+    Pieces are no longer than the sizes that they stand for; the last slot takes the longest piece left that
+    fits what room there really is, so that rounding loses nothing where lengths are many.
+    """
     slots = [j for j, n in enumerate(column) for _ in range(n)]
-    need = dict(zip(*np.unique(slots, return_counts=True), strict=True)) if slots else {}
-    bins = min([bins, *(sum(members[j].values()) // n for j, n in need.items())]) if slots else 0
+    if not slots:
+        return
+    bins = min([bins, *(int(rest[members[j]].sum()) // n for j, n in enumerate(column) if n)])
     if bins <= 0:
         return
     segments = [(*out.new(bins), out.capacity)]
-    for j in slots:
+    for i, j in enumerate(slots):
         nxt = []
         for first, n, room in segments:
             while n:
-                s = max(members[j])
-                k = min(n, members[j][s])
-                members[j][s] -= k
-                if not members[j][s]:
-                    del members[j][s]
+                if i + 1 < len(slots):
+                    found = [s for s in members[j] if rest[s]][:1]
+                else:
+                    found = np.flatnonzero(rest[: room + 1])[-1:].tolist()
+                if not found:
+                    nxt.append((first, n, room))
+                    break
+                s = found[0]
+                k = min(n, int(rest[s]))
+                rest[s] -= k
                 out.put(s, k, first, room)
                 nxt.append((first, k, room - s))
                 first, n = first + k, n - k
@@ -182,7 +182,7 @@ def _substitute(out: Plan, members: list[dict[int, int]], column: np.ndarray, bi
         out.leave(first, n, room)
 
 
-def best_plan(histogram: dict[int, int], capacity: int, tries=((16, 256), (32, 128), (48, 64))) -> Plan:
+def best_plan(histogram: dict[int, int], capacity: int, tries=((16, 256), (32, 256), (64, 256))) -> Plan:
     """The plan with the fewest sequences over a few (groups, small) settings of the scheme."""
     return min((plan(histogram, capacity, groups, small) for groups, small in tries), key=lambda p: p.bins)
 
