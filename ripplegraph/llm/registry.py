@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .htmltext import op6_line_blocks
 from .langid import op3_language_id
 from .mixing import op5_mix_sources
 from .packing import op10_best_fit_packing
@@ -13,10 +14,11 @@ from .sharding import op1_jump_shards
 from .simhash import op7_simhash_golay
 from .tokencount import op4_token_counts
 from .toxicity import op8_toxicity
+from .vectors import op2_multi_index, op9_segment_statistics
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_jump_shards, op3_language_id, op4_token_counts, op5_mix_sources, op7_simhash_golay, op8_toxicity, op10_best_fit_packing]
+    found = [op1_jump_shards, op2_multi_index, op3_language_id, op4_token_counts, op5_mix_sources, op6_line_blocks, op7_simhash_golay, op8_toxicity, op9_segment_statistics, op10_best_fit_packing]
     return {f.__name__: f for f in found}
 
 
