@@ -199,7 +199,7 @@ def cosine_search(rows: DataFrame, k: int = 5, share: float = SHARE, cell: int =
             columns = [batch.column(0).take(took), batch.column(1).take(took), pa.array(blocks, pa.int64()), pa.array(lists, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "v", "_block", "cells"])
 
-    group = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(groups))
+    group = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(groups)).cast("int")  # keys of both sides need one type
     asked = queries.mapInArrow(visit, "id long, v array<double>, _block long, cells array<long>").withColumn("_group", group)
     entries = stored.join(F.broadcast(plan), "cell")
     entries = entries.withColumn("_block", F.col("_first") + F.pmod(F.xxhash64("id"), F.col("_splits")))
