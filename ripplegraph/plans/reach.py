@@ -18,23 +18,27 @@ INFERRED_MARK = " [推断分支]"
 def reach(edges: DataFrame, roots: DataFrame, max_depth: int = 30, with_path: bool = False) -> DataFrame:
     """(root, node, depth, conf[, path]) of every node that a root reaches within ``max_depth`` steps, itself included.
 
-    ``edges`` has src, dst and conf (0 confirmed, 1 inferred, 2 unresolved); ``roots`` has root and node.
-    A node's row is the one of least depth, then of the most certain path, then of the first path; a path is
+    ``edges`` has src, dst and conf (0 confirmed, 1 inferred, 2 unresolved), and may have a label that a path
+    shows instead of dst. ``roots`` has root and node, and may begin with a depth, conf and path of its own. A
+    node's row is the one of least depth, then of the most certain path, then of the first path; a path is
     as certain as its least certain edge. Cycles end because visited nodes are dropped.
     """
-    steps = edges.groupBy("src", "dst").agg(F.min("conf").alias("conf"))
-    start = roots.select("root", "node", F.lit(0).alias("depth"), F.lit(0).alias("conf"), F.array("node").alias("path")).distinct()
-    if not with_path:
-        start = start.drop("path")
+    label = "label" if "label" in edges.columns else "dst"
+    best = F.min(F.struct("conf", F.col(label).alias("label")))
+    steps = edges.groupBy("src", "dst").agg(best.alias("b")).select("src", "dst", "b.*")
+    given = lambda c, other: F.col(c) if c in roots.columns else other.alias(c)
+    start = roots.select("root", "node", given("depth", F.lit(0)), given("conf", F.lit(0)), given("path", F.array("node"))).distinct()
+    names = ["root", "node", "depth", "conf", *(["path"] if with_path else [])]
+    start = start.groupBy("root", "node").agg(F.min(F.struct(*names[2:])).alias("b")).select("root", "node", "b.*")
     frontier = materialize(start, "reach")
     levels = [frontier]
-    for depth in range(1, max_depth + 1):
-        rank = [F.greatest("f.conf", "e.conf").alias("conf")]
+    for _ in range(max_depth):
+        rank = [(F.col("f.depth") + 1).alias("depth"), F.greatest("f.conf", "e.conf").alias("conf")]
         if with_path:
-            rank.append(F.array_append("f.path", F.col("e.dst")).alias("path"))
-        step = frontier.alias("f").join(steps.alias("e"), F.col("f.node") == F.col("e.src"))
+            rank.append(F.array_append("f.path", F.col("e.label")).alias("path"))
+        step = frontier.alias("f").join(steps.alias("e"), (F.col("f.node") == F.col("e.src")) & (F.col("f.depth") < max_depth))
         step = step.select(F.col("f.root").alias("root"), F.col("e.dst").alias("node"), F.struct(*rank).alias("best"))
-        step = step.groupBy("root", "node").agg(F.min("best").alias("best")).select("root", "node", F.lit(depth).alias("depth"), "best.*")
+        step = step.groupBy("root", "node").agg(F.min("best").alias("best")).select("root", "node", "best.*")
         for seen in levels:
             step = step.join(seen.select("root", "node"), ["root", "node"], "left_anti")
         frontier = materialize(step, "reach")
