@@ -300,5 +300,6 @@ def encoder(with_ids: bool, json_name: str, rank_name: str) -> Encoder:
     """This worker's encoder; made once a process."""
     key = (with_ids, json_name, rank_name)
     if key not in _encoders:
+        _encoders.clear()  # a worker that is used again holds one table at a time
         _encoders[key] = Encoder(Vocabulary(json_name, rank_name), with_ids)
     return _encoders[key]

@@ -2,43 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ripplegraph.storage import materialize, read, shared_folder
 
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """One table of the data folder, by a path that only Spark need be able to open."""
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+__all__ = ["byte_buffers", "column_as_float64", "crc_of_id", "drop", "map_texts", "materialize", "pieces", "read", "shared_folder"]
+BATCH_ROWS = 1000
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset, as in tests on one
-    machine, a folder is made.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="ripplegraph-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def materialize(df: DataFrame, what: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, fixes rows and their places.
-
-    A table in the shared folder outlives the loss of any executor.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
 
 def drop(df: DataFrame) -> None:
     """Delete the files of a table made by ``materialize`` that nothing reads any more."""
@@ -48,6 +25,25 @@ def drop(df: DataFrame) -> None:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def map_texts(rows: DataFrame, text: str, keep: list[str], made: Callable[[pa.Array], list[pa.Array]], fields: str) -> DataFrame:
+    """``keep`` columns and the columns ``fields`` that ``made`` gives for a batch of texts; no shuffle.
+
+    Batches are kept small, since a row may hold a long text: the session's limit on the rows of an Arrow
+    batch is lowered to ``BATCH_ROWS``. A text that is kept anyway travels once.
+    """
+    spark = rows.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    at = keep.index(text) if text in keep else len(keep)
+    sent = rows.select(*keep) if text in keep else rows.select(*keep, F.col(text).alias("_text"))
+    schema = T.StructType([*rows.select(*keep).schema.fields, *T._parse_datatype_string(fields).fields])
+
+    def of(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *made(batch.column(at))], names=schema.names)
+
+    return sent.mapInArrow(of, schema)
+
+
 def crc_of_id(column: str = "doc_id") -> Column:
     """crc32 of an integer id written as decimal text; null where the id is null."""
     return F.crc32(F.col(column).cast("string").cast("binary"))

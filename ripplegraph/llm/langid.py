@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_buffers, crc_of_id, pieces, read
+from .common import byte_buffers, crc_of_id, map_texts, pieces, read
 
 GRAM = 4  # letters and blanks of an n-gram
 PLACES = 1 << 20  # of the filter
@@ -94,16 +94,18 @@ class Filters:
         for packed, text, n in grams(array):
             bits = self.lookup(packed)
             total = np.bincount(text, minlength=n)
-            mine = np.stack([np.bincount(text, weights=(bits[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1), minlength=n) for i in range(len(self.names))], axis=1)
+            mine = np.zeros((n, len(self.names)))
+            for i in range(len(self.names)):
+                mine[:, i] = np.bincount(text, weights=(bits[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1), minlength=n)
             hits.append(np.maximum(mine - total[:, None] * self.false, 0) / (1 - self.false))
             totals.append(total)
         return np.concatenate(hits or [np.zeros((0, len(self.names)))]), np.concatenate(totals or [np.zeros(0, np.int64)])
 
     def predict(self, array: pa.Array) -> tuple[list[str], np.ndarray]:
         """(language, score) of each text; the score is the winner's part of all languages' counts."""
-        hits, totals = self.counts(array)
         if not self.names:
-            return [UNKNOWN] * len(totals), np.zeros(len(totals))
+            return [UNKNOWN] * len(array), np.zeros(len(array))
+        hits, totals = self.counts(array)
         best = hits.argmax(axis=1)
         top = hits.max(axis=1)
         best = np.where(top > 0, best, self.prior)
@@ -174,15 +176,12 @@ def identify(docs: DataFrame, keep: list[str], filters: Filters | None = None) -
     filters = filters or train(docs)
     shared = docs.sparkSession.sparkContext.broadcast(filters)  # PLACES words for each 64 languages
     rows = docs.withColumn("_held", F.coalesce(crc_of_id() % 5 == 0, F.lit(False)))
-    kept = [*keep, "_held"]
-    schema = rows.select(*kept).schema.add("lang_pred", "string").add("score", "double")
 
-    def of(batches):
-        for batch in batches:
-            names, score = shared.value.predict(batch.column(len(kept)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(names, pa.string()), pa.array(score)], names=schema.names)
+    def of(texts: pa.Array) -> list[pa.Array]:
+        names, score = shared.value.predict(texts)
+        return [pa.array(names, pa.string()), pa.array(score)]
 
-    out = rows.select(*kept, F.col("text").alias("_text")).mapInArrow(of, schema)
+    out = map_texts(rows, "text", [*keep, "_held"], of, "lang_pred string, score double")
     return out.select(*keep, F.col("_held").alias("held_out"), "lang_pred", "score")
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read
+from .common import map_texts, materialize, read
 from .components import components
 
 GENERATOR = 0b101011100011  # x^11+x^9+x^7+x^6+x^5+x+1 of the (23, 12) Golay code
@@ -48,15 +48,12 @@ def fingerprint(text: bytes, shingle: int) -> int:
 
 def fingerprints(rows: DataFrame, text: str, keep: list[str], shingle: int) -> DataFrame:
     """``keep`` columns with ``fp``, the fingerprint as a signed long; no shuffle. Null text has no words."""
-    schema = rows.select(*keep).schema.add("fp", "long")
 
-    def of(batches):
-        for batch in batches:
-            made = [fingerprint(x or b"", shingle) for x in batch.column(len(keep)).to_pylist()]
-            column = pa.array(np.array(made, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], column], names=schema.names)
+    def of(texts: pa.Array) -> list[pa.Array]:
+        made = [fingerprint(x or b"", shingle) for x in texts.to_pylist()]
+        return [pa.array(np.array(made, np.uint64).view(np.int64))]
 
-    return rows.select(*keep, F.col(text).cast("binary").alias("_text")).mapInArrow(of, schema)
+    return map_texts(rows.withColumn("_bytes", F.col(text).cast("binary")), "_bytes", keep, of, "fp long")
 
 
 def syndromes(words: np.ndarray) -> np.ndarray:
