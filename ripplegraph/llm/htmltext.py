@@ -23,7 +23,7 @@ SURGE = 80  # characters in a window from which it is text
 QUIET = 3  # windows in a row below it that end the text
 
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "object", "canvas", "xmp", "noembed", "noframes"}
-DROPPED = {"head", "nav", "header", "footer", "aside", "form", "menu", "dialog", "select", "button", "option", "figure", "datalist", "audio", "video", "fieldset", "input"}
+DROPPED = {"head", "nav", "header", "footer", "aside", "form", "menu", "dialog", "select", "button", "option", "datalist", "fieldset", "input"}
 EMPTY = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCKS = {
     "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure",
@@ -36,6 +36,7 @@ MARKED = re.compile(
     r"comments?|commentlist|disqus|respond|replies|reply|nav|navbar|navigation|menu|topbar|breadcrumbs?|header|masthead|footer|foot|sidebar|side|aside|widget|related|recommend\w*|"
     r"share|sharing|social|pagination|pager|toolbar|skip|search|copyright|legal|tags?|byline-links)(?=$|[\s_-])"
 )
+ASIDE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|comments?|reply|replies|related|recommend\w*|teaser)(?=$|[\s_-])")
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar", "toolbar"}
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z:_-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
@@ -46,11 +47,12 @@ def _noise(tag: str, attributes: str) -> bool:
     """Whether an element is by its own word not main text."""
     if tag in DROPPED:
         return True
-    if not attributes or tag in ("html", "body", "article", "main"):
+    if not attributes or tag in ("html", "body", "main"):
         return False
+    marked = ASIDE if tag == "article" else MARKED
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), (a or b or c).lower()
-        if (name == "role" and value in ROLES) or (name in ("class", "id") and MARKED.search(value)) or (name == "aria-hidden" and value == "true"):
+        if (name == "role" and value in ROLES) or (name in ("class", "id") and marked.search(value)) or (name == "aria-hidden" and value == "true"):
             return True
     return " hidden" in f" {attributes.lower()} " and bool(re.search(r"(?:^|\s)hidden(?:\s|$|=)", attributes.lower()))
 

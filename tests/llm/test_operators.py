@@ -416,6 +416,7 @@ PROSE = "Long text stands here in full sentences. " * 8
         (f"<nav><a href=x>Home</a></nav><article><h1>T</h1><p>A &lt;b&gt;\n b</p><p>{PROSE}<br>x<p>Be.</article><footer>c</footer>", f"T\n\nA <b> b\n\n{PROSE}x\n\nBe."),
         (f"<div class='menu'><a>a</a></div><div><h1>T</h1><p>{PROSE}</p><p>Short.</p><p>{PROSE}</p></div><div id=comments><p>{PROSE}</p></div>", f"T\n\n{PROSE.strip()}\n\nShort.\n\n{PROSE.strip()}"),
         (f"<p>{PROSE}</p><script>var a='<p>{PROSE}</p>';</script><style>p{{}}</style><form><p>{PROSE}</p></form><!-- <p>no</p> -->", PROSE.strip()),
+        (f"<main><article><p>{PROSE}</p><figure><img src=x><figcaption>Seen from above</figcaption></figure></article><article class='comment odd'><p>{PROSE}</p></article></main>", f"{PROSE.strip()}\n\nSeen from above"),
         ("<ul>" + "<li><a href=x>some longer link text here</a></li>" * 9 + f"</ul><p>{PROSE}</p><p>x", PROSE.strip()),
     ],
 )
