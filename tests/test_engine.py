@@ -1,5 +1,6 @@
 import io
 import zipfile
+from dataclasses import replace
 
 import pytest
 
@@ -17,6 +18,14 @@ def run(spark):
     return engine, result
 
 
+@pytest.fixture
+def engine(run):
+    """The engine of the module, its options put back after each test."""
+    held = run[0].options
+    yield run[0]
+    run[0].options = held
+
+
 def found(result):
     return {(r["type"], r["name"], r["operation"]): r["conf_rank"] for r in result.resources.collect()}
 
@@ -61,15 +70,15 @@ def test_reports(run):
     assert "写入：`order_log`<br>只读：`t_order`" in row and row.count(" | ") == 11
 
 
-def test_hop_to_another_project(spark):
-    engine = Engine(build(spark), Options(excluded_prefixes=("java.",), follow_cross_project=True, service_mappings={"bill-svc": "bill"}))
+def test_hop_to_another_project(spark, engine):
+    engine.options = replace(engine.options, follow_cross_project=True, service_mappings={"bill-svc": "bill"})
     result = engine.analyze(engine.by_topic(spark.createDataFrame([("${mq.order.topic}",)], "value string")))
     edges = {(r["caller"], r["callee"]): r["reason"] for r in result.edges.collect()}
     assert edges[("a.Http#call", "b.BillController#one")] == "跨工程 Feign：shop -> bill"
 
 
-def test_options(spark):
-    engine = Engine(build(spark), Options(excluded_prefixes=("java.",), max_depth=1, follow_local_consumers=False, merge_resources=False, query_patterns=("/get-",)))
+def test_options(spark, engine):
+    engine.options = replace(engine.options, max_depth=1, follow_local_consumers=False, merge_resources=False, query_patterns=("/get-",))
     result = engine.analyze(engine.by_method(spark.createDataFrame([("a.Http#call",)], "value string")))
     got = found(result)
     assert got[("EXTERNAL_HTTP", "bill-svc GET /bill/get-one", "READ")] == 0
@@ -77,8 +86,7 @@ def test_options(spark):
     assert any(r["message"].startswith("调用链达到最大深度 1") for r in result.warnings.collect())
 
 
-def test_batch(spark):
-    engine = Engine(build(spark), Options(excluded_prefixes=("java.",)))
+def test_batch(spark, engine):
     inputs = spark.createDataFrame([(1, "/api/order/save"), (2, "/api/order/list"), (3, "/none"), (4, "x")], "idx int, value string")
     rows, result = engine.batch(inputs)
     got = {r["idx"]: (r["status"], r["reason"]) for r in rows.collect()}
