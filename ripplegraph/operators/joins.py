@@ -73,3 +73,10 @@ def status_of(matches: Column) -> Column:
 def latest(rows: DataFrame, key: str, value: str, order: list[str]) -> DataFrame:
     """Last writer wins: ``value`` of the greatest ``order`` for each key."""
     return rows.groupBy(key).agg(F.max_by(value, F.struct(*order)).alias(value))
+
+
+def enclosing(points: DataFrame, spans: DataFrame, on: list[str], at: str, start: str, end: str, keep: str) -> DataFrame:
+    """``points`` with ``keep`` of the innermost span of the same ``on`` around ``at``; null if there is none."""
+    near = points.select(*on, at).distinct().join(spans.select(*on, start, end, keep), on).filter((F.col(start) <= F.col(at)) & (F.col(at) <= F.col(end)))
+    best = near.groupBy(*on, at).agg(F.max_by(keep, F.struct(F.col(start), -F.col(end))).alias(keep))
+    return points.join(best, [*on, at], "left")

@@ -204,6 +204,31 @@ def workbook(sheets: dict[str, list[list[str]]]) -> bytes:
     return out.getvalue()
 
 
+def operation_groups(resources: DataFrame, kind: str) -> DataFrame:
+    """(root_id, cell): names of a type, a line for each operation."""
+    rows = labelled(resources).filter(F.col("type") == kind)
+    one = rows.groupBy("root_id", "operation_label").agg(F.min("ord").alias("o"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "name"))), lambda x: x["name"]), "，").alias("n"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("o", F.concat("operation_label", F.lit("："), "n").alias("l")))), lambda x: x["l"])
+    return one.groupBy("root_id").agg(F.array_join(lines, "\n").alias("cell"))
+
+
+def sibling(path: str, extension: str) -> str:
+    """``path`` if it ends with the extension, else the same name with it."""
+    if path.lower().endswith(f".{extension}"):
+        return path
+    folder, slash, name = path.rpartition("/")
+    return f"{folder}{slash}{name.rpartition('.')[0] or name}.{extension}"
+
+
+def write_lines(lines: DataFrame, path: str, order: list[str], first: list[str] = ()) -> None:
+    """Lines in order as text files below ``path``; ``first`` stands before them."""
+    spark = lines.sparkSession
+    head = spark.createDataFrame([(i, x) for i, x in enumerate(first)], "_i int, line string").select(F.lit(0).alias("_part"), F.col("_i").cast("string").alias("_key"), "line")
+    body = lines.orderBy(*order).select(F.lit(1).alias("_part"), F.lit("").alias("_key"), "line", *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
+    both = head.unionByName(body, allowMissingColumns=True)
+    both.orderBy("_part", "_key", *[f"_o{i}" for i in range(len(order))]).select("line").write.mode("overwrite").text(path)
+
+
 def view(resources: DataFrame, kind: str | None = None, name: str | None = None, operation: str | None = None) -> DataFrame:
     """Resources of a type, with a part of a name, of an operation."""
     out = resources

@@ -15,6 +15,9 @@ from ripplegraph.plans.reach import INFERRED_MARK, reach
 from ripplegraph.storage import materialize
 
 
+MOST_TOPICS = 1000  # looked for in texts at once
+
+
 def facts_of(spark: SparkSession, given: dict[str, DataFrame | list]) -> Facts:
     """All fact tables; those that aren't given are empty."""
     out = {}
@@ -106,6 +109,27 @@ class Engine:
         found = joins.match_topics(topics, self.consumers(), "value", "consumed").select("value", "method_key").distinct()
         return found.select(F.col("value").alias("root_id"), F.lit("MQ").alias("type"), F.col("value").alias("display"), F.lit(None).cast("string").alias("http_method"), "method_key")
 
+    def by_text(self, topics: DataFrame) -> DataFrame:
+        """Entries for ``topics`` (value) that are merely mentioned in a method's text; each topic is looked for in every text."""
+        m = self.facts["method"].select("method_key", "text").dropDuplicates(["method_key"])
+        words = [r["value"] for r in topics.select("value").distinct().limit(MOST_TOPICS + 1).collect()]
+        if len(words) > MOST_TOPICS:
+            raise ValueError(f"more than {MOST_TOPICS} topics to look for in texts")
+        hits = F.filter(F.array(*[F.lit(w) for w in words]).cast("array<string>"), lambda w: F.contains(F.col("text"), w))
+        found = m.select("method_key", F.explode(hits).alias("value"))
+        return found.select(F.col("value").alias("root_id"), F.lit("MQ").alias("type"), F.col("value").alias("display"), F.lit(None).cast("string").alias("http_method"), "method_key")
+
+    def by_input(self, value: str) -> DataFrame:
+        """Entries for what a user types: a path if it begins with a slash, else a topic."""
+        asked = self.spark.createDataFrame([(value.strip(),)], "value string")
+        return self.by_path(asked) if value.strip().startswith("/") else self.by_topic(asked)
+
+    @staticmethod
+    def missing(asked: DataFrame, entries: DataFrame) -> DataFrame:
+        """(root_id, message) of inputs (value) without an entry."""
+        none = asked.select(F.col("value").alias("root_id")).distinct().join(entries.select("root_id").distinct(), "root_id", "left_anti")
+        return none.select("root_id", F.concat(F.lit("未找到入口："), "root_id").alias("message"))
+
     def by_method(self, keys: DataFrame) -> DataFrame:
         """Entries for method keys (value)."""
         k = keys.join(self.methods, F.col("value") == F.col("method_key"))
@@ -122,9 +146,11 @@ class Engine:
         start = start.select("root", "node", F.lit(0).alias("depth"), F.lit(0).alias("conf"), F.array("label").alias("path"))
         seen = materialize(reach(self.steps, start, o.max_depth, with_path=True), "seen")
         added = []
+        links = None
         if o.follow_cross_project:
+            links = materialize(self.client_links(), "links")
             for _ in range(o.max_cross_depth):
-                hop = self.hops(seen)
+                hop = self.hops(seen, links)
                 fresh = hop.join(seen.select("root", "node"), ["root", "node"], "left_anti")
                 if fresh.isEmpty():
                     break
@@ -142,24 +168,45 @@ class Engine:
                 path = F.array("_first", F.concat("label", F.lit(INFERRED_MARK)))
                 seen = self._more(seen, eaten.select("root", "node", F.lit(1).alias("depth"), F.lit(1).alias("conf"), path.alias("path")).distinct())
                 found = self._collect(seen)
-        return self._result(entries, seen, found, added)
+        return self._result(entries, seen, found, added, links)
 
     def _more(self, seen: DataFrame, start: DataFrame) -> DataFrame:
         """``seen`` with what ``start`` reaches beyond it."""
         more = reach(self.steps, start.select("root", "node", "depth", "conf", "path"), self.options.max_depth, with_path=True)
         return materialize(seen.unionByName(more.join(seen.select("root", "node"), ["root", "node"], "left_anti")), "seen")
 
-    def hops(self, seen: DataFrame) -> DataFrame:
-        """(root, caller, node, depth, conf, path, reason): declared clients whose path is exactly one method of a mapped, open project."""
+    def client_links(self) -> DataFrame:
+        """(ctx_id, node of the call, own project, target node or null, label, project, warning or null) of calls to declared clients.
+
+        A link needs a mapped service, an open project other than the caller's that isn't being indexed, and exactly one
+        method there for the path; the first of these that is missing is the warning.
+        """
         f, o = self.facts, self.options
         mapping = self.spark.createDataFrame(list(o.service_mappings.items()), "name string, target string")
-        client = joins.first_mapping(extractors.feign_endpoints(f), mapping, "service", "service_key").filter("target is not null")
-        client = joins.lookup_project(client, f["project"].filter("is_open and not coalesce(is_indexing, false)"), "target").filter("project is not null")
+        client = joins.first_mapping(extractors.feign_endpoints(f), mapping, "service", "service_key")
+        client = joins.lookup_project(client, f["project"].filter("is_open"), "target")
         ends = self.endpoints().join(self.methods.select("method_key", F.col("project").alias("to"), "label"), "method_key")
-        one = ends.groupBy(F.col("to").alias("project"), "path").agg(F.count("*").alias("n"), F.min("method_key").alias("node"), F.min("label").alias("label")).filter("n = 1")
-        client = client.join(one, ["project", "path"]).select("target_key", "project", "node", "label")
-        calls = self.contexts.rows.filter("call_id is not null").select(F.col("method_key").alias("at"), F.col("project").alias("own"), "target_key").distinct()
-        out = seen.join(calls, seen["node"] == calls["at"]).drop("node").join(client, "target_key").filter("own <> project")
+        ends = ends.groupBy(F.col("to").alias("project"), "path").agg(F.count("*").alias("n"), F.min("method_key").alias("found"), F.min("label").alias("label"))
+        busy = f["project"].select(F.col("name").alias("project"), F.coalesce("is_indexing", F.lit(False)).alias("busy")).dropDuplicates(["project"])
+        client = client.join(ends, ["project", "path"], "left").join(busy, "project", "left")
+        calls = self.contexts.rows.filter("call_id is not null").select("ctx_id", F.col("method_key").alias("at"), F.col("project").alias("own"), "target_key")
+        rows = calls.join(client, "target_key")
+        head = F.concat(F.lit("Feign "), F.concat_ws(" ", "service", "verb", "path"), F.lit(" 未续链："))
+        told = lambda *parts: F.concat(head, *[F.lit(x) if not x.startswith("$") else F.col(x[1:]) for x in parts])
+        warning = (
+            F.when(F.col("target").isNull(), told("未配置服务映射"))
+            .when(F.col("project").isNull(), told("目标工程未打开（映射：", "$target", "）"))
+            .when(F.col("project") == F.col("own"), told("目标工程与当前工程相同"))
+            .when(F.col("busy"), told("目标工程 ", "$project", " 正在索引"))
+            .when(F.col("n").isNull(), told("目标工程 ", "$project", " 未找到入口"))
+            .when(F.col("n") > 1, told("目标工程 ", "$project", " 命中多个入口"))
+        )
+        return rows.select("at", "own", "project", F.when(warning.isNull(), F.col("found")).alias("node"), "label", head.alias("head"), warning.alias("warning"))
+
+    def hops(self, seen: DataFrame, links: DataFrame) -> DataFrame:
+        """(root, caller, node, depth, conf, path, reason): where calls of reached methods go on in another project."""
+        good = links.filter("warning is null").select("at", "own", "project", F.col("node").alias("_node"), "label").distinct()
+        out = seen.join(good, seen["node"] == good["at"]).drop("node").withColumnRenamed("_node", "node")
         path = F.array_append("path", F.concat("label", F.lit(INFERRED_MARK)))
         reason = F.concat(F.lit("跨工程 Feign："), "own", F.lit(" -> "), "project")
         return out.select("root", F.col("at").alias("caller"), "node", F.lit(0).alias("depth"), F.greatest("conf", F.lit(1)).alias("conf"), path.alias("path"), reason.alias("reason")).distinct()
@@ -175,7 +222,7 @@ class Engine:
         rows = at.select(F.col("root").alias("root_id"), order.alias("ord"), "type", "name", "operation", F.greatest("conf_rank", "conf").alias("conf_rank"), told.alias("detail"))
         return resources.reclassify(rows, list(self.options.query_patterns))
 
-    def _result(self, entries: DataFrame, seen: DataFrame, found: DataFrame, added: list[DataFrame]) -> Result:
+    def _result(self, entries: DataFrame, seen: DataFrame, found: DataFrame, added: list[DataFrame], links: DataFrame | None) -> Result:
         o = self.options
         found = resources.distinct_evidence(found, ("root_id",))
         if o.merge_resources:
@@ -192,6 +239,12 @@ class Engine:
         deep = seen.filter(F.col("depth") >= o.max_depth).join(self.methods.select(F.col("method_key").alias("node"), "label"), "node")
         warnings = walked.join(self.unresolved, F.col("node") == F.col("caller_key")).select(F.col("root").alias("root_id"), "message")
         warnings = warnings.unionByName(deep.select(F.col("root").alias("root_id"), F.concat(F.lit(f"调用链达到最大深度 {o.max_depth}："), "label").alias("message")))
+        if links is not None:
+            said = walked.join(links.filter("warning is not null").select(F.col("at").alias("node"), F.col("warning").alias("message")).distinct(), "node")
+            warnings = warnings.unionByName(said.select(F.col("root").alias("root_id"), "message"))
+            far = self.hops(seen, links).join(seen.select("root", "node"), ["root", "node"], "left_anti").select("root", F.col("caller").alias("at"), "node")
+            far = far.join(links.select("at", "node", "head"), ["at", "node"])
+            warnings = warnings.unionByName(far.select(F.col("root").alias("root_id"), F.concat("head", F.lit(f"达到最大跨工程深度 {o.max_cross_depth}")).alias("message")))
         many = entries.groupBy("root_id").agg(F.countDistinct("method_key").alias("n")).filter("n > 1")
         warnings = warnings.unionByName(many.select("root_id", F.concat(F.lit("同一入口匹配 "), F.col("n").cast("string"), F.lit(" 个方法，已合并全部候选")).alias("message")))
         return Result(entries, nodes, edges, found, warnings.distinct())

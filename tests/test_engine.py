@@ -97,3 +97,29 @@ def test_batch(spark, engine):
     assert "- 成功：1" in text and "跳过与失败明细" in text and "消费：`${mq.order.topic}`" in text
     book = zipfile.ZipFile(io.BytesIO(reports.batch_workbook(rows, result)))
     assert "资源汇总" in book.read("xl/workbook.xml").decode() and len(book.namelist()) == 7
+
+
+def test_hop_warnings(spark, engine):
+    asked = engine.by_method(spark.createDataFrame([("a.Http#call",)], "value string"))
+    for mapping, end in (({}, "未配置服务映射"), ({"bill-svc": "none"}, "目标工程未打开（映射：none）"), ({"bill-svc": "/p/shop"}, "目标工程与当前工程相同")):
+        engine.options = replace(engine.options, follow_cross_project=True, follow_local_consumers=False, max_depth=1, service_mappings=mapping)
+        said = [r["message"] for r in engine.analyze(asked).warnings.collect() if r["message"].startswith("Feign")]
+        assert said == [f"Feign bill-svc GET /bill/get-one 未续链：{end}"]
+
+
+def test_entries(spark, engine):
+    assert [r["method_key"] for r in engine.by_input(" /api/order/save ").collect()] == ["a.OrderController#save"]
+    assert [r["method_key"] for r in engine.by_input("${mq.order.topic}").collect()] == ["a.Consumer#onOrder"]
+    asked = spark.createDataFrame([("/none",), ("/api/order/save",)], "value string")
+    assert [r["message"] for r in engine.missing(asked, engine.by_path(asked)).collect()] == ["未找到入口：/none"]
+    assert [r["method_key"] for r in engine.by_text(spark.createDataFrame([("save(){",)], "value string")).collect()] == ["a.OrderController#save"]
+
+
+def test_written_lines(run, tmp_path):
+    out = str(tmp_path / "lines")
+    reports.write_lines(reports.detail_csv(run[1]), out, ["ord"], [reports.header(reports.DETAIL)])
+    lines = "".join(p.read_text() for p in sorted((tmp_path / "lines").glob("part-*"))).splitlines()
+    assert lines[0].startswith("\ufeff") and len([x for x in lines if x.startswith('"HTTP"')]) == run[1].resources.count()
+    assert reports.sibling("/x/a.csv", "md") == "/x/a.md" and reports.sibling("a.CSV", "csv") == "a.CSV"
+    cells = reports.operation_groups(run[1].resources, "KAFKA").collect()
+    assert set(cells[0]["cell"].split("\n")) == {"生产：${mq.order.topic}", "消费：${mq.order.topic}"}
