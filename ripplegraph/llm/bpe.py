@@ -16,7 +16,9 @@ two may hold different Unicode versions, the library encodes the chunk.
 from __future__ import annotations
 
 import base64
+import ctypes
 import os
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +28,8 @@ from .common import byte_buffers, pieces
 SPACE = 0x20
 RARE = 0x250  # characters from here on go to the library, up to where both agree on all Unicode versions
 LONG = 256  # bytes from which a chunk isn't kept
-SLICE = 1 << 20  # bytes handled at once
-LARGE = 2 << 20  # bytes from which a text goes to the library: its new chunks could exceed the table
+SLICE = 1 << 18  # bytes handled at once
+LARGE = 1 << 20  # bytes from which a text goes to the library: its new chunks could exceed the table
 
 
 def _byte_chars() -> list[str]:
@@ -51,19 +53,18 @@ class Vocabulary:
         self.library = Tokenizer.from_file(where(json_name))
         with open(where(rank_name), "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.ranks = ranks
         self.fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.core = self.fast._core_bpe
         self.split = regex.compile(public_tokenizers.PATTERN).findall
         self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
-        self.proven, self.whole = self._prove()
+        self.proven, self.whole = self._prove(ranks)
 
-    def _prove(self) -> tuple[bool, set[str]]:
+    def _prove(self, ranks: dict[bytes, int]) -> tuple[bool, set[str]]:
         """Whether every vocabulary string merges alone to itself; and those that texts can hold as one pre-token."""
         chars = _byte_chars()
         model = self.library.model
         whole, proven = set(), True
-        for raw, rank in self.ranks.items():
+        for raw, rank in ranks.items():
             alone = model.tokenize("".join([chars[b] for b in raw]))
             if len(alone) != 1 or alone[0].id != rank:
                 proven = False
@@ -99,7 +100,7 @@ class Vocabulary:
 class ChunkTable:
     """Open-addressing table from chunk hashes to chunks met before; cleared when it is full."""
 
-    def __init__(self, most: int = 600_000, bits: int = 21):
+    def __init__(self, most: int = 500_000, bits: int = 20):
         self.most, self.bits = most, bits
         rng = np.random.default_rng(20240229)
         self.byte = rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -172,7 +173,7 @@ class Encoder:
         self.table.clear()
         self.sizes = np.zeros(self.table.most + 1, np.int32)
         self.starts = np.zeros(self.table.most + 1, np.int64)
-        self.pool = np.zeros(1 << 20, np.uint32)
+        self.pool = np.zeros(1 << 19, np.uint32)
         self.used = 0
         if not self.with_ids:
             self._preload()
@@ -296,6 +297,12 @@ class Encoder:
 _encoders: dict[tuple, Encoder] = {}
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system, which the C library otherwise keeps for the worker's next task."""
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def encoder(with_ids: bool, json_name: str, rank_name: str) -> Encoder:
     """This worker's encoder; made once a process."""
     key = (with_ids, json_name, rank_name)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from .bpe import encoder
+from .bpe import encoder, release_memory
 from .common import BATCH_ROWS, materialize, read
 
 PIECES = T.StructType(
@@ -213,6 +213,7 @@ def cut_pieces(rows: DataFrame, text: str, keep: list[str], capacity: int, end_i
                     kept = [batch.column(i).take(pa.array(columns[0])) for i in range(len(keep))]
                     made = [pa.array(c, t) for c, t in zip(columns[1:], (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
                     yield pa.RecordBatch.from_arrays([*kept, *made], names=schema.names)
+        release_memory()
 
     return rows.select(*keep, F.col(text).alias("_text")).mapInArrow(cut, schema)
 
