@@ -7,6 +7,8 @@ the shared folder, so the plan of a level never grows and a lost executor costs
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,16 +41,16 @@ def reach(edges: DataFrame, roots: DataFrame, max_depth: int = 30, with_path: bo
         step = frontier.alias("f").join(steps.alias("e"), (F.col("f.node") == F.col("e.src")) & (F.col("f.depth") < max_depth))
         step = step.select(F.col("f.root").alias("root"), F.col("e.dst").alias("node"), F.struct(*rank).alias("best"))
         step = step.groupBy("root", "node").agg(F.min("best").alias("best")).select("root", "node", "best.*")
-        for seen in levels:
-            step = step.join(seen.select("root", "node"), ["root", "node"], "left_anti")
+        step = step.join(_all(levels).select("root", "node"), ["root", "node"], "left_anti")
         frontier = materialize(step, "reach")
         if frontier.isEmpty():
             break
         levels.append(frontier)
-    out = levels[0]
-    for level in levels[1:]:
-        out = out.unionByName(level)
-    return out
+    return _all(levels)
+
+
+def _all(levels: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, levels)
 
 
 def unfold(edges: DataFrame, root: str, max_depth: int) -> DataFrame:
