@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ripplegraph.llm.common import materialize, read
 from ripplegraph.llm.langid import UNKNOWN, identify
 from ripplegraph.llm.mixing import mix, words
+from ripplegraph.llm.neardup import near_rows
 from ripplegraph.llm.packing import pack
-from ripplegraph.llm.simhash import near_duplicates
 from ripplegraph.llm.toxicity import excesses, train
 
 #: SQL has no tokenizer, XXH64 or logistic fit; tests hold run() against a brute-force version.
@@ -31,11 +31,11 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest doc_id (of rows that repeat it, one).
 
-    Rows without a doc_id count as one document. The join and what follows it share one shuffle.
+    Near are texts whose five-word shingles have a Jaccard similarity of 0.8 or more. Rows without a doc_id count as one document. The join and what follows it share one shuffle.
     """
     key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
-    groups = near_duplicates(docs, "text", "doc_id")
-    first = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key.alias("_key")).distinct()
+    groups = near_rows(docs, "text", ["doc_id"])
+    first = groups.groupBy("component").agg(F.min("doc_id").alias("doc_id")).select(key.alias("_key")).distinct()
     return docs.withColumn("_key", key).join(first, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
 
 
