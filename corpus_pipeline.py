@@ -14,6 +14,7 @@ from ripplegraph.llm.toxicity import excesses, train
 
 #: SQL has no tokenizer, XXH64 or logistic fit; tests hold run() against a brute-force version.
 ORACLE_SQL: str | None = None
+KEYS = ["_row", "_key"]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,22 +29,30 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return excesses(docs, model, docs.columns).filter("score < 0.7").select(*docs.columns)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``KEYS``, equal in rows that are equal in all columns; a doc_id may be null or repeated."""
+    return docs.withColumn("_key", F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))).withColumn("_row", F.xxhash64(*docs.columns))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id (of rows that repeat it, one).
+    """Of each group of near-duplicates one row: that of the smallest doc_id, one without a doc_id only if all are.
 
-    Near are texts whose five-word shingles have a Jaccard similarity of 0.8 or more. Rows without a doc_id count as one document. The join and what follows it share one shuffle.
+    Near are texts whose five-word shingles have a Jaccard similarity of 0.8 or more. Only rows of one group replace
+    each other, whatever their doc_id; of rows that are equal in all columns one stays. The join and what follows it
+    share one shuffle.
     """
-    key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
-    groups = near_rows(docs, "text", ["doc_id"])
-    first = groups.groupBy("component").agg(F.min("doc_id").alias("doc_id")).select(key.alias("_key")).distinct()
-    return docs.withColumn("_key", key).join(first, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
+    rows = keyed(docs)
+    groups = near_rows(rows.withColumn("_none", F.col("doc_id").isNull()), "text", ["_none", *KEYS])
+    first = groups.groupBy("component").agg(F.min(F.struct("_none", "_key", "_row")).alias("_first")).select(*[f"_first.{k}" for k in KEYS])
+    return rows.join(first, KEYS, "left_semi").dropDuplicates(KEYS).select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: documents that it doesn't take go, and those that it takes again are there again."""
-    mixed = mix(docs, F.array("source"), words(F.col("text")), ["doc_id"]).filter(F.col("taken") > 0)
-    copies = mixed.select(F.col("doc_id").alias("_id"), F.floor(F.col("taken") / F.col("size")).cast("int").alias("_copies"))
-    taken = docs.join(copies, docs["doc_id"].eqNullSafe(copies["_id"]))
+    """The mix: documents that it doesn't take go, and those that it takes again are there again. Drawn by row, not by doc_id."""
+    rows = keyed(docs)
+    mixed = mix(rows, F.array("source"), words(F.col("text")), KEYS).filter(F.col("taken") > 0)
+    copies = mixed.groupBy(*KEYS).agg(F.sum(F.floor(F.col("taken") / F.col("size"))).cast("int").alias("_copies"))
+    taken = rows.dropDuplicates(KEYS).join(copies, KEYS)
     return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
 
 

@@ -54,3 +54,18 @@ def test_edited_copies_go(spark, monkeypatch, pairwise):
     assert out.columns == docs.columns
     assert sorted(r["doc_id"] for r in out.collect()) == sorted(set(head))
     assert len(set(head[:48])) <= 26  # of the pairs of 0.82 and more nearly all are joined
+
+
+def test_only_rows_of_a_group_replace_each_other(spark):
+    a, b, c, d = ("the first text stands here alone", "another one says something else", "a third has its own words", "and a last one ends it")
+    rows = [(None, a), (None, b), (None, b), (7, b), (7, c), (7, d), (9, d), (8, c), (8, c), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, "x") for i, t in rows], DOCS).repartition(3)
+    out = corpus_pipeline.near_dedup(spark, docs, "").collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in out) == sorted([(0, a), (7, b), (7, c), (7, d), (0, "")])
+
+
+def test_mixture_takes_rows_without_an_id_by_themselves(spark):
+    texts = [f"text {i} " + "word " * (i % 7) for i in range(60)]
+    docs = spark.createDataFrame([(None if i % 2 else 4, t, "en", "s", 1, "x") for i, t in enumerate(texts)], DOCS).repartition(3)
+    out = [r["text"] for r in corpus_pipeline.mixture(spark, docs, "").collect()]
+    assert sorted(out) == sorted(texts)  # one source: each once
