@@ -138,11 +138,16 @@ def lines(page: str) -> list[Line]:
     return out
 
 
-def surge_and_dive(weights: list[int]) -> tuple[int, int] | None:
-    """First line and one past the last of the heaviest run between a surge and a dive of the windows' sums."""
+def surge_and_dive(weights: list[int], links: list[int] | None = None) -> tuple[int, int] | None:
+    """First line and one past the last of the text between a surge and a dive of the windows' sums.
+
+    It is the heaviest run, with those of a tenth of its weight or more that only short lines with little
+    text in links (``links``, by line) part from it.
+    """
     n = len(weights)
+    links = links or [0] * n
     sums = [sum(weights[i : i + WINDOW]) for i in range(n)]
-    best, at = None, 0
+    runs, at = [], 0
     while at < n:
         if sums[at] < SURGE:
             at += 1
@@ -160,15 +165,21 @@ def surge_and_dive(weights: list[int]) -> tuple[int, int] | None:
         stop = min(n, end + WINDOW)
         while stop - 1 > end and weights[stop - 1] * WINDOW < SURGE:
             stop -= 1
-        heavy = sum(weights[begin:stop])
-        if best is None or heavy > best[0]:
-            best = (heavy, begin, stop)
-    if best is None:
+        runs.append((sum(weights[begin:stop]), begin, stop))
+    if not runs:
         if not any(weights):
             return None
         top = max(range(n), key=lambda i: weights[i])
         return top, top + 1
-    return best[1], best[2]
+    heavy, begin, stop = max(runs, key=lambda r: r[0])
+    little = lambda a, b: sum(links[a:b]) <= sum(weights[a:b])
+    for own, start, end in reversed(runs):
+        if end <= begin and 10 * own >= heavy and little(end, begin):
+            begin = start
+    for own, start, end in runs:
+        if start >= stop and 10 * own >= heavy and little(stop, start):
+            stop = end
+    return begin, stop
 
 
 def main_text(page: str | None) -> str:
@@ -180,7 +191,7 @@ def main_text(page: str | None) -> str:
     marked = [i for i, x in enumerate(found) if x.marked]
     if marked and 3 * sum(weights[i] for i in marked) >= sum(weights):
         return "\n\n".join(found[i].text for i in marked)
-    span = surge_and_dive(weights)
+    span = surge_and_dive(weights, [x.linked for x in found])
     if span is None:
         return ""
     begin = span[0]
