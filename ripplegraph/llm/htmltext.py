@@ -3,8 +3,8 @@
 Markup is stripped to lines, one for each block. Each line's length, less the text of its links, is summed
 over a sliding window of lines. Where that sum surges the main text begins, and it ends where the sum
 dives. Elements that are never main text (scripts, forms, menus, and what names itself so by tag, role, class or id)
-are markup here and leave no line. Where the author marks the article, its lines widen the surge and the dive to
-its own beginning and end, so short paragraphs at its edges stay.
+are markup here and leave no line. Where the author marks an article that holds a third of the page or more, its lines widen the surge and
+the dive to its own beginning and end, so short paragraphs at its edges stay; text beyond them stays as well.
 """
 
 from __future__ import annotations
@@ -189,16 +189,17 @@ def main_text(page: str | None) -> str:
         return ""
     weights = [max(0, len(x.text) - x.linked) for x in found]
     marked = [i for i, x in enumerate(found) if x.marked]
-    if marked and 3 * sum(weights[i] for i in marked) >= sum(weights):
-        return "\n\n".join(found[i].text for i in marked)
+    widens = bool(marked) and 3 * sum(weights[i] for i in marked) >= sum(weights)
     span = surge_and_dive(weights, [x.linked for x in found])
     if span is None:
         return ""
     begin = span[0]
     while begin and found[begin - 1].heading and not found[begin - 1].linked:
         begin -= 1  # the headings that the text stands under
-    span = (begin, span[1])
-    return "\n\n".join(x.text for x, w in zip(found[span[0] : span[1]], weights[span[0] : span[1]], strict=True) if w or not x.linked)
+    end = span[1]
+    if widens:
+        begin, end = min(begin, marked[0]), max(end, marked[-1] + 1)
+    return "\n\n".join(x.text for x, w in zip(found[begin:end], weights[begin:end], strict=True) if w or not x.linked or (widens and x.marked))
 
 
 def extract(pages: DataFrame, source: str, keep: list[str]) -> DataFrame:

@@ -20,3 +20,10 @@ def test_a_list_and_a_table_within_the_text_do_not_end_it():
 def test_a_list_of_links_still_ends_the_text():
     links = "".join(f"<li><a href=x>link {i}</a></li>" for i in range(9))
     assert htmltext.main_text(f"{page(P[:8])}<ul>{links}</ul>{page(P[8:10])}").split("\n\n") == TEXTS[:8]
+
+
+def test_a_marked_article_widens_the_text_and_does_not_replace_it():
+    html = f"<div><article><p>Lead.</p>{page(P[:7])}</article>{page(P[7:])}</div>"
+    assert htmltext.main_text(html).split("\n\n") == ["Lead.", *TEXTS]
+    html = f"<div>{page(P[:9])}<article>{page(P[9:])}<p>End.</p><p><a href=x>Source</a></p></article></div>"
+    assert htmltext.main_text(html).split("\n\n") == [*TEXTS, "End.", "Source"]
