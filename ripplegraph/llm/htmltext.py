@@ -31,30 +31,47 @@ BLOCKS = {
     "summary", "table", "tbody", "td", "tfoot", "th", "thead", "title", "tr", "ul",
 }
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
-MARKED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertis\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|login|"
-    r"comments?|commentlist|disqus|respond|replies|reply|nav|navbar|navigation|menu|topbar|breadcrumbs?|header|masthead|footer|foot|sidebar|side|aside|widget|related|recommend\w*|"
-    r"share|sharing|social|pagination|pager|toolbar|skip|search|copyright|legal|tags?|byline-links)(?=$|[\s_-])"
+_WORDS = (
+    r"(?:ads?|adverts?|advertis[a-z0-9]*|banner|sponsor[a-z0-9]*|promo[a-z0-9]*|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|login|"
+    r"comments?|commentlist|disqus|respond|replies|reply|nav|navbar|navigation|menu|topbar|breadcrumbs?|header|masthead|footer|foot|sidebar|side|aside|widget|related|recommend[a-z0-9]*|"
+    r"share|sharing|social|pagination|pager|toolbar|skip|search|copyright|legal|tags?|byline-links)"
 )
-ASIDE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|comments?|reply|replies|related|recommend\w*|teaser)(?=$|[\s_-])")
+_BEFORE = r"(?:site|main|page|global|top|bottom|left|right|primary|secondary|post|posts|entry|article|user|wp|block|js|mobile|desktop|sub|email|google|div|wrap|wrapper|story|content)"
+_AFTER = (
+    r"(?:list|area|areas|wrap|wrapper|container|box|links?|section|bar|block|items?|inner|outer|content|body|buttons?|icons?|form|thread|title|top|bottom|left|right|main|primary|secondary|"
+    r"slot|unit|label|text|group|row|col|column|panel|articles?|posts?|stories|news|meta|author|nav|menu|to|us|this|policy|message|dialog|\d[a-z0-9]*)"
+)
+# a whole class or id: has-sidebar, with-comments or tag-travel only describe what holds them
+MARKED = re.compile(rf"(?!(?:post|entry|article|story|content)[-_]+header)(?:{_BEFORE}[-_]+)*{_WORDS}(?:[-_]+(?:{_WORDS}|{_AFTER}))*")
+ASIDE = re.compile(rf"(?:{_BEFORE}[-_]+)*(?:ads?|advert[a-z0-9]*|sponsor[a-z0-9]*|promo[a-z0-9]*|comments?|reply|replies|related|recommend[a-z0-9]*|teaser)(?:[-_]+(?:{_WORDS}|{_AFTER}))*")
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar", "toolbar"}
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z:_-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 WHITE = re.compile(r"\s+")
 
 
-def _noise(tag: str, attributes: str) -> bool:
-    """Whether an element is by its own word not main text."""
+def _noise(tag: str, attributes: str) -> tuple[bool, bool]:
+    """Whether an element is by its own word not main text: by tag, role or state, and by class or id alone."""
     if tag in DROPPED:
-        return True
+        return True, False
     if not attributes or tag in ("html", "body", "main"):
-        return False
-    marked = ASIDE if tag == "article" else MARKED
+        return False, False
+    marked, named = ASIDE if tag == "article" else MARKED, False
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), (a or b or c).lower()
-        if (name == "role" and value in ROLES) or (name in ("class", "id") and marked.search(value)) or (name == "aria-hidden" and value == "true"):
-            return True
-    return " hidden" in f" {attributes.lower()} " and bool(re.search(r"(?:^|\s)hidden(?:\s|$|=)", attributes.lower()))
+        if (name == "role" and value in ROLES) or (name == "aria-hidden" and value == "true"):
+            return True, False
+        named = named or (name in ("class", "id") and any(marked.fullmatch(x) for x in value.split()))
+    return " hidden" in f" {attributes.lower()} " and bool(re.search(r"(?:^|\s)hidden(?:\s|$|=)", attributes.lower())), named
+
+
+class Named:
+    """What an element holds whose class or id says that it isn't main text."""
+
+    __slots__ = ("article", "h1", "paragraphs", "size")
+
+    def __init__(self):
+        self.size, self.article, self.h1, self.paragraphs = 0, False, False, 0
 
 
 class Line:
@@ -65,29 +82,34 @@ class Line:
 
 
 def lines(page: str) -> list[Line]:
-    """The blocks of a page in order, with white space turned into one space, and without noise."""
-    out: list[Line] = []
-    held: list[str] = []
-    linked = 0
-    stack: list[tuple[str, bool, bool]] = []  # tag, noise, article: open elements
+    """The blocks of a page in order, with white space turned into one space, and without noise.
+
+    What is noise by its class or id alone stays if it holds most of the page's text or the only article, or a first
+    heading with paragraphs.
+    """
+    blocks: list[tuple[list, bool, bool]] = []  # (text, in a link, names around it) of each piece; article, heading
+    held: list[tuple[str, bool, tuple]] = []
+    stack: list[tuple[str, bool, bool, tuple]] = []  # tag, noise, article, names around it: open elements
+    names: tuple[Named, ...] = ()
     noise = article = anchors = 0
+    outside = Named()  # of all that is so named
+    total = 0
 
     def end_of_block() -> None:
-        nonlocal linked
-        text = WHITE.sub(" ", html.unescape("".join(held))).strip()
-        if text:
-            out.append(Line(text, linked, article > 0, any(s[0] in HEADINGS for s in stack)))
+        if held:
+            blocks.append((held.copy(), article > 0, any(s[0] in HEADINGS for s in stack)))
         held.clear()
-        linked = 0
 
     at, n = 0, len(page)
     while at < n:
         m = TOKEN.search(page, at)
         stop = m.start() if m else n
         if stop > at and not noise:
-            held.append(page[at:stop])
-            if anchors:
-                linked += stop - at
+            held.append((page[at:stop], anchors > 0, names))
+            size = len(page[at:stop].strip())
+            total += size
+            for x in names:
+                x.size += size
         if not m:
             break
         at = m.end()
@@ -99,10 +121,11 @@ def lines(page: str) -> list[Line]:
                 end_of_block()
             depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
             if depth is not None:
-                for name, bad, own in stack[depth:]:
+                for name, bad, own, _ in stack[depth:]:
                     noise -= bad
                     article -= own
                     anchors -= name == "a"
+                names = stack[depth][3]
                 del stack[depth:]
             continue
         attributes = m[3] or ""
@@ -115,26 +138,43 @@ def lines(page: str) -> list[Line]:
         if tag in BLOCKS and not noise:
             end_of_block()
         if tag == "br" and not noise:
-            held.append(" ")
+            held.append((" ", False, names))
         if tag in EMPTY or attributes.rstrip().endswith("/") and tag not in BLOCKS:
             continue
         if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option", "a"):  # a new one ends an open one
             depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
             limit = {"li": ("ul", "ol", "menu"), "tr": ("table",), "td": ("table",), "th": ("table",)}.get(tag, ())
             if depth is not None and not any(s[0] in limit or s[0] in ("div", "section", "article", "main", "table", "blockquote") and tag not in ("a",) for s in stack[depth + 1 :]):
-                for name, bad, own in stack[depth:]:
+                for name, bad, own, _ in stack[depth:]:
                     noise -= bad
                     article -= own
                     anchors -= name == "a"
+                names = stack[depth][3]
                 del stack[depth:]
-        bad = _noise(tag, attributes)
-        own = not bad and (tag in ("article", "main") or 'role="main"' in attributes or 'itemprop="articleBody"' in attributes)
-        stack.append((tag, bad, own))
+        bad, named = _noise(tag, attributes)
+        own = not bad and not (named and tag == "article") and (tag in ("article", "main") or 'role="main"' in attributes or 'itemprop="articleBody"' in attributes)
+        stack.append((tag, bad, own, names))
+        if named and not bad and not noise:
+            names = (*names, Named())
+        if not noise and not bad:
+            for x in names or (outside,):
+                x.article, x.h1, x.paragraphs = x.article or own, x.h1 or tag == "h1", x.paragraphs + (tag == "p")
         noise += bad
         article += own
         anchors += tag == "a"
     if not noise:
         end_of_block()
+
+    def stays(x: Named) -> bool:
+        most = 2 * x.size > total and not outside.h1
+        return (x.h1 and x.paragraphs > 1) or (not outside.article and (x.article or most))
+
+    out = []
+    for pieces, own, heading in blocks:
+        kept = [p for p in pieces if all(stays(x) for x in p[2])]
+        text = WHITE.sub(" ", html.unescape("".join(p[0] for p in kept))).strip()
+        if text:
+            out.append(Line(text, sum(len(p[0]) for p in kept if p[1]), own, heading))
     return out
 
 

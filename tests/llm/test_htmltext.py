@@ -27,3 +27,15 @@ def test_a_marked_article_widens_the_text_and_does_not_replace_it():
     assert htmltext.main_text(html).split("\n\n") == ["Lead.", *TEXTS]
     html = f"<div>{page(P[:9])}<article>{page(P[9:])}<p>End.</p><p><a href=x>Source</a></p></article></div>"
     assert htmltext.main_text(html).split("\n\n") == [*TEXTS, "End.", "Source"]
+
+
+def test_classes_that_describe_the_layout_are_not_noise():
+    for name in ("post type-post category-news tag-travel", "layout has-sidebar", "content no-sidebar", "content with-comments", "wrapper fixed-header"):
+        assert htmltext.main_text(f"<div class='{name}'>{page(P)}</div>").split("\n\n") == TEXTS
+
+
+def test_a_noise_class_does_not_take_the_article_with_it():
+    for html in (f"<article>{page(P)}</article>", f"<h1>Title</h1>{page(P)}", page(P)):
+        assert htmltext.main_text(f"<div class='sidebar'>{html}</div><p>x</p>").removeprefix("Title\n\n").removesuffix("\n\nx").split("\n\n") == TEXTS
+    for name in ("sidebar", "site-footer", "comment-list", "widget", "related-posts", "ad-slot-1"):
+        assert htmltext.main_text(f"<h1>Title</h1>{page(P[:9])}<div class='{name}'>{page(P[9:])}</div>").split("\n\n") == ["Title", *TEXTS[:9]]
