@@ -167,7 +167,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 80) -> tuple[float,
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """Counts over all labelled rows that may be learned from, but a fifth on which the score is fitted.
+    """Counts over all labelled rows that may be learned from, but those of a fifth, ``MOST_FITTED`` at most, on which the score is fitted.
 
     ``labels`` has doc_id and toxic (null: no label); the larger holds if a document is labelled twice.
     """
@@ -176,7 +176,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         labels = F.broadcast(labels)
     crc = crc_of_id()
     rows = docs.filter(crc % 3 != 1).select("doc_id", "text", F.floor(crc / 3).alias("_r")).join(labels, "doc_id")
-    for_counts = rows.filter("_r % 5 <> 0").select("text", F.col("toxic").cast("long"))
+    n = rows.filter("_r % 5 = 0").count()
+    fitting = (F.col("_r") % 5 == 0) & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(min(1.0, MOST_FITTED / max(n, 1)) * 1_000_000))
+    for_counts = rows.filter(~fitting).select("text", F.col("toxic").cast("long"))
 
     def count(batches):
         for batch in batches:
@@ -196,9 +198,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         counted = counted.filter(F.col("toxic") + F.col("ordinary") >= least)
     table = counted.toPandas()
     model = kneser_ney(*(table[c].to_numpy(np.int64) for c in ("key", "toxic", "ordinary")))
-    for_fit = rows.filter("_r % 5 = 0")
-    n = for_fit.count()
-    for_fit = for_fit.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(min(1.0, MOST_FITTED / max(n, 1)) * 1_000_000))
+    for_fit = rows.filter(fitting)
     fitted = excesses(for_fit, model, ["toxic"]).toPandas()
     x = features(fitted["sum"].to_numpy(float), fitted["n"].to_numpy(np.int64))
     model.weights = fit_logistic(x, (fitted["toxic"].to_numpy() > 0).astype(float))
