@@ -3,8 +3,10 @@
 The library splits a text into pre-tokens that merge independently. A pre-token never holds a space
 except as its first character or within a run of white space, so a text may be cut before each space
 without changing any token, unless white space surrounds that space (or the space ends the text and
-white space comes before it). Those texts, and texts with the special string, go to the library
-whole; all others are cut into chunks, and each chunk that a worker hasn't seen is encoded once.
+white space comes before it). Texts are cut before all other spaces, and each chunk that a worker
+hasn't seen is encoded once: one that holds a space of that kind by the library. Texts with the special
+string go to the library whole. Long texts are handled in parts that begin at such cuts. A chunk is
+known only if all of its bytes equal those of the chunk met before; a hash merely finds the place.
 
 New chunks are merged by ``tiktoken``'s core on the same vocabulary, which is faster than the
 library. The two do the same merges if every vocabulary string, merged alone by the library, is one
@@ -29,7 +31,7 @@ SPACE = 0x20
 RARE = 0x250  # characters from here on go to the library, up to where both agree on all Unicode versions
 LONG = 256  # bytes from which a chunk isn't kept
 SLICE = 1 << 18  # bytes handled at once
-LARGE = 1 << 20  # bytes from which a text goes to the library: its new chunks could exceed the table
+POOL = 1 << 24  # bytes of known chunks that a worker keeps
 
 
 def _byte_chars() -> list[str]:
@@ -97,8 +99,16 @@ class Vocabulary:
         return sum(1 if t in whole else len(merge(t.encode())) for t in self.split(text))
 
 
+def words_at(buffer: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The 8 bytes of ``buffer`` from each place on, as one number; the buffer ends in 8 spare bytes."""
+    return np.ndarray((len(buffer) - 7,), "<u8", buffer.data, 0, (1,))[at]
+
+
 class ChunkTable:
-    """Open-addressing table from chunk hashes to chunks met before; cleared when it is full."""
+    """Open-addressing table from chunk hashes to chunks met before; cleared when it is full.
+
+    ``find`` gives the row of an equal hash, ``same`` whether that row's bytes are the chunk's own.
+    """
 
     def __init__(self, most: int = 500_000, bits: int = 20):
         self.most, self.bits = most, bits
@@ -113,6 +123,29 @@ class ChunkTable:
         self.keys = np.zeros(1 << self.bits, np.uint64)
         self.rows = np.zeros(1 << self.bits, np.int32)
         self.n = 0
+        self.bytes = np.zeros((1 << 20) + 8, np.uint8)
+        self.from_ = np.zeros(self.most + 1, np.int64)
+        self.long = np.zeros(self.most + 1, np.int64)
+        self.held = 0
+
+    def full(self, chunks: int, size: int) -> bool:
+        return self.n + chunks > self.most or self.held + size > POOL
+
+    def same(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """Whether each chunk of ``data`` (which ends in 8 spare bytes) is that of its row, byte by byte; rows of -1 aren't."""
+        size, start = end - begin, self.from_[row]
+        out = (row >= 0) & (self.long[row] == size)
+        at = np.flatnonzero(out)
+        step = 0
+        while len(at):
+            differ = words_at(data, begin[at] + step) ^ words_at(self.bytes, start[at] + step)
+            left = size[at] - step
+            spare = np.maximum(8 - left, 0).astype(np.uint64) * np.uint64(8)
+            bad = (differ << spare) != 0  # bytes beyond the chunk's end are shifted out
+            out[at[bad]] = False
+            step += 8
+            at = at[~bad & (left > 8)]
+        return out
 
     def hashes(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         """64-bit hash of each chunk, from one running sum over all bytes."""
@@ -145,8 +178,17 @@ class ChunkTable:
             left, at = left[more], at[more]
         return out
 
-    def add(self, h: np.ndarray) -> None:
-        """Give new, distinct hashes the next rows."""
+    def add(self, h: np.ndarray, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> None:
+        """Give new, distinct hashes the next rows, and keep their chunks' bytes."""
+        size = end - begin
+        total = int(size.sum())
+        while self.held + total + 8 > len(self.bytes):
+            self.bytes = np.concatenate([self.bytes, np.zeros(len(self.bytes), np.uint8)])
+        step = np.arange(total) - np.repeat(np.cumsum(size) - size, size)
+        self.bytes[self.held : self.held + total] = data[np.repeat(begin, size) + step]
+        self.from_[self.n : self.n + len(h)] = self.held + np.cumsum(size) - size
+        self.long[self.n : self.n + len(h)] = size
+        self.held += total
         mask = (1 << self.bits) - 1
         row = np.arange(self.n, self.n + len(h), dtype=np.int32)
         at = (h >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -183,24 +225,45 @@ class Encoder:
         words = [w.encode() for w in self.v.whole if 0 < len(w) < LONG]
         size = np.array([len(w) for w in words], np.int64)
         end = np.cumsum(size)
-        h = np.unique(self.table.hashes(np.frombuffer(b"".join(words), np.uint8), end - size, end))
-        self.table.add(h)
+        data = np.frombuffer(b"".join(words), np.uint8)
+        h, first = np.unique(self.table.hashes(data, end - size, end), return_index=True)
+        self.table.add(h, data, (end - size)[first], end[first])
         self.sizes[: len(h)] = 1
 
     def slices(self, array: pa.Array):
         """(sizes by text, flat ids or None) for each run of texts of some megabyte together."""
         data, offsets = byte_buffers(array)
         for a, b in pieces(np.diff(offsets), SLICE):
-            yield self._slice(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            run = data[offsets[a] : offsets[b]]
+            yield self._slice(run, offsets[a : b + 1] - offsets[a]) if len(run) <= 2 * SLICE else self._long(run)
+
+    def _long(self, data: np.ndarray):
+        """One long text, in parts that begin at spaces where it may be cut."""
+        if self._special(data):
+            ids = self.v.library_ids(data.tobytes().decode())
+            return np.array([len(ids)]), np.array(ids, np.uint32) if self.with_ids else None
+        cut, _ = self._cuts(data, np.array([0, len(data)]))
+        cut = np.flatnonzero(cut)
+        cut = np.unique(np.append(cut[np.searchsorted(cut, np.arange(0, cut[-1] + 1, SLICE))], len(data)))
+        parts = [self._slice(data[a:b], np.array([0, b - a])) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+        return np.array([sum(int(n[0]) for n, _ in parts)]), np.concatenate([ids for _, ids in parts]) if self.with_ids else None
+
+    def _special(self, data: np.ndarray) -> list[int]:
+        """Places of special strings."""
+        raw, found = data.tobytes(), []
+        for special in self.v.special:
+            at = raw.find(special)
+            while at >= 0:
+                found.append(at)
+                at = raw.find(special, at + 1)
+        return found
 
-    def _by_library(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Texts that can't be cut before each space, or are very long."""
-        out = np.diff(offsets) >= LARGE
-        if not len(data):
-            return out
+    def _cuts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(whether a chunk begins: at texts' starts and spaces; the spaces before which no cut may be)."""
         edge = np.zeros(len(data) + 1, bool)
         edge[offsets] = True
-        space = np.flatnonzero((data == SPACE) & ~edge[:-1])  # a character of the text comes before
+        cut = data == SPACE
+        space = np.flatnonzero(cut & ~edge[:-1])  # a character of the text comes before
         white = np.zeros(256, bool)
         white[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
         before, after = white.copy(), white.copy()
@@ -208,29 +271,25 @@ class Encoder:
         after[[0xC2, 0xE1, 0xE2, 0xE3]] = True  # may begin one
         last = np.append(data, np.uint8(SPACE))[space + 1]
         bad = space[before[data[space - 1]] & (after[last] | edge[space + 1])]
-        raw = data.tobytes()
-        found = bad.tolist()
-        for special in self.v.special:
-            at = raw.find(special)
-            while at >= 0:
-                found.append(at)
-                at = raw.find(special, at + 1)
-        if found:
-            out[np.searchsorted(offsets, np.array(found), side="right") - 1] = True
-        return out
+        cut[bad] = False
+        cut[offsets[:-1][np.diff(offsets) > 0]] = True
+        return cut, bad
 
     def _slice(self, data: np.ndarray, offsets: np.ndarray):
         texts = len(offsets) - 1
-        aside = self._by_library(data, offsets)
-        cut = data == SPACE
-        cut[offsets[:-1][np.diff(offsets) > 0]] = True
+        aside = np.zeros(texts, bool)
+        if found := self._special(data):
+            aside[np.searchsorted(offsets, np.array(found), side="right") - 1] = True
+        cut, bad = self._cuts(data, offsets)
         begin = np.flatnonzero(cut)
         end = np.append(begin[1:], len(data))
+        odd_white = np.zeros(len(begin), bool)
+        odd_white[np.searchsorted(begin, bad, side="right") - 1] = True
         of = np.repeat(np.arange(texts), np.diff(np.searchsorted(begin, offsets)))
         if aside.any():
             keep = ~aside[of]
-            begin, end, of = begin[keep], end[keep], of[keep]
-        row, odd = self._rows(data, begin, end)
+            begin, end, of, odd_white = begin[keep], end[keep], of[keep], odd_white[keep]
+        row, odd = self._rows(data, begin, end, odd_white)
         size = np.where(row >= 0, self.sizes[row], 0).astype(np.int64)
         for i, got in odd.items():
             size[i] = len(got) if self.with_ids else got
@@ -257,41 +316,47 @@ class Encoder:
             flat[text_at[i] : text_at[i] + len(got)] = got
         return sizes, flat
 
-    def _rows(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, dict]:
-        """Row of each chunk after adding new ones; chunks too long to keep apart, by place."""
+    def _rows(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray, by_library: np.ndarray) -> tuple[np.ndarray, dict]:
+        """Row of each chunk after adding new ones; by place, chunks too long to keep or without a row of their own."""
         if not len(begin):
             return np.zeros(0, np.int64), {}
-        of = self.v.ids if self.with_ids else self.v.count
-        text = lambda i: data[begin[i] : end[i]].tobytes().decode()
-        h = self.table.hashes(data, begin, end)
-        row = self.table.find(h)
-        row[end - begin >= LONG] = -1
-        missing = np.flatnonzero((row < 0) & (end - begin < LONG))
+        raw = data.tobytes()
+        data = np.append(data, np.zeros(8, np.uint8))
+
+        def made(i: int):
+            text = raw[begin[i] : end[i]].decode()
+            if by_library[i]:
+                ids = self.v.library_ids(text)
+                return ids if self.with_ids else len(ids)
+            return self.v.ids(text) if self.with_ids else self.v.count(text)
+
+        table, short = self.table, end - begin < LONG
+        h = table.hashes(data[:-8], begin, end)
+        row = np.where(short, table.find(h), -1)
+        missing = np.flatnonzero((row < 0) & short)
         new, first = np.unique(h[missing], return_index=True)
-        if self.table.n + len(new) > self.table.most:
+        if table.full(len(new), int((end - begin)[missing[first]].sum())):
             self._reset()
-            row[:] = -1
-            missing = np.flatnonzero(end - begin < LONG)
-            got = self.table.find(h[missing])
-            row[missing] = got
-            missing = missing[got < 0]
+            row = np.where(short, table.find(h), -1)
+            missing = np.flatnonzero((row < 0) & short)
             new, first = np.unique(h[missing], return_index=True)
         if len(new):
-            raw, b, e = data.tobytes(), begin[missing[first]].tolist(), end[missing[first]].tolist()
-            made = [of(raw[x:y].decode()) for x, y in zip(b, e, strict=True)]
-            n = np.array([len(x) for x in made] if self.with_ids else made, np.int32)
-            at = self.table.n
-            self.sizes[at : at + len(n)] = n
+            at = missing[first]
+            got = [made(i) for i in at.tolist()]
+            n = np.array([len(x) for x in got] if self.with_ids else got, np.int32)
+            rows = slice(table.n, table.n + len(n))
+            self.sizes[rows] = n
             if self.with_ids:
-                self.starts[at : at + len(n)] = self.used + np.cumsum(n) - n
+                self.starts[rows] = self.used + np.cumsum(n) - n
                 total = int(n.sum())
                 while self.used + total > len(self.pool):
                     self.pool = np.concatenate([self.pool, np.zeros(len(self.pool) // 2, np.uint32)])
-                self.pool[self.used : self.used + total] = [y for x in made for y in x]
+                self.pool[self.used : self.used + total] = [y for x in got for y in x]
                 self.used += total
-            self.table.add(new)
-            row[missing] = self.table.find(h[missing])
-        return row, {i: of(text(i)) for i in np.flatnonzero(end - begin >= LONG).tolist()}
+            table.add(new, data, begin[at], end[at])
+            row[missing] = table.find(h[missing])
+        row[~table.same(data, begin, end, row)] = -1
+        return row, {i: made(i) for i in np.flatnonzero(row < 0).tolist()}
 
 
 _encoders: dict[tuple, Encoder] = {}

@@ -66,6 +66,33 @@ def test_encoder_is_the_library(vocabulary):
     assert np.concatenate([f for _, f in made]).tolist() == [i for w in want for i in w]
 
 
+def test_equal_hashes_are_told_apart(vocabulary, monkeypatch):
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("abcdefgh"), n)) for n in (3, 7, 8, 9, 16, 17, 40, 128) for _ in range(6)]
+    words += [w[:-1] + "z" for w in words] + ["z" + w[1:] for w in words]
+    texts = [" ".join(rng.choice(words, 9)) for _ in range(200)]
+    want = [vocabulary.library.encode(t, add_special_tokens=False).ids for t in texts]
+    some = bpe.ChunkTable.hashes
+    monkeypatch.setattr(bpe.ChunkTable, "hashes", lambda *a: some(*a) % np.uint64(3) + np.uint64(1))
+    counts = np.concatenate([s for s, _ in bpe.Encoder(vocabulary, False).slices(pa.array(texts))])
+    assert counts.tolist() == [len(w) for w in want]
+    made = list(bpe.Encoder(vocabulary, True).slices(pa.array(texts)))
+    assert np.concatenate([f for _, f in made]).tolist() == [i for w in want for i in w]
+
+
+def test_long_texts_are_the_library(vocabulary, monkeypatch):
+    monkeypatch.setattr(bpe, "SLICE", 300)
+    rng = np.random.default_rng(5)
+    bits = ["  ", " \n ", "   ", "\t", "word", " Hello", "don't", " é ", "12", "\xa0 ", " 漢字", ".", " the", " quick"]
+    texts = ["".join(rng.choice(bits, 900)) for _ in range(30)] + ["x" * 2000, " " * 2000, "a<|endoftext|> b" * 90]
+    want = [vocabulary.library.encode(t, add_special_tokens=False).ids for t in texts]
+    made = list(bpe.Encoder(vocabulary, True).slices(pa.array(texts)))
+    assert [int(n) for s, _ in made for n in s] == [len(w) for w in want]
+    assert np.concatenate([f for _, f in made]).tolist() == [i for w in want for i in w]
+    counts = np.concatenate([s for s, _ in bpe.Encoder(vocabulary, False).slices(pa.array(texts))])
+    assert counts.tolist() == [len(w) for w in want]
+
+
 def test_full_table_is_cleared(vocabulary, monkeypatch):
     e = bpe.Encoder(vocabulary, True)
     e.table.most = 50
