@@ -10,7 +10,7 @@ from ripplegraph.llm.langid import UNKNOWN, identify
 from ripplegraph.llm.mixing import mix, words
 from ripplegraph.llm.neardup import near_rows
 from ripplegraph.llm.packing import pack
-from ripplegraph.llm.toxicity import excesses, train
+from ripplegraph.llm.toxicity import train, with_scores
 
 #: SQL has no tokenizer, XXH64 or logistic fit; tests hold run() against a brute-force version.
 ORACLE_SQL: str | None = None
@@ -26,7 +26,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't predicted to be toxic."""
     model = train(docs, read(spark, sf_dir, "labels"))
-    return excesses(docs, model, docs.columns).filter("score < 0.7").select(*docs.columns)
+    return with_scores(docs, model, docs.columns).filter("__score < 0.7").select(*docs.columns)
 
 
 def keyed(docs: DataFrame) -> DataFrame:

@@ -12,9 +12,23 @@ from pyspark.sql import types as T
 
 from ripplegraph.storage import materialize, read, shared_folder
 
-__all__ = ["byte_buffers", "column_as_float64", "crc_of_id", "drop", "map_texts", "materialize", "pieces", "read", "shared_folder"]
+__all__ = ["byte_buffers", "column_as_float64", "crc_of_id", "drop", "letters", "map_texts", "materialize", "pieces", "read", "shared_folder", "small_batches"]
 BATCH_ROWS = 1000
 
+_letters: np.ndarray | None = None
+
+
+def letters() -> np.ndarray:
+    """Whether each code point is a letter; made once a process."""
+    global _letters
+    if _letters is None:
+        _letters = np.array([chr(i).isalpha() for i in range(0x110000)])
+    return _letters
+
+
+def small_batches(rows: DataFrame) -> None:
+    """Lower the session's limit on the rows of an Arrow batch to ``BATCH_ROWS``, since a row may hold a long text."""
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def drop(df: DataFrame) -> None:
@@ -28,13 +42,11 @@ def drop(df: DataFrame) -> None:
 def map_texts(rows: DataFrame, text: str, keep: list[str], made: Callable[[pa.Array], list[pa.Array]], fields: str) -> DataFrame:
     """``keep`` columns and the columns ``fields`` that ``made`` gives for a batch of texts; no shuffle.
 
-    Batches are kept small, since a row may hold a long text: the session's limit on the rows of an Arrow
-    batch is lowered to ``BATCH_ROWS``. A text that is kept anyway travels once.
+    Batches are kept small. A text that is kept anyway travels once.
     """
-    spark = rows.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    small_batches(rows)
     at = keep.index(text) if text in keep else len(keep)
-    sent = rows.select(*keep) if text in keep else rows.select(*keep, F.col(text).alias("_text"))
+    sent = rows.select(*keep) if text in keep else rows.select(*keep, F.col(text).alias("__text"))
     schema = T.StructType([*rows.select(*keep).schema.fields, *T._parse_datatype_string(fields).fields])
 
     def of(batches):

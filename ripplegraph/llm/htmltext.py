@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import read, small_batches
 
 WINDOW = 3  # lines of a block
 SURGE = 80  # characters in a window from which it is text
@@ -256,7 +256,8 @@ def extract(pages: DataFrame, source: str, keep: list[str]) -> DataFrame:
             columns = [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *columns], names=schema.names)
 
-    return pages.select(*keep, F.col(source).alias("_html")).mapInArrow(of, schema)
+    small_batches(pages)
+    return pages.select(*keep, F.col(source).alias("__html")).mapInArrow(of, schema)
 
 
 def op6_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from .bpe import encoder, release_memory
-from .common import BATCH_ROWS, materialize, read
+from .common import materialize, read, small_batches
 
 PIECES = T.StructType(
     [
@@ -190,7 +190,7 @@ def best_plan(histogram: dict[int, int], capacity: int, tries=((16, 256), (32, 2
 def cut_pieces(rows: DataFrame, text: str, keep: list[str], capacity: int, end_id: int, json_name: str, rank_name: str) -> DataFrame:
     """``keep`` columns with each document's pieces: all of ``capacity`` ids, but the first may be shorter."""
     schema = T.StructType([*rows.select(*keep).schema.fields, *PIECES.fields])
-    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    small_batches(rows)
 
     def cut(batches):
         coder = encoder(True, json_name, rank_name)
@@ -215,7 +215,7 @@ def cut_pieces(rows: DataFrame, text: str, keep: list[str], capacity: int, end_i
                     yield pa.RecordBatch.from_arrays([*kept, *made], names=schema.names)
         release_memory()
 
-    return rows.select(*keep, F.col(text).alias("_text")).mapInArrow(cut, schema)
+    return rows.select(*keep, F.col(text).alias("__text")).mapInArrow(cut, schema)
 
 
 def pack(

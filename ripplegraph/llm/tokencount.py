@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .common import read
+from .common import read, small_batches
 
 
 def token_counts(
@@ -34,7 +34,8 @@ def token_counts(
             columns = [batch.column(i) for i in range(len(keep))] + [n_bytes, pa.array(tokens)]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    counted = rows.select(*keep, F.col(text).alias("_text")).mapInArrow(count, schema)
+    small_batches(rows)
+    counted = rows.select(*keep, F.col(text).alias("__text")).mapInArrow(count, schema)
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
 
 

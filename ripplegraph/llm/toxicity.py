@@ -1,12 +1,19 @@
 """Toxicity by two class-conditional Kneser-Ney models.
 
-Toxic and ordinary training texts each give a model of words by their first letters: the number of
-documents that hold a stem (its continuation count), and under each stem the letter that follows it. Both
-orders are discounted, and what is held back goes to one shared distribution, that of both classes
-together, so a rare expression counts only as far as its class counts differ. A word's log-likelihood ratio
-below a margin is taken as shared speech and counts 0, for many small chance differences would drown a
-few insults. A text's score is a logistic function of what is left by word, fitted on labelled rows that
-the counts don't hold.
+The toxic and the ordinary model spell a word letter by letter, to its end; the context of a letter is all that
+stands before it in the word. Each class gives a letter its absolutely discounted count in that context, with the
+Kneser-Ney discount n1 / (n1 + 2 n2), and what is held back goes to one shared distribution: the continuation
+counts of both classes together, which count a word once for each document that holds it. So a rare
+expression counts only as far as its class counts differ, and an unseen word counts by the longest beginning that
+both classes know. Below a beginning that only one class knows both models are the shared one.
+
+A toxic document is mostly ordinary speech, so the toxic likelihood of a word is that of a mixture, a part
+``INSULTS`` of it from the toxic model and the rest from the ordinary one. A text's evidence is the difference of
+both log-likelihoods by length (and by its square root, the scale on which chance adds up); the score is a logistic
+function of it, fitted on labelled rows that the counts don't hold.
+
+Words are runs of letters. In scripts without spaces each letter begins a word of up to ``UNSPACED`` letters;
+runs of more than ``RUN`` letters are read as several words. No letter is left out.
 """
 
 from __future__ import annotations
@@ -18,141 +25,187 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_buffers, crc_of_id, map_texts, materialize, pieces, read
+from .common import byte_buffers, crc_of_id, letters, map_texts, materialize, pieces, read, small_batches
 
-STEM, LONGEST = 4, 5  # letters of a stem, and with the letter that follows
-BITS = 12  # of a letter in a packed stem; those from 2048 on share 2048 places
-DISCOUNT = 0.75
-MARGIN = 1.5
+UNSPACED, RUN = 4, 64
+INSULTS = 0.02  # part of a toxic document's words that come from the toxic model
+ROOT = 0x243F6A8885A308D3  # key of the empty beginning
 SLICE = 1 << 19  # bytes handled at once
-MOST_STEMS = 4_000_000  # stems that a model keeps: the most frequent, all of one count or none
+MOST_SHIPPED = 4_000_000  # letters in context up to which the model is broadcast (64 MB); a larger one is joined to the words
 MOST_LABELS = 5_000_000  # labels up to which they are broadcast
 MOST_FITTED = 50_000  # rows, about, that the logistic function is fitted on
+SCRIPTS = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))  # without spaces
 
-_letters: np.ndarray | None = None
 
-
-def letters() -> np.ndarray:
-    """Whether each code point below 65536 is a letter."""
-    global _letters
-    if _letters is None:
-        _letters = np.array([chr(i).isalpha() for i in range(1 << 16)])
-    return _letters
-
-
-def stems(array: pa.Array):
-    """(packed first ``LONGEST`` letters of each word, text of each, texts) for runs of texts; words are runs of letters."""
+@dataclass
+class Words:
+    """All words of some texts: their letters' code points, from ``begin`` to ``end``, and the text that each is in."""
+
+    codes: np.ndarray
+    begin: np.ndarray
+    end: np.ndarray
+    text: np.ndarray
+    texts: int
+
+    def letter(self, i: int, at: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(key with letter ``i``, whether the word ends there) of the words ``at``, from the key before it."""
+        place = self.begin[at] + i
+        whole = place >= self.end[at]
+        code = np.where(whole, 0, self.codes[np.minimum(place, len(self.codes) - 1)]).astype(np.uint64)
+        key = (before ^ code) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(32)
+        key *= np.uint64(0xBF58476D1CE4E5B9)
+        return key ^ (key >> np.uint64(29)), whole
+
+    def spelled(self):
+        """(words, key with the letter, key before it, whether that ends the word), letter by letter."""
+        i, at, before = 0, np.arange(len(self.begin)), np.full(len(self.begin), ROOT, np.uint64)
+        while len(at):
+            key, whole = self.letter(i, at, before)
+            yield at, key, before, whole
+            i, at, before = i + 1, at[~whole], key[~whole]
+
+    def keys(self) -> np.ndarray:
+        """A key of each whole word."""
+        out = np.zeros(len(self.begin), np.uint64)
+        for at, key, _, whole in self.spelled():
+            out[at[whole]] = key[whole]
+        return out
+
+    def some(self, rows: np.ndarray) -> Words:
+        return Words(self.codes, self.begin[rows], self.end[rows], self.text[rows], self.texts)
+
+
+def words(array: pa.Array):
+    """``Words`` of runs of texts."""
     _, offsets = byte_buffers(array)
     for a, b in pieces(np.diff(offsets), SLICE):
         texts = [(x or "").lower() for x in array.slice(a, b - a).to_pylist()]
         codes = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
         size = np.array([len(x) + 1 for x in texts], np.int64)
-        letter = letters()[np.minimum(codes, 0xFFFF)] | (codes >= 0x20000)
-        begin = np.flatnonzero(letter & ~np.append(False, letter[:-1]))
-        half = 1 << (BITS - 1)
-        small = np.where(codes < half, codes, half + codes % half).astype(np.int64)
-        small = np.append(np.where(letter, small, 0), np.zeros(LONGEST, np.int64))
-        packed, inside = np.zeros(len(begin), np.int64), np.ones(len(begin), bool)
-        for i in range(LONGEST):
-            inside &= small[begin + i] > 0
-            packed = (packed << BITS) | np.where(inside, small[begin + i], 0)
-        text = np.searchsorted(np.cumsum(size), begin, side="right")
-        yield packed, text, len(texts)
-
-
-def counts(array: pa.Array, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(stem or stem and letter, toxic documents, ordinary documents) of some labelled texts."""
-    low = (1 << BITS) - 1
-    keys, classes, at = [], [], 0
-    for packed, text, n in stems(array):
-        longer = packed & low > 0
-        key = np.concatenate([packed & ~low, packed[longer]])
-        doc = np.concatenate([text, text[longer]])
-        order = np.lexsort((key, doc))
-        key, doc = key[order], doc[order]
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
-        keys.append(key[new])
-        classes.append(toxic[at + doc[new]])
-        at += n
-    key, cls = np.concatenate(keys or [np.zeros(0, np.int64)]), np.concatenate(classes or [np.zeros(0, np.int64)])
-    distinct, place = np.unique(key, return_inverse=True)
-    both = np.bincount(place, minlength=len(distinct))
-    mean = np.bincount(place, weights=cls, minlength=len(distinct)).astype(np.int64)
-    return distinct, mean, both - mean
+        letter = letters()[codes]
+        alone = np.zeros(len(codes), bool)
+        for low, high in SCRIPTS:
+            alone |= (codes >= low) & (codes <= high)
+        alone &= letter
+        before = np.append(False, letter[:-1]), np.append(False, alone[:-1])
+        begin = np.flatnonzero(letter & (~before[0] | alone | before[1]))
+        stops = np.flatnonzero(~letter)
+        stop = stops[np.searchsorted(stops, begin)]
+        end = np.where(alone[begin], np.minimum(begin + UNSPACED, stop), np.minimum(np.append(begin[1:], len(codes)), stop))
+        parts = -(-(end - begin) // RUN)
+        if (parts > 1).any():
+            nth = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
+            end = np.minimum(np.repeat(begin, parts) + (nth + 1) * RUN, np.repeat(end, parts))
+            begin = np.repeat(begin, parts) + nth * RUN
+        yield Words(codes, begin, end, np.searchsorted(np.cumsum(size), begin, side="right"), len(texts))
+
+
+def counts(array: pa.Array, toxic: np.ndarray) -> list[np.ndarray]:
+    """(key, key before, toxic and ordinary occurrences, documents) of every letter in its context, in labelled texts."""
+    found, at = [], 0
+    for w in words(array):
+        key = w.keys()
+        distinct, first, place = np.unique(key, return_index=True, return_inverse=True)
+        both = np.bincount(place, minlength=len(distinct))
+        bad = np.bincount(place, weights=toxic[at + w.text], minlength=len(distinct)).astype(np.int64)
+        order = np.lexsort((place, w.text))
+        p, t = place[order], w.text[order]
+        new = np.ones(len(p), bool)
+        new[1:] = (p[1:] != p[:-1]) | (t[1:] != t[:-1])
+        docs = np.bincount(p[new], minlength=len(distinct))
+        for rows, key, before, _ in w.some(first).spelled():
+            found.append((key, before, bad[rows], (both - bad)[rows], docs[rows]))
+        at += w.texts
+    if not found:
+        return [np.zeros(0, np.int64)] * 5
+    key, before, bad, good, docs = (np.concatenate(x) for x in zip(*found, strict=True))
+    distinct, first, place = np.unique(key, return_index=True, return_inverse=True)
+    total = lambda n: np.bincount(place, weights=n, minlength=len(distinct)).astype(np.int64)
+    return [distinct.view(np.int64), before[first].view(np.int64), total(bad), total(good), total(docs)]
+
+
+def kneser_ney(counted: DataFrame) -> DataFrame:
+    """(key, cond, back) of every letter whose context both classes know, and of the root.
+
+    ``cond`` is the log ratio, toxic to ordinary, of the letter's probabilities in its context; ``back`` that of what
+    both classes hold back in the context that the letter leads to, null if not both know it.
+    """
+    ones = lambda c, n: F.count_if(F.col(c) == n).cast("double")
+    r = counted.agg(*[ones(c, n).alias(f"{c}{n}") for c in ("toxic", "ordinary") for n in (1, 2)]).first()
+    held = lambda c: F.lit(float(min(max(r[f"{c}1"] / max(r[f"{c}1"] + 2 * r[f"{c}2"], 1), 0.1), 0.95)))
+    n, m, d = held("toxic"), held("ordinary"), F.col("docs")
+    sums = [F.sum("toxic").alias("bad"), F.sum("ordinary").alias("good"), F.sum(d).alias("both"), F.sum(F.least("toxic", n)).alias("held_bad"), F.sum(F.least("ordinary", m)).alias("held_good")]
+    contexts = counted.groupBy(F.col("before").alias("context")).agg(*sums).filter("bad > 0 and good > 0")
+    contexts = materialize(contexts, "contexts")
+    shared = d / F.col("both")
+    p = (F.greatest(F.col("toxic") - n, F.lit(0.0)) + F.col("held_bad") * shared) / F.col("bad")
+    q = (F.greatest(F.col("ordinary") - m, F.lit(0.0)) + F.col("held_good") * shared) / F.col("good")
+    back = contexts.select(F.col("context").alias("key"), (F.ln(F.col("held_bad") / F.col("bad")) - F.ln(F.col("held_good") / F.col("good"))).cast("float").alias("back"))
+    known = counted.join(contexts, F.col("before") == F.col("context")).select("key", (F.ln(p) - F.ln(q)).cast("float").alias("cond"))
+    root = back.filter(F.col("key") == signed(ROOT)).select("key", F.lit(0.0).cast("float").alias("cond"))
+    return known.unionByName(root).join(back, "key", "left")
+
+
+def signed(key: int) -> int:
+    return key - (1 << 64) if key >= 1 << 63 else key
 
 
-@dataclass
 class Model:
-    keys: np.ndarray  # sorted
-    ratios: np.ndarray
-    weights: tuple[float, ...] = (0.0, 0.0, 0.0)
+    """``kneser_ney`` in memory: sorted keys."""
 
-    def _look(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def __init__(self, keys: np.ndarray, cond: np.ndarray, back: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.cond, self.back = keys[order], cond[order].astype(np.float32), back[order].astype(np.float32)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Place of each key, -1 if it has none."""
         if not len(self.keys):
-            return np.zeros(len(keys)), np.zeros(len(keys), bool)
+            return np.full(len(keys), -1)
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        hit = self.keys[at] == keys
-        return np.where(hit, self.ratios[at], 0.0), hit
-
-    def excess(self, array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(sum of the ratios beyond the margin, words) of each text."""
-        low = (1 << BITS) - 1
+        return np.where(self.keys[at] == keys, at, -1)
+
+    def ratios(self, w: Words) -> np.ndarray:
+        """Log ratio of each word's probabilities in both classes, along the letters that both know in context."""
+        out = np.zeros(len(w.begin))
+        root = self.find(np.array([ROOT], np.uint64))[0]
+        if root < 0:
+            return out
+        i, at, before = 0, np.arange(len(out)), np.full(len(out), ROOT, np.uint64)
+        back = np.full(len(out), self.back[root])
+        while len(at):
+            key, whole = w.letter(i, at, before)
+            place = self.find(key)
+            out[at] += np.where(place >= 0, self.cond[place], back)
+            on = (place >= 0) & ~whole & ~np.isnan(self.back[place])
+            i, at, before, back = i + 1, at[on], key[on], self.back[place[on]]
+        return out
+
+    def evidence(self, array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(sum of the words' evidence, words) of each text."""
         sums, sizes = [], []
-        for packed, text, n in stems(array):
-            distinct, place = np.unique(packed, return_inverse=True)
-            value, hit = self._look(distinct)
-            value = np.where(hit, value, self._look(distinct & ~low)[0])
-            sums.append(np.bincount(text, weights=np.maximum(value - MARGIN, 0)[place], minlength=n))
-            sizes.append(np.bincount(text, minlength=n))
+        for w in words(array):
+            _, first, place = np.unique(w.keys(), return_index=True, return_inverse=True)
+            sums.append(np.bincount(w.text, weights=evidence(self.ratios(w.some(first)))[place], minlength=w.texts))
+            sizes.append(np.bincount(w.text, minlength=w.texts))
         return np.concatenate(sums or [np.zeros(0)]), np.concatenate(sizes or [np.zeros(0, np.int64)])
 
-    def score(self, sums: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        z = features(sums, sizes) @ np.array(self.weights)
-        return 1.0 / (1.0 + np.exp(-np.clip(z, -60, 60)))
+
+def evidence(ratio):
+    """Log-likelihood of a word in a toxic document less that in an ordinary one, from the models' log ratio."""
+    return np.log1p(INSULTS * np.expm1(np.minimum(ratio, 50.0)))
 
 
 def features(sums: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """One, the ratios by word, and by square root of the words."""
+    """One, the evidence by word, and by square root of the words."""
     n = np.maximum(sizes, 1)
     return np.stack([np.ones(len(n)), 10 * sums / n, sums / np.sqrt(n)], axis=1)
 
 
-def log_ratios(toxic: np.ndarray, ordinary: np.ndarray, context: np.ndarray) -> np.ndarray:
-    """Log ratio of the discounted class probabilities of events within their contexts (numbered from 0)."""
-    k = int(context.max()) + 1 if len(context) else 0
-    total = lambda w: np.bincount(context, weights=w, minlength=k)[context]
-    shared = (toxic + ordinary) / total(toxic + ordinary)
-    logs = []
-    for n in (toxic, ordinary):
-        seen = total(n)
-        own = np.maximum(n - DISCOUNT, 0) + total(np.minimum(n, DISCOUNT)) * shared
-        logs.append(np.log(np.where(seen > 0, own / np.maximum(seen, 1e-9), shared)))
-    return logs[0] - logs[1]
-
-
-def kneser_ney(keys: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray) -> Model:
-    """Ratios of stems, and of stems with the letter that follows, from document counts by class."""
-    order = np.argsort(keys)
-    keys, toxic, ordinary = keys[order], toxic[order].astype(float), ordinary[order].astype(float)
-    low = (1 << BITS) - 1
-    out = np.zeros(len(keys))
-    stem = keys & low == 0
-    if not stem.any() or not toxic.any() or not ordinary.any():
-        return Model(keys, out)
-    out[stem] = log_ratios(toxic[stem], ordinary[stem], np.zeros(int(stem.sum()), np.int64))
-    longer = np.flatnonzero(~stem)
-    if len(longer):
-        above, context = np.unique(keys[longer] & ~low, return_inverse=True)
-        base = Model(keys[stem], out[stem])._look(above)[0]
-        out[longer] = base[context] + log_ratios(toxic[longer], ordinary[longer], context)
-    return Model(keys, out)
-
-
 def fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 80) -> tuple[float, ...]:
     """Newton's method with a small ridge; the rarer class weighs more, by the square root of the odds."""
     if not len(y) or y.min() == y.max():
-        return (-2.0, 1.0, 1.0)  # nothing to fit on: the excess as it is
+        return (-2.0, 1.0, 1.0)  # nothing to fit on: the evidence as it is
     w = np.zeros(x.shape[1])
     weight = np.where(y == 1, np.sqrt((1 - y.mean()) / y.mean()), 1.0)
     ridge = np.diag([0.0] + [0.2] * (x.shape[1] - 1))
@@ -166,67 +219,110 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 80) -> tuple[float,
     return tuple(float(v) for v in w)
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Model:
+@dataclass
+class Trained:
+    table: DataFrame  # ``kneser_ney``
+    letters: int  # its rows
+    weights: tuple[float, ...]
+
+
+def train(docs: DataFrame, labels: DataFrame, most_shipped: int = MOST_SHIPPED) -> Trained:
     """Counts over all labelled rows that may be learned from, but those of a fifth, ``MOST_FITTED`` at most, on which the score is fitted.
 
     ``labels`` has doc_id and toxic (null: no label); the larger holds if a document is labelled twice.
     """
-    labels = labels.filter("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    labels = labels.filter("toxic is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.max("toxic").cast("long").alias("__toxic"))
     if labels.count() <= MOST_LABELS:
         labels = F.broadcast(labels)
     crc = crc_of_id()
-    rows = docs.filter(crc % 3 != 1).select("doc_id", "text", F.floor(crc / 3).alias("_r")).join(labels, "doc_id")
-    n = rows.filter("_r % 5 = 0").count()
-    fitting = (F.col("_r") % 5 == 0) & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(min(1.0, MOST_FITTED / max(n, 1)) * 1_000_000))
-    for_counts = rows.filter(~fitting).select("text", F.col("toxic").cast("long"))
+    rows = docs.filter(crc % 3 != 1).select(F.col("doc_id").alias("__id"), "text", F.floor(crc / 3).alias("__r")).join(labels, "__id")
+    n = rows.filter("__r % 5 = 0").count()
+    fitting = (F.col("__r") % 5 == 0) & (F.pmod(F.xxhash64("__id"), F.lit(1_000_000)) < int(min(1.0, MOST_FITTED / max(n, 1)) * 1_000_000))
 
     def count(batches):
         for batch in batches:
-            key, toxic, ordinary = counts(batch.column(0), batch.column(1).to_numpy(zero_copy_only=False))
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(toxic), pa.array(ordinary)], names=["key", "toxic", "ordinary"])
-
-    counted = for_counts.mapInArrow(count, "key long, toxic long, ordinary long")
-    counted = materialize(counted.groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")), "stems")
-    if counted.count() > MOST_STEMS:
-        by_count = counted.groupBy((F.col("toxic") + F.col("ordinary")).alias("n")).agg(F.count("*").alias("k")).orderBy(F.desc("n"))
-        held, least = 0, 0
-        for r in by_count.toLocalIterator():
-            held += r["k"]
-            if held > MOST_STEMS:
-                break
-            least = r["n"]
-        counted = counted.filter(F.col("toxic") + F.col("ordinary") >= least)
-    table = counted.toPandas()
-    model = kneser_ney(*(table[c].to_numpy(np.int64) for c in ("key", "toxic", "ordinary")))
-    for_fit = rows.filter(fitting)
-    fitted = excesses(for_fit, model, ["toxic"]).toPandas()
-    x = features(fitted["sum"].to_numpy(float), fitted["n"].to_numpy(np.int64))
-    model.weights = fit_logistic(x, (fitted["toxic"].to_numpy() > 0).astype(float))
-    return model
-
-
-def excesses(rows: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """``keep`` columns with ``sum``, ``n`` and ``score`` of each text."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)  # MOST_STEMS entries at most
+            made = counts(batch.column(0), batch.column(1).to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], names=["key", "before", "toxic", "ordinary", "docs"])
+
+    small_batches(docs)
+    counted = rows.filter(~fitting).select("text", "__toxic").mapInArrow(count, "key long, before long, toxic long, ordinary long, docs long")
+    counted = counted.groupBy("key").agg(F.min("before").alias("before"), *[F.sum(c).alias(c) for c in ("toxic", "ordinary", "docs")])
+    table = materialize(kneser_ney(materialize(counted, "letters")), "kneser-ney")
+    trained = Trained(table, table.count(), (0.0, 0.0, 0.0))
+    fitted = with_scores(rows.filter(fitting), trained, ["__toxic"], most_shipped).toPandas()
+    x = features(fitted["__sum"].to_numpy(float), fitted["__n"].to_numpy(np.int64))
+    trained.weights = fit_logistic(x, (fitted["__toxic"].to_numpy() > 0).astype(float))
+    return trained
+
+
+def with_scores(rows: DataFrame, trained: Trained, keep: list[str], most_shipped: int = MOST_SHIPPED) -> DataFrame:
+    """``keep`` columns with ``__sum``, ``__n`` and ``__score`` of each text; no shuffle unless the model is larger than ``most_shipped``."""
+    made = _shipped(rows, trained, keep) if trained.letters <= most_shipped else _joined(rows, trained, keep)
+    n = F.greatest(F.col("__n"), F.lit(1))
+    a, b, c = (F.lit(w) for w in trained.weights)
+    z = a + b * (F.lit(10.0) * F.col("__sum") / n) + c * (F.col("__sum") / F.sqrt(n))
+    return made.withColumn("__score", F.lit(1.0) / (F.lit(1.0) + F.exp(-F.least(F.greatest(z, F.lit(-60.0)), F.lit(60.0)))))
+
+
+def _shipped(rows: DataFrame, trained: Trained, keep: list[str]) -> DataFrame:
+    """The model goes to every worker."""
+    table = trained.table.toPandas()
+    model = Model(table["key"].to_numpy(np.int64).view(np.uint64), table["cond"].to_numpy(), table["back"].to_numpy(np.float32))
+    shared = rows.sparkSession.sparkContext.broadcast(model)  # MOST_SHIPPED rows at most
 
     def of(texts: pa.Array) -> list[pa.Array]:
-        sums, sizes = shared.value.excess(texts)
-        return [pa.array(sums), pa.array(sizes.astype(np.int64)), pa.array(shared.value.score(sums, sizes))]
+        sums, sizes = shared.value.evidence(texts)
+        return [pa.array(sums), pa.array(sizes.astype(np.int64))]
 
-    return map_texts(rows, "text", keep, of, "sum double, n long, score double")
+    return map_texts(rows, "text", keep, of, "__sum double, __n long")
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, keep: list[str], threshold: float = 0.7) -> DataFrame:
+def _joined(rows: DataFrame, trained: Trained, keep: list[str]) -> DataFrame:
+    """The words go to the model: each different word meets the letters of the table once, then the texts that hold it."""
+    base = materialize(rows.select(*keep, F.col("text").alias("__text"), F.monotonically_increasing_id().alias("__row")), "texts")
+    small_batches(rows)
+
+    def spell(batches):
+        for batch in batches:
+            at = 0
+            for w in words(batch.column(1)):
+                key = w.keys()
+                _, first, place = np.unique(key, return_index=True, return_inverse=True)
+                _, pair, n = np.unique(w.text.astype(np.int64) * len(first) + place, return_index=True, return_counts=True)
+                chain: list[list[int]] = [[signed(ROOT)] for _ in range(len(first))]
+                for rows_, made, _, _ in w.some(first).spelled():
+                    for r, k in zip(rows_.tolist(), made.view(np.int64).tolist(), strict=True):
+                        chain[r].append(k)
+                lists = pa.array([chain[p] for p in place[pair].tolist()], pa.list_(pa.int64()))
+                row = batch.column(0).take(pa.array(at + w.text[pair]))
+                yield pa.RecordBatch.from_arrays([row, pa.array(key[pair].view(np.int64)), pa.array(n), lists], names=["__row", "word", "n", "chain"])
+                at += w.texts
+
+    held = materialize(base.select("__row", "__text").mapInArrow(spell, "__row long, word long, n long, chain array<long>"), "words")
+    chains = held.groupBy("word").agg(F.first("chain").alias("chain"))
+    steps = chains.select("word", F.size("chain").alias("size"), F.posexplode("chain").alias("at", "key")).join(trained.table, "key")
+    known = steps.groupBy("word").agg(F.sum(F.col("cond").cast("double")).alias("r"), F.max(F.struct("at", "back")).alias("last"), F.first("size").alias("size"))
+    missing = F.when(F.col("last.at") < F.col("size") - 1, F.coalesce(F.col("last.back").cast("double"), F.lit(0.0))).otherwise(F.lit(0.0))
+    value = F.log1p(F.lit(INSULTS) * F.expm1(F.least(F.col("r") + missing, F.lit(50.0))))
+    sums = held.select("__row", "word", "n").join(known.select("word", value.alias("v")), "word", "left")
+    sums = sums.groupBy("__row").agg(F.sum(F.col("n") * F.coalesce("v", F.lit(0.0))).alias("__sum"), F.sum("n").alias("__n"))
+    out = base.drop("__text").join(sums, "__row", "left")
+    return out.select(*keep, F.coalesce("__sum", F.lit(0.0)).alias("__sum"), F.coalesce("__n", F.lit(0)).cast("long").alias("__n"))
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, keep: list[str], threshold: float = 0.7, most_shipped: int = MOST_SHIPPED) -> DataFrame:
     """``keep`` columns with ``held_out``, ``score`` and ``predicted`` of every row of ``docs``.
 
     Learns from ``doc_id``, ``text`` and the labels alone. Null and empty texts score as a text without any
-    insult. Without labels of both classes, or an empty table, scores follow a fixed function. Rows keep their number.
+    evidence. Without labels of both classes, or an empty table, scores follow a fixed function. Rows keep their
+    number, repeated ones score alike; texts of any length are read whole. Other columns of any name don't
+    matter, but names that begin with two underscores are reserved; ``keep`` can't hold the new columns' names.
     """
-    model = train(docs, labels)
-    held = F.coalesce(crc_of_id() % 3 == 1, F.lit(False))
-    rows = docs.withColumn("_held", held)
-    out = excesses(rows, model, [*keep, "_held"])
-    return out.select(*keep, F.col("_held").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    trained = train(docs, labels, most_shipped)
+    rows = docs.withColumn("__held", F.coalesce(crc_of_id() % 3 == 1, F.lit(False)))
+    out = with_scores(rows, trained, [*keep, "__held"], most_shipped)
+    score = F.col("__score")
+    return out.select(*keep, F.col("__held").alias("held_out"), score.alias("score"), (score >= threshold).cast("int").alias("predicted"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

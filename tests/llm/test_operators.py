@@ -346,16 +346,6 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.toxicity(docs, labels.limit(0), ["doc_id"]).filter("predicted = 1").count() == 0
 
 
-def test_class_probabilities_sum_to_one():
-    rng = np.random.default_rng(8)
-    toxic, ordinary, context = rng.integers(0, 5, 60).astype(float), rng.integers(1, 9, 60).astype(float), np.repeat(np.arange(6), 10)
-    ratio = np.exp(toxicity.log_ratios(toxic, ordinary, context))
-    total = lambda v: np.bincount(context, weights=v)
-    shared = (toxic + ordinary) / total(toxic + ordinary)[context]
-    of = lambda n: (np.maximum(n - 0.75, 0) + total(np.minimum(n, 0.75))[context] * shared) / total(n)[context]
-    assert np.allclose(total(of(toxic)), 1) and np.allclose(total(of(ordinary)), 1) and np.allclose(ratio, of(toxic) / of(ordinary))
-
-
 def vectors_frame(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, rank int")
 
