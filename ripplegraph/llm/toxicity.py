@@ -3,9 +3,11 @@
 The toxic and the ordinary model spell a word letter by letter, to its end; the context of a letter is all that
 stands before it in the word. Each class gives a letter its absolutely discounted count in that context, with the
 Kneser-Ney discount n1 / (n1 + 2 n2), and what is held back goes to one shared distribution: the continuation
-counts of both classes together, which count a word once for each document that holds it. So a rare
-expression counts only as far as its class counts differ, and an unseen word counts by the longest beginning that
-both classes know. Below a beginning that only one class knows both models are the shared one.
+counts of both classes together, which count a word once for each document that holds it, and one more for letters
+that nobody has seen there. So a rare expression counts only as far as its class counts differ. Letters that no toxic text
+has in a context are one event of either class, with the shared distribution inside; so an unseen word counts by the
+longest beginning that toxic texts know, and the model holds no more than the words of toxic texts. Below a beginning
+that not both classes know both models are the shared one.
 
 A toxic document is mostly ordinary speech, so the toxic likelihood of a word is that of a mixture, a part
 ``INSULTS`` of it from the toxic model and the rest from the ordinary one. A text's evidence is the difference of
@@ -126,23 +128,29 @@ def counts(array: pa.Array, toxic: np.ndarray) -> list[np.ndarray]:
 
 
 def kneser_ney(counted: DataFrame) -> DataFrame:
-    """(key, cond, back) of every letter whose context both classes know, and of the root.
+    """(key, cond, back) of every letter of toxic texts whose context both classes know, and of the root.
 
-    ``cond`` is the log ratio, toxic to ordinary, of the letter's probabilities in its context; ``back`` that of what
-    both classes hold back in the context that the letter leads to, null if not both know it.
+    ``cond`` is the log ratio, toxic to ordinary, of the letter's probabilities in its context; ``back`` that of any
+    letter that toxic texts don't have in the context that the letter leads to, null if not both classes know it.
     """
     ones = lambda c, n: F.count_if(F.col(c) == n).cast("double")
     r = counted.agg(*[ones(c, n).alias(f"{c}{n}") for c in ("toxic", "ordinary") for n in (1, 2)]).first()
     held = lambda c: F.lit(float(min(max(r[f"{c}1"] / max(r[f"{c}1"] + 2 * r[f"{c}2"], 1), 0.1), 0.95)))
-    n, m, d = held("toxic"), held("ordinary"), F.col("docs")
-    sums = [F.sum("toxic").alias("bad"), F.sum("ordinary").alias("good"), F.sum(d).alias("both"), F.sum(F.least("toxic", n)).alias("held_bad"), F.sum(F.least("ordinary", m)).alias("held_good")]
-    contexts = counted.groupBy(F.col("before").alias("context")).agg(*sums).filter("bad > 0 and good > 0")
-    contexts = materialize(contexts, "contexts")
-    shared = d / F.col("both")
-    p = (F.greatest(F.col("toxic") - n, F.lit(0.0)) + F.col("held_bad") * shared) / F.col("bad")
-    q = (F.greatest(F.col("ordinary") - m, F.lit(0.0)) + F.col("held_good") * shared) / F.col("good")
-    back = contexts.select(F.col("context").alias("key"), (F.ln(F.col("held_bad") / F.col("bad")) - F.ln(F.col("held_good") / F.col("good"))).cast("float").alias("back"))
-    known = counted.join(contexts, F.col("before") == F.col("context")).select("key", (F.ln(p) - F.ln(q)).cast("float").alias("cond"))
+    n, m, d, zero = held("toxic"), held("ordinary"), F.col("docs"), F.lit(0.0)
+    new = F.col("toxic") == 0
+    contexts = counted.groupBy(F.col("before").alias("context")).agg(
+        F.sum("toxic").alias("bad"), F.sum("ordinary").alias("good"), (F.sum(d) + 1).alias("both"),
+        F.sum(F.least("toxic", n)).alias("held_bad"), F.sum(F.least("ordinary", m)).alias("held_good"),
+        F.sum(F.when(new, F.greatest(F.col("ordinary") - m, zero)).otherwise(zero)).alias("new_good"), (F.sum(F.when(new, d).otherwise(F.lit(0))) + 1).alias("new_docs"),
+    )
+    contexts = materialize(contexts.filter("bad > 0 and good > 0"), "contexts")
+    share = lambda c: F.col(c) / F.col("both")
+    p = (F.greatest(F.col("toxic") - n, zero) + F.col("held_bad") * share("docs")) / F.col("bad")
+    q = (F.greatest(F.col("ordinary") - m, zero) + F.col("held_good") * share("docs")) / F.col("good")
+    new_p = F.col("held_bad") * share("new_docs") / F.col("bad")
+    new_q = (F.col("new_good") + F.col("held_good") * share("new_docs")) / F.col("good")
+    back = contexts.select(F.col("context").alias("key"), (F.ln(new_p) - F.ln(new_q)).cast("float").alias("back"))
+    known = counted.filter("toxic > 0").join(contexts, F.col("before") == F.col("context")).select("key", (F.ln(p) - F.ln(q)).cast("float").alias("cond"))
     root = back.filter(F.col("key") == signed(ROOT)).select("key", F.lit(0.0).cast("float").alias("cond"))
     return known.unionByName(root).join(back, "key", "left")
 
@@ -266,8 +274,16 @@ def with_scores(rows: DataFrame, trained: Trained, keep: list[str], most_shipped
 
 def _shipped(rows: DataFrame, trained: Trained, keep: list[str]) -> DataFrame:
     """The model goes to every worker."""
-    table = trained.table.toPandas()
-    model = Model(table["key"].to_numpy(np.int64).view(np.uint64), table["cond"].to_numpy(), table["back"].to_numpy(np.float32))
+
+    def packed(batches):
+        for batch in batches:
+            key, cond, back = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            blobs = [key.astype(np.int64).tobytes(), cond.astype(np.float32).tobytes(), back.astype(np.float32).tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.binary()) for b in blobs], names=["key", "cond", "back"])
+
+    blobs = trained.table.mapInArrow(packed, "key binary, cond binary, back binary").collect()  # 16 bytes a row
+    joined = lambda c, t: np.frombuffer(b"".join([r[c] for r in blobs]), t)
+    model = Model(joined("key", np.uint64), joined("cond", np.float32), joined("back", np.float32))
     shared = rows.sparkSession.sparkContext.broadcast(model)  # MOST_SHIPPED rows at most
 
     def of(texts: pa.Array) -> list[pa.Array]:

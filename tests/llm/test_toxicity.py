@@ -33,19 +33,22 @@ def brute_model(texts, toxic):
     for p in docs:
         below[p[:-1]].append(p)
 
-    def p(y, context, event):
+    def p(y, context, events):
+        """Probability of some letters in a context; None stands for letters that nobody has seen there."""
         total = sum(n[y][e] for e in below[context])
         back = sum(min(n[y][e], held[y]) for e in below[context]) / total
-        shared = docs[event] / sum(docs[e] for e in below[context]) if event in docs else None
-        return (max(n[y][event] - held[y], 0) / total + back * shared) if shared else back
+        both = sum(docs[e] for e in below[context]) + 1
+        return sum(max(n[y][e] - held[y], 0) / total + back * docs[e] / both if e else back / both for e in events)
 
     def ratio(word):
         out, context = 0.0, ""
         for letter in word.lower() + "$":
             if not all(any(n[y][e] for e in below[context]) for y in (0, 1)):
                 break
-            out += math.log(p(1, context, context + letter)) - math.log(p(0, context, context + letter))
-            if context + letter not in docs:
+            seen = n[1][context + letter] > 0
+            events = [context + letter] if seen else [None, *(e for e in below[context] if not n[1][e])]
+            out += math.log(p(1, context, events)) - math.log(p(0, context, events))
+            if not seen:
                 break
             context += letter
         return out
