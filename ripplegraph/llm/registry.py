@@ -14,7 +14,7 @@ from .sharding import op1_jump_shards
 from .simhash import op7_simhash_golay
 from .tokencount import op4_token_counts
 from .toxicity import op8_toxicity
-from .vectors import op2_multi_index, op9_segment_statistics
+from .vectors import OP9_SQL, op2_multi_index, op9_segment_statistics
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,4 +23,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL that DuckDB runs to the same rows; for the others see the brute-force versions in tests/llm."""
+    return {"op9_segment_statistics": OP9_SQL}

@@ -1,8 +1,13 @@
-"""Nearest neighbours: an inverted multi-index (approximate) and segment statistics (exact)."""
+"""Nearest neighbours: an inverted multi-index (approximate) and segment statistics (exact).
+
+Both deal the vectors in cells and the cells in blocks, and send a query only to the blocks of cells that it visits. A block
+is read by as many tasks as its queries need, so what is copied follows the visits, not the product of both sides.
+"""
 
 from __future__ import annotations
 
 import heapq
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -12,12 +17,14 @@ from pyspark.sql.window import Window as W
 
 from .common import column_as_float64, materialize, read
 
-BLOCK = 8192  # candidates that a task holds at once
-QUERIES = 2048  # queries that a task holds at once
-SAMPLE = 50_000  # vectors that the index is fitted on, about
+LARGEST, SMALLEST, BLOCKS = 8192, 1024, 64  # candidates of a block: most, least, and how many blocks small tables have
+QUERIES = 4096  # queries that a task holds at once
+TOGETHER = 256  # of which so many are scored at once
+SAMPLE = 50_000  # vectors that an index is fitted on, about
 CELL = 50  # vectors in a cell, about, until there are MOST_CODES a half
 MOST_CODES = 256
-SHARE = 0.6  # part of all different vectors that a query looks at
+RECALL = 0.97  # of the sample's own neighbours, from which the part of all vectors that a query visits is set
+SEEDS = 4096  # sample vectors from which a query's first threshold comes
 
 
 def finite(vector: Column) -> Column:
@@ -26,51 +33,89 @@ def finite(vector: Column) -> Column:
     return vector.isNotNull() & (F.size(vector) > 0) & F.coalesce(ok, F.lit(False))
 
 
-def usable(rows: DataFrame, zero: bool) -> tuple[DataFrame, int]:
-    """(id, vector) that take part, and the vectors' width; vectors of another width than most are refused."""
+def usable(rows: DataFrame, zero: bool) -> tuple[DataFrame, list[int]]:
+    """(id, v) that take part, and the widths that occur; vectors meet only those of their own width."""
     good = rows.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
     good = good.filter(F.col("id").isNotNull() & finite(F.col("v")))
     if not zero:
         good = good.filter(F.exists("v", lambda x: x != 0))
-    widths = [r["w"] for r in good.select(F.size("v").alias("w")).distinct().limit(2).collect()]
-    if len(widths) > 1:
-        raise ValueError("vectors of different widths")
-    return good, widths[0] if widths else 0
+    return good, sorted(r["w"] for r in good.select(F.size("v").alias("w")).distinct().collect())
+
+
+def by_width(rows: DataFrame, zero: bool, search, result: str) -> DataFrame:
+    """``search`` (vectors, width) of the vectors of each width."""
+    good, widths = usable(rows, zero)
+    found = [search(good.filter(F.size("v") == w), w) for w in widths]
+    return reduce(DataFrame.unionByName, found) if found else rows.sparkSession.createDataFrame([], result)
 
 
 def is_query(column: str) -> Column:
     return F.col(column) % 50 == 0
 
 
-def nearest(found: DataFrame, k: int, score: str) -> DataFrame:
-    """The ``k`` best of each query, ties to smaller vec_id; Spark keeps ``k`` a task before the shuffle."""
-    order = W.partitionBy("query_id").orderBy(F.desc(score), "vec_id")
+def sampled(good: DataFrame, n: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, vectors) of about ``SAMPLE`` vectors by a hash of the id."""
+    part = max(1, int(min(1.0, SAMPLE / max(n, 1)) * 1_000_000))
+    some = good.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < part).orderBy(F.xxhash64("id", F.lit(7)), "id", "v").limit(2 * SAMPLE).toArrow()
+    if not some.num_rows:
+        some = good.orderBy("id", "v").limit(1000).toArrow()
+    return some.column("id").to_numpy(), column_as_float64(some.column("v"), width)
+
+
+def blocks_of(sizes: dict[int, int], n: int) -> tuple[dict[int, int], dict[int, int]]:
+    """(first block, blocks) of each cell: small cells share a block, large ones are dealt over several."""
+    most = min(LARGEST, max(SMALLEST, -(-n // BLOCKS)))
+    first, splits, block, filled = {}, {}, 0, 0
+    for cell in sorted(sizes):
+        if filled and filled + sizes[cell] > most:
+            block, filled = block + 1, 0
+        splits[cell] = -(-sizes[cell] // most)
+        first[cell] = block
+        filled += sizes[cell]
+        if splits[cell] > 1:
+            block, filled = block + splits[cell], 0
+    return first, splits
+
+
+def met(asked: DataFrame, stored: DataFrame, plan: tuple[dict, dict], search, score: str, k: int) -> DataFrame:
+    """The ``k`` best of each query row: ``asked`` (q, id, v, _block, ...) meets the ``stored`` (id, v, cell) of its blocks in ``search``."""
+    spark = stored.sparkSession
+    first, splits = plan
+    asked = materialize(asked, "asked")
+    chunks = asked.groupBy("_block").agg(F.ceil(F.count("*") / QUERIES).alias("_chunks"))
+    asked = asked.join(chunks, "_block").withColumn("_chunk", F.pmod(F.xxhash64("q", F.lit(3)), F.col("_chunks")))
+    cells = spark.createDataFrame([(c, first[c], splits[c]) for c in first], "cell long, _first long, _splits long")
+    entries = stored.join(cells, "cell").withColumn("_block", F.col("_first") + F.pmod(F.xxhash64("id", F.lit(11)), F.col("_splits")))
+    entries = entries.join(chunks, "_block").withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_chunks") - 1)))
+    entries = entries.select("id", "v", "cell", "_block", "_chunk")
+    kind = "double" if score == "double" else "long"
+    found = asked.groupBy("_block", "_chunk").cogroup(entries.groupBy("_block", "_chunk")).applyInArrow(search, f"q long, query_id long, vec_id long, score {kind}")
+    order = W.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", score)
+    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def best_of_block(query_ids: np.ndarray, ids: np.ndarray, rough: np.ndarray, exact, slack: np.ndarray, k: int):
-    """(query row, candidate row, score): each query's ``k`` best of a block.
+def queries_of(stored: DataFrame) -> DataFrame:
+    """(q, id, v) of the rows that ask; ``q`` tells apart rows of one id."""
+    return materialize(stored.filter(is_query("id")).select(F.monotonically_increasing_id().alias("q"), "id", "v"), "queries")
+
+
+def table(found: list[tuple], kind: pa.DataType) -> pa.Table:
+    """(q, query_id, vec_id, score) from parts of such columns."""
+    types = (pa.int64(), pa.int64(), pa.int64(), kind)
+    columns = list(zip(*found, strict=True)) or [[]] * 4
+    return pa.table({n: pa.concat_arrays([pa.array(x, t) for x in c] or [pa.array([], t)]) for n, c, t in zip(("q", "query_id", "vec_id", "score"), columns, types, strict=True)})
 
-    ``rough`` holds scores that are off by less than ``slack`` (by query), -inf where a candidate is out. All
-    that could be among the best are scored by ``exact`` (query rows, candidate rows), the same for equal vectors.
-    """
-    qs, cs = [], []
-    for i in range(len(query_ids)):
-        r = rough[i]
-        if len(r) > k:
-            least = np.partition(r, len(r) - k)[len(r) - k] - slack[i]
-            near = np.flatnonzero((r >= least) & (r > -np.inf))
-        else:
-            near = np.flatnonzero(r > -np.inf)
-        qs.append(np.full(len(near), i))
-        cs.append(near)
-    q, c = np.concatenate(qs or [np.zeros(0, int)]), np.concatenate(cs or [np.zeros(0, int)])
-    s = exact(q, c)
-    order = np.lexsort((ids[c], -s, q))
-    q, c, s = q[order], c[order], s[order]
-    keep = np.arange(len(q)) - np.searchsorted(q, q) < k
-    return q[keep], c[keep], s[keep]
+
+def best_rows(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of each row's ``k`` best scores above -inf, ties to smaller ids."""
+    rows, columns = [], []
+    for i, r in enumerate(scores):
+        near = np.flatnonzero(r > -np.inf) if len(r) <= k else np.flatnonzero((r >= np.partition(r, len(r) - k)[len(r) - k]) & (r > -np.inf))
+        near = near[np.lexsort((ids[near], -r[near]))][:k]
+        rows.append(np.full(len(near), i))
+        columns.append(near)
+    return np.concatenate(rows), np.concatenate(columns)
 
 
 # ---- inverted multi-index --------------------------------------------------------------------------
@@ -133,25 +178,45 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def cosine_search(rows: DataFrame, k: int = 5, share: float = SHARE, cell: int = CELL) -> DataFrame:
-    """(query_id, rank, vec_id, score) of the ``k`` most cosine-similar found for each query.
+def share_of(index: MultiIndex, x: np.ndarray, recall: float, k: int, queries: int = 500) -> float:
+    """Part of all different vectors that a query has to visit so that ``recall`` of the sample's true neighbours are met."""
+    x = np.unique(x, axis=0)
+    if len(x) < 2:
+        return 1.0
+    asks = np.linspace(0, len(x) - 1, min(queries, len(x))).astype(int)
+    cells = index.cells(x)
+    index.sizes[:] = np.bincount(cells, minlength=len(index.sizes))
+    a, b = index.distances(x[asks])
+    places = []
+    for i, q in enumerate(asks.tolist()):
+        s = x @ x[q]
+        s[q] = -np.inf
+        true = np.argpartition(-s, min(k, len(s) - 1) - 1)[: min(k, len(x) - 1)]
+        order = np.array(index.traverse(a[i], b[i], len(x)))
+        before = np.zeros(len(index.sizes))
+        before[order] = np.cumsum(index.sizes[order]) - index.sizes[order]
+        places.append(before[cells[true]] + 1)
+    return float(min(1.0, np.quantile(np.concatenate(places), recall, method="higher") / len(x)))
+
+
+def cosine_search(rows: DataFrame, k: int = 5, recall: float = RECALL, cell: int = CELL) -> DataFrame:
+    """(query_id, rank, vec_id, score) of the ``k`` most cosine-similar found for each query row.
 
     The index is fitted on a sample of about ``SAMPLE`` vectors by a hash of the id and holds all vectors. A
-    query visits cells, nearest first, until they hold ``share`` of all different vectors, so copies of one
-    vector take the place of no other. Tasks hold a block of cells and a group of queries; a cell with
-    more rows than a block is dealt over several.
+    query visits cells, nearest first, until they hold the part of all different vectors that gave ``recall`` on the
+    sample, so copies of one vector take the place of no other. Vectors meet only those of their own width. Every
+    row that asks has its own ranks, repeated rows too; all rows of its vec_id count as its own. Ties go to the
+    smaller vec_id; a candidate row that is there twice is found twice. An empty table gives an empty result.
     """
-    spark = rows.sparkSession
-    good, width = usable(rows, zero=False)
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if not width:
-        return empty
+    return by_width(rows, False, lambda good, width: _cosine(good, width, k, recall, cell), "query_id long, rank int, vec_id long, score double")
+
+
+def _cosine(good: DataFrame, width: int, k: int, recall: float, cell: int) -> DataFrame:
+    spark = good.sparkSession
     n = good.count()
-    sample = good.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < max(1, int(min(1.0, SAMPLE / n) * 1_000_000))).orderBy("id")
-    held = column_as_float64(sample.select("v").toArrow().column(0), width)
-    if not len(held):
-        held = column_as_float64(good.orderBy("id").limit(1000).select("v").toArrow().column(0), width)
-    index = MultiIndex(unit(held), min(MOST_CODES, max(1, int((n / cell) ** 0.5))))
+    sample = unit(sampled(good, n, width)[1])
+    index = MultiIndex(sample, min(MOST_CODES, max(1, int((n / cell) ** 0.5))))
+    share = share_of(index, sample, recall, k)
     fitted = spark.sparkContext.broadcast(index)
 
     def to_cells(batches):
@@ -162,78 +227,60 @@ def cosine_search(rows: DataFrame, k: int = 5, share: float = SHARE, cell: int =
 
     stored = materialize(good.mapInArrow(to_cells, "id long, v array<double>, cell long"), "cells")
     by_cell = stored.groupBy("cell").agg(F.count("*").alias("n"), F.countDistinct(F.xxhash64("v")).alias("d")).collect()  # MOST_CODES squared at most
-    first, splits, block, filled = {}, {}, 0, 0
-    for r in sorted(by_cell, key=lambda r: r["cell"]):
+    index.sizes[:] = 0
+    for r in by_cell:
         index.sizes[r["cell"]] = r["d"]
-        if filled and filled + r["n"] > BLOCK:
-            block, filled = block + 1, 0
-        splits[r["cell"]] = -(-r["n"] // BLOCK)
-        first[r["cell"]] = block
-        filled += r["n"]
-        if splits[r["cell"]] > 1:
-            block, filled = block + splits[r["cell"]], 0
+    plan = blocks_of({r["cell"]: r["n"] for r in by_cell}, n)
     wanted = int(np.ceil(share * index.sizes.sum()))
-    plan = spark.createDataFrame([(c, first[c], splits[c]) for c in first], "cell long, _first long, _splits long")
-    counted = spark.sparkContext.broadcast(index)
-    where = spark.sparkContext.broadcast((first, splits))
-    queries = stored.filter(is_query("id")).select("id", "v")
-    groups = max(1, -(-queries.count() // QUERIES))
+    known = spark.sparkContext.broadcast((index, *plan))
 
     def visit(batches):
-        index, (first, splits) = counted.value, where.value
+        index, first, splits = known.value
         for batch in batches:
             if not batch.num_rows:
                 continue
-            a, b = index.distances(unit(column_as_float64(batch.column(1), width)))
+            a, b = index.distances(unit(column_as_float64(batch.column(2), width)))
             row, blocks, lists = [], [], []
             for i in range(batch.num_rows):
                 here: dict[int, list[int]] = {}
                 for c in index.traverse(a[i], b[i], wanted):
                     for s in range(splits[c]):
                         here.setdefault(first[c] + s, []).append(c)
-                for at, cells in here.items():
-                    row.append(i)
-                    blocks.append(at)
-                    lists.append(cells)
+                row.extend([i] * len(here))
+                blocks.extend(here)
+                lists.extend(here.values())
             took = pa.array(row, pa.int64())
-            columns = [batch.column(0).take(took), batch.column(1).take(took), pa.array(blocks, pa.int64()), pa.array(lists, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "v", "_block", "cells"])
+            columns = [batch.column(i).take(took) for i in range(3)] + [pa.array(blocks, pa.int64()), pa.array(lists, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["q", "id", "v", "_block", "cells"])
 
-    group = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(groups)).cast("int")  # keys of both sides need one type
-    asked = queries.mapInArrow(visit, "id long, v array<double>, _block long, cells array<long>").withColumn("_group", group)
-    entries = stored.join(F.broadcast(plan), "cell")
-    entries = entries.withColumn("_block", F.col("_first") + F.pmod(F.xxhash64("id"), F.col("_splits")))
-    entries = entries.withColumn("_group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).select("id", "v", "cell", "_block", "_group")
+    asked = queries_of(stored).mapInArrow(visit, "q long, id long, v array<double>, _block long, cells array<long>")
 
     def search(q: pa.Table, e: pa.Table) -> pa.Table:
-        ids, qids = e.column("id").to_numpy(), q.column("id").to_numpy()
-        out = {"query_id": [], "vec_id": [], "score": []}
-        if len(ids) and len(qids):
+        found = []
+        if e.num_rows and q.num_rows:
             order = np.argsort(e.column("cell").to_numpy(), kind="stable")
-            ids, cells = ids[order], e.column("cell").to_numpy()[order]
-            x, y = column_as_float64(q.column("v"), width), column_as_float64(e.column("v"), width)[order]
-            ux, uy = unit(x), unit(y)
-            rough = np.full((len(qids), len(ids)), -np.inf)
-            lists = q.column("cells").to_pylist()
-            by_cell: dict[int, list[int]] = {}
-            for i, visited in enumerate(lists):
-                for c in visited:
-                    by_cell.setdefault(c, []).append(i)
-            for c, who in by_cell.items():
-                a, b = np.searchsorted(cells, c), np.searchsorted(cells, c, side="right")
-                rough[np.array(who)[:, None], np.arange(a, b)] = ux[who] @ uy[a:b].T
-            rough[qids[:, None] == ids] = -np.inf
-
-            def exact(qi: np.ndarray, ci: np.ndarray) -> np.ndarray:
-                got = [(ux[qi[s : s + 8192]] * uy[ci[s : s + 8192]]).sum(axis=1) for s in range(0, len(qi), 8192)]
-                return np.concatenate(got or [np.zeros(0)])
-
-            qi, ci, s = best_of_block(qids, ids, rough, exact, np.full(len(qids), 1e-12), k)
-            out = {"query_id": qids[qi], "vec_id": ids[ci], "score": s}
-        return pa.table({c: pa.array(v, pa.float64() if c == "score" else pa.int64()) for c, v in out.items()})
-
-    found = asked.groupBy("_block", "_group").cogroup(entries.groupBy("_block", "_group")).applyInArrow(search, "query_id long, vec_id long, score double")
-    return nearest(found, k, "score")
+            ids, cells = e.column("id").to_numpy()[order], e.column("cell").to_numpy()[order]
+            uy = unit(column_as_float64(e.column("v"), width)[order])
+            for at in range(0, q.num_rows, TOGETHER):
+                some = q.slice(at, TOGETHER)
+                rows, qids = some.column("q").to_numpy(), some.column("id").to_numpy()
+                ux = unit(column_as_float64(some.column("v"), width))
+                out = np.ones((len(rows), len(ids)), bool)
+                for i, visited in enumerate(some.column("cells").to_pylist()):
+                    for c in visited:
+                        out[i, np.searchsorted(cells, c) : np.searchsorted(cells, c, side="right")] = False
+                rough = np.where(out | (qids[:, None] == ids), -np.inf, ux @ uy.T)
+                # products of matrices are rounded by place: what could be among the best is scored again, alike for equal vectors
+                least = np.sort(rough, axis=1)[:, max(len(ids) - k, 0)] - 1e-12
+                qi, ci = np.nonzero((rough >= least[:, None]) & (rough > -np.inf))
+                exact = np.full(rough.shape, -np.inf)
+                for s in range(0, len(qi), 8192):
+                    exact[qi[s : s + 8192], ci[s : s + 8192]] = (ux[qi[s : s + 8192]] * uy[ci[s : s + 8192]]).sum(axis=1)
+                i, j = best_rows(exact, ids, k)
+                found.append((rows[i], qids[i], ids[j], exact[i, j]))
+        return table(found, pa.float64())
+
+    return met(asked, stored, plan, search, "double", k)
 
 
 def op2_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -265,62 +312,142 @@ def levels(width: int) -> list[int]:
     return [s for s in (1, 4, 8, 16) if s < width] or [1]
 
 
-def product_search(rows: DataFrame, k: int = 5, block: int = BLOCK, queries: int = QUERIES) -> DataFrame:
+def product_search(rows: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score) of the ``k`` highest integer inner products of floor(256 x), exactly.
 
-    Candidates and queries are dealt in blocks by a hash of the id, and a task takes one block of each. There,
-    bounds from segment means and deviations, from coarse to fine, leave out candidates that can't
-    reach the ``k`` best that the query has seen; the products of all others are computed.
+    Vectors are dealt in cells by their mean. The statistics of a cell, the range of its means and its greatest
+    deviations by segment, bound the products with all that it holds, and a query visits only the cells that can reach the
+    ``k`` best products that it has with a sample. There, bounds from the vectors' own means and deviations, from coarse to
+    fine, leave out more; the products of all others are computed. Products beyond a long are taken as the greatest or
+    least long, and tie there. Widths, repeated rows, ties and empty tables are as in ``cosine_search``.
     """
-    spark = rows.sparkSession
-    good, width = usable(rows, zero=True)
-    if not width:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    whole = good.select("id", F.transform("v", lambda x: F.floor(x * 256).cast("double")).alias("v"))
-    n = whole.count()
-    ask = whole.filter(is_query("id"))
-    blocks, groups = -(-n // block), max(1, -(-ask.count() // queries))
-    entries = whole.withColumn("_block", F.pmod(F.xxhash64("id", F.lit(5)), F.lit(blocks))).withColumn("_group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    ask = ask.withColumn("_group", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(groups)).cast("int")).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    return by_width(rows, True, lambda good, width: _products(good, width, k), "query_id long, rank int, vec_id long, score long")
+
+
+def whole(x: np.ndarray) -> np.ndarray:
+    """floor(256 x), components beyond a double taken as the greatest double."""
+    with np.errstate(over="ignore"):
+        return np.clip(np.floor(256.0 * x), -np.finfo(float).max, np.finfo(float).max)
+
+
+def products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """All integer inner products of rows of ``x`` and ``y``, within a long."""
+    top = float(np.abs(x).max(initial=0)) * float(np.abs(y).max(initial=0)) * x.shape[1]
+    if top < 2.0**53:
+        return np.rint(x @ y.T).astype(np.int64)
+    xi, yi = ([[int(v) for v in row] for row in m.tolist()] for m in (x, y))  # doubles don't hold these exactly
+    least, most = -(2**63), 2**63 - 1
+    return np.array([[min(max(sum(a * b for a, b in zip(p, q, strict=True)), least), most) for q in yi] for p in xi], np.int64).reshape(len(xi), len(yi))
+
+
+def _products(good: DataFrame, width: int, k: int) -> DataFrame:
+    spark = good.sparkSession
+    n = good.count()
+    ids, sample = sampled(good, n, width)
+    sample = whole(sample)
+    bins = max(1, -(-n // min(LARGEST, max(SMALLEST, -(-n // BLOCKS)))))
+    edges = np.unique(np.quantile(sample.mean(axis=1), np.linspace(0, 1, bins + 1)[1:-1])) if bins > 1 else np.zeros(0)
+    seeds = spark.sparkContext.broadcast((ids[:SEEDS], sample[:SEEDS]))
+    coarse = [s for s in levels(width) if s <= 8][-1]
+
+    def to_cells(batches):
+        for batch in batches:
+            if batch.num_rows:
+                z = whole(column_as_float64(batch.column(1), width))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(z) + 1, dtype=np.int32) * width), pa.array(z.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(np.searchsorted(edges, z.mean(axis=1)))], names=["id", "v", "cell"])
+
+    def spans(batches):
+        for batch in batches:
+            cells = batch.column(1).to_numpy()
+            if len(cells):
+                means, devs = statistics(column_as_float64(batch.column(0), width), coarse)
+                for c in np.unique(cells):
+                    mine = cells == c
+                    low, high, far = means[mine].min(axis=0), means[mine].max(axis=0), devs[mine].max(axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(coarse, c), np.arange(coarse), low, high, far, np.full(coarse, mine.sum()))], names=["cell", "s", "low", "high", "far", "n"])
+
+    stored = materialize(good.mapInArrow(to_cells, "id long, v array<double>, cell long"), "cells")
+    spanned = stored.select("v", "cell").mapInArrow(spans, "cell long, s long, low double, high double, far double, n long")
+    spanned = spanned.groupBy("cell", "s").agg(F.min("low"), F.max("high"), F.max("far"), F.sum("n")).orderBy("cell", "s").collect()  # a few rows a block
+    cells = np.array([r["cell"] for r in spanned[::coarse]], np.int64)
+    low, high, far = (np.array([r[i] for r in spanned], float).reshape(-1, coarse) for i in (2, 3, 4))
+    plan = blocks_of({r["cell"]: r[5] for r in spanned[::coarse]}, n)
+    known = spark.sparkContext.broadcast((cells, low, high, far, *plan))
+
+    def visit(batches):
+        cells, low, high, far, first, splits = known.value
+        sids, sample = seeds.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            z, own = column_as_float64(batch.column(2), width), batch.column(1).to_numpy()
+            row, blocks, least = [], [], []
+            for at in range(0, len(z), TOGETHER):
+                x, mine = z[at : at + TOGETHER], own[at : at + TOGETHER]
+                with np.errstate(all="ignore"):
+                    s = np.where(mine[:, None] == sids, -np.inf, x @ sample.T)
+                    best = np.sort(s, axis=1)[:, -k] if s.shape[1] >= k else np.full(len(x), -np.inf)
+                    best = np.where(np.isfinite(best) & (best > -(2.0**63)), np.minimum(best, 2.0**63), -np.inf)  # beyond a long they tie
+                    best = best - np.where(np.isfinite(best), 1e-9 * (1 + np.abs(best)), 0)
+                    means, devs = statistics(x, coarse)
+                    bound = np.maximum(means, 0) @ high.T + np.minimum(means, 0) @ low.T + devs @ far.T
+                    on = ~(bound + 1e-9 * (1 + np.abs(bound)) < best[:, None])
+                for i in range(len(x)):
+                    here = {first[c] + s for c in cells[on[i]].tolist() for s in range(splits[c])}
+                    row.extend([at + i] * len(here))
+                    blocks.extend(sorted(here))
+                    least.extend([best[i]] * len(here))
+            took = pa.array(row, pa.int64())
+            columns = [batch.column(i).take(took) for i in range(3)] + [pa.array(blocks, pa.int64()), pa.array(least, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["q", "id", "v", "_block", "least"])
+
+    asked = queries_of(stored).mapInArrow(visit, "q long, id long, v array<double>, _block long, least double")
 
     def search(q: pa.Table, e: pa.Table) -> pa.Table:
-        ids, qids = e.column("id").to_numpy(), q.column("id").to_numpy()
-        out: tuple[list, list, list] = ([], [], [])
-        if len(ids) and len(qids):
-            x, y = column_as_float64(q.column("v"), width), column_as_float64(e.column("v"), width)
-            big = np.abs(x).max() * np.abs(y).max() * width >= 2.0**53
-            if big:  # products that doubles can't hold exactly
-                xi, yi = ([[int(v) for v in row] for row in m.tolist()] for m in (x, y))
-            tables = [(statistics(y, s), s) for s in levels(width)]
-            for i in range(len(qids)):
-                row = x[i : i + 1]
-                alive = np.flatnonzero(ids != qids[i])
-                best = -np.inf
-                for (means, devs), s in tables:
-                    qm, qd = statistics(row, s)
-                    bound = means[alive] @ qm[0] + devs[alive] @ qd[0]
-                    bound += 1e-9 * (1 + np.abs(bound))  # sums are rounded
-                    if len(alive) > k:
-                        top = np.argpartition(bound, len(bound) - k)[-k:]
-                        best = max(best, float(np.sort(y[alive[top]] @ row[0])[0]))
-                        slack = 1e-9 * (1 + abs(best))
-                        alive = alive[bound >= best - slack]
-                if big:
-                    score = np.array([sum(a * b for a, b in zip(xi[i], yi[j], strict=True)) for j in alive], dtype=object)
-                else:
-                    score = np.rint(y[alive] @ row[0]).astype(np.int64)
-                order = np.lexsort((ids[alive], -score))[:k] if not big else np.array(sorted(range(len(alive)), key=lambda j: (-score[j], ids[alive[j]]))[:k], int)
-                out[0].extend([int(qids[i])] * len(order))
-                out[1].extend(ids[alive[order]].tolist())
-                out[2].extend(int(v) for v in score[order])
-        return pa.table({c: pa.array(v, pa.int64()) for c, v in zip(("query_id", "vec_id", "score"), out, strict=True)})
-
-    entries = entries.select("id", "v", "_block", "_group")
-    ask = ask.select("id", "v", "_block", "_group")
-    found = ask.groupBy("_block", "_group").cogroup(entries.groupBy("_block", "_group")).applyInArrow(search, "query_id long, vec_id long, score long")
-    return nearest(found, k, "score")
+        found = []
+        if e.num_rows and q.num_rows:
+            ids, y = e.column("id").to_numpy(), column_as_float64(e.column("v"), width)
+            tables = [statistics(y, s) for s in levels(width)]
+            for at in range(0, q.num_rows, TOGETHER):
+                some = q.slice(at, TOGETHER)
+                rows, qids, x = some.column("q").to_numpy(), some.column("id").to_numpy(), column_as_float64(some.column("v"), width)
+                alive, best = qids[:, None] != ids, some.column("least").to_numpy().copy()
+                columns = np.arange(len(ids))
+                with np.errstate(all="ignore"):
+                    for (means, devs), s in zip(tables, levels(width), strict=True):
+                        qm, qd = statistics(x, s)
+                        bound = qm @ means[columns].T + qd @ devs[columns].T
+                        alive &= ~(bound + 1e-9 * (1 + np.abs(bound)) < best[:, None])
+                        columns, alive = columns[alive.any(axis=0)], alive[:, alive.any(axis=0)]
+                if not len(columns):
+                    continue
+                score = products(x, y[columns])
+                exact = np.abs(score).max(initial=0) < 2**53
+                for i in range(len(rows)):
+                    on = np.flatnonzero(alive[i])
+                    if exact and len(on) > k:
+                        on = on[score[i, on] >= np.partition(score[i, on], len(on) - k)[len(on) - k]]
+                    on = on[np.lexsort((ids[columns[on]], -(score[i, on].astype(object)) if not exact else -score[i, on]))][:k]
+                    found.append((np.full(len(on), rows[i]), np.full(len(on), qids[i]), ids[columns[on]], score[i, on]))
+        return table(found, pa.int64())
+
+    return met(asked, stored, plan, search, "long", k)
 
 
 def op9_segment_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 highest integer inner products of every 50th of ``embeddings``."""
     return product_search(read(spark, sf_dir, "embeddings"))
+
+
+#: The same rows by comparing all pairs.
+OP9_SQL = """
+WITH z AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS HUGEINT)) AS z FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.z, c.z), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM z q JOIN z c ON q.vec_id <> c.vec_id AND len(q.z) = len(c.z) WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
+"""
