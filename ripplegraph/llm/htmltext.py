@@ -45,33 +45,43 @@ _AFTER = (
 MARKED = re.compile(rf"(?!(?:post|entry|article|story|content)[-_]+header)(?:{_BEFORE}[-_]+)*{_WORDS}(?:[-_]+(?:{_WORDS}|{_AFTER}))*")
 ASIDE = re.compile(rf"(?:{_BEFORE}[-_]+)*(?:ads?|advert[a-z0-9]*|sponsor[a-z0-9]*|promo[a-z0-9]*|comments?|reply|replies|related|recommend[a-z0-9]*|teaser)(?:[-_]+(?:{_WORDS}|{_AFTER}))*")
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar", "toolbar"}
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+# a quote that nothing closes is a character like any other; no part is read twice
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*+)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z:_-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 WHITE = re.compile(r"\s+")
 
 
-def _noise(tag: str, attributes: str) -> tuple[bool, bool]:
-    """Whether an element is by its own word not main text: by tag, role or state, and by class or id alone."""
+def _noise(tag: str, attributes: str, within: bool) -> tuple[bool, bool]:
+    """Whether an element is by its own word not main text: by tag, role or state, and by class or id alone.
+
+    ``within`` a marked article a single word of class or id isn't enough, unless it is one of adverts, comments and the like.
+    """
     if tag in DROPPED:
         return True, False
     if not attributes or tag in ("html", "body", "main"):
         return False, False
-    marked, named = ASIDE if tag == "article" else MARKED, False
+    named = False
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), (a or b or c).lower()
         if (name == "role" and value in ROLES) or (name == "aria-hidden" and value == "true"):
             return True, False
-        named = named or (name in ("class", "id") and any(marked.fullmatch(x) for x in value.split()))
+        if name in ("class", "id"):
+            for x in value.split():
+                named = named or bool(ASIDE.fullmatch(x) or (tag != "article" and (not within or "-" in x or "_" in x) and MARKED.fullmatch(x)))
     return " hidden" in f" {attributes.lower()} " and bool(re.search(r"(?:^|\s)hidden(?:\s|$|=)", attributes.lower())), named
 
 
 class Named:
     """What an element holds whose class or id says that it isn't main text."""
 
-    __slots__ = ("article", "h1", "paragraphs", "size")
+    __slots__ = ("article", "around", "h1", "paragraphs", "size", "stays")
 
-    def __init__(self):
-        self.size, self.article, self.h1, self.paragraphs = 0, False, False, 0
+    def __init__(self, around: Named | None = None):
+        self.size, self.article, self.h1, self.paragraphs, self.around, self.stays = 0, False, False, 0, around, True
+
+    def add(self, other: Named) -> None:
+        self.size += other.size
+        self.article, self.h1, self.paragraphs = self.article or other.article, self.h1 or other.h1, self.paragraphs + other.paragraphs
 
 
 class Line:
@@ -81,35 +91,68 @@ class Line:
         self.text, self.linked, self.marked, self.heading = text, linked, marked, heading
 
 
+BARRIERS = ("div", "section", "article", "main", "table", "blockquote")  # an open element above these isn't ended by one like it
+LISTS = {"li": ("ul", "ol", "menu"), "tr": ("table",), "td": ("table",), "th": ("table",)}
+ENDS_ITSELF = ("p", "li", "dt", "dd", "tr", "td", "th", "option", "a")
+
+
+class Open:
+    """The open elements, and where the ones of each tag stand, so that none is looked for twice."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, bool, bool, Named | None]] = []  # tag, noise, article, name around it
+        self.places: dict[str, list[int]] = {}
+        self.noise = self.article = 0
+
+    def last(self, tag: str) -> int:
+        return (self.places.get(tag) or (-1,))[-1]
+
+    def push(self, tag: str, bad: bool, own: bool, around: Named | None) -> None:
+        self.places.setdefault(tag, []).append(len(self.stack))
+        self.stack.append((tag, bad, own, around))
+        self.noise += bad
+        self.article += own
+
+    def end(self, depth: int) -> Named | None:
+        """End all from ``depth`` on; the name around that element."""
+        around = self.stack[depth][3]
+        while len(self.stack) > depth:
+            tag, bad, own, _ = self.stack.pop()
+            self.places[tag].pop()
+            self.noise -= bad
+            self.article -= own
+        return around
+
+    def heading(self) -> bool:
+        return any(self.places.get(h) for h in HEADINGS)
+
+
 def lines(page: str) -> list[Line]:
-    """The blocks of a page in order, with white space turned into one space, and without noise.
+    """The blocks of a page in order, with white space turned into one space, and without noise; in time linear in the page.
 
     What is noise by its class or id alone stays if it holds most of the page's text or the only article, or a first
     heading with paragraphs.
     """
-    blocks: list[tuple[list, bool, bool]] = []  # (text, in a link, names around it) of each piece; article, heading
-    held: list[tuple[str, bool, tuple]] = []
-    stack: list[tuple[str, bool, bool, tuple]] = []  # tag, noise, article, names around it: open elements
-    names: tuple[Named, ...] = ()
-    noise = article = anchors = 0
-    outside = Named()  # of all that is so named
+    blocks: list[tuple[list, bool, bool]] = []  # (text, in a link, name around it) of each piece; article, heading
+    held: list[tuple[str, bool, Named | None]] = []
+    now, name, every = Open(), None, []
+    outside = Named()  # of all that isn't so named
     total = 0
 
     def end_of_block() -> None:
         if held:
-            blocks.append((held.copy(), article > 0, any(s[0] in HEADINGS for s in stack)))
+            blocks.append((held.copy(), now.article > 0, now.heading()))
         held.clear()
 
     at, n = 0, len(page)
     while at < n:
         m = TOKEN.search(page, at)
         stop = m.start() if m else n
-        if stop > at and not noise:
-            held.append((page[at:stop], anchors > 0, names))
+        if stop > at and not now.noise:
+            held.append((page[at:stop], bool(now.places.get("a")), name))
             size = len(page[at:stop].strip())
             total += size
-            for x in names:
-                x.size += size
+            (name or outside).size += size
         if not m:
             break
         at = m.end()
@@ -117,16 +160,10 @@ def lines(page: str) -> list[Line]:
         if not tag:
             continue
         if m[1]:
-            if tag in BLOCKS and not noise:
+            if tag in BLOCKS and not now.noise:
                 end_of_block()
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if depth is not None:
-                for name, bad, own, _ in stack[depth:]:
-                    noise -= bad
-                    article -= own
-                    anchors -= name == "a"
-                names = stack[depth][3]
-                del stack[depth:]
+            if (depth := now.last(tag)) >= 0:
+                name = now.end(depth)
             continue
         attributes = m[3] or ""
         if tag in RAW:
@@ -135,49 +172,49 @@ def lines(page: str) -> list[Line]:
             close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             at = close.end() if close else n
             continue
-        if tag in BLOCKS and not noise:
+        if tag in BLOCKS and not now.noise:
             end_of_block()
-        if tag == "br" and not noise:
-            held.append((" ", False, names))
+        if tag == "br" and not now.noise:
+            held.append((" ", False, name))
         if tag in EMPTY or attributes.rstrip().endswith("/") and tag not in BLOCKS:
             continue
-        if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option", "a"):  # a new one ends an open one
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            limit = {"li": ("ul", "ol", "menu"), "tr": ("table",), "td": ("table",), "th": ("table",)}.get(tag, ())
-            if depth is not None and not any(s[0] in limit or s[0] in ("div", "section", "article", "main", "table", "blockquote") and tag not in ("a",) for s in stack[depth + 1 :]):
-                for name, bad, own, _ in stack[depth:]:
-                    noise -= bad
-                    article -= own
-                    anchors -= name == "a"
-                names = stack[depth][3]
-                del stack[depth:]
-        bad, named = _noise(tag, attributes)
+        if tag in ENDS_ITSELF and (depth := now.last(tag)) >= 0:  # a new one ends an open one
+            within = (*LISTS.get(tag, ()), *(BARRIERS if tag != "a" else ()))
+            if not any(now.last(b) > depth for b in within):
+                name = now.end(depth)
+        bad, named = _noise(tag, attributes, now.article > 0)
         own = not bad and not (named and tag == "article") and (tag in ("article", "main") or 'role="main"' in attributes or 'itemprop="articleBody"' in attributes)
-        stack.append((tag, bad, own, names))
-        if named and not bad and not noise:
-            names = (*names, Named())
-        if not noise and not bad:
-            for x in names or (outside,):
-                x.article, x.h1, x.paragraphs = x.article or own, x.h1 or tag == "h1", x.paragraphs + (tag == "p")
-        noise += bad
-        article += own
-        anchors += tag == "a"
-    if not noise:
+        around = name
+        if named and not bad and not now.noise:
+            name = Named(name)
+            every.append(name)
+        if not now.noise and not bad:
+            x = name or outside
+            x.article, x.h1, x.paragraphs = x.article or own, x.h1 or tag == "h1", x.paragraphs + (tag == "p")
+        now.push(tag, bad, own, around)
+    if not now.noise:
         end_of_block()
-
-    def stays(x: Named) -> bool:
+    for x in reversed(every):
+        if x.around:
+            x.around.add(x)
+    for x in every:  # those around come first
         most = 2 * x.size > total and not outside.h1
-        return (x.h1 and x.paragraphs > 1) or (not outside.article and (x.article or most))
-
+        own = (x.h1 and x.paragraphs > 1) or (not outside.article and (x.article or most))
+        x.stays = own and (x.around is None or x.around.stays)
     out = []
     for pieces, own, heading in blocks:
-        kept = [p for p in pieces if all(stays(x) for x in p[2])]
+        kept = [p for p in pieces if p[2] is None or p[2].stays]
         text = WHITE.sub(" ", html.unescape("".join(p[0] for p in kept))).strip()
         if text:
             out.append(Line(text, sum(len(p[0]) for p in kept if p[1]), own, heading))
     return out
 
 
+def window_sums(weights: list[int]) -> list[int]:
+    """For each line the weight of the ``WINDOW`` lines that begin there."""
+    return [sum(weights[i : i + WINDOW]) for i in range(len(weights))]
+
+
 def surge_and_dive(weights: list[int], links: list[int] | None = None) -> tuple[int, int] | None:
     """First line and one past the last of the text between a surge and a dive of the windows' sums.
 
@@ -186,7 +223,7 @@ def surge_and_dive(weights: list[int], links: list[int] | None = None) -> tuple[
     """
     n = len(weights)
     links = links or [0] * n
-    sums = [sum(weights[i : i + WINDOW]) for i in range(n)]
+    sums = window_sums(weights)
     runs, at = [], 0
     while at < n:
         if sums[at] < SURGE:
@@ -200,8 +237,8 @@ def surge_and_dive(weights: list[int], links: list[int] | None = None) -> tuple[
             else:
                 quiet += 1
             at += 1
-        while begin < end and weights[begin] * WINDOW < SURGE and weights[begin] < weights[begin + 1] // 4:
-            begin += 1  # the window surges before its long line
+        while begin + 1 < min(n, end + WINDOW) and weights[begin] * WINDOW < SURGE and (not weights[begin] or weights[begin] < weights[begin + 1] // 4):
+            begin += 1  # the window surges before its long line; lines of links don't begin a text
         stop = min(n, end + WINDOW)
         while stop - 1 > end and weights[stop - 1] * WINDOW < SURGE:
             stop -= 1
@@ -239,14 +276,15 @@ def main_text(page: str | None) -> str:
     end = span[1]
     if widens:
         begin, end = min(begin, marked[0]), max(end, marked[-1] + 1)
-    return "\n\n".join(x.text for x, w in zip(found[begin:end], weights[begin:end], strict=True) if w or not x.linked or (widens and x.marked))
+    return "\n\n".join(x.text for x in found[begin:end])
 
 
 def extract(pages: DataFrame, source: str, keep: list[str]) -> DataFrame:
     """``keep`` columns with ``text`` and ``n_chars`` of every row; no shuffle.
 
     Null and empty pages give an empty text. Broken markup is read as far as it goes: unclosed elements end with
-    those around them. Repeated rows stay repeated; a page of any length is one row of a batch.
+    those around them. Repeated rows stay repeated; a page of any length is one row of a batch, and costs time in
+    proportion to its length. An empty table gives an empty result; ``keep`` can't hold the new columns' names.
     """
     schema = pages.select(*keep).schema.add("text", "string").add("n_chars", "long")
 

@@ -39,3 +39,54 @@ def test_a_noise_class_does_not_take_the_article_with_it():
         assert htmltext.main_text(f"<div class='sidebar'>{html}</div><p>x</p>").removeprefix("Title\n\n").removesuffix("\n\nx").split("\n\n") == TEXTS
     for name in ("sidebar", "site-footer", "comment-list", "widget", "related-posts", "ad-slot-1"):
         assert htmltext.main_text(f"<h1>Title</h1>{page(P[:9])}<div class='{name}'>{page(P[9:])}</div>").split("\n\n") == ["Title", *TEXTS[:9]]
+
+
+def test_single_class_words_within_an_article_are_no_noise():
+    for name in ("legal", "notice", "side", "tags", "search", "header"):
+        assert htmltext.main_text(f"<article>{page(P[:6])}<section class='{name}'>{page(P[6:9])}</section>{page(P[9:])}</article>").split("\n\n") == TEXTS
+    for name in ("ad", "comments", "related", "share-buttons", "newsletter-signup"):
+        assert htmltext.main_text(f"<article>{page(P[:6])}<div class='{name}'>{page(P[6:9])}</div>{page(P[9:])}</article>").split("\n\n") == TEXTS[:6] + TEXTS[9:]
+
+
+def test_a_paragraph_that_is_one_link_stays_within_the_text():
+    html = f"<div>{page(P[:5])}<p><a href=x>A whole paragraph that is a link</a></p>{page(P[5:])}</div>"
+    assert htmltext.main_text(html).split("\n\n") == [*TEXTS[:5], "A whole paragraph that is a link", *TEXTS[5:]]
+
+
+def test_every_page_is_cut_by_its_windows(monkeypatch):
+    """Surge and dive decide every page of the test data, and they are where a plain search over the windows finds them."""
+    import pyarrow.parquet as pq
+
+    pages = pq.read_table("/root/testdata/sf0.1/pages.parquet").column("html").to_pylist()
+    some, spans = htmltext.surge_and_dive, []
+
+    def counted(weights, links=None):
+        got = some(weights, links)
+        spans.append((weights, links, got))
+        return got
+
+    monkeypatch.setattr(htmltext, "surge_and_dive", counted)
+    texts = [htmltext.main_text(p) for p in pages]
+    assert len(spans) == sum(bool(htmltext.lines(p or "")) for p in pages) == len(pages) and all(texts)
+    for weights, _, (begin, stop) in spans:
+        sums = [sum(weights[j] for j in range(i, min(i + 3, len(weights)))) for i in range(len(weights))]
+        heaviest = max(range(len(sums)), key=lambda i: sums[i])
+        assert begin <= heaviest + 2 and heaviest < stop
+        assert begin == 0 or stop - begin == 1 or max(sums[begin : begin + 1] + sums[max(begin - 2, 0) : begin]) >= htmltext.SURGE
+        assert all(sums[i] < htmltext.SURGE or 10 * sums[i] < sum(weights[begin:stop]) for i in [*range(begin - 2), *range(stop, len(sums))])
+    for p, t in zip(pages, texts, strict=True):
+        inside = p[p.index("<article") : p.index("</article>")]
+        assert t == "\n\n".join(x.text for x in htmltext.lines(inside))
+
+
+def test_time_is_linear_in_broken_markup():
+    import time
+
+    for piece in ("<b>x</i>", "<div class='menu'>x", "<a \"x' <p>", "<li><p><b>x</div></ul>", "<h1>x<p></b>"):
+        began = time.perf_counter()
+        htmltext.main_text(piece * (5_000_000 // len(piece)))
+        assert time.perf_counter() - began < 60, piece
+    began = time.perf_counter()
+    htmltext.main_text("<a" * 500_000 + "\"")
+    htmltext.main_text("<a '" * 300_000 + "\"")
+    assert time.perf_counter() - began < 30

@@ -200,6 +200,23 @@ def test_mix(spark, docs, empty):
     assert mixing.mix(empty, F.array("source"), mixing.words(F.col("text")), ["doc_id"]).count() == 0
 
 
+@pytest.mark.parametrize("ordered", [10_000, 2])
+def test_mix_of_repeated_rows(spark, monkeypatch, ordered):
+    """A source with most of its rows equal, one of null ids, and rows that differ in nothing that is drawn by."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(mixing, "ORDERED", ordered)
+    rows = [(7, "w " * 45, "a", "x")] * 60 + [(i, "w " * (5 + i % 9), "a", "x") for i in range(100, 130)]
+    rows += [(None, "w " * (3 + i % 11), "b", "y") for i in range(300)] + [(None, "w w w", "c", "y")] * 200 + [(900, "", "c", "z"), (901, None, None, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size string")
+    out = mixing.mix(docs.repartition(3), F.array("source"), mixing.words(F.col("text")), ["doc_id", "source", "text"], by=["doc_id", "source", "text"]).toPandas()
+    assert len(out) == len(rows) and (out["taken"] <= 3 * out["size"]).all()
+    for source, g in out[out["size"] > 0].groupby("source"):
+        assert abs(g["taken"].sum() - g["target"].iloc[0]) <= (23 if source == "a" else 2), source
+    again = mixing.mix(docs.repartition(5), F.array("source"), mixing.words(F.col("text")), ["doc_id", "source", "text"], by=["doc_id", "source", "text"]).toPandas()
+    assert sorted(map(str, out.values.tolist())) == sorted(map(str, again.values.tolist()))
+
+
 def test_words(spark):
     from pyspark.sql import functions as F
 
@@ -346,81 +363,6 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.toxicity(docs, labels.limit(0), ["doc_id"]).filter("predicted = 1").count() == 0
 
 
-def vectors_frame(spark, rows):
-    return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, rank int")
-
-
-def test_multi_index_visits_cells_in_order():
-    x = np.random.default_rng(1).normal(size=(400, 8))
-    index = vectors.MultiIndex(vectors.unit(x), 6)
-    cells = index.cells(vectors.unit(x))
-    index.sizes = np.bincount(cells, minlength=len(index.sizes))
-    a, b = (d[0] for d in index.distances(vectors.unit(x[:1])))
-    order = index.traverse(a, b, 400)
-    away = [a[c // index.k] + b[c % index.k] for c in order]
-    assert away == sorted(away) and index.sizes[order].sum() == 400
-    few = index.traverse(a, b, 50)
-    assert few == order[: len(few)] and index.sizes[few].sum() >= 50 > index.sizes[few[:-1]].sum()
-
-
-def test_searches(spark, monkeypatch):
-    monkeypatch.setattr(vectors, "BLOCK", 64)
-    monkeypatch.setattr(vectors, "QUERIES", 3)
-    rng = np.random.default_rng(7)
-    centers = rng.normal(size=(12, 16))
-    x = (centers[rng.integers(12, size=500)] + rng.normal(size=(500, 16)) * 0.3).astype(np.float32)
-    x[100:280] = x[50]  # copies of a query, more than a block
-    rows = [(i, x[i].tolist(), 0, 9) for i in range(500)]
-    rows += [(600, None, 0, 9), (650, [0.0] * 16, 0, 9), (601, [float("nan")] * 16, 0, 9), (602, [None] + [1.0] * 15, 0, 9), (603, [float("inf")] * 16, 0, 9), (None, [1.0] * 16, 0, 9)]
-    frame = vectors_frame(spark, rows).repartition(6)
-    v = x.astype(np.float64)
-    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
-    ids = np.arange(500)
-    got = {}
-    for r in vectors.cosine_search(frame).collect():
-        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
-    assert set(got) == set(range(0, 500, 50))
-    hits = 0
-    for q, found in got.items():
-        s = np.round(unit @ unit[q], 12)
-        s[q] = -9
-        best = np.lexsort((ids, -s))[:5]
-        hits += len(set(best.tolist()) & {c for _, c, _ in found})
-        assert [r for r, _, _ in sorted(found)] == [1, 2, 3, 4, 5]
-        assert all(abs(unit[q] @ unit[c] - t) < 1e-12 for _, c, t in found)
-    assert hits / (5 * len(got)) >= 0.9
-    assert [c for _, c, _ in sorted(got[50])] == [100, 101, 102, 103, 104]  # ties to the smaller id
-    z = np.floor(256 * np.vstack([v, np.zeros(16)]))
-    zid = np.append(ids, 650)
-    want = set()
-    for q in range(0, 651, 50):
-        if q < 500 or q == 650:
-            s = z @ z[list(zid).index(q)]
-            o = [j for j in np.lexsort((zid, -s)) if zid[j] != q][:5]
-            want |= {(q, k + 1, int(zid[j]), int(s[j])) for k, j in enumerate(o)}
-    assert {tuple(r) for r in vectors.product_search(frame, block=64, queries=3).collect()} == want
-
-
-def test_searches_of_few_vectors(spark):
-    one = vectors_frame(spark, [(0, [1.0, 2.0], 0, 0), (1, [2.0, 1.0], 0, 0)])
-    assert [tuple(r)[:3] for r in vectors.cosine_search(one).collect()] == [(0, 1, 1)]
-    assert [tuple(r) for r in vectors.product_search(one).collect()] == [(0, 1, 1, 4 * 65536)]
-    for rows in ([], [(0, None, 0, 0)], [(0, [0.5], 0, 0)]):
-        assert vectors.cosine_search(vectors_frame(spark, rows)).count() == 0
-        assert vectors.product_search(vectors_frame(spark, rows)).count() == 0
-
-
-def test_statistics_bound_products():
-    rng = np.random.default_rng(3)
-    x, y = rng.normal(size=(30, 64)) * 50, rng.normal(size=(40, 64)) * 50
-    last = None
-    for s in vectors.levels(64):
-        (a, b), (c, d) = vectors.statistics(x, s), vectors.statistics(y, s)
-        bound = a @ c.T + b @ d.T
-        assert (bound >= x @ y.T - 1e-6).all() and (last is None or bound.mean() <= last)
-        last = bound.mean()
-
-
 PROSE = "Long text stands here in full sentences. " * 8
 
 
