@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster names it in ``spark.checkpoint.dir``; only where that is unset, as in tests, one is made."""
+    """The cluster names it in ``spark.checkpoint.dir``; only a session that runs in one process gets one made where that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="ripplegraph-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -24,6 +26,28 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _file_system(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def drop(df: DataFrame) -> None:
+    """Delete the files of a table made by ``materialize`` that nothing reads any more."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        system, target = _file_system(df.sparkSession, path)
+        system.delete(target, True)
+
+
+def write_file(spark: SparkSession, path: str, content: str | bytes) -> None:
+    """One file with this content, wherever Spark can write."""
+    system, target = _file_system(spark, path)
+    out = system.create(target, True)
+    try:
+        out.write(bytearray(content.encode() if isinstance(content, str) else content))
+    finally:
+        out.close()
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One table of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
