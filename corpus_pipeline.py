@@ -6,21 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ripplegraph.llm.common import materialize, read
-from ripplegraph.llm.langid import UNKNOWN, identify
-from ripplegraph.llm.mixing import mix, words
+from ripplegraph.llm.langid import UNKNOWN, predicted
+from ripplegraph.llm.mixing import mixed, words
 from ripplegraph.llm.neardup import near_rows
 from ripplegraph.llm.packing import pack
 from ripplegraph.llm.toxicity import train, with_scores
 
 #: SQL has no tokenizer, XXH64 or logistic fit; tests hold run() against a brute-force version.
 ORACLE_SQL: str | None = None
-KEYS = ["_row", "_key"]
+KEYS = ["__row", "__key"]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language: those without a letter, or with no n-gram of any learned language, go."""
-    columns = docs.columns
-    return identify(docs, columns).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") > 0)).select(*columns)
+    return predicted(docs, docs.columns).filter((F.col("__lang") != UNKNOWN) & (F.col("__score") > 0)).select(*docs.columns)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +30,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keyed(docs: DataFrame) -> DataFrame:
     """``docs`` with ``KEYS``, equal in rows that are equal in all columns; a doc_id may be null or repeated."""
-    return docs.withColumn("_key", F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))).withColumn("_row", F.xxhash64(*docs.columns))
+    return docs.withColumn("__key", F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))).withColumn("__row", F.xxhash64(*docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,18 +41,15 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     share one shuffle.
     """
     rows = keyed(docs)
-    groups = near_rows(rows.withColumn("_none", F.col("doc_id").isNull()), "text", ["_none", *KEYS])
-    first = groups.groupBy("component").agg(F.min(F.struct("_none", "_key", "_row")).alias("_first")).select(*[f"_first.{k}" for k in KEYS])
+    groups = near_rows(rows.withColumn("__none", F.col("doc_id").isNull()), "text", ["__none", *KEYS])
+    first = groups.groupBy("component").agg(F.min(F.struct("__none", "__key", "__row")).alias("__first")).select(*[f"__first.{k}" for k in KEYS])
     return rows.join(first, KEYS, "left_semi").dropDuplicates(KEYS).select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: documents that it doesn't take go, and those that it takes again are there again. Drawn by row, not by doc_id."""
-    rows = keyed(docs)
-    mixed = mix(rows, F.array("source"), words(F.col("text")), KEYS).filter(F.col("taken") > 0)
-    copies = mixed.groupBy(*KEYS).agg(F.sum(F.floor(F.col("taken") / F.col("size"))).cast("int").alias("_copies"))
-    taken = rows.dropDuplicates(KEYS).join(copies, KEYS)
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    """The mix: documents that it doesn't take go, and those that it takes again are there again. Drawn by whole rows, not by doc_id."""
+    taken = mixed(docs, F.array("source"), words(F.col("text")), docs.columns, docs.columns).filter("__copies > 0 and __size > 0")
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,9 +18,7 @@ two may hold different Unicode versions, the library encodes the chunk.
 from __future__ import annotations
 
 import base64
-import ctypes
 import os
-import sys
 
 import numpy as np
 import pyarrow as pa
@@ -362,12 +360,6 @@ class Encoder:
 _encoders: dict[tuple, Encoder] = {}
 
 
-def release_memory() -> None:
-    """Give freed memory back to the system, which the C library otherwise keeps for the worker's next task."""
-    if sys.platform == "linux":
-        ctypes.CDLL(None).malloc_trim(0)
-
-
 def encoder(with_ids: bool, json_name: str, rank_name: str) -> Encoder:
     """This worker's encoder; made once a process."""
     key = (with_ids, json_name, rank_name)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Callable
 
 import numpy as np
@@ -10,9 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ripplegraph.storage import materialize, read, shared_folder
+from ripplegraph.storage import drop, materialize, read, shared_folder
 
-__all__ = ["byte_buffers", "column_as_float64", "crc_of_id", "drop", "letters", "map_texts", "materialize", "pieces", "read", "shared_folder", "small_batches"]
+__all__ = ["byte_buffers", "column_as_float64", "crc_of_id", "drawn", "drop", "letters", "map_texts", "materialize", "pieces", "read", "release_memory", "shared_folder", "small_batches"]
 BATCH_ROWS = 1000
 
 _letters: np.ndarray | None = None
@@ -26,19 +28,17 @@ def letters() -> np.ndarray:
     return _letters
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system, which the C library otherwise keeps for the worker's next task."""
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def small_batches(rows: DataFrame) -> None:
     """Lower the session's limit on the rows of an Arrow batch to ``BATCH_ROWS``, since a row may hold a long text."""
     rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def drop(df: DataFrame) -> None:
-    """Delete the files of a table made by ``materialize`` that nothing reads any more."""
-    spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def map_texts(rows: DataFrame, text: str, keep: list[str], made: Callable[[pa.Array], list[pa.Array]], fields: str) -> DataFrame:
     """``keep`` columns and the columns ``fields`` that ``made`` gives for a batch of texts; no shuffle.
 
@@ -52,6 +52,7 @@ def map_texts(rows: DataFrame, text: str, keep: list[str], made: Callable[[pa.Ar
     def of(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *made(batch.column(at))], names=schema.names)
+        release_memory()
 
     return sent.mapInArrow(of, schema)
 
@@ -61,6 +62,11 @@ def crc_of_id(column: str = "doc_id") -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary"))
 
 
+def drawn(hashed: Column, wanted: int, of: int) -> Column:
+    """Whether a row belongs to a sample of about ``wanted`` rows ``of`` so many, by a hash; of any number some are drawn."""
+    return F.pmod(hashed, F.lit(1 << 53)) < max(1, int(min(1.0, wanted / max(of, 1)) * (1 << 53)))
+
+
 def byte_buffers(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a string array, one after another, and where each row begins (nulls are empty)."""
     array = array.cast(pa.large_string())

@@ -15,27 +15,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_buffers, crc_of_id, map_texts, pieces, read
+from .common import byte_buffers, crc_of_id, letters, map_texts, materialize, pieces, read, small_batches
 
 GRAM = 4  # letters and blanks of an n-gram
-PLACES = 1 << 20  # of the filter
+LEAST, MOST = 1 << 16, 1 << 23  # places of the filter: a power of two, ``ROOM`` times the n-grams of the largest language's probes
+ROOM = 4
 PROBES = 3
 DOCS_BY_LANGUAGE = 2000  # about so many documents of each language are learned from
 SHARE = 0.2  # an n-gram is a language's if it has that part of its frequency over all languages
 SLICE = 1 << 19  # bytes handled at once
 UNKNOWN = "und"
 
-_letters: np.ndarray | None = None
-
-
-def letters() -> np.ndarray:
-    """Whether each code point below 65536 is a letter."""
-    global _letters
-    if _letters is None:
-        _letters = np.array([chr(i).isalpha() for i in range(1 << 16)])
-    return _letters
-
-
 def grams(array: pa.Array):
     """(packed n-grams, text of each, texts) for runs of texts.
 
@@ -47,8 +37,9 @@ def grams(array: pa.Array):
         texts = [(x or "").lower() for x in array.slice(a, b - a).to_pylist()]
         codes = np.frombuffer("".join([f"  {x}  " for x in texts]).encode("utf-32-le", "surrogatepass"), np.uint32)
         text = np.repeat(np.arange(len(texts)), np.array([len(x) + 4 for x in texts], np.int64))
-        letter = letters()[np.minimum(codes, 0xFFFF)] | (codes >= 0x20000)
-        codes = np.where(letter, codes & 0xFFFF, 0x20).astype(np.uint64)
+        letter = letters()[codes]
+        codes = (codes & 0xFFFF) ^ (codes >> 16) * np.uint32(0x1F35)  # 16 bits of a letter, those of higher planes mixed in
+        codes = np.where(letter, np.where(codes == 0x20, 0x21, codes & 0xFFFF), 0x20).astype(np.uint64)
         size = np.bincount(text, minlength=len(texts))
         edge = np.cumsum(size) - size
         keep = letter | np.append(True, letter[:-1])
@@ -65,26 +56,26 @@ def grams(array: pa.Array):
         yield packed[own], text[:n][own], len(texts)
 
 
-def places(packed: np.ndarray) -> list[np.ndarray]:
-    """The places of each n-gram, by double hashing."""
+def places(packed: np.ndarray, n: int) -> list[np.ndarray]:
+    """The places of each n-gram among ``n``, by double hashing."""
     h = (packed ^ (packed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
     h *= np.uint64(0x94D049BB133111EB)
     one, two = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1)
-    return [((one + np.uint64(i) * two) & np.uint64(PLACES - 1)).astype(np.int64) for i in range(PROBES)]
+    return [((one + np.uint64(i) * two) & np.uint64(n - 1)).astype(np.int64) for i in range(PROBES)]
 
 
 @dataclass
 class Filters:
     names: list[str]  # sorted; the languages by bit
-    words: np.ndarray  # PLACES x words of 64 languages
+    words: np.ndarray  # places x words of 64 languages
     false: np.ndarray  # chance of a false positive by language
     prior: int  # language of a text whose n-grams no language has
 
     def lookup(self, packed: np.ndarray) -> np.ndarray:
         """Bits of the languages that contain each n-gram."""
         found = None
-        for p in places(packed):
+        for p in places(packed, len(self.words)):
             found = self.words[p] if found is None else found & self.words[p]
         return found
 
@@ -114,25 +105,28 @@ class Filters:
         return names, np.where(totals > 0, score, 0.0)
 
 
-def build(names: list[str], language: np.ndarray, packed: np.ndarray, count: np.ndarray) -> Filters:
-    """Filters of the n-grams that are a language's own share, from (language number, n-gram, count)."""
-    total = np.maximum(np.bincount(language, weights=count, minlength=len(names)), 1)
-    rate = count / total[language]
-    distinct, place = np.unique(packed, return_inverse=True)
-    over_all = np.bincount(place, weights=rate, minlength=len(distinct))
-    mine = (rate >= SHARE * over_all[place]) & (count >= 2)
-    if not mine.any():
-        mine = rate >= SHARE * over_all[place]  # a sample so small that nothing comes twice
-    words = np.zeros((PLACES, max(1, -(-len(names) // 64))), np.uint64)
+def build(names: list[str], language: np.ndarray, packed: np.ndarray, total: np.ndarray) -> Filters:
+    """Filters of the n-grams chosen for each language, from (language number, n-gram) and the n-grams learned from by language."""
+    most = int(np.bincount(language, minlength=1).max()) * PROBES * ROOM
+    n = min(MOST, max(LEAST, 1 << max(most - 1, 1).bit_length()))
+    words = np.zeros((n, max(1, -(-len(names) // 64))), np.uint64)
     false = np.zeros(len(names))
     for i in range(len(names)):
         bit = np.uint64(1) << np.uint64(i % 64)
-        chosen = packed[mine & (language == i)]
-        for p in places(chosen):
+        for p in places(packed[language == i], n):
             words[np.unique(p), i // 64] |= bit
         false[i] = np.mean((words[:, i // 64] & bit) > 0) ** PROBES
-    prior = int(total.argmax()) if names else 0
-    return Filters(names, words, np.minimum(false, 0.99), prior)
+    return Filters(names, words, np.minimum(false, 0.99), int(total.argmax()) if names else 0)
+
+
+def chosen(counted: DataFrame) -> DataFrame:
+    """(l, g) of the n-grams that are a language's own share, from (l, g, n); those that come once only where nothing comes twice."""
+    total = counted.groupBy("l").agg(F.sum("n").alias("t"))
+    rated = counted.join(F.broadcast(total), "l").withColumn("r", F.col("n") / F.col("t"))  # a row a language
+    own = rated.groupBy("g").agg((F.sum("r") * SHARE).alias("least"))
+    mine = rated.join(own, "g").filter(F.col("r") * (1 + 1e-9) >= F.col("least"))  # sums are rounded
+    often = mine.filter("n >= 2")
+    return (mine if often.isEmpty() else often).select("l", "g")
 
 
 def train(docs: DataFrame, by_language: int = DOCS_BY_LANGUAGE) -> Filters:
@@ -147,8 +141,8 @@ def train(docs: DataFrame, by_language: int = DOCS_BY_LANGUAGE) -> Filters:
     if not names:
         return build([], np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0))
     number = {n: i for i, n in enumerate(names)}
-    plan = docs.sparkSession.createDataFrame([(n, number[n], int(min(1.0, by_language / sizes[n]) * 1_000_000)) for n in names], "lang string, _l int, _of long")
-    drawn = rows.join(F.broadcast(plan), "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("_of"))
+    plan = docs.sparkSession.createDataFrame([(n, number[n], max(1, int(min(1.0, by_language / sizes[n]) * (1 << 53)))) for n in names], "lang string, _l int, _of long")
+    some = rows.join(F.broadcast(plan), "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 53)) < F.col("_of"))
 
     def count(batches):
         for batch in batches:
@@ -161,28 +155,40 @@ def train(docs: DataFrame, by_language: int = DOCS_BY_LANGUAGE) -> Filters:
                     key, k = np.unique(packed[of == i], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), i, np.int32)), pa.array(key.view(np.int64)), pa.array(k)], names=["l", "g", "n"])
 
-    counted = drawn.select("_l", "text").mapInArrow(count, "l int, g long, n long").groupBy("l", "g").agg(F.sum("n").alias("n"))
-    table = counted.toPandas()  # n-grams of the bounded sample
-    return build(names, table["l"].to_numpy(np.int64), table["g"].to_numpy(np.int64).view(np.uint64), table["n"].to_numpy(float))
-
+    small_batches(docs)
+    counted = some.select("_l", "text").mapInArrow(count, "l int, g long, n long").groupBy("l", "g").agg(F.sum("n").alias("n"))
+    counted = materialize(counted, "n-grams")
+    total = np.zeros(len(names))
+    for r in counted.groupBy("l").agg(F.sum("n").alias("t")).collect():
+        total[r["l"]] = r["t"]
+    table = chosen(counted).toArrow()  # n-grams of the bounded sample
+    return build(names, table.column("l").to_numpy().astype(np.int64), table.column("g").to_numpy().view(np.uint64), total)
 
-def identify(docs: DataFrame, keep: list[str], filters: Filters | None = None) -> DataFrame:
-    """``keep`` columns with ``held_out``, ``lang_pred`` and ``score`` of every row of ``docs``.
 
-    Reads the whole text and nothing else of a row. Null texts and texts without a letter are ``und`` with
-    score 0. A text with letters that no language's n-grams match gets the most learned-from language,
-    score 0. Ties go to the first language by name. Without any labelled row all texts are ``und``.
-    """
+def predicted(docs: DataFrame, keep: list[str], filters: Filters | None = None) -> DataFrame:
+    """``keep`` columns with ``__lang`` and ``__score``; see ``identify``."""
     filters = filters or train(docs)
-    shared = docs.sparkSession.sparkContext.broadcast(filters)  # PLACES words for each 64 languages
-    rows = docs.withColumn("_held", F.coalesce(crc_of_id() % 5 == 0, F.lit(False)))
+    shared = docs.sparkSession.sparkContext.broadcast(filters)  # MOST words at most for each 64 languages
 
     def of(texts: pa.Array) -> list[pa.Array]:
         names, score = shared.value.predict(texts)
         return [pa.array(names, pa.string()), pa.array(score)]
 
-    out = map_texts(rows, "text", [*keep, "_held"], of, "lang_pred string, score double")
-    return out.select(*keep, F.col("_held").alias("held_out"), "lang_pred", "score")
+    return map_texts(docs, "text", keep, of, "__lang string, __score double")
+
+
+def identify(docs: DataFrame, keep: list[str], filters: Filters | None = None) -> DataFrame:
+    """``keep`` columns with ``held_out``, ``lang_pred`` and ``score`` of every row of ``docs``.
+
+    Reads the whole text and nothing else of a row, however long it is. Null texts and texts without a letter are ``und`` with
+    score 0. A text with letters that no language's n-grams match gets the most learned-from language,
+    score 0. Ties go to the first language by name. Without any labelled row all texts are ``und``. Repeated rows
+    stay repeated and are read alike; an empty table gives an empty result. Other columns of any name don't matter,
+    but names that begin with two underscores are reserved; ``keep`` can't hold the new columns' names.
+    """
+    rows = docs.withColumn("__held", F.coalesce(crc_of_id() % 5 == 0, F.lit(False)))
+    out = predicted(rows, [*keep, "__held"], filters or train(docs))
+    return out.select(*keep, F.col("__held").alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,8 @@ from pyspark.sql.window import Window as W
 from .common import materialize, read
 
 WORD = r"[^\x20\x09-\x0D]+"
-MOST_PATTERNS = 200_000  # rows of the plan; more membership patterns than that are refused
+RANGE = 12  # bits of the hash that one step of the search for a pattern's edge takes
+ORDERED = 10_000  # different hashes of a pattern that are put in order
 
 
 def capped_targets(sizes: list[int], weights: list[float], most: float) -> list[float]:
@@ -130,85 +131,110 @@ def route(sizes: dict[tuple, int], targets: dict, repeats: int) -> dict[tuple, d
     return out
 
 
-def mix(docs: DataFrame, sources: Column, size: Column, keep: list[str], repeats: int = 3, buckets: int = 4096, seed: int = 17) -> DataFrame:
-    """``keep`` columns (the first is the id that is drawn by) with ``size``, ``source_size``, ``target`` and ``taken``.
+def mixed(docs: DataFrame, sources: Column, size: Column, keep: list[str], by: list[str], repeats: int = 3, seed: int = 17) -> DataFrame:
+    """``keep`` columns with ``__size``, ``__source_size``, ``__target`` and ``__copies``, how often the mix takes the row.
 
-    ``sources`` is an array of source names (an empty one counts as the source null; null names come last).
-    Weights are 1, 2, 3, repeating, by code point. ``taken`` is a whole number of copies, at most ``repeats``.
-    ``source_size`` and ``target`` are those of the document's first source. Repeated rows are drawn together
-    or next to each other. Documents without words take nothing; an empty table gives an empty result.
-
-    The draw is a threshold on a seeded hash. Its place is found from sums over ``buckets`` ranges of the
-    hash, and only the one range in which the sum is reached is put in order, by source. One document more
-    makes up what the last of them leaves.
+    The draw is a threshold on a seeded hash of the columns ``by``. Sums over ranges of the hash find the range in which
+    a pattern's words are reached, then the ranges within that one, until few rows are left to be put in order. One
+    document more closes the gap. Of rows equal in ``by`` as many are taken as there is room for. Texts are read
+    twice, and never shuffled but for equal rows of which a part is taken.
     """
     spark = docs.sparkSession
     names = F.array_sort(F.array_distinct(F.when(F.size(sources) > 0, sources).otherwise(F.array(F.lit(None).cast("string")))))
-    drawn = F.xxhash64(F.col(keep[0]), F.lit(seed))
-    digest = docs.select(
-        *keep,
-        names.alias("_p"),
-        size.cast("long").alias("size"),
-        F.pmod(drawn, F.lit(buckets)).cast("int").alias("_bucket"),
-        F.xxhash64(F.col(keep[0]), F.lit(seed + 1)).alias("_order"),
-    )
-    digest = materialize(digest, "mix")
-    by_bucket = digest.groupBy("_p", "_bucket").agg(F.sum("size").alias("_n"))
-    sums = by_bucket.groupBy("_p").agg(F.sum("_n").alias("n")).limit(MOST_PATTERNS + 1).collect()
-    if len(sums) > MOST_PATTERNS:
-        raise ValueError(f"more than {MOST_PATTERNS} membership patterns")
-    sizes = {tuple(r["_p"]): r["n"] for r in sums}
+    spelled = F.transform("__p", lambda x: F.coalesce(F.concat(F.lit("="), x), F.lit("0")))
+    made = docs.select(*keep, names.alias("__p"), size.cast("long").alias("__size"), F.xxhash64(*[F.col(c) for c in by], F.lit(seed)).alias("__h"))
+    made = made.withColumn("__k", F.xxhash64(F.array_join(spelled, "\u0001")))
+    digest = materialize(made.select("__p", "__k", "__size", "__h"), "mix")
+    sums = digest.groupBy("__k", "__p").agg(F.sum("__size").alias("n")).collect()  # a row a pattern
+    sizes = {tuple(r["__p"]): r["n"] for r in sums}
     order = sorted({s for p in sizes for s in p}, key=lambda s: (s is None, s))
     own: dict = defaultdict(int)
+    base: dict = defaultdict(int)  # a word in two sources counts for the first of them only in what is shared out
     for p, n in sizes.items():
+        base[p[0]] += n
         for s in p:
             own[s] += n
-    # a word in two sources counts for the first of them only in what is shared out
-    base: dict = defaultdict(int)
-    for p, n in sizes.items():
-        base[p[0]] += n
     weights = [1.0 + i % 3 for i in range(len(order))]
     shared = [own[s] for s in order] if sum(own.values()) == sum(sizes.values()) else [base[s] for s in order]
     targets = dict(zip(order, capped_targets(shared, weights, repeats), strict=True))
     flow = route(sizes, targets, repeats)
     plan = []
-    for p, n in sizes.items():
-        words = sum(flow.get(p, {}).values())
-        copies = min(words // n, repeats) if n else 0
-        plan.append((list(p), own[p[0]], float(targets[p[0]]), int(copies), int(words - copies * n)))
-    rows = spark.createDataFrame(plan, "_p array<string>, source_size long, target double, _copies long, _more long")
-    rows = F.broadcast(rows)  # at most MOST_PATTERNS rows
-    same = lambda a, b: a["_p"].eqNullSafe(b["_p"])
-    before = W.partitionBy("_p").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    reached = by_bucket.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    reached = reached.join(rows.select("_p", "_more"), same(reached, rows)).drop(rows["_p"])
-    edge = reached.filter((F.col("_before") < F.col("_more")) & (F.col("_more") <= F.col("_before") + F.col("_n")))
-    edge = edge.select(F.col("_p"), F.col("_bucket").alias("_edge"), F.col("_before"))
-    with_plan = digest.join(rows, same(digest, rows), "left").drop(rows["_p"])
-    edge = F.broadcast(edge)  # one row a pattern at most
-    with_edge = with_plan.join(edge, same(with_plan, edge), "left").drop(edge["_p"])
-    at_edge = F.col("_bucket") == F.col("_edge")
-    inside = with_edge.filter(at_edge)
-    upto = W.partitionBy("_p").orderBy("_order", *keep, "size").rowsBetween(W.unboundedPreceding, -1)
-    inside = inside.withColumn("_sum", F.col("_before") + F.coalesce(F.sum("size").over(upto), F.lit(0)))
-    inside = inside.withColumn("_more_here", F.col("_sum") + F.col("size") <= F.col("_more"))
-    below = F.coalesce(F.col("_bucket") < F.col("_edge"), F.lit(False))
-    outside = with_edge.filter(F.coalesce(~at_edge, F.lit(True))).withColumn("_more_here", below)
-    # what is still missing is made up by the one other document whose size comes nearest to it
-    gap = inside.groupBy("_p").agg(F.max(F.when(F.col("_more_here"), F.col("_sum") + F.col("size")).otherwise(F.col("_before"))).alias("_sum"))
-    gap = F.broadcast(gap.join(rows, same(gap, rows)).select(gap["_p"], (F.col("_more") - F.col("_sum")).alias("_gap")))
-    names_out = [*keep, "size", "source_size", "target"]
-    both = outside.drop("_before").unionByName(inside.drop("_before", "_sum"))
-    off = F.abs(F.col("size") - F.col("_gap"))
-    spare = both.filter(~F.col("_more_here")).join(gap, same(both, gap)).drop(gap["_p"]).filter(off < F.col("_gap"))
-    spare = spare.groupBy("_p").agg(F.min(F.struct(off.alias("off"), "_order", *keep)).alias("_best"))
-    spare = F.broadcast(spare)  # one row a pattern at most
-    chosen = both.join(spare, same(both, spare), "left").drop(spare["_p"])
-    best = F.coalesce(F.col("_best._order") == F.col("_order"), F.lit(False)) & ~F.col("_more_here")
-    for k in keep:
-        best = best & F.col(f"_best.{k}").eqNullSafe(F.col(k))
-    taken = (F.col("_copies") + (F.col("_more_here") | best).cast("long")) * F.col("size")
-    return chosen.select(*names_out, taken.alias("taken"))
+    for r in sums:
+        p, n = tuple(r["__p"]), r["n"]
+        wanted = sum(flow.get(p, {}).values())
+        copies = min(wanted // n, repeats) if n else 0
+        plan.append((r["__k"], own[p[0]], float(targets[p[0]]), int(copies), int(wanted - copies * n)))
+    schema = "__k long, __source_size long, __target double, __whole long, __more long"
+    rows = materialize(spark.createDataFrame(plan, schema), "mix-plan")
+    some = materialize(_partly(digest, rows), "mix-edges")
+    out = made.join(rows.drop("__more"), "__k").join(some.select("__k", "__edge").distinct(), "__k", "left")
+    out = out.withColumn("__copies", F.col("__whole") + F.coalesce(F.col("__h") < F.col("__edge"), F.lit(False)).cast("long"))
+    parts = some.select("__k", F.explode("__items").alias("i")).select("__k", "i.*").select("__k", F.col("h").alias("__h"), "q", "m")
+    out = out.join(parts, ["__k", "__h"], "left")
+    columns = [*keep, "__size", "__source_size", "__target"]
+    done = out.filter("q is null or q = m").select(*columns, (F.col("__copies") + F.when(F.col("q").isNotNull(), 1).otherwise(0)).alias("__copies"))
+    if parts.filter("q < m").isEmpty():
+        return done
+    split = out.filter("q < m").withColumns({"__part": F.spark_partition_id(), "__pos": F.monotonically_increasing_id()})
+    split = materialize(split, "mix-equal")
+    before = W.partitionBy("__k", "__h").orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    starts = split.groupBy("__k", "__h", "__part").agg(F.count("*").alias("__n"))
+    starts = starts.select("__k", "__h", "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    place = F.row_number().over(W.partitionBy("__k", "__h", "__part").orderBy("__pos"))
+    split = split.withColumn("__place", place).join(starts, ["__k", "__h", "__part"])
+    taken = (F.col("__start") + F.col("__place") <= F.col("q")).cast("long")
+    return done.unionByName(split.select(*columns, (F.col("__copies") + taken).alias("__copies")))
+
+
+def _partly(digest: DataFrame, rows: DataFrame) -> DataFrame:
+    """(__k, __edge, __items) of each pattern of which a part is taken: rows whose hash is below the edge, and q of the m rows of each item's hash."""
+    sized = digest.filter("__size > 0").select("__k", "__h", "__size")
+    here = rows.filter("__more > 0").select("__k", "__more", F.lit(0).cast("long").alias("__before"), F.lit(None).cast("long").alias("__range"))
+    bits = 64
+    while True:
+        inside = sized.join(here, "__k").filter(F.col("__range").isNull() | (F.shiftright("__h", bits) == F.col("__range")) if bits < 64 else F.lit(True))
+        most = inside.groupBy("__k").agg(F.approx_count_distinct("__h").alias("n")).agg(F.max("n")).first()[0] or 0
+        if most <= ORDERED or bits <= RANGE:
+            break
+        bits -= RANGE
+        by_range = inside.groupBy("__k", "__more", "__before", F.shiftright("__h", bits).alias("_range")).agg(F.sum("__size").alias("_n"))
+        here = materialize(_edge(by_range, "_range").select("__k", "__more", F.col("_before").alias("__before"), F.col("_range").alias("__range")), "mix-ranges")
+    items = inside.groupBy("__k", "__more", "__before", "__h").agg(F.sum("__size").alias("_n"), F.count("*").alias("m"), F.min("__size").alias("z"))
+    edge = _edge(items, "__h").withColumn("q", F.least("m", F.floor((F.col("__more") - F.col("_before")) / F.col("z"))))
+    edge = edge.select("__k", F.col("__h").alias("__edge"), "q", "m", (F.col("__more") - F.col("_before") - F.col("q") * F.col("z")).alias("_gap"))
+    edge = materialize(edge, "mix-edge")
+    off = F.abs(F.col("__size") - F.col("_gap"))
+    left = sized.join(edge.filter("_gap > 0"), "__k").filter((F.col("__h") > F.col("__edge")) | ((F.col("__h") == F.col("__edge")) & (F.col("q") < F.col("m"))))
+    spare = left.filter(off < F.col("_gap")).groupBy("__k").agg(F.min(F.struct(off.alias("off"), F.col("__h").alias("h"))).alias("s")).select("__k", F.col("s.h").alias("h"))
+    spare = sized.join(spare, "__k").filter(F.col("__h") == F.col("h")).groupBy("__k", "h").agg(F.count("*").alias("m2"))
+    both = edge.join(spare, "__k", "left")
+    item = lambda h, q, m: F.struct(F.col(h).alias("h"), q.cast("long").alias("q"), F.col(m).cast("long").alias("m"))
+    more = F.col("q") + (F.col("h") == F.col("__edge")).cast("long")
+    items = F.when(F.col("h").isNull(), F.array(item("__edge", F.col("q"), "m"))).when(F.col("h") == F.col("__edge"), F.array(item("__edge", more, "m")))
+    items = items.otherwise(F.array(item("__edge", F.col("q"), "m"), item("h", F.lit(1), "m2")))
+    return both.select("__k", "__edge", items.alias("__items"))
+
+
+def _edge(sums: DataFrame, by: str) -> DataFrame:
+    """Of each pattern's sums ``_n`` in the order of ``by`` that one in which ``__more`` words are reached, with what comes ``_before``."""
+    before = W.partitionBy("__k").orderBy(by).rowsBetween(W.unboundedPreceding, -1)
+    reached = sums.withColumn("_before", F.col("__before") + F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    return reached.filter((F.col("_before") < F.col("__more")) & (F.col("__more") <= F.col("_before") + F.col("_n")))
+
+
+def mix(docs: DataFrame, sources: Column, size: Column, keep: list[str], by: list[str] | None = None, repeats: int = 3) -> DataFrame:
+    """``keep`` columns with ``size``, ``source_size``, ``target`` and ``taken``; drawn by the columns ``by``, or else ``keep``.
+
+    ``sources`` is an array of source names (an empty one counts as the source null; null names come last).
+    Weights are 1, 2, 3, repeating, by code point. ``taken`` is a whole number of copies, at most ``repeats``.
+    ``source_size`` and ``target`` are those of the document's first source. Repeated rows are taken one by one, null
+    ids like any other. Documents without words take nothing; texts are counted whole; an empty table gives an
+    empty result. Other columns of any name don't matter, but names that begin with two underscores are
+    reserved. The driver holds a row for each pattern.
+    """
+    out = mixed(docs, sources, size, keep, by or keep, repeats)
+    taken = (F.col("__copies") * F.col("__size")).alias("taken")
+    return out.select(*keep, F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), taken)
 
 
 def words(text: Column) -> Column:
@@ -219,4 +245,4 @@ def words(text: Column) -> Column:
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents`` mixed to weights 1, 2, 3 by source."""
     docs = read(spark, sf_dir, "documents")
-    return mix(docs, F.array("source"), words(F.col("text")), ["doc_id"])
+    return mix(docs, F.array("source"), words(F.col("text")), ["doc_id"], by=["doc_id", "source", "text"])

@@ -1,45 +1,38 @@
-"""Near-duplicate rows by the exact Jaccard similarity of their word shingles.
-
-A text's shingles give ``BANDS`` keys of ``ROWS`` min-hashes each; texts that share a key are candidates, and a pair
-of similarity 0.8 shares none with a chance of 0.00007. A candidate pair is linked if the similarity of its whole
-shingle sets is high enough. Texts of the same words are one node.
+"""Near-duplicate rows: SimHash with Golay-code keys, carried on to a similarity of word shingles.
+
+Texts whose fingerprints lie within two bits share a key of ``simhash``. That finds copies with a few edits only, for
+two texts of Jaccard similarity 0.8 differ in ten bits of 64 on average; so a text's shingles give ``BANDS`` more keys of
+``ROWS`` min-hashes each, and a pair of similarity 0.8 shares none of them with a chance of 0.00007. Whatever
+the key, texts are linked only if the Jaccard similarity of their whole shingle sets is high enough. Texts of the
+same words are one node. Sets hold 32 bits of each shingle's hash, so of a million shingles one in some
+thousands may be taken for another.
 """
 
 from __future__ import annotations
 
-from itertools import repeat
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, materialize
+from .common import drop, map_texts, materialize, release_memory
 from .components import components
+from .simhash import keys_of, majority, shingle_hashes
 
 SHINGLE, TENTHS = 5, 8  # words of a shingle; tenths of similarity from which texts are near
 BANDS, ROWS = 24, 5
-PAIRWISE = 32  # nodes of a key up to which all pairs are candidates at once
-CENTRES = 4  # nodes of a larger key that all others are held against first
+MEMBERS = 1000  # texts that are held against a centre in one group
+SHINGLES = 1 << 20  # shingles, about, of the texts on either side of a group
 
 _random = np.random.default_rng(20)
 FACTORS = _random.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 MASKS = _random.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 
 
-def shingles(text: bytes) -> tuple[int, np.ndarray]:
-    """Hash of a text's words, and its different shingles' sorted hashes; a text shorter than a shingle is one."""
-    import xxhash
-
-    words = text.lower().split()  # bytes: lower-cases A-Z, splits at \x20 and \x09-\x0D only
-    whole = b" ".join(words)
-    grams = map(b" ".join, zip(*[words[i:] for i in range(SHINGLE)], strict=False)) if len(words) > SHINGLE else [whole]
-    made = np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(42)), np.uint64)
-    return xxhash.xxh3_64_intdigest(whole), np.unique(made)
-
-
 def band_keys(hashes: np.ndarray) -> list[int]:
-    """The keys of a set of shingles."""
+    """The min-hash keys of a set of shingles."""
     import xxhash
 
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
@@ -52,67 +45,133 @@ def signed(rows: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """``keep`` columns with ``node``, ``n`` and ``hashes`` (shingles) and ``keys``; no shuffle. Null text has no words."""
 
     def of(texts: pa.Array) -> list[pa.Array]:
-        made = [shingles(x or b"") for x in texts.to_pylist()]
-        nodes = np.array([x for x, _ in made], np.uint64).view(np.int64)
-        keys = np.array([k for _, h in made for k in band_keys(h)], np.uint64).view(np.int64)
-        ends = pa.array(np.arange(len(made) + 1, dtype=np.int32) * BANDS)
-        return [pa.array(nodes), pa.array([len(h) for _, h in made], pa.int64()), pa.ListArray.from_arrays(ends, pa.array(keys)), pa.array([h.tobytes() for _, h in made], pa.binary())]
-
-    return map_texts(rows.withColumn("_bytes", F.col(text).cast("binary")), "_bytes", keep, of, "node long, n long, keys array<long>, hashes binary")
-
-
-def near(x: bytes, y: bytes) -> bool:
-    """Whether the similarity of two sets of shingles is high enough."""
-    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return 10 * both >= TENTHS * (len(x) + len(y) - both)
-
-
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The links among candidate pairs (a, b)."""
-
-    def of(batches):
+        import xxhash
+
+        nodes, sets, bands, fps = [], [], [], []
+        for x in texts.to_pylist():
+            whole, h = shingle_hashes(x or b"", SHINGLE)
+            nodes.append(xxhash.xxh3_64_intdigest(whole))
+            fps.append(majority(h))
+            bands.append(band_keys(np.unique(h)))
+            sets.append(np.unique(h.astype(np.uint32)))
+        row, golay = keys_of(np.array(fps, np.uint64).view(np.int64))
+        count = np.bincount(row, minlength=len(nodes))
+        ends = np.concatenate([[0], np.cumsum(BANDS + count)]).astype(np.int32)
+        keys = np.zeros(int(ends[-1]), np.int64)
+        for i, b in enumerate(bands):
+            keys[ends[i] : ends[i] + BANDS] = np.array(b, np.uint64).view(np.int64)
+        order = np.argsort(row, kind="stable")
+        keys[np.repeat(ends[:-1] + BANDS - (np.cumsum(count) - count), count) + np.arange(len(row))] = golay[order]
+        return [
+            pa.array(np.array(nodes, np.uint64).view(np.int64)),
+            pa.array([len(x) for x in sets], pa.int64()),
+            pa.ListArray.from_arrays(pa.array(ends), pa.array(keys)),
+            pa.array([x.tobytes() for x in sets], pa.binary()),
+        ]
+
+    return map_texts(rows.withColumn("__bytes", F.col(text).cast("binary")), "__bytes", keep, of, "node long, n long, keys array<long>, hashes binary")
+
+
+def near_pairs(nodes: np.ndarray, roots: np.ndarray, asks: np.ndarray, sets: list[bytes]) -> tuple[list[int], list[int]]:
+    """Links between texts that ask and near ones of another root, one for each text and root.
+
+    The members' shingles are sorted once; a text that asks looks up its own and counts whom it meets.
+    """
+    members = [np.frombuffer(s, np.uint32) for s in sets]
+    size = np.array([len(m) for m in members])
+    owner = np.repeat(np.arange(len(members)), size)
+    values = np.concatenate(members)
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    a, b = [], []
+    for i in np.flatnonzero(asks).tolist():
+        first, last = np.searchsorted(values, members[i], side="left"), np.searchsorted(values, members[i], side="right")
+        n = last - first
+        at = np.arange(int(n.sum())) + np.repeat(first - (np.cumsum(n) - n), n)
+        both = np.bincount(owner[at], minlength=len(members))
+        near = np.flatnonzero((10 * both >= TENTHS * (size[i] + size - both)) & (roots != roots[i]) & (nodes != nodes[i]))
+        near = near[np.unique(roots[near], return_index=True)[1]]
+        a.extend([int(nodes[i])] * len(near))
+        b.extend(nodes[near].tolist())
+    return a, b
+
+
+def near_links(groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) within the groups (gid, node, root, asks): a group is read in one piece, and holds a bounded number of texts."""
+    links = "a long, b long"
+
+    def links_of(batch: pa.Table) -> pa.RecordBatch:
+        columns = [batch.column(c).to_numpy() for c in ("node", "root", "asks")]
+        a, b = near_pairs(*columns, batch.column("hashes").to_pylist())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            ok = pa.array([near(p, q) for p, q in zip(x, y, strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(ok)
-
-    x, y = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(of, "a long, b long")
-
-
-def _pairs(x: DataFrame, y: DataFrame, more=None) -> DataFrame:
-    """Different pairs (a, b) of nodes that share a key and whose sizes let them be near."""
-    x, y = x.alias("x"), y.alias("y")
-    sizes = F.least("x.n", "y.n") * 10 >= F.greatest("x.n", "y.n") * TENTHS
-    on = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") != F.col("y.node")) & sizes
-    both = x.join(y, on if more is None else on & more)
-    return both.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
+            if not batch.num_rows:
+                continue
+            gid = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(gid[1:] != gid[:-1]) + 1).tolist(), len(gid)]
+            if held and held[-1].column(0)[0].as_py() != gid[0]:
+                yield links_of(pa.Table.from_batches(held))
+                held = []
+            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                if x:
+                    yield links_of(pa.Table.from_batches(held))
+                    held = []
+                held.append(batch.slice(x, y - x))
+        if held:
+            yield links_of(pa.Table.from_batches(held))
+        release_memory()
+
+    whole = groups.join(sets, "node").select("gid", "node", "root", "asks", "hashes")
+    return whole.repartition("gid").sortWithinPartitions("gid").mapInArrow(run, links).distinct()
 
 
 def near_rows(rows: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """``keep`` columns and ``component`` of every row: rows of one component are linked, at least through others.
 
-    Keys shared by few are compared two by two. In a key shared by many, all are held against a few centres first;
-    what is left to compare are pairs of its nodes that aren't in one component yet, so a large group of near
-    copies doesn't cost the square of its size and no pair is left out that could join anything.
+    First, each key's texts are held against its centre: that text whose keys are shared most, so that the original
+    of many copies, not one of the copies, is asked. Then, wherever a key's texts aren't all in one component, those
+    outside its largest component are held against all others of that key. So a large group of near copies doesn't cost the square of its size, and no pair is left out that could
+    join anything. Large keys are dealt over several groups on either side.
     """
-    printed = materialize(signed(rows, text, keep), "signed")
-    nodes = printed.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
-    keyed = materialize(nodes.select("node", "n", F.explode("keys").alias("key")), "keys")
-    shared = materialize(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1"), "key"), "shared")
-    sets = printed.select("node", "hashes").join(shared.select("node").distinct(), "node", "left_semi")
-    sets = materialize(sets.groupBy("node").agg(F.first("hashes").alias("hashes")), "sets")
-    few, many = shared.filter(F.col("k") <= PAIRWISE), shared.filter(F.col("k") > PAIRWISE)
-    order = [F.struct(F.xxhash64("node", F.lit(i)).alias("h"), "node", "n") for i in range(CENTRES)]
-    centres = many.groupBy("key").agg(F.array(*[F.min(x) for x in order]).alias("c")).select("key", F.explode("c").alias("c")).select("key", "c.node", "c.n")
-    links = materialize(verified(_pairs(few, few, F.col("x.node") > F.col("y.node")).unionByName(_pairs(many, centres)).distinct(), sets), "near")
+    made = [materialize(signed(rows, text, keep), "signed")]
+    printed = made[0]
+    keep_table = lambda df, what: made.append(materialize(df, what)) or made[-1]
+    nodes = keep_table(printed.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys")), "nodes")
+    keyed = nodes.select("node", "n", F.explode(F.array_distinct("keys")).alias("key"))
+    shared = keep_table(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1"), "key"), "shared")
+    reach = shared.groupBy("node").agg(F.sum("k").alias("reach"))
+    sets = printed.select("node", "hashes").join(reach.select("node"), "node", "left_semi")
+    sets = keep_table(sets.groupBy("node").agg(F.first("hashes").alias("hashes")), "sets")
+
+    best = shared.join(reach, "node").groupBy("key").agg(F.max(F.struct("reach", "node", "n")).alias("c")).select("key", F.col("c.node").alias("centre"), F.col("c.n").alias("m"))
+    sizes = F.least("n", "m") * 10 >= F.greatest("n", "m") * TENTHS
+    pairs = keep_table(shared.join(best, "key").filter((F.col("node") != F.col("centre")) & sizes).select("centre", "node").distinct(), "pairs")
+    parts = pairs.groupBy("centre").agg(F.ceil(F.count("*") / MEMBERS).alias("parts"))
+    gid = F.xxhash64("centre", "part")
+    members = pairs.join(parts, "centre").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    asking = parts.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    held = members.select(gid.alias("gid"), "node", F.lit(False).alias("asks")).unionByName(asking.select(gid.alias("gid"), F.col("centre").alias("node"), F.lit(True).alias("asks")))
+    links = keep_table(near_links(held.withColumn("root", F.col("node")), sets), "near")
     groups = components(links)
-    if not many.isEmpty():
-        named = many.join(groups, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
-        named = materialize(named, "named")
-        most = named.groupBy("key", "root").agg(F.count("*").alias("m")).groupBy("key").agg(F.max_by("root", F.struct("m", "root")).alias("most"))
-        apart = named.join(most, "key").filter("root <> most")
-        rest = verified(_pairs(apart, named, F.col("x.root") != F.col("y.root")), sets)
-        groups = components(links.unionByName(rest))
-    return printed.select(*keep, "node").join(groups, "node", "left").select(*keep, F.coalesce("root", "node").alias("component"))
+
+    named = shared.join(groups, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
+    named = keep_table(named, "named")
+    by_root = named.groupBy("key", "root").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
+    most = by_root.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("most"), F.count("*").alias("roots"), F.sum("n").alias("all"), F.max(F.struct("c", "root", "n"))["n"].alias("in_most")).filter("roots > 1")
+    blocks = most.select("key", "most", F.ceil(F.col("all") / SHINGLES).alias("wide"), F.ceil((F.col("all") - F.col("in_most")) / SHINGLES).alias("deep"))
+    open_ = named.join(blocks, "key")
+    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    gid = F.xxhash64("key", "x", "y")
+    member = open_.withColumn("x", F.pmod(F.xxhash64("node"), F.col("wide"))).withColumn("y", upto("deep"))
+    asker = open_.filter("root <> most").withColumn("y", F.pmod(F.xxhash64("node", F.lit(1)), F.col("deep"))).withColumn("x", upto("wide"))
+    held = member.select(gid.alias("gid"), "node", "root", F.lit(False).alias("asks")).unionByName(asker.select(gid.alias("gid"), "node", "root", F.lit(True).alias("asks")))
+    held = held.groupBy("gid", "node", "root").agg(F.bool_or("asks").alias("asks"))
+    rest = near_links(held, sets)
+    groups = components(links.unionByName(rest))
+    out = materialize(printed.select(*keep, "node").join(groups, "node", "left").select(*keep, F.coalesce("root", "node").alias("component")), "near-rows")
+    for table in [*made, groups]:
+        drop(table)
+    return out

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from .bpe import encoder, release_memory
-from .common import materialize, read, small_batches
+from .bpe import encoder
+from .common import materialize, read, release_memory, small_batches
 
 PIECES = T.StructType(
     [

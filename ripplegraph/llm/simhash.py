@@ -28,24 +28,31 @@ PAIRWISE = 32  # fingerprints of a key up to which they are compared two by two
 TOGETHER = 50_000  # fingerprints of a key up to which one task links them
 
 
-def fingerprint(text: bytes, shingle: int) -> int:
-    """64 majority bits of the XXH64 of a text's word shingles; 0 if it has no words."""
+def shingle_hashes(text: bytes, shingle: int) -> tuple[bytes, np.ndarray]:
+    """A text's words with one space between, and the XXH64 of its shingles, repeats included; a shorter text is one shingle, none without words."""
     import xxhash
 
     words = text.lower().split()  # bytes: lower-cases A-Z, splits at \x20 and \x09-\x0D only
     if not words:
-        return 0
-    if len(words) < shingle:
-        grams = [b" ".join(words)]
-    else:
-        grams = map(b" ".join, zip(*[words[i:] for i in range(shingle)], strict=False))
-    h = np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(42)), np.uint64)
+        return b"", np.zeros(0, np.uint64)
+    whole = b" ".join(words)
+    grams = map(b" ".join, zip(*[words[i:] for i in range(shingle)], strict=False)) if len(words) > shingle else [whole]
+    return whole, np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(42)), np.uint64)
+
+
+def majority(h: np.ndarray) -> int:
+    """64 bits, each 1 if it is set in over half of the hashes."""
     bits = np.zeros(64, np.int64)
     for i in range(0, len(h), 1 << 16):
         bits += np.unpackbits(h[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * bits > len(h), bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: bytes, shingle: int) -> int:
+    """64 majority bits of the XXH64 of a text's word shingles; 0 if it has no words."""
+    return majority(shingle_hashes(text, shingle)[1])
+
+
 def fingerprints(rows: DataFrame, text: str, keep: list[str], shingle: int) -> DataFrame:
     """``keep`` columns with ``fp``, the fingerprint as a signed long; no shuffle. Null text has no words."""
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_buffers, crc_of_id, letters, map_texts, materialize, pieces, read, small_batches
+from .common import byte_buffers, crc_of_id, drawn, letters, map_texts, materialize, pieces, read, release_memory, small_batches
 
 UNSPACED, RUN = 4, 64
 INSULTS = 0.02  # part of a toxic document's words that come from the toxic model
@@ -245,12 +245,13 @@ def train(docs: DataFrame, labels: DataFrame, most_shipped: int = MOST_SHIPPED)
     crc = crc_of_id()
     rows = docs.filter(crc % 3 != 1).select(F.col("doc_id").alias("__id"), "text", F.floor(crc / 3).alias("__r")).join(labels, "__id")
     n = rows.filter("__r % 5 = 0").count()
-    fitting = (F.col("__r") % 5 == 0) & (F.pmod(F.xxhash64("__id"), F.lit(1_000_000)) < int(min(1.0, MOST_FITTED / max(n, 1)) * 1_000_000))
+    fitting = (F.col("__r") % 5 == 0) & drawn(F.xxhash64("__id"), MOST_FITTED, n)
 
     def count(batches):
         for batch in batches:
             made = counts(batch.column(0), batch.column(1).to_numpy(zero_copy_only=False))
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], names=["key", "before", "toxic", "ordinary", "docs"])
+        release_memory()
 
     small_batches(docs)
     counted = rows.filter(~fitting).select("text", "__toxic").mapInArrow(count, "key long, before long, toxic long, ordinary long, docs long")

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import column_as_float64, materialize, read
+from .common import column_as_float64, drawn, materialize, read
 
 LARGEST, SMALLEST, BLOCKS = 8192, 1024, 64  # candidates of a block: most, least, and how many blocks small tables have
 QUERIES = 4096  # queries that a task holds at once
@@ -55,8 +55,7 @@ def is_query(column: str) -> Column:
 
 def sampled(good: DataFrame, n: int, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(ids, vectors) of about ``SAMPLE`` vectors by a hash of the id."""
-    part = max(1, int(min(1.0, SAMPLE / max(n, 1)) * 1_000_000))
-    some = good.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < part).orderBy(F.xxhash64("id", F.lit(7)), "id", "v").limit(2 * SAMPLE).toArrow()
+    some = good.filter(drawn(F.xxhash64("id"), SAMPLE, n)).orderBy(F.xxhash64("id", F.lit(7)), "id", "v").limit(2 * SAMPLE).toArrow()
     if not some.num_rows:
         some = good.orderBy("id", "v").limit(1000).toArrow()
     return some.column("id").to_numpy(), column_as_float64(some.column("v"), width)

@@ -36,9 +36,10 @@ def brute(texts):
     return head
 
 
-@pytest.mark.parametrize("pairwise", [32, 2])
-def test_edited_copies_go(spark, monkeypatch, pairwise):
-    monkeypatch.setattr(neardup, "PAIRWISE", pairwise)
+@pytest.mark.parametrize("members, shingles", [(1000, 1 << 20), (2, 300)])
+def test_edited_copies_go(spark, monkeypatch, members, shingles):
+    monkeypatch.setattr(neardup, "MEMBERS", members)
+    monkeypatch.setattr(neardup, "SHINGLES", shingles)
     rng = np.random.default_rng(3)
     texts = []
     for n, changes in ((100, 1), (100, 2), (300, 2), (300, 5), (1000, 3), (100, 4), (60, 6)):

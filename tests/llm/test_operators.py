@@ -329,13 +329,29 @@ def test_many_languages_and_false_positives():
     rng = np.random.default_rng(2)
     names = [f"l{i:03d}" for i in range(130)]
     packed = rng.integers(1, 2**62, 130 * 50).astype(np.uint64)
-    f = langid.build(names, np.repeat(np.arange(130), 50), packed, np.full(len(packed), 3.0))
+    f = langid.build(names, np.repeat(np.arange(130), 50), packed, np.full(130, 150.0))
     bits = f.lookup(packed)
     mine = np.repeat(np.arange(130), 50)
     assert all(bits[i, m // 64] >> np.uint64(m % 64) & np.uint64(1) for i, m in enumerate(mine))
     assert (f.false < 0.01).all()
 
 
+def test_filters_grow_with_the_n_grams():
+    packed = np.random.default_rng(2).integers(1, 2**62, 300_000).astype(np.uint64)
+    f = langid.build(["a", "b"], np.arange(300_000) % 2, packed, np.array([1.0, 2.0]))
+    assert len(f.words) == 1 << 21 and (f.false < 0.02).all()
+
+
+def test_letters_of_all_planes(spark):
+    adlam, ext = "𞤀𞤣𞤤𞤢𞤥 𞤆𞤵𞤤𞤢𞤪", chr(0x20020) * 4
+    rows = [(i, f"{adlam} {i}", "ff", "s", 1, "x") for i in range(30)] + [(100 + i, f"some plain english words {i}", "en", "s", 1, "x") for i in range(30)]
+    rows += [(200 + i, f"{ext} {i}", "zh", "s", 1, "x") for i in range(30)] + [(300, "12 34", "en", "s", 1, "x"), (301, "ꙮ", None, "s", 1, "x")]
+    out = langid.identify(spark.createDataFrame(rows, DOCS), ["doc_id", "lang"]).toPandas().set_index("doc_id")
+    known = out[out.index < 300]
+    assert (known["lang"] == known["lang_pred"]).all() and (known["score"] > 0.5).all()
+    assert out.loc[300, "lang_pred"] == "und" and out.loc[301, "lang_pred"] in ("en", "ff", "zh") and out.loc[301, "score"] == 0
+
+
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = langid.identify(docs, ["doc_id", "lang"]).filter("held_out").toPandas()
