@@ -429,7 +429,7 @@ def statements(spark, d):
     return read(spark, d, "part").select("p_partkey", sql.alias("sql"))
 
 
-@query(f"""WITH s AS (SELECT p_partkey, {STATEMENT} AS sql FROM part) SELECT p_partkey, regexp_replace(regexp_replace(sql, '<[^>]+>', ' ', 'g'), '[#$]\\{{[^}}]*\\}}', 'NULL', 'g') AS cleaned,
+@query(f"""WITH s AS (SELECT p_partkey, {STATEMENT} AS sql FROM part) SELECT p_partkey, regexp_replace(regexp_replace(sql, '<[^>]+>', ' ', 'g'), '[#$]\\{{[^}}]+\\}}', 'NULL', 'g') AS cleaned,
 contains(sql, '${{') AS is_dynamic, CASE WHEN starts_with(lower(ltrim(sql)), 'select') OR starts_with(lower(ltrim(sql)), 'with') THEN 'READ' ELSE 'WRITE' END AS operation FROM s""")
 def q_sql_cleanup(spark, d):
     """S-21, S-22: statements without tags and parameters."""

@@ -99,7 +99,7 @@ def statement_operation(sql: Column) -> Column:
 
 def clean_statement(sql: Column) -> Column:
     """A mapper's statement without tags, its parameters as NULL."""
-    return F.regexp_replace(F.regexp_replace(sql, "<[^>]+>", " "), r"[#$]\{[^}]*\}", "NULL")
+    return F.regexp_replace(F.regexp_replace(sql, "<[^>]+>", " "), r"[#$]\{[^}]+\}", "NULL")
 
 
 def is_dynamic(sql: Column) -> Column:

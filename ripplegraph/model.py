@@ -10,6 +10,7 @@ RESOURCE_TYPES = {"MYSQL": "MySQL", "REDIS": "Redis", "RABBITMQ": "RabbitMQ", "K
 OPERATIONS = {"READ": "只读", "WRITE": "写入", "PRODUCE": "生产", "CONSUME": "消费", "CALL": "调用", "UNKNOWN": "未知"}
 EXTERNAL_OPERATIONS = {"READ": "查询", "CALL": "非查询"}
 ROW_STATUS = {"SUCCESS": "成功", "SKIPPED": "跳过", "FAILED": "失败"}
+EXCLUDED_PREFIXES = ("java.", "javax.", "jakarta.", "kotlin.", "org.springframework.")
 QUEUE_TYPES = ("KAFKA", "RABBITMQ", "ROCKETMQ")
 
 FACTS = {
@@ -24,6 +25,7 @@ FACTS = {
     "annotation": "project STRING, target_kind STRING, target_id STRING, ord INT, fqn STRING, short_name STRING, attrs MAP<STRING,ARRAY<STRING>>, declared_attrs MAP<STRING,ARRAY<STRING>>, attr_text MAP<STRING,STRING>",
     "override": "super_method_key STRING, impl_method_key STRING",
     "config_file": "project STRING, ext_rank INT, path STRING, text STRING",
+    "method_span": "project STRING, path STRING, method_key STRING, start INT, end INT",
     "mapper_file": "project STRING, path STRING, text STRING",
 }
 
@@ -34,12 +36,12 @@ class Options:
 
     max_depth: int = 30
     only_project_source: bool = False
-    excluded_prefixes: tuple[str, ...] = ()
+    excluded_prefixes: tuple[str, ...] = EXCLUDED_PREFIXES
     follow_local_consumers: bool = True
     follow_overrides: bool = False
     follow_cross_project: bool = False
     max_cross_depth: int = 3
-    merge_resources: bool = True
+    merge_resources: bool = False
     hide_accessors: bool = True
     query_patterns: tuple[str, ...] = ()
     http_client_prefixes: tuple[str, ...] = ()
@@ -60,8 +62,10 @@ class Options:
             value = settings[f.name]
             if f.name == "service_mappings" and isinstance(value, str):
                 value = parse_mappings(value)
+            elif f.name == "query_patterns" and isinstance(value, str):
+                value = split_list(value, "\r\n")  # a pattern may hold commas
             elif str(f.type).startswith("tuple") and isinstance(value, str):
-                value = tuple(x.strip() for x in value.replace("\n", ",").split(",") if x.strip())
+                value = split_list(value)
             out[f.name] = value
         for name, (low, high) in {"max_depth": (1, 100), "max_cross_depth": (1, 10), "row_timeout_seconds": (0, 86_400)}.items():
             if name in out:
@@ -69,6 +73,25 @@ class Options:
         return Options(**out)
 
 
+def effective(project: dict, everywhere: dict) -> dict:
+    """The settings that hold for a project: its own, unless they say that those of all projects do."""
+    return everywhere if project.get("use_shared") else project
+
+
+def changed(a: dict, b: dict) -> set[str]:
+    """Names of the settings that differ, lists compared item by item without blanks and repeats."""
+    plain = lambda v: split_list(v, distinct=True) if isinstance(v, str) else v
+    return {k for k in a.keys() | b.keys() if plain(a.get(k)) != plain(b.get(k))}
+
+
+def split_list(value: str, between: str = ",\r\n", distinct: bool = False) -> tuple[str, ...]:
+    """Items between commas and line ends, trimmed, without blanks."""
+    for c in between[1:]:
+        value = value.replace(c, between[0])
+    items = [x.strip() for x in value.split(between[0]) if x.strip()]
+    return tuple(dict.fromkeys(items) if distinct else items)
+
+
 def parse_mappings(lines: str) -> dict[str, str]:
     """``k=v`` lines; blank lines, comments and lines without both sides are left out, the last of a key holds."""
     out = {}

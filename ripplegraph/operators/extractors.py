@@ -9,7 +9,7 @@ an analysis may be given another.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -29,6 +29,9 @@ ORM_MARKERS = {"BaseMapper": 0, "IService": 0, "ServiceImpl": 1}
 MAPPINGS = ("GetMapping", "PostMapping", "PutMapping", "DeleteMapping", "PatchMapping", "RequestMapping")
 ROCKET_PACKAGES = ("com.aliyun.openservices.ons.api.", "org.apache.rocketmq.")
 LISTENER_ATTRIBUTES = ("topics", "topic", "queues", "queue", "value", "name")
+# What evidence says beyond the place.
+DYNAMIC_TABLE, BY_KEYWORD = "；包含动态表名表达式", "；SQL 解析失败，使用后备识别"
+FROM_MESSAGE, FROM_WRAPPER, RABBIT_LISTENER = "；从 ONS/RocketMQ Message 构造参数解析", "；从 RocketMQ 包装器参数解析", "Rabbit consumer annotation"
 
 
 @dataclass
@@ -85,6 +88,7 @@ def sql_resources(rows: DataFrame, sql: str, detail: Column, rule: str) -> DataF
     read = distinct.withColumn("_t", mapper.statement_tables(text.clean_statement(F.col("_sql"))))
     joined = rows.join(read, F.col(sql) == F.col("_sql")).withColumn("_table", F.explode("_t.tables"))
     conf = F.when(~F.col("_t.parsed"), 1).when(text.is_dynamic(F.col(sql)), 2).otherwise(0)
+    detail = F.concat(detail, F.when(~F.col("_t.parsed"), BY_KEYWORD).when(text.is_dynamic(F.col(sql)), DYNAMIC_TABLE).otherwise(""))
     return _out(joined, "MYSQL", F.col("_table"), text.statement_operation(F.regexp_replace(sql, "<[^>]+>", " ")), conf, detail, rule)
 
 
@@ -102,7 +106,8 @@ def _marked(c: Contexts, start: Column, args: Column, markers: Column) -> DataFr
     starts = c.rows.select("ctx_id", start.alias("class_fqn"), args.alias("args")).filter("class_fqn is not null")
     keyed = starts.withColumn("start", F.concat_ws("|", "class_fqn", F.array_join(F.coalesce("args", F.array().cast("array<string>")), ",")))
     up = ancestors(c.facts, keyed.select("start", "class_fqn", "args"))
-    found = up.withColumn("index", markers).filter("index is not null").select("start", "depth", concrete(c.facts, F.try_element_at("args", (F.col("index") + 1).cast("int"))).alias("entity"))
+    found = up.withColumn("index", markers).filter("index is not null").select("start", "depth", F.try_element_at("args", (F.col("index") + 1).cast("int")).alias("entity"))
+    found = concrete(c.facts, found, "entity")
     best = found.filter("entity is not null").groupBy("start").agg(F.min(F.struct("depth", "entity")).alias("b")).select("start", F.col("b.entity").alias("entity"))
     return keyed.join(best, "start").select("ctx_id", "entity")
 
@@ -137,11 +142,14 @@ def mybatis_plus(c: Contexts) -> DataFrame:
     gate = c.rows.filter(op.isNotNull() & F.col("call_id").isNotNull())
     gate = gate.join(orm.withColumnRenamed("start", "owner").withColumn("_a", F.lit(True)), "owner", "left").join(orm.withColumnRenamed("start", "qualifier_type").withColumn("_b", F.lit(True)), "qualifier_type", "left").filter("_a or _b")
     args = c.facts["call_arg"].join(c.facts["expr"].select("expr_id", "kind", F.col("ref_symbol").alias("class_of")), "expr_id", "left")
+    wrapper = F.coalesce(F.col("type_fqn").rlike("Wrapper"), F.lit(False))
+    args = args.withColumns({"_wrapped": F.when(wrapper, F.try_element_at("type_args", F.lit(1))), "_plain": F.when(~wrapper, F.col("type_fqn"))})
+    args = concrete(c.facts, concrete(c.facts, args, "_wrapped"), "_plain")
     literal = F.when(F.col("kind") == "class_literal", F.coalesce("class_of", F.try_element_at("type_args", F.lit(1))))
-    wrapped = F.when(F.col("type_fqn").rlike("Wrapper"), concrete(c.facts, F.try_element_at("type_args", F.lit(1))))
+    given = F.coalesce(literal, "_wrapped")
     by_arg = args.groupBy(F.concat(F.lit("c|"), "call_id").alias("ctx_id")).agg(
-        F.min_by(F.coalesce(literal, wrapped), F.when(F.coalesce(literal, wrapped).isNotNull(), F.col("pos"))).alias("e0"),
-        F.min_by("type_fqn", F.when(~F.col("type_fqn").rlike("Wrapper") & concrete(c.facts, F.col("type_fqn")).isNotNull(), F.col("pos"))).alias("e3"),
+        F.min_by(given, F.when(given.isNotNull(), F.col("pos"))).alias("e0"),
+        F.min_by("_plain", F.when(F.col("_plain").isNotNull(), F.col("pos"))).alias("e3"),
     )
     q = _marked(c, F.col("qualifier_type"), F.col("qualifier_type_args"), _orm_index()).withColumnRenamed("entity", "e1")
     t = _marked(c, F.col("owner"), F.lit(None).cast("array<string>"), _orm_index()).withColumnRenamed("entity", "e2")
@@ -173,7 +181,8 @@ def infrastructure(c: Contexts) -> DataFrame:
     rows = c.rows.join(c.arguments, "ctx_id", "left")
     producer = f["annotation"].filter((F.col("target_kind") == "field") & configured(o.producer_annotations, F.col("fqn"), F.col("short_name")))
     producer = producer.groupBy(F.col("target_id").alias("qualifier_symbol")).agg(F.min_by(attribute("queue", "value", "name"), "ord").alias("producer_queue"), F.min_by("short_name", "ord").alias("producer_note"))
-    rows = rows.join(producer, "qualifier_symbol", "left")
+    fields = f["variable"].select(F.col("symbol").alias("qualifier_symbol"), F.col("name").alias("producer_field")).dropDuplicates(["qualifier_symbol"])
+    rows = rows.join(producer.join(fields, "qualifier_symbol", "left"), "qualifier_symbol", "left")
     topics = f["variable"].filter("kind = 'field'").join(value_fields(f), "symbol").filter(F.lower("name").contains("topic"))
     topics = topics.groupBy(F.col("owner_fqn").alias("owner")).agg(F.min_by("placeholder", "ord").alias("topic_field"))
     rows = rows.join(topics, "owner", "left")
@@ -212,21 +221,21 @@ def infrastructure(c: Contexts) -> DataFrame:
     redis = rows.filter(F.contains(owner, F.lit("Redis")) | F.contains(F.col("text"), F.lit("RedisTemplate")))
     found = [
         _out(redis, "REDIS", F.coalesce(arg(1), "text0"), text.redis_operation(name), F.when(F.size(F.coalesce("values", F.array().cast("array<string>"))) > 0, 1).otherwise(2), _call_name(), "redis"),
-        _out(of("ons"), "ROCKETMQ", sent, "PRODUCE", text.confidence_of_destination(sent), _call_name(), "ons"),
+        _out(of("ons"), "ROCKETMQ", sent, "PRODUCE", text.confidence_of_destination(sent), F.concat(_call_name(), F.lit(FROM_MESSAGE)), "ons"),
         _out(of("subscribe"), "ROCKETMQ", plain, "CONSUME", text.confidence_of_destination(plain), _call_name(), "subscribe"),
-        _out(of("wrapper"), "ROCKETMQ", plain, "PRODUCE", text.confidence_of_destination(plain), _call_name(), "wrapper"),
+        _out(of("wrapper"), "ROCKETMQ", plain, "PRODUCE", text.confidence_of_destination(plain), F.concat(_call_name(), F.lit(FROM_WRAPPER)), "wrapper"),
         _out(of("template"), "ROCKETMQ", first, "PRODUCE", F.when(F.col("value0").isNull(), 2).otherwise(0), _call_name(), "template"),
         _out(of("kafka"), "KAFKA", kafka, "PRODUCE", F.when(kafka.startswith("${"), 0).otherwise(1), _call_name(), "kafka"),
-        _out(of("producer"), "RABBITMQ", F.col("producer_queue"), "PRODUCE", 0, F.concat(F.lit("@"), "producer_note"), "producer"),
+        _out(of("producer"), "RABBITMQ", F.col("producer_queue"), "PRODUCE", 0, F.concat(F.lit("@"), "producer_note", F.lit(" "), F.coalesce("producer_field", F.lit(""))), "producer"),
         _out(of("rabbit"), "RABBITMQ", rabbit, "PRODUCE", 1, _call_name(), "rabbit"),
     ]
     slim = rows.select("ctx_id", "method_key", "method_owner", "method_name")
     for short in ("Cacheable", "CachePut", "CacheEvict"):
         a = annotated(f, "method", short, attribute("cacheNames", "value"), "v").withColumnRenamed("target_id", "method_key")
         found.append(_out(slim.join(a, "method_key"), "REDIS", F.col("v"), "UNKNOWN", 0, F.lit("Spring Cache 注解"), "cache"))
-    for short, kind in (("KafkaListener", "KAFKA"), ("RabbitListener", "RABBITMQ")):
+    for short, kind, said in (("KafkaListener", "KAFKA", "@KafkaListener"), ("RabbitListener", "RABBITMQ", RABBIT_LISTENER)):
         a = annotated(f, "method", short, attribute(*LISTENER_ATTRIBUTES), "v").withColumnRenamed("target_id", "method_key")
-        found.append(_out(slim.join(a, "method_key"), kind, F.col("v"), "CONSUME", 0, F.lit(f"@{short}"), "listener"))
+        found.append(_out(slim.join(a, "method_key"), kind, F.col("v"), "CONSUME", 0, F.lit(said), "listener"))
     found.append(_listeners(c, slim))
     return _union(found)
 
@@ -247,8 +256,12 @@ def _listeners(c: Contexts, slim: DataFrame) -> DataFrame:
     at = F.coalesce("v0", F.when(F.col("method_name") == "onMessage", F.col("v1")))
     found.append(_out(both, "ROCKETMQ", at, "CONSUME", 0, F.lit("@RocketMQMessageListener"), "listener"))
     faces = f["supertype"].filter(configured(o.consumer_interfaces, F.col("super_fqn"), F.element_at(F.split("super_fqn", r"\."), -1))).select(F.col("class_fqn").alias("method_owner")).distinct()
-    literal = F.regexp_extract("text", r'return\s[^;]*?"([^"]*)"', 1)
-    told = f["method"].filter("size(param_types) = 0 and name in ('topic', 'tag')").select(F.col("class_fqn").alias("method_owner"), "name", "ord", text.blank_to_null(literal).alias("v"))
+    literal = text.blank_to_null(F.regexp_extract("text", r'return\s[^;]*?"([^"]*)"', 1))
+    returned = F.regexp_extract("text", r"return\s+(?:\w+\s*\.\s*)*(\w+)\s*;", 1)
+    fields = f["variable"].filter("kind = 'field'").join(expression_values(f).withColumnRenamed("expr_id", "init_expr_id"), "init_expr_id")
+    constants = fields.groupBy(F.col("owner_fqn").alias("method_owner"), F.col("name").alias("_field")).agg(F.min_by("value", "ord").alias("constant"))
+    told = f["method"].filter("size(param_types) = 0 and name in ('topic', 'tag')").select(F.col("class_fqn").alias("method_owner"), "name", "ord", literal.alias("literal"), returned.alias("_field"))
+    told = told.join(constants, ["method_owner", "_field"], "left").withColumn("v", F.coalesce("constant", "literal"))
     said = told.groupBy("method_owner").agg(*[F.min_by(F.when(F.col("name") == n, F.col("v")), F.when(F.col("name") == n, F.col("ord"))).alias(n) for n in ("topic", "tag")])
     rows = slim.filter("method_name = 'consume'").join(faces, "method_owner", "left_semi").join(said, "method_owner")
     where = text.destination(F.col("topic"), F.when(~F.col("tag").eqNullSafe(F.col("topic")), F.col("tag")))
@@ -262,7 +275,7 @@ def feign_endpoints(facts: Facts) -> DataFrame:
     get = lambda *names: F.coalesce(*[text.blank_to_null(F.try_element_at(F.try_element_at("declared_attrs", F.lit(n)), F.lit(1))) for n in names])
     service = F.when(F.col("short_name") == "FeignClient", get("name", "value", "url")).otherwise(get("url", "name", "value"))
     client = a.groupBy(F.col("target_id").alias("class_fqn")).agg(F.min_by(F.struct(F.coalesce(service, F.lit(UNKNOWN_SERVICE)).alias("service"), attribute("path").alias("base"), F.col("short_name").alias("client")), "ord").alias("c"))
-    mappings = endpoint_mappings(facts).withColumnRenamed("method_key", "target_key")
+    mappings = endpoint_mappings(facts, ("path", "value")).withColumnRenamed("method_key", "target_key")
     m = facts["method"].select(F.col("method_key").alias("target_key"), "class_fqn", "name").join(client, "class_fqn").join(mappings, "target_key")
     rest = F.when(F.contains(F.col("c.service"), F.lit("/")), F.regexp_replace(F.regexp_replace("c.service", "^[^/]*/", ""), "^/+|/+$", ""))
     return m.select(
@@ -273,14 +286,17 @@ def feign_endpoints(facts: Facts) -> DataFrame:
     )
 
 
-def endpoint_mappings(facts: Facts) -> DataFrame:
-    """(method_key, verb, class_path, method_path) of methods with a mapping annotation; the first in their order decides."""
+def endpoint_mappings(facts: Facts, attributes: tuple[str, str] = ("value", "path")) -> DataFrame:
+    """(method_key, verb, class_path, method_path) of methods with a mapping annotation; the first in their order decides.
+
+    The path is the first of these ``attributes`` that is there; declared clients ask in the other order.
+    """
     order = F.array_position(F.array(*[F.lit(n) for n in MAPPINGS]), F.element_at(F.split(F.coalesce("short_name", "fqn"), r"\."), -1))
     a = facts["annotation"].filter("target_kind = 'method'").withColumn("_o", order).filter("_o > 0")
     all_text = F.concat_ws(" ", F.map_values(F.coalesce("attr_text", F.create_map().cast("map<string,string>"))))
-    pick = F.struct(attribute("value", "path").alias("method_path"), text.mapping_verb(F.col("short_name"), all_text).alias("verb"))
+    pick = F.struct(attribute(*attributes).alias("method_path"), text.mapping_verb(F.col("short_name"), all_text).alias("verb"))
     best = a.groupBy(F.col("target_id").alias("method_key")).agg(F.min_by(pick, F.struct("_o", "ord")).alias("m"))
-    of_class = annotated(facts, "class", "RequestMapping", attribute("value", "path"), "class_path").withColumnRenamed("target_id", "class_fqn")
+    of_class = annotated(facts, "class", "RequestMapping", attribute(*attributes), "class_path").withColumnRenamed("target_id", "class_fqn")
     owners = facts["method"].select("method_key", "class_fqn").dropDuplicates(["method_key"])
     return best.join(owners, "method_key").join(of_class, "class_fqn", "left").select("method_key", F.col("m.verb").alias("verb"), "class_path", F.col("m.method_path").alias("method_path"))
 
@@ -305,3 +321,21 @@ def external_http(c: Contexts) -> DataFrame:
 
 
 EXTRACTORS: list[Callable[[Contexts], DataFrame]] = [mybatis, mybatis_plus, jpa, infrastructure, external_http]
+
+
+def run(extractors: list[Callable[[Contexts], DataFrame]], c: Contexts) -> tuple[DataFrame, list[str]]:
+    """(resources, warnings): each extractor over the contexts that it ``supports`` (an attribute, a condition; all if it has none).
+
+    Each is a job of its own, so one that fails costs its own resources and leaves a warning.
+    """
+    spark = c.rows.sparkSession
+    found, warnings = [spark.createDataFrame([], "ctx_id string, type string, name string, operation string, conf_rank int, detail string, rule string")], []
+    for extractor in extractors:
+        gate = getattr(extractor, "supports", None)
+        name = getattr(extractor, "__name__", type(extractor).__name__)
+        try:
+            given = c if gate is None else replace(c, rows=c.rows.filter(gate))
+            found.append(materialize(extractor(given).select(*RESOURCE).distinct(), "extracted"))
+        except Exception as error:  # whatever an extractor raises concerns it alone
+            warnings.append(f"{name} 解析失败：{str(error).splitlines()[0] if str(error) else type(error).__name__}")
+    return _union(found), warnings

@@ -5,12 +5,14 @@ from __future__ import annotations
 import io
 import zipfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ripplegraph.functions import text
 from ripplegraph.model import CONFIDENCE, EXTERNAL_OPERATIONS, OPERATIONS, RESOURCE_TYPES, ROW_STATUS
 from ripplegraph.plans.engine import Result
+from ripplegraph.plans.reach import unfold
+from ripplegraph.storage import write_file
 
 NONE = "无"
 # Headers.
@@ -140,7 +142,7 @@ def batch_csv(batch: DataFrame, result: Result) -> DataFrame:
 
 
 def _sections(batch: DataFrame, result: Result, markdown: bool) -> tuple[list[list[str]], list[list[str]], list]:
-    """Interface rows, summary rows and abnormal rows of a batch, whose size the input check bounds."""
+    """Interface rows, summary rows and abnormal rows of a batch, whose number ``Engine.batch`` bounds."""
     rows = batch_rows(batch, result).orderBy("idx").collect()
     shown = result.warnings.filter(~F.col("message").rlike(CONSTRUCTOR_WARNING)).groupBy("root_id").agg(F.array_join(F.array_sort(F.collect_set("message")), ", ").alias("w"))
     cells = {r["root_id"]: r for r in summaries(result, markdown).collect()}
@@ -229,11 +231,41 @@ def write_lines(lines: DataFrame, path: str, order: list[str], first: list[str]
     both.orderBy("_part", "_key", *[f"_o{i}" for i in range(len(order))]).select("line").write.mode("overwrite").text(path)
 
 
-def view(resources: DataFrame, kind: str | None = None, name: str | None = None, operation: str | None = None) -> DataFrame:
-    """Resources of a type, with a part of a name, of an operation."""
+def write_report(spark: SparkSession, path: str, batch: DataFrame, result: Result, formats: tuple[str, ...] = ("csv", "md", "xlsx"), title: str = "批量统计", canceled: bool = False) -> list[str]:
+    """One file for each format of a batch, named like ``path`` with the format's extension; their paths."""
+    made = []
+    for kind in formats:
+        if kind == "csv":
+            lines = [r["line"] for r in batch_csv(batch, result).orderBy("idx", "ord").collect()]
+            content: str | bytes = "\n".join([header(BATCH), *lines]) + "\n"
+        else:
+            content = batch_markdown(batch, result, title, canceled) if kind == "md" else batch_workbook(batch, result, canceled)
+        made.append(sibling(path, kind))
+        write_file(spark, made[-1], content)
+    return made
+
+
+def adjacency(edges: DataFrame) -> DataFrame:
+    """(root_id, caller, callees) of the edges of a result, callees in the order of their calls."""
+    once = edges.groupBy("root_id", "caller", "callee").agg(F.min("ord").alias("ord"))
+    ordered = F.array_sort(F.collect_list(F.struct("ord", "callee")))
+    return once.groupBy("root_id", "caller").agg(F.transform(ordered, lambda x: x["callee"]).alias("callees"))
+
+
+def tree(result: Result, root_id: str, max_depth: int = 30) -> DataFrame:
+    """(path, node, depth, repeated) of the call tree of one entry, by the edges of its result."""
+    edges = result.edges.filter(F.col("root_id") == root_id).select(F.col("caller").alias("src"), F.col("callee").alias("dst"))
+    first = result.entries.filter(F.col("root_id") == root_id).agg(F.min("method_key").alias("k")).first()
+    return unfold(edges, (first and first["k"]) or "", max_depth)
+
+
+def view(resources: DataFrame, kind: str | None = None, name: str | None = None, operation: str | None = None, order: list[str] | None = None) -> DataFrame:
+    """Resources of a type, with a part of a name, of an operation, sorted by the columns ``order`` if there are any."""
     out = resources
     if kind:
         out = out.filter(F.col("type") == kind)
     if name:
         out = out.filter(F.contains(F.lower("name"), F.lit(name.lower())))
-    return out.filter(F.col("operation") == operation) if operation else out
+    if operation:
+        out = out.filter(F.col("operation") == operation)
+    return out.orderBy(*order) if order else out

@@ -30,16 +30,20 @@ def distinct_evidence(resources: DataFrame, by: tuple[str, ...] = ()) -> DataFra
 
 
 def merge(resources: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """One row for each (type, name, operation): least certain confidence, all evidence in order, first source."""
+    """One row for each (type, name, operation): least certain confidence, all evidence in order, first source.
+
+    Evidence is made distinct by an aggregate with map-side combine before any of it is gathered, so a row
+    holds no more than what the report shows.
+    """
+    keys = [*by, "type", "name", "operation"]
+    source = "source" in resources.columns
+    first = [F.min(F.when(F.col("source").isNotNull(), F.struct("ord", "source"))).alias("_s")] if source else []
+    once = resources.groupBy(*keys, "detail").agg(F.min("ord").alias("ord"), F.max("conf_rank").alias("conf_rank"), *first)
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("ord", "detail"))), lambda x: x["detail"])
-    aggregates = [
-        F.min("ord").alias("ord"),
-        F.max("conf_rank").alias("conf_rank"),
-        F.array_join(F.array_distinct(ordered), MERGE_SEPARATOR).alias("detail"),
-    ]
-    if "source" in resources.columns:
-        aggregates.append(F.min_by("source", F.when(F.col("source").isNotNull(), F.col("ord"))).alias("source"))
-    return resources.groupBy(*by, "type", "name", "operation").agg(*aggregates)
+    aggregates = [F.min("ord").alias("ord"), F.max("conf_rank").alias("conf_rank"), F.array_join(ordered, MERGE_SEPARATOR).alias("detail")]
+    if source:
+        aggregates.append(F.min("_s")["source"].alias("source"))
+    return once.groupBy(*keys).agg(*aggregates)
 
 
 def distinct_edges(edges: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from ripplegraph.functions import text
 from ripplegraph.operators import joins
-from ripplegraph.plans.reach import closure
+from ripplegraph.plans.reach import COMPACT, closure
 from ripplegraph.storage import materialize
 
 Facts = dict[str, DataFrame]
-CHAIN = 6  # steps from an expression back to its value
+CHAIN = 6  # steps from an address back to its parts
 REASONS = {"only": "唯一实现类", "several": "接口存在多个实现", "override": "运行时可能调用覆写方法"}
 
 
@@ -45,21 +45,26 @@ def value_fields(facts: Facts) -> DataFrame:
 
 
 def expression_values(facts: Facts) -> DataFrame:
-    """(expr_id, value): the constant of an expression, or of what its variable holds, followed back ``CHAIN`` times."""
+    """(expr_id, value): the constant of an expression, or of what its variable holds, however long that chain is.
+
+    Each round follows twice as many steps as the one before, so chains of any length take few rounds; what is still
+    open when every chain must have ended runs in a circle and has no value.
+    """
     e = facts["expr"].select("expr_id", "const_value", "ref_symbol")
     v = facts["variable"].select(F.col("symbol").alias("ref_symbol"), "init_expr_id").dropDuplicates(["ref_symbol"])
     p = value_fields(facts).withColumnRenamed("symbol", "ref_symbol")
-    e = e.join(v, "ref_symbol", "left").join(p, "ref_symbol", "left")
-    e = materialize(e.select("expr_id", F.coalesce("const_value", "placeholder").alias("value"), "init_expr_id"), "expr")
-    known = e.filter("value is not null").select("expr_id", "value")
-    left = e.filter("value is null and init_expr_id is not null").select("expr_id", F.col("init_expr_id").alias("at"))
-    for _ in range(CHAIN):
-        nxt = left.join(e.withColumnRenamed("expr_id", "at"), "at")
-        known = known.unionByName(nxt.filter("value is not null").select("expr_id", "value"))
-        left = materialize(nxt.filter("value is null and init_expr_id is not null").select("expr_id", F.col("init_expr_id").alias("at")), "expr")
+    e = e.join(v, "ref_symbol", "left").join(p, "ref_symbol", "left").dropDuplicates(["expr_id"])
+    e = materialize(e.select("expr_id", F.coalesce("const_value", "placeholder").alias("value"), F.col("init_expr_id").alias("at")), "expr")
+    done, left = e.filter("value is not null").select("expr_id", "value"), e.filter("value is null and at is not null")
+    n = left.count()
+    for _ in range(n.bit_length() + 1):
+        known = left.select(F.col("expr_id").alias("at"), F.col("at").alias("_at"), F.lit(None).cast("string").alias("_v")).unionByName(done.select(F.col("expr_id").alias("at"), F.lit(None).cast("string").alias("_at"), F.col("value").alias("_v")))
+        nxt = materialize(left.select("expr_id", "at").join(known, "at").select("expr_id", F.col("_v").alias("value"), F.col("_at").alias("at")), "expr")
+        done = done.unionByName(nxt.filter("value is not null").select("expr_id", "value"))
+        left = nxt.filter("value is null and at is not null")
         if left.isEmpty():
             break
-    return known
+    return done
 
 
 def formatted(template: Column, arguments: Column) -> Column:
@@ -70,12 +75,12 @@ def formatted(template: Column, arguments: Column) -> Column:
 
 
 def urls(facts: Facts) -> DataFrame:
-    """(expr_id, value) of address expressions: constants, variables, injected fields, concatenations and formats.
+    """(expr_id, value) of address expressions: constants, local variables, injected fields, concatenations and formats.
 
     Operands of a concatenation that aren't known are left out; a format needs all of its arguments.
     """
     e = facts["expr"].select("expr_id", "kind", "operands", "ref_symbol", "const_value")
-    v = facts["variable"].select(F.col("symbol").alias("ref_symbol"), "init_expr_id").dropDuplicates(["ref_symbol"])
+    v = facts["variable"].filter("kind = 'local'").select(F.col("symbol").alias("ref_symbol"), "init_expr_id").dropDuplicates(["ref_symbol"])
     p = value_fields(facts).withColumnRenamed("symbol", "ref_symbol")
     e = e.join(p, "ref_symbol", "left").join(v, "ref_symbol", "left")
     e = e.withColumn("parts", F.when(F.col("init_expr_id").isNotNull() & F.col("placeholder").isNull(), F.array("init_expr_id")).otherwise(F.col("operands")))
@@ -92,32 +97,35 @@ def urls(facts: Facts) -> DataFrame:
     return known
 
 
-def ancestors(facts: Facts, starts: DataFrame, max_depth: int = 12) -> DataFrame:
+def ancestors(facts: Facts, starts: DataFrame) -> DataFrame:
     """(start, class_fqn, args, depth) of each start (start, class_fqn, args) and what it extends, with type arguments put in."""
     params = facts["src_class"].select("class_fqn", "type_params").dropDuplicates(["class_fqn"])
     sup = facts["supertype"].select("class_fqn", F.col("super_fqn"), "type_args").join(params, "class_fqn", "left")
     level = materialize(starts.select("start", "class_fqn", F.coalesce("args", F.array().cast("array<string>")).alias("args"), F.lit(0).alias("depth")).distinct(), "types")
-    levels = [level]
-    for depth in range(1, max_depth + 1):
+    levels, depth = [level], 0
+    while True:  # what has been met isn't entered again, so circles end
+        depth += 1
         at = lambda a: F.array_position(F.coalesce("type_params", F.array().cast("array<string>")), a)
         put = F.transform("type_args", lambda a: F.when(at(a) > 0, F.try_element_at("args", at(a).cast("int"))).otherwise(a))
         nxt = level.join(sup, "class_fqn").select("start", F.col("super_fqn").alias("class_fqn"), F.coalesce(put, F.array().cast("array<string>")).alias("args"), F.lit(depth).alias("depth"))
-        nxt = nxt.distinct()
-        for seen in levels:
-            nxt = nxt.join(seen.select("start", "class_fqn", "args"), ["start", "class_fqn", "args"], "left_anti")
-        level = materialize(nxt, "types")
+        out = levels[0]
+        for x in levels[1:]:
+            out = out.unionByName(x)
+        level = materialize(nxt.distinct().join(out.select("start", "class_fqn", "args"), ["start", "class_fqn", "args"], "left_anti"), "types")
         if level.isEmpty():
-            break
+            return out
         levels.append(level)
-    out = levels[0]
-    for x in levels[1:]:
-        out = out.unionByName(x)
-    return out
+        if len(levels) > COMPACT:
+            levels = [materialize(out, "types"), level]
 
 
-def concrete(facts: Facts, name: Column) -> Column:
-    """A class name that may be an entity: not null, not Object. Type variables have no dot and aren't classes of the project."""
-    return F.when(name.isNotNull() & ~name.isin("java.lang.Object", "Object", "?", "T", "E", "K", "V", "Any", ""), name)
+def concrete(facts: Facts, rows: DataFrame, column: str) -> DataFrame:
+    """``rows`` with ``column`` null where it is no class that can be an entity: Object, a wildcard, or a type variable."""
+    named = F.when(~F.col(column).isin("java.lang.Object", "Object", "?", ""), F.col(column))
+    params = facts["src_class"].select(F.explode("type_params").alias("_p")).distinct()
+    params = params.join(facts["src_class"].select(F.col("class_fqn").alias("_p")), "_p", "left_anti").withColumn("_variable", F.lit(True))
+    out = rows.join(params, rows[column] == F.col("_p"), "left")
+    return out.withColumn(column, F.when(F.col("_variable").isNull(), named)).drop("_p", "_variable")
 
 
 def qualifiers(facts: Facts) -> DataFrame:
@@ -142,10 +150,17 @@ def bean_names(facts: Facts) -> DataFrame:
     return out.select("class_fqn", F.coalesce("b0", "b1", "b2", text.decapitalize(F.col("short_name"))).alias("bean"), F.col("p").isNotNull().alias("is_primary"))
 
 
+def first_methods(facts: Facts) -> DataFrame:
+    """``method`` rows, the first of each key."""
+    rest = [c for c in facts["method"].columns if c != "method_key"]
+    first = facts["method"].groupBy("method_key").agg(F.min_by(F.struct(*rest), F.struct(F.col("ord").isNull(), "ord", "project")).alias("m"))
+    return first.select("method_key", "m.*")
+
+
 def methods(facts: Facts) -> DataFrame:
     """``method`` rows with their class: is_abstract (or of an interface), virtual, label."""
     c = facts["src_class"].select("class_fqn", "kind", "is_final").dropDuplicates(["class_fqn"])
-    m = facts["method"].dropDuplicates(["method_key"]).join(c, "class_fqn", "left")
+    m = first_methods(facts).join(c, "class_fqn", "left")
     has = lambda x: F.coalesce(F.array_contains("modifiers", x), F.lit(False))
     virtual = ~F.coalesce(F.arrays_overlap("modifiers", F.array(*[F.lit(x) for x in ("private", "static", "final", "constructor")])), F.lit(False))
     return m.withColumns(

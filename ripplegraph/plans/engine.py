@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import threading
+import uuid
+from collections.abc import Callable
+from dataclasses import dataclass, field, fields, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,12 +14,12 @@ from pyspark.sql import functions as F
 from ripplegraph.functions import text
 from ripplegraph.model import FACTS, QUEUE_TYPES, Options
 from ripplegraph.operators import extractors, joins, resources
-from ripplegraph.operators.symbols import Facts, accessors, dispatch, methods, qualifiers
+from ripplegraph.operators.symbols import Facts, accessors, dispatch, first_methods, methods, qualifiers
 from ripplegraph.plans.reach import INFERRED_MARK, reach
+from ripplegraph.sources import batch as batch_inputs
 from ripplegraph.storage import materialize
 
-
-MOST_TOPICS = 1000  # looked for in texts at once
+TOPICS = 500  # looked for in texts at once
 
 
 def facts_of(spark: SparkSession, given: dict[str, DataFrame | list]) -> Facts:
@@ -55,11 +59,7 @@ class Engine:
             shown = shown & F.coalesce("is_project_source", F.lit(False))
         self.methods = materialize(m.select("project", "method_key", "class_fqn", "name", "label", "is_project_source", "is_abstract", "ord", shown.alias("shown")), "methods")
         self.contexts = extractors.contexts(f, o)
-        found = [e(self.contexts) for e in [*extractors.EXTRACTORS, *self.extra]]
-        out = found[0]
-        for other in found[1:]:
-            out = out.unionByName(other)
-        self.extracted = materialize(out.distinct(), "extracted")
+        self.extracted, self.failures = extractors.run([*extractors.EXTRACTORS, *self.extra], self.contexts)
         self._steps()
 
     def _steps(self) -> None:
@@ -104,26 +104,36 @@ class Engine:
         c = self.extracted.filter((F.col("operation") == "CONSUME") & F.col("type").isin(*QUEUE_TYPES))
         return c.join(self.contexts.rows.select("ctx_id", "method_key"), "ctx_id").select(F.col("name").alias("consumed"), "method_key").distinct()
 
-    def by_topic(self, topics: DataFrame) -> DataFrame:
-        """Entries for ``topics`` (value): consumers of an equal topic. Mentions in the text of a method don't count."""
-        found = joins.match_topics(topics, self.consumers(), "value", "consumed").select("value", "method_key").distinct()
-        return found.select(F.col("value").alias("root_id"), F.lit("MQ").alias("type"), F.col("value").alias("display"), F.lit(None).cast("string").alias("http_method"), "method_key")
-
-    def by_text(self, topics: DataFrame) -> DataFrame:
-        """Entries for ``topics`` (value) that are merely mentioned in a method's text; each topic is looked for in every text."""
-        m = self.facts["method"].select("method_key", "text").dropDuplicates(["method_key"])
-        words = [r["value"] for r in topics.select("value").distinct().limit(MOST_TOPICS + 1).collect()]
-        if len(words) > MOST_TOPICS:
-            raise ValueError(f"more than {MOST_TOPICS} topics to look for in texts")
-        hits = F.filter(F.array(*[F.lit(w) for w in words]).cast("array<string>"), lambda w: F.contains(F.col("text"), w))
-        found = m.select("method_key", F.explode(hits).alias("value"))
-        return found.select(F.col("value").alias("root_id"), F.lit("MQ").alias("type"), F.col("value").alias("display"), F.lit(None).cast("string").alias("http_method"), "method_key")
+    def by_topic(self, topics: DataFrame, mentions: bool = True) -> DataFrame:
+        """Entries for ``topics`` (value): consumers of an equal topic and, with ``mentions``, methods whose text holds the topic."""
+        found = joins.match_topics(topics, self.consumers(), "value", "consumed").select("value", "method_key")
+        if mentions:
+            found = found.unionByName(self._mentions(topics))
+        return found.distinct().select(F.col("value").alias("root_id"), F.lit("MQ").alias("type"), F.col("value").alias("display"), F.lit(None).cast("string").alias("http_method"), "method_key")
+
+    def _mentions(self, topics: DataFrame) -> DataFrame:
+        """(value, method_key): topics, whole or without their tag, in the texts of methods; ``TOPICS`` of them a pass over the texts."""
+        m = first_methods(self.facts).select("method_key", "text").filter("text is not null")
+        asked = [r["value"] for r in topics.select("value").distinct().orderBy("value").toLocalIterator()]  # what a user typed
+        out = self.spark.createDataFrame([], "value string, method_key string")
+        for i in range(0, len(asked), TOPICS):
+            words = F.array(*[F.struct(F.lit(v).alias("value"), F.lit(v.split(":", 1)[0]).alias("part")) for v in asked[i : i + TOPICS]])
+            hits = F.filter(words, lambda w: F.contains(F.col("text"), w["value"]) | F.contains(F.col("text"), w["part"]))
+            out = out.unionByName(m.select("method_key", F.explode(hits).alias("w")).select("w.value", "method_key"))
+        return out
 
     def by_input(self, value: str) -> DataFrame:
         """Entries for what a user types: a path if it begins with a slash, else a topic."""
         asked = self.spark.createDataFrame([(value.strip(),)], "value string")
         return self.by_path(asked) if value.strip().startswith("/") else self.by_topic(asked)
 
+    def by_position(self, points: DataFrame) -> DataFrame:
+        """Entries for positions (value, path, at) in source files: the innermost method around each."""
+        spans = self.facts["method_span"].select("path", "start", "end", F.col("method_key").alias("_at"))
+        inner = joins.enclosing(points, spans, ["path"], "at", "start", "end", "_at").filter("_at is not null")
+        k = inner.select("value", F.col("_at").alias("method_key")).distinct().join(self.methods, "method_key")
+        return k.select(F.col("value").alias("root_id"), F.lit("METHOD").alias("type"), F.col("label").alias("display"), F.lit(None).cast("string").alias("http_method"), "method_key")
+
     @staticmethod
     def missing(asked: DataFrame, entries: DataFrame) -> DataFrame:
         """(root_id, message) of inputs (value) without an entry."""
@@ -137,9 +147,9 @@ class Engine:
 
     # ---- walk --------------------------------------------------------------------------------------
 
-    def analyze(self, entries: DataFrame) -> Result:
-        """Walk from all ``entries`` at once; several methods of one entry are one result."""
-        o = self.options
+    def analyze(self, entries: DataFrame, options: Options | None = None) -> Result:
+        """Walk from all ``entries`` at once, by ``options`` or else the engine's; several methods of one entry are one result."""
+        o = options or self.options
         entries = materialize(entries, "entries")
         labels = self.methods.select(F.col("method_key").alias("node"), "label")
         start = entries.select(F.col("root_id").alias("root"), F.col("method_key").alias("node")).join(labels, "node")
@@ -148,15 +158,15 @@ class Engine:
         added = []
         links = None
         if o.follow_cross_project:
-            links = materialize(self.client_links(), "links")
+            links = materialize(self.client_links(o), "links")
             for _ in range(o.max_cross_depth):
                 hop = self.hops(seen, links)
                 fresh = hop.join(seen.select("root", "node"), ["root", "node"], "left_anti")
                 if fresh.isEmpty():
                     break
                 added.append(materialize(hop.select("root", F.col("caller"), F.col("node").alias("callee"), "reason"), "hops"))
-                seen = self._more(seen, fresh.drop("caller", "reason"))
-        found = self._collect(seen)
+                seen = self._more(o, seen, fresh.drop("caller", "reason"))
+        found = self._collect(o, seen)
         if o.follow_local_consumers:
             made = found.filter((F.col("operation") == "PRODUCE") & F.col("type").isin(*QUEUE_TYPES)).select("root_id", F.col("name").alias("topic")).distinct()
             eaten = joins.match_topics(made, self.consumers(), "topic", "consumed").select(F.col("root_id").alias("root"), "topic", F.col("method_key").alias("node")).distinct()
@@ -166,22 +176,22 @@ class Engine:
                 eaten = eaten.join(first, "root")
                 added.append(eaten.select("root", "caller", F.col("node").alias("callee"), F.concat(F.lit("本地 MQ 消费者："), "topic").alias("reason")))
                 path = F.array("_first", F.concat("label", F.lit(INFERRED_MARK)))
-                seen = self._more(seen, eaten.select("root", "node", F.lit(1).alias("depth"), F.lit(1).alias("conf"), path.alias("path")).distinct())
-                found = self._collect(seen)
-        return self._result(entries, seen, found, added, links)
+                seen = self._more(o, seen, eaten.select("root", "node", F.lit(1).alias("depth"), F.lit(1).alias("conf"), path.alias("path")).distinct())
+                found = self._collect(o, seen)
+        return self._result(o, entries, seen, found, added, links)
 
-    def _more(self, seen: DataFrame, start: DataFrame) -> DataFrame:
+    def _more(self, o: Options, seen: DataFrame, start: DataFrame) -> DataFrame:
         """``seen`` with what ``start`` reaches beyond it."""
-        more = reach(self.steps, start.select("root", "node", "depth", "conf", "path"), self.options.max_depth, with_path=True)
+        more = reach(self.steps, start.select("root", "node", "depth", "conf", "path"), o.max_depth, with_path=True)
         return materialize(seen.unionByName(more.join(seen.select("root", "node"), ["root", "node"], "left_anti")), "seen")
 
-    def client_links(self) -> DataFrame:
+    def client_links(self, o: Options) -> DataFrame:
         """(ctx_id, node of the call, own project, target node or null, label, project, warning or null) of calls to declared clients.
 
         A link needs a mapped service, an open project other than the caller's that isn't being indexed, and exactly one
         method there for the path; the first of these that is missing is the warning.
         """
-        f, o = self.facts, self.options
+        f = self.facts
         mapping = self.spark.createDataFrame(list(o.service_mappings.items()), "name string, target string")
         client = joins.first_mapping(extractors.feign_endpoints(f), mapping, "service", "service_key")
         client = joins.lookup_project(client, f["project"].filter("is_open"), "target")
@@ -211,19 +221,18 @@ class Engine:
         reason = F.concat(F.lit("跨工程 Feign："), "own", F.lit(" -> "), "project")
         return out.select("root", F.col("at").alias("caller"), "node", F.lit(0).alias("depth"), F.greatest("conf", F.lit(1)).alias("conf"), path.alias("path"), reason.alias("reason")).distinct()
 
-    def _collect(self, seen: DataFrame) -> DataFrame:
+    def _collect(self, o: Options, seen: DataFrame) -> DataFrame:
         """Resources of all contexts of reached methods below the depth limit, with path and confidence."""
         c = self.contexts.rows.select("ctx_id", F.col("method_key").alias("node"), "call_id", "project", "target_key", F.col("ord").alias("_ord"))
         c = c.join(self.methods.select(F.col("method_key").alias("target_key"), F.col("label").alias("_target")), "target_key")
-        at = seen.filter(F.col("depth") < self.options.max_depth).join(c, "node").join(self.extracted, "ctx_id")
+        at = seen.filter(F.col("depth") < o.max_depth).join(c, "node").join(self.extracted, "ctx_id")
         path = F.when(F.col("call_id").isNull(), F.col("path")).otherwise(F.array_append("path", F.col("_target")))
         told = F.concat(F.lit("来源工程："), F.coalesce(text.blank_to_null(F.col("project")), F.lit("未知工程")), F.lit("；调用路径："), text.display_path(path), F.lit("；原始证据："), "detail")
         order = F.struct("depth", "node", "_ord", "rule", "name")
         rows = at.select(F.col("root").alias("root_id"), order.alias("ord"), "type", "name", "operation", F.greatest("conf_rank", "conf").alias("conf_rank"), told.alias("detail"))
-        return resources.reclassify(rows, list(self.options.query_patterns))
+        return resources.reclassify(rows, list(o.query_patterns))
 
-    def _result(self, entries: DataFrame, seen: DataFrame, found: DataFrame, added: list[DataFrame], links: DataFrame | None) -> Result:
-        o = self.options
+    def _result(self, o: Options, entries: DataFrame, seen: DataFrame, found: DataFrame, added: list[DataFrame], links: DataFrame | None) -> Result:
         found = resources.distinct_evidence(found, ("root_id",))
         if o.merge_resources:
             found = resources.merge(found, ("root_id",))
@@ -247,12 +256,86 @@ class Engine:
             warnings = warnings.unionByName(far.select(F.col("root").alias("root_id"), F.concat("head", F.lit(f"达到最大跨工程深度 {o.max_cross_depth}")).alias("message")))
         many = entries.groupBy("root_id").agg(F.countDistinct("method_key").alias("n")).filter("n > 1")
         warnings = warnings.unionByName(many.select("root_id", F.concat(F.lit("同一入口匹配 "), F.col("n").cast("string"), F.lit(" 个方法，已合并全部候选")).alias("message")))
+        if self.failures:
+            said = F.explode(F.array(*[F.lit(m) for m in self.failures])).alias("message")
+            warnings = warnings.unionByName(entries.select("root_id").distinct().select("root_id", said))
         return Result(entries, nodes, edges, found, warnings.distinct())
 
     # ---- batch -------------------------------------------------------------------------------------
 
-    def batch(self, inputs: DataFrame) -> tuple[DataFrame, Result]:
-        """(batch rows (idx, input, status, reason, method_key), result) of ``inputs`` (idx, value); no hops to other projects."""
+    def batch(self, inputs: DataFrame, options: Options | None = None, progress: Callable[[int, int, str], None] | None = None, stop: threading.Event | None = None) -> tuple[DataFrame, Result]:
+        """(batch rows (idx, input, status, reason, method_key), result) of ``inputs`` (idx, value); no hops to other projects.
+
+        All rows are one job. If that fails, or if a limit of seconds a row, ``progress`` (done, all, input) or ``stop`` asks for it,
+        the rows that can be analysed run one by one: a row that fails or takes too long is FAILED with its reason, and the
+        others stay. After ``stop`` is set no more rows begin, and those that haven't run are left out.
+        """
+        o = replace(options or self.options, follow_cross_project=False)
+        if inputs.limit(batch_inputs.MOST_INPUTS + 1).count() > batch_inputs.MOST_INPUTS:
+            raise ValueError(f"more than {batch_inputs.MOST_INPUTS} inputs")
+        rows, entries = self._batch_rows(inputs)
+        if not (o.row_timeout_seconds or progress or stop):
+            try:
+                return rows, self.analyze(entries, o)
+            except Exception:  # some row is at fault: each by itself tells which
+                pass
+        asked = [(r["idx"], r["input"], r["status"]) for r in rows.orderBy("idx").collect()]
+        parts, failed, left = [], [], []
+        for i, (idx, value, status) in enumerate(asked):
+            if stop is not None and stop.is_set():
+                left.append(idx)
+                continue
+            if progress:
+                progress(i, len(asked), value)
+            if status == "SUCCESS":
+                try:
+                    parts.append(self._timed(lambda v=value: self._held(self.analyze(entries.filter(F.col("root_id") == v), o)), o.row_timeout_seconds))
+                except TimeoutError:
+                    failed.append((idx, f"超过单行超时 {o.row_timeout_seconds} 秒"))
+                except Exception as error:
+                    failed.append((idx, str(error).splitlines()[0] if str(error) else type(error).__name__))
+        if progress:
+            progress(len(asked) - len(left), len(asked), "")
+        wrong = self.spark.createDataFrame(failed, "idx int, _why string")
+        rows = rows.filter(~F.col("idx").isin(left)).join(wrong, "idx", "left")
+        bad = F.col("_why").isNotNull()
+        rows = rows.select("idx", "input", F.when(bad, "FAILED").otherwise(F.col("status")).alias("status"), F.coalesce("_why", "reason").alias("reason"), F.when(~bad, F.col("method_key")).alias("method_key"))
+        if not parts:
+            parts = [self.analyze(entries.limit(0), o)]
+        return rows, Result(*[reduce(DataFrame.unionByName, [getattr(p, f.name) for p in parts]) for f in fields(Result)])
+
+    @staticmethod
+    def _held(result: Result) -> Result:
+        """``result`` computed, so that what fails fails here."""
+        return Result(*[materialize(getattr(result, f.name), f.name) for f in fields(Result)])
+
+    def _timed(self, work: Callable[[], Result], seconds: int) -> Result:
+        """``work``, its Spark jobs cancelled after so many seconds; 0 is no limit."""
+        if not seconds:
+            return work()
+        tag, context = f"row-{uuid.uuid4().hex}", self.spark.sparkContext
+        over = threading.Event()
+
+        def cancel() -> None:
+            over.set()
+            context.cancelJobsWithTag(tag)
+
+        timer = threading.Timer(seconds, cancel)
+        context.addJobTag(tag)
+        timer.start()
+        try:
+            out = work()
+        except Exception as error:
+            raise TimeoutError from error if over.is_set() else None
+        finally:
+            timer.cancel()
+            context.removeJobTag(tag)
+        if over.is_set():
+            raise TimeoutError
+        return out
+
+    def _batch_rows(self, inputs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(rows by status, entries of those to analyse)."""
         found = self.by_path(inputs)
         counted = found.groupBy(F.col("root_id").alias("value")).agg(F.countDistinct("method_key").alias("n"), F.min("method_key").alias("method_key"))
         m = self.methods.select("method_key", "is_abstract")
@@ -269,15 +352,9 @@ class Engine:
         run = F.when(F.col("is_abstract"), F.col("impl")).otherwise(F.col("method_key"))
         rows = rows.select("idx", F.col("value").alias("input"), F.when(reason.isNull(), "SUCCESS").otherwise("SKIPPED").alias("status"), reason.alias("reason"), F.when(reason.isNull(), run).alias("method_key"))
         rows = materialize(rows, "batch")
-        good = rows.filter("status = 'SUCCESS'").select(F.col("input").alias("root_id"), F.col("method_key").alias("_run"))
+        good = rows.filter("status = 'SUCCESS'").select(F.col("input").alias("root_id"), F.col("method_key").alias("_run")).distinct()
         entries = found.join(good, "root_id").select("root_id", "type", "display", "http_method", F.col("_run").alias("method_key"))
-        from dataclasses import replace
-
-        held, self.options = self.options, replace(self.options, follow_cross_project=False)
-        try:
-            return rows, self.analyze(entries)
-        finally:
-            self.options = held
+        return rows, materialize(entries, "batch-entries")
 
 
 def dispatch_roots(facts: Facts, known: DataFrame) -> DataFrame:

@@ -1,8 +1,9 @@
 """Recursive plans: reachability by frontier, bounded path enumeration, closures.
 
 Reachability runs level by level. Each level joins the frontier of all roots at once to the edges, keeps one
-winning row for each (root, node), and drops what has been visited by an anti join. Levels are written to
-the shared folder, so the plan of a level never grows and a lost executor costs one level.
+winning row for each (root, node), and drops what has been visited by an anti join. Edges are put together once. Levels
+are written to the shared folder, and every ``COMPACT`` of them become one table, so the plan of a level never
+grows beyond that and a lost executor costs one level. Tables that nothing reads any more are deleted.
 """
 
 from __future__ import annotations
@@ -12,13 +13,14 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ripplegraph.storage import materialize
+from ripplegraph.storage import drop, materialize
 
+COMPACT = 12  # levels that become one table
 INFERRED_MARK = " [推断分支]"
 
 
-def reach(edges: DataFrame, roots: DataFrame, max_depth: int = 30, with_path: bool = False) -> DataFrame:
-    """(root, node, depth, conf[, path]) of every node that a root reaches within ``max_depth`` steps, itself included.
+def reach(edges: DataFrame, roots: DataFrame, max_depth: int | None = 30, with_path: bool = False) -> DataFrame:
+    """(root, node, depth, conf[, path]) of every node that a root reaches within ``max_depth`` steps (None: any number), itself included.
 
     ``edges`` has src, dst and conf (0 confirmed, 1 inferred, 2 unresolved), and may have a label that a path
     shows instead of dst. ``roots`` has root and node, and may begin with a depth, conf and path of its own. A
@@ -27,57 +29,66 @@ def reach(edges: DataFrame, roots: DataFrame, max_depth: int = 30, with_path: bo
     """
     label = "label" if "label" in edges.columns else "dst"
     best = F.min(F.struct("conf", F.col(label).alias("label")))
-    steps = edges.groupBy("src", "dst").agg(best.alias("b")).select("src", "dst", "b.*")
+    steps = materialize(edges.groupBy("src", "dst").agg(best.alias("b")).select("src", "dst", "b.*"), "steps")
     given = lambda c, other: F.col(c) if c in roots.columns else other.alias(c)
     start = roots.select("root", "node", given("depth", F.lit(0)), given("conf", F.lit(0)), given("path", F.array("node"))).distinct()
     names = ["root", "node", "depth", "conf", *(["path"] if with_path else [])]
     start = start.groupBy("root", "node").agg(F.min(F.struct(*names[2:])).alias("b")).select("root", "node", "b.*")
     frontier = materialize(start, "reach")
     levels = [frontier]
-    for _ in range(max_depth):
+    while True:
         rank = [(F.col("f.depth") + 1).alias("depth"), F.greatest("f.conf", "e.conf").alias("conf")]
         if with_path:
             rank.append(F.array_append("f.path", F.col("e.label")).alias("path"))
-        step = frontier.alias("f").join(steps.alias("e"), (F.col("f.node") == F.col("e.src")) & (F.col("f.depth") < max_depth))
+        on = F.col("f.node") == F.col("e.src")
+        step = frontier.alias("f").join(steps.alias("e"), on if max_depth is None else on & (F.col("f.depth") < max_depth))
         step = step.select(F.col("f.root").alias("root"), F.col("e.dst").alias("node"), F.struct(*rank).alias("best"))
         step = step.groupBy("root", "node").agg(F.min("best").alias("best")).select("root", "node", "best.*")
         step = step.join(_all(levels).select("root", "node"), ["root", "node"], "left_anti")
         frontier = materialize(step, "reach")
         if frontier.isEmpty():
+            drop(frontier)
             break
         levels.append(frontier)
-    return _all(levels)
+        if len(levels) > COMPACT:
+            levels = [_one(levels[:-1], "reach"), frontier]
+    drop(steps)
+    return levels[0] if len(levels) == 1 else _one(levels, "reached")
 
 
 def _all(levels: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, levels)
 
 
+def _one(tables: list[DataFrame], what: str) -> DataFrame:
+    """One table of several, which are deleted."""
+    out = materialize(_all(tables), what)
+    for t in tables:
+        drop(t)
+    return out
+
+
 def unfold(edges: DataFrame, root: str, max_depth: int) -> DataFrame:
     """(path, node, depth, repeated) of the call tree under ``root``: a node met again on its own path is shown, not entered.
 
-    Written as a recursive query, for trees and bounded graphs: the number of rows is that of the paths.
+    Level by level; the number of rows is that of the paths, so this is for trees and bounded graphs.
     """
-    spark = edges.sparkSession
-    edges.select("src", "dst").distinct().createOrReplaceTempView("_tree_edges")
-    return spark.sql(
-        f"""
-        WITH RECURSIVE tree(node, path, depth, repeated) AS (
-          SELECT {_quoted(root)}, array({_quoted(root)}), 0, false
-          UNION ALL
-          SELECT e.dst, array_append(t.path, e.dst), t.depth + 1, array_contains(t.path, e.dst)
-          FROM tree t JOIN _tree_edges e ON t.node = e.src
-          WHERE NOT t.repeated AND t.depth < {max_depth})
-        SELECT array_join(path, ' -> ') AS path, node, depth, repeated FROM tree
-        """
-    )
-
-
-def _quoted(text: str) -> str:
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
-def closure(pairs: DataFrame, max_depth: int = 30) -> DataFrame:
+    steps = materialize(edges.select("src", "dst").distinct(), "steps")
+    first = edges.sparkSession.createDataFrame([([root], root, 0, False)], "path array<string>, node string, depth int, repeated boolean")
+    levels = [materialize(first, "tree")]
+    for _ in range(max_depth):
+        at = levels[-1].filter("not repeated").join(steps, F.col("node") == F.col("src"))
+        nxt = at.select(F.array_append("path", F.col("dst")).alias("path"), F.col("dst").alias("node"), (F.col("depth") + 1).alias("depth"), F.array_contains("path", F.col("dst")).alias("repeated"))
+        nxt = materialize(nxt, "tree")
+        if nxt.isEmpty():
+            drop(nxt)
+            break
+        levels.append(nxt)
+    drop(steps)
+    return _one(levels, "unfolded").withColumn("path", F.array_join("path", " -> "))
+
+
+def closure(pairs: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(sub, ancestor, depth) of the transitive closure of (sub, super), by least depth."""
     roots = pairs.select(F.col("sub").alias("root"), F.col("sub").alias("node")).distinct()
     edges = pairs.select(F.col("sub").alias("src"), F.col("super").alias("dst"), F.lit(0).alias("conf"))

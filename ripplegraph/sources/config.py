@@ -6,10 +6,12 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ripplegraph.plans.reach import reach
+
 EXTENSIONS = {"properties": 0, "yml": 1, "yaml": 2}  # a later one overwrites an earlier one
 PLACEHOLDER = re.compile(r"\$\{([^}:]+)(?::([^}]*))?\}")
 ESCAPES = {"t": "\t", "n": "\n", "r": "\r", "f": "\f"}
@@ -52,18 +54,17 @@ def unquote(value: str) -> str:
 
 
 def yaml(text: str) -> Iterator[tuple[int, str, str]]:
-    """(line, dotted key, value) of a plain YAML file: keys nest by indent; lists and anchors aren't read."""
+    """(line, dotted key, value) of a plain YAML file: keys nest by indent and stay as written; lists and anchors have no meaning."""
     stack: list[tuple[int, str]] = []
     for number, raw in enumerate(text.splitlines(), 1):
-        line = raw.split(" #", 1)[0].rstrip()
+        line = raw.split(" #", 1)[0]
         body = line.strip()
-        if not body or body.startswith(("#", "-")) or ":" not in body:
+        key, colon, value = (x.strip() for x in body.partition(":"))
+        if body.startswith("#") or not colon or not key:
             continue
-        indent = len(line) - len(line.lstrip(" \t"))
+        indent = len(line) - len(line.lstrip())
         while stack and stack[-1][0] >= indent:
             stack.pop()
-        key, value = (x.strip() for x in body.split(":", 1))
-        key = unquote(key)
         if value:
             yield number, ".".join([*(k for _, k in stack), key]), unquote(value)
         else:
@@ -112,18 +113,35 @@ def expand(value: str, configs: dict[str, str], visiting: frozenset = frozenset(
     return PLACEHOLDER.sub(one, value)
 
 
+def _keys(value: Column) -> Column:
+    """Keys of the placeholders in a value."""
+    return F.transform(F.regexp_extract_all(value, F.lit(r"\$\{([^}:]+)(?::[^}]*)?\}"), F.lit(1)), lambda k: F.trim(k))
+
+
 def resolve(rows: DataFrame, config: DataFrame, column: str, out: str) -> DataFrame:
     """``rows`` (project, ``column``, ...) with ``out``: the value with placeholders replaced from the project's configuration.
 
-    Only distinct values that hold a placeholder meet the configuration, one map a project.
+    Only distinct values that hold a placeholder take part, and each meets only the keys that it leads to, however
+    indirectly: those are found by walking from key to key, a join a step.
     """
-    maps = config.groupBy("project").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("_map"))
     held = rows.filter(F.contains(F.col(column), F.lit("${"))).select("project", F.col(column).alias("_value")).distinct()
+    asked = held.select("project", "_value", F.explode(_keys(F.col("_value"))).alias("key")).distinct()
+    known = config.select("project", "key", "value")
+    if not known.filter(F.contains("value", F.lit("${"))).isEmpty():
+        name = lambda p, k: F.concat(F.col(p), F.lit("\u0000"), F.col(k))
+        inner = known.select("project", "key", F.explode(_keys(F.col("value"))).alias("to"))
+        edges = inner.select(name("project", "key").alias("src"), name("project", "to").alias("dst"), F.lit(0).alias("conf"))
+        roots = asked.select(name("project", "key").alias("root"), name("project", "key").alias("node")).distinct()
+        met = reach(edges, roots, None).select(F.col("root"), F.substring_index("node", "\u0000", -1).alias("_met"))
+        asked = asked.withColumn("root", name("project", "key")).join(met, "root").select("project", "_value", F.col("_met").alias("key")).distinct()
+    maps = asked.join(known, ["project", "key"]).groupBy("project", "_value").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("_map"))
+    plain = config.select("project").distinct()
 
     @F.pandas_udf(T.StringType())
     def replaced(values: pd.Series, configs: pd.Series) -> pd.Series:
-        return pd.Series([expand(v, dict(c) if c is not None else {}) for v, c in zip(values, configs, strict=True)])
+        some = {"\u0000": ""}  # the project has a configuration, whatever of it the value leads to
+        return pd.Series([expand(v, some | dict(c) if c is not None else some) for v, c in zip(values, configs, strict=True)])
 
-    done = held.join(maps, "project").select("project", "_value", replaced("_value", "_map").alias("_done"))
+    done = held.join(plain, "project", "left_semi").join(maps, ["project", "_value"], "left").select("project", "_value", replaced("_value", "_map").alias("_done"))
     joined = rows.join(done, (rows["project"] == done["project"]) & (rows[column] == done["_value"]), "left").drop(done["project"])
     return joined.withColumn(out, F.coalesce("_done", column)).drop("_value", "_done")

@@ -106,6 +106,7 @@ def build(spark):
     given = {
         "project": [(P, "/p/shop", True, False), (bill, "/p/bill", True, False)],
         "src_class": classes, "supertype": supers, "method": methods, "call_site": calls, "call_arg": args, "expr": exprs, "variable": variables, "annotation": notes, "override": overrides,
+        "method_span": [(P, "A.java", "a.Http#call", 10, 20), (P, "A.java", "a.Order#getId", 30, 40)],
         "config_file": [(P, 0, "a.properties", "pay.host=http://old"), (P, 1, "b.yml", "pay:\n  host: http://${pay.name:pay}\n  name: 'pay.local'\n")],
         "mapper_file": [(P, "m.xml", mapper), (P, "bad.xml", "<mapper")],
     }

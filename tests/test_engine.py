@@ -12,7 +12,7 @@ from tests.fixture import build
 
 @pytest.fixture(scope="module")
 def run(spark):
-    engine = Engine(build(spark), Options(excluded_prefixes=("java.",)))
+    engine = Engine(build(spark), Options(excluded_prefixes=("java.",), merge_resources=True))
     inputs = spark.createDataFrame([("/api/order/save",)], "value string")
     result = engine.analyze(engine.by_path(inputs))
     return engine, result
@@ -71,8 +71,8 @@ def test_reports(run):
 
 
 def test_hop_to_another_project(spark, engine):
-    engine.options = replace(engine.options, follow_cross_project=True, service_mappings={"bill-svc": "bill"})
-    result = engine.analyze(engine.by_topic(spark.createDataFrame([("${mq.order.topic}",)], "value string")))
+    options = replace(engine.options, follow_cross_project=True, service_mappings={"bill-svc": "bill"})
+    result = engine.analyze(engine.by_topic(spark.createDataFrame([("${mq.order.topic}",)], "value string")), options)
     edges = {(r["caller"], r["callee"]): r["reason"] for r in result.edges.collect()}
     assert edges[("a.Http#call", "b.BillController#one")] == "跨工程 Feign：shop -> bill"
 
@@ -112,7 +112,11 @@ def test_entries(spark, engine):
     assert [r["method_key"] for r in engine.by_input("${mq.order.topic}").collect()] == ["a.Consumer#onOrder"]
     asked = spark.createDataFrame([("/none",), ("/api/order/save",)], "value string")
     assert [r["message"] for r in engine.missing(asked, engine.by_path(asked)).collect()] == ["未找到入口：/none"]
-    assert [r["method_key"] for r in engine.by_text(spark.createDataFrame([("save(){",)], "value string")).collect()] == ["a.OrderController#save"]
+    mentioned = spark.createDataFrame([("save(){:tag",), ("nowhere",)], "value string")
+    assert [r["method_key"] for r in engine.by_topic(mentioned).collect()] == ["a.OrderController#save"]
+    assert engine.by_topic(mentioned, mentions=False).count() == 0
+    points = spark.createDataFrame([("p1", "A.java", 12), ("p2", "A.java", 99)], "value string, path string, at int")
+    assert [(r["root_id"], r["method_key"]) for r in engine.by_position(points).collect()] == [("p1", "a.Http#call")]
 
 
 def test_written_lines(run, tmp_path):
@@ -123,3 +127,104 @@ def test_written_lines(run, tmp_path):
     assert reports.sibling("/x/a.csv", "md") == "/x/a.md" and reports.sibling("a.CSV", "csv") == "a.CSV"
     cells = reports.operation_groups(run[1].resources, "KAFKA").collect()
     assert set(cells[0]["cell"].split("\n")) == {"生产：${mq.order.topic}", "消费：${mq.order.topic}"}
+
+
+def test_a_failing_extractor_leaves_a_warning_and_the_others(spark):
+    def broken(c):
+        return c.rows.select("no_such_column")
+
+    def late(c):
+        from pyspark.sql import functions as F
+
+        rows = c.rows.select("ctx_id", *[F.lit("x").alias(n) for n in ("type", "name", "operation", "detail", "rule")])
+        return rows.withColumn("conf_rank", F.raise_error(F.lit("no luck")).cast("int"))
+
+    def gated(c):
+        from pyspark.sql import functions as F
+
+        return c.rows.select("ctx_id", F.lit("REDIS").alias("type"), F.col("name"), F.lit("READ").alias("operation"), F.lit(0).alias("conf_rank"), F.lit("d").alias("detail"), F.lit("own").alias("rule"))
+
+    gated.supports = "name = 'getKey'"
+    engine = Engine(build(spark), Options(), [broken, late, gated])
+    assert len(engine.failures) == 2 and engine.failures[0].startswith("broken 解析失败：") and "no luck" in engine.failures[1]
+    result = engine.analyze(engine.by_method(spark.createDataFrame([("a.OrderServiceImpl#save",)], "value string")))
+    assert {r["message"] for r in result.warnings.collect()} >= set(engine.failures)
+    got = [(r["type"], r["name"]) for r in result.resources.filter("name in ('getKey', 'order_log')").collect()]
+    assert sorted(got) == [("MYSQL", "order_log"), ("REDIS", "getKey")]
+
+
+def test_rows_of_a_batch_fail_by_themselves(spark, engine, monkeypatch):
+    inputs = spark.createDataFrame([(1, "/api/order/save"), (2, "/bill/get-one"), (3, "/none")], "idx int, value string")
+    some, steps = Engine.analyze, []
+
+    def analyze(self, entries, options=None):
+        if entries.filter("method_key = 'b.BillController#one'").count():
+            raise RuntimeError("broken row\nmore")
+        return some(self, entries, options)
+
+    monkeypatch.setattr(Engine, "analyze", analyze)
+    rows, result = engine.batch(inputs, progress=lambda *x: steps.append(x))
+    got = {r["idx"]: (r["status"], r["reason"], r["method_key"]) for r in rows.collect()}
+    assert got == {1: ("SUCCESS", None, "a.OrderController#save"), 2: ("FAILED", "broken row", None), 3: ("SKIPPED", "未定位到接口", None)}
+    assert {r["root_id"] for r in result.resources.collect()} == {"/api/order/save"}
+    assert [s[0] for s in steps] == [0, 1, 2, 3]
+    assert "- 失败：1" in reports.batch_markdown(rows, result)
+    with pytest.raises(ValueError):
+        engine.batch(spark.range(101).selectExpr("cast(id as int) as idx", "concat('/x', id) as value"))
+
+
+def test_a_batch_that_is_stopped_or_takes_too_long(spark, engine, monkeypatch):
+    import threading
+    import time
+
+    inputs = spark.createDataFrame([(1, "/api/order/save"), (2, "/bill/get-one"), (3, "/none")], "idx int, value string")
+    stop = threading.Event()
+    rows, result = engine.batch(inputs, progress=lambda done, n, value: done == 1 and stop.set(), stop=stop)
+    assert sorted(r["idx"] for r in rows.collect()) == [1, 2]
+    monkeypatch.setattr(Engine, "analyze", lambda self, entries, options=None: time.sleep(1.5))
+    monkeypatch.setattr(Engine, "_held", staticmethod(lambda result: result))
+    with pytest.raises(TimeoutError):
+        engine._timed(lambda: time.sleep(1.5), 1)
+
+
+def test_session(spark, engine):
+    from ripplegraph.plans.session import Session
+
+    stamp, got, said = [0], [], []
+    session = Session(engine, lambda: stamp[0])
+    end = session.subscribe(got.append)
+    session.subscribe_status(lambda line, running: said.append(running))
+    first = session.analyze_method("a.Http#call")
+    assert session.analyze_method("a.Http#call") is first and got == [first, first] and said == [True, False]
+    stamp[0] = 1
+    assert session.analyze_method("a.Http#call") is not first
+    end()
+    session.cancel()
+    session.analyze_input("/bill/get-one")
+    assert len(got) == 3
+
+
+def test_report_files_and_trees(spark, engine, run, tmp_path):
+    inputs = spark.createDataFrame([(1, "/api/order/save")], "idx int, value string")
+    rows, result = engine.batch(inputs)
+    made = reports.write_report(spark, f"{tmp_path}/report.csv", rows, result)
+    assert [m.rsplit("/", 1)[1] for m in made] == ["report.csv", "report.md", "report.xlsx"]
+    lines = (tmp_path / "report.csv").read_text().splitlines()
+    assert lines[0] == reports.header(reports.BATCH) and lines[1].startswith('"1","/api/order/save"')
+    assert zipfile.ZipFile(tmp_path / "report.xlsx").namelist()[0] == "[Content_Types].xml"
+    callees = {r["caller"]: r["callees"] for r in reports.adjacency(result.edges).collect()}
+    assert callees["a.OrderController#save"] == ["a.Consumer#onOrder", "a.OrderService#save"]
+    tree = reports.tree(result, "/api/order/save").collect()
+    assert {r["depth"]: r["node"] for r in tree if r["depth"] == 0} == {0: "a.OrderController#save"}
+    assert any(r["path"] == "a.OrderController#save -> a.OrderService#save -> a.OrderServiceImpl#save" for r in tree)
+
+
+def test_settings():
+    from ripplegraph.model import changed, effective
+
+    assert Options().excluded_prefixes == ("java.", "javax.", "jakarta.", "kotlin.", "org.springframework.") and not Options().merge_resources
+    own, shared = {"use_shared": True, "max_depth": 500}, {"max_depth": "7", "excluded_prefixes": "a., b.\nc.", "query_patterns": "x,y\nz", "service_mappings": "a=b\n# c=d\n e = f"}
+    o = Options.of(effective(own, shared))
+    assert (o.max_depth, o.excluded_prefixes, o.query_patterns, o.service_mappings) == (7, ("a.", "b.", "c."), ("x,y", "z"), {"a": "b", "e": "f"})
+    assert Options.of(effective({"max_depth": 500, "row_timeout_seconds": -3}, shared)).max_depth == 100
+    assert changed({"a": "x, y,x"}, {"a": "x\ny"}) == set() and changed({"a": "x"}, {"a": "y", "b": 1}) == {"a", "b"}
