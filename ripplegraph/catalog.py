@@ -195,13 +195,6 @@ def q_call_unresolved(spark, d):
     return missing.select("o_orderkey", F.concat(F.lit("unresolved call: "), F.col("o_orderkey").cast("string")).alias("warning"))
 
 
-@query("SELECT l_orderkey, l_linenumber, p_name FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag <> 'N'")
-def q_method_ref_resolve(spark, d):
-    """J-2, P-11: references resolve to their method; constructor references (flag N) are left out."""
-    refs = read(spark, d, "lineitem").filter("l_returnflag <> 'N'").select("l_orderkey", "l_linenumber", "l_partkey")
-    return refs.join(read(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_linenumber", "p_name")
-
-
 @query("""WITH c AS (SELECT n_nationkey, s_suppkey, s_name LIKE '%7' AS named, s_acctbal > 8000 AS prim FROM nation JOIN supplier ON s_nationkey = n_nationkey),
 f AS (SELECT *, COUNT(*) OVER w AS n, bool_or(named) OVER w AS any_named, SUM(prim::INT) OVER w AS prims FROM c WINDOW w AS (PARTITION BY n_nationkey))
 SELECT n_nationkey, s_suppkey FROM f WHERE CASE WHEN n = 1 THEN true WHEN any_named THEN named WHEN prims = 1 THEN prim ELSE true END""")
@@ -211,17 +204,6 @@ def q_dispatch_narrow(spark, d):
     return joins.narrow(c, ["n_nationkey"], F.col("s_name").like("%7"), F.col("s_acctbal") > 8000).select("n_nationkey", "s_suppkey")
 
 
-@query("""SELECT n_nationkey, CASE COUNT(s_suppkey) WHEN 0 THEN 'not_found' WHEN 1 THEN 'ok' ELSE 'ambiguous' END AS status,
-CASE WHEN COUNT(s_suppkey) = 1 THEN MIN(s_suppkey) END AS target
-FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal > 8000 GROUP BY n_nationkey""")
-def q_exactly_one(spark, d):
-    """O-8, P-31, J-10: a match counts only if it is the only one."""
-    rich = read(spark, d, "supplier").filter("s_acctbal > 8000").groupBy(F.col("s_nationkey").alias("n_nationkey"))
-    rich = rich.agg(F.count("*").alias("n"), F.min("s_suppkey").alias("s"))
-    out = read(spark, d, "nation").join(rich, "n_nationkey", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    return out.select("n_nationkey", joins.status_of(F.col("n")).alias("status"), F.when(F.col("n") == 1, F.col("s")).alias("target"))
-
-
 PATH = r"regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*', ''), '[?#].*$', '')"
 
 
@@ -252,13 +234,6 @@ def q_validate_paths(spark, d):
     return read(spark, d, "pages").select("page_id", text.path_error(value).alias("error"))
 
 
-@query(f"""SELECT page_id, path, row_number() OVER (PARTITION BY path ORDER BY page_id) = 1 AS first FROM (SELECT page_id, {PATH} AS path FROM pages)""")
-def q_dedup_inputs(spark, d):
-    """A-19: the first line of a value is kept, the others are told as duplicates."""
-    first = F.row_number().over(W.partitionBy("path").orderBy("page_id")) == 1
-    return page_paths(spark, d).select("page_id", "path", first.alias("first"))
-
-
 @query(f"""SELECT page_id, '/' || regexp_replace('api/' || regexp_replace(trim({PATH}), '^/+|/+$', '', 'g'), '/+', '/', 'g') AS path FROM pages""")
 def q_normalize_path(spark, d):
     """S-1: a class part and a method part as one path."""
@@ -266,15 +241,6 @@ def q_normalize_path(spark, d):
     return p.select("page_id", text.normalize_path(F.lit("/api/"), F.col("path")).alias("path"))
 
 
-@query(f"""WITH p AS (SELECT page_id, {PATH} AS path FROM pages) SELECT a.page_id AS input_id, b.page_id AS endpoint_id FROM p a JOIN p b ON a.path = b.path AND a.page_id <> b.page_id""")
-def q_endpoint_join(spark, d):
-    """P-1: inputs meet endpoints in one hash join on the path."""
-    p = page_paths(spark, d).select("page_id", "path")
-    a, b = p.alias("a"), p.alias("b")
-    found = a.join(b, (F.col("a.path") == F.col("b.path")) & (F.col("a.page_id") != F.col("b.page_id")))
-    return found.select(F.col("a.page_id").alias("input_id"), F.col("b.page_id").alias("endpoint_id"))
-
-
 TOPICS = """produced AS (SELECT DISTINCT CASE WHEN user_id % 3 = 0 THEN '${mq.' || event_type || '.topic}' WHEN user_id % 3 = 1 THEN 'a.b.' || event_type ELSE event_type || ':tag' END AS p FROM events),
 consumed AS (SELECT DISTINCT CASE WHEN user_id % 2 = 0 THEN '${mq.' || event_type || '.topic}' ELSE 'x.' || event_type END AS c FROM events)"""
 
@@ -296,15 +262,6 @@ def topics(spark, d):
     return e.select(p.alias("p")).distinct(), e.select(c.alias("c")).distinct()
 
 
-@query("""SELECT DISTINCT user_id, event_type FROM events e WHERE event_type IN ('click', 'view', 'purchase')
-AND NOT EXISTS (SELECT 1 FROM events s WHERE s.user_id = e.user_id AND s.event_type = e.event_type AND s.value > 60)""")
-def q_mq_consumers_anti(spark, d):
-    """J-7, P-29, U-5: consumers of some kinds that the graph doesn't hold yet."""
-    e = read(spark, d, "events")
-    wanted = e.filter(F.col("event_type").isin("click", "view", "purchase")).select("user_id", "event_type").distinct()
-    return wanted.join(e.filter("value > 60").select("user_id", "event_type").distinct(), ["user_id", "event_type"], "left_anti")
-
-
 @query("""WITH m AS (SELECT n_name AS name, 'project-' || n_regionkey AS target FROM nation WHERE n_nationkey % 2 = 0),
 s AS (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN '${' || n_name || '}' WHEN 1 THEN n_name || '/v1' ELSE n_name END AS service FROM customer JOIN nation ON c_nationkey = n_nationkey),
 k AS (SELECT *, trim(split_part(service, '/', 1)) AS key FROM s)
@@ -333,17 +290,6 @@ def q_project_lookup(spark, d):
     return joins.lookup_project(wanted, projects, "value")
 
 
-@query("""WITH c AS (SELECT n_regionkey AS k, arg_max(n_name, n_nationkey) AS v FROM nation GROUP BY 1),
-u AS (SELECT o_orderkey, o_custkey % 8 AS k, o_custkey % 2 = 0 AS has_default FROM orders)
-SELECT o_orderkey, CASE WHEN v IS NOT NULL THEN v WHEN has_default THEN 'none' ELSE '${r.' || u.k || '}' END AS resolved FROM u LEFT JOIN c ON c.k = u.k""")
-def q_config_resolve(spark, d):
-    """J-15, S-16, A-21: the last value written for a key, else the default, else the placeholder itself."""
-    config = joins.latest(read(spark, d, "nation").withColumn("k", F.col("n_regionkey").cast("long")), "k", "n_name", ["n_nationkey"])
-    used = read(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 8).alias("k"), (F.col("o_custkey") % 2 == 0).alias("has"))
-    left = F.when(F.col("has"), "none").otherwise(F.concat(F.lit("${r."), F.col("k").cast("string"), F.lit("}")))
-    return used.join(config, "k", "left").select("o_orderkey", F.coalesce("n_name", left).alias("resolved"))
-
-
 # ---- predicates and scalars ------------------------------------------------------------------------
 
 SNAKE = "lower(regexp_replace(regexp_replace({0}, '([A-Z]+)([A-Z][a-z])', '\\1_\\2', 'g'), '([a-z0-9])([A-Z])', '\\1_\\2', 'g'))"
@@ -476,59 +422,6 @@ def q_merge_results(spark, d):
     return joins.latest(a.unionByName(b), "node", "v", ["ord"])
 
 
-@query("""SELECT p_type, COALESCE(string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) FILTER (l_linestatus = 'F'), '无') AS writes, COALESCE(string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) FILTER (l_linestatus <> 'F'), '无') AS reads,
-COUNT(*) FILTER (l_returnflag = 'R') AS unresolved FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_type""")
-def q_type_pivot(spark, d):
-    """A-9, A-13, A-14: names of one type by operation, as cells."""
-    j = read(spark, d, "lineitem").join(read(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    cell = lambda c: F.coalesce(text.blank_to_null(F.array_join(F.array_sort(F.collect_set(F.when(c, F.col("p_brand")))), ",")), F.lit("无"))
-    write = F.col("l_linestatus") == "F"
-    return j.groupBy("p_type").agg(cell(write).alias("writes"), cell(~write).alias("reads"), F.count_if(F.col("l_returnflag") == "R").alias("unresolved"))
-
-
-@query("""SELECT COUNT(*) AS total, COUNT(*) FILTER (o_orderstatus = 'O') AS success, COUNT(*) FILTER (o_orderstatus = 'F') AS failed, COUNT(*) FILTER (o_orderstatus NOT IN ('O', 'F')) AS skipped,
-CASE WHEN bool_or(o_orderstatus = 'P') THEN '待确认' ELSE '已完成' END AS status FROM orders""")
-def q_status_counts(spark, d):
-    """A-10, A-12, SK-12: counts by status."""
-    s = F.col("o_orderstatus")
-    return read(spark, d, "orders").agg(
-        F.count("*").alias("total"),
-        F.count_if(s == "O").alias("success"),
-        F.count_if(s == "F").alias("failed"),
-        F.count_if(~s.isin("O", "F")).alias("skipped"),
-        F.when(F.bool_or(s == "P"), "待确认").otherwise("已完成").alias("status"),
-    )
-
-
-@query("SELECT l_orderkey, COUNT(DISTINCT l_partkey) AS methods, COUNT(*) AS resources FROM lineitem GROUP BY l_orderkey")
-def q_row_counts(spark, d):
-    """A-11: methods and resources of each row."""
-    return read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.countDistinct("l_partkey").alias("methods"), F.count("*").alias("resources"))
-
-
-@query("SELECT o_orderkey, o_orderstatus, l_linenumber, l_partkey FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey")
-def q_outer_explode(spark, d):
-    """SK-4: a row for each resource, and one for a row without any."""
-    o, li = read(spark, d, "orders"), read(spark, d, "lineitem")
-    return o.join(li, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", "o_orderstatus", "l_linenumber", "l_partkey")
-
-
-@query("SELECT p_brand, string_agg(p_name, ' -> ' ORDER BY p_partkey) AS summary FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS r FROM part) WHERE r <= 8 GROUP BY p_brand")
-def q_top_n_methods(spark, d):
-    """O-3: the first eight methods of each result, in order."""
-    first = F.row_number().over(W.partitionBy("p_brand").orderBy("p_partkey"))
-    kept = read(spark, d, "part").withColumn("r", first).filter("r <= 8")
-    names = F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name"))), lambda x: x["p_name"])
-    return kept.groupBy("p_brand").agg(F.array_join(names, " -> ").alias("summary"))
-
-
-@query("SELECT p_partkey, p_name, p_type FROM part WHERE lower(p_name) LIKE '%a%' AND p_type LIKE '%STEEL%' OR p_size = 7 ORDER BY p_name, p_partkey")
-def q_ui_filter(spark, d):
-    """P-24, O-2: optional filters and a sort by the user."""
-    keep = (F.contains(F.lower("p_name"), F.lit("a")) & F.contains(F.col("p_type"), F.lit("STEEL"))) | (F.col("p_size") == 7)
-    return read(spark, d, "part").filter(keep).select("p_partkey", "p_name", "p_type").orderBy("p_name", "p_partkey")
-
-
 @query("SELECT doc_id, md5(replace(replace(text, '|', '\\|'), chr(10), '<br>')) AS digest, length(replace(replace(text, '|', '\\|'), chr(10), '<br>')) AS n FROM documents".replace("\\\\", "\\"))
 def q_md_escape(spark, d):
     """S-37: table cells of Markdown."""
@@ -548,43 +441,6 @@ def q_xml_escape(spark, d):
     return read(spark, d, "pages").select("page_id", F.md5(text.xml_escape(F.col("html")).cast("binary")).alias("digest"))
 
 
-@query("""SELECT event_id, trim(split_part(line, '=', 1)) AS k, trim(substr(line, instr(line, '=') + 1)) AS v FROM (SELECT event_id, 'svc-' || event_type || ' = ' || props AS line FROM events WHERE event_id % 7 <> 0)""")
-def q_map_parse(spark, d):
-    """S-45: mapping lines, comments left out."""
-    e = read(spark, d, "events")
-    line = F.concat(F.when(F.col("event_id") % 7 == 0, "# ").otherwise(""), F.lit("svc-"), "event_type", F.lit(" = "), "props")
-    parts = F.split(F.col("line"), "=", 2)
-    kept = e.select("event_id", line.alias("line")).filter(~F.col("line").startswith("#") & F.contains(F.col("line"), F.lit("=")))
-    return kept.select("event_id", F.trim(parts[0]).alias("k"), F.trim(parts[1]).alias("v"))
-
-
-@query("""SELECT s_suppkey, least(greatest(s_suppkey - 20, 1), 100) AS depth, least(greatest(s_suppkey - 50, 1), 10) AS cross_depth, least(greatest(s_suppkey * 2000 - 5000, 0), 86400) AS timeout FROM supplier""")
-def q_option_clamp(spark, d):
-    """S-44: options within their ranges."""
-    clamp = lambda c, a, b: F.least(F.greatest(c, F.lit(a)), F.lit(b))
-    s = F.col("s_suppkey")
-    return read(spark, d, "supplier").select("s_suppkey", clamp(s - 20, 1, 100).alias("depth"), clamp(s - 50, 1, 10).alias("cross_depth"), clamp(s * 2000 - 5000, 0, 86400).alias("timeout"))
-
-
-@query("""SELECT 0 AS part, '  N' || n_nationkey || '["' || n_name || '"]' AS line FROM nation UNION ALL SELECT 1, '  R' || n_regionkey || ' -->|已确认| N' || n_nationkey FROM nation
-UNION ALL SELECT 2, '  R' || n_regionkey || ' -.-> S' || s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
-def q_mermaid_lines(spark, d):
-    """SK-3: nodes, edges and resources as lines of a diagram."""
-    n, s = read(spark, d, "nation"), read(spark, d, "supplier")
-    c = lambda x: F.col(x).cast("string")
-    nodes = n.select(F.lit(0).alias("part"), F.concat(F.lit("  N"), c("n_nationkey"), F.lit('["'), text.quote_label(F.col("n_name")), F.lit('"]')).alias("line"))
-    edges = n.select(F.lit(1), F.concat(F.lit("  R"), c("n_regionkey"), F.lit(" -->|已确认| N"), c("n_nationkey")))
-    used = s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(F.lit(2), F.concat(F.lit("  R"), c("n_regionkey"), F.lit(" -.-> S"), c("s_suppkey")))
-    return nodes.union(edges).union(used)
-
-
-@query("SELECT 'N:'||c_nationkey AS caller, string_agg('C:'||c_custkey, ',' ORDER BY 'C:'||c_custkey) AS callees FROM customer GROUP BY 1")
-def q_adjacency(spark, d):
-    """A-20: callees of each caller."""
-    c = read(spark, d, "customer").groupBy(node("N", "c_nationkey").alias("caller"))
-    return c.agg(F.array_join(F.array_sort(F.collect_list(node("C", "c_custkey"))), ",").alias("callees"))
-
-
 @query("SELECT event_id, CASE WHEN value > 50 AND user_id % 4 <> 0 AND trim(event_type) <> '' AND event_type <> '*' THEN 't' || user_id || ':' || event_type ELSE 't' || user_id END AS destination FROM events")
 def q_destination(spark, d):
     """S-24, S-25: topic and tag as one name."""
@@ -599,8 +455,3 @@ def q_names(spark, d):
     return read(spark, d, "nation").select("n_nationkey", text.decapitalize(F.col("n_name")).alias("bean"), key.alias("method_key"))
 
 
-@query("SELECT page_id, string_split(rtrim(ltrim(replace(url, '://', ','), ','), ','), '/')[1] AS first_item, len(regexp_extract_all(url, '[^/,]+')) AS items FROM pages")
-def q_list_option(spark, d):
-    """S-44, A-22: lists of options by comma or line."""
-    p = read(spark, d, "pages")
-    return p.select("page_id", F.split(F.replace("url", F.lit("://"), F.lit(",")), "/")[0].alias("first_item"), F.size(text.split_list(F.replace("url", F.lit("/"), F.lit(" , ")))).cast("long").alias("items"))

@@ -114,16 +114,6 @@ def q_operation_lines(spark, d):
     return reports.operation_groups(r, "MYSQL").select(F.col("root_id").alias("name"), "cell")
 
 
-@query("SELECT DISTINCT user_id, CASE WHEN event_type = 'error' THEN '无法解析方法引用：' || event_type ELSE '无法解析调用：' || event_type END AS message FROM events WHERE NOT (event_type = 'signup' AND user_id % 2 = 0)")
-def q_warnings(spark, d):
-    """A-2, P-30, J-2: warnings once, those about constructors left out."""
-    e = read(spark, d, "events")
-    ref = F.col("event_type").isin("error", "signup") & ((F.col("event_type") == "error") | (F.col("user_id") % 2 == 0))
-    name = F.when((F.col("event_type") == "signup") & (F.col("user_id") % 2 == 0), "Order::new").otherwise(F.col("event_type"))
-    message = F.when(ref, F.concat(F.lit("无法解析方法引用："), name)).otherwise(F.concat(F.lit("无法解析调用："), name))
-    return e.select("user_id", message.alias("message")).filter(~F.col("message").rlike(reports.CONSTRUCTOR_WARNING)).distinct()
-
-
 @query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'REDIS' WHEN 1 THEN 'KAFKA' WHEN 2 THEN 'RABBITMQ' ELSE 'ROCKETMQ' END AS type,
 CASE event_id % 4 WHEN 0 THEN 'k' || user_id WHEN 1 THEN 'k' || user_id WHEN 2 THEN 'k' || user_id || ' -> tag' ELSE 'k' || user_id || ':tag' END AS name,
 CASE event_id % 4 WHEN 0 THEN 'WRITE' WHEN 3 THEN 'CONSUME' ELSE 'PRODUCE' END AS operation, CASE event_id % 4 WHEN 3 THEN 0 ELSE 1 END AS conf_rank FROM events""")

@@ -30,6 +30,9 @@ MAPPINGS = ("GetMapping", "PostMapping", "PutMapping", "DeleteMapping", "PatchMa
 ROCKET_PACKAGES = ("com.aliyun.openservices.ons.api.", "org.apache.rocketmq.")
 LISTENER_ATTRIBUTES = ("topics", "topic", "queues", "queue", "value", "name")
 # What evidence says beyond the place.
+BY_STATEMENT, BY_GENERIC, NO_STATEMENT = "MyBatis ", "MyBatis 通用 Mapper ", "；XML/Provider 未解析出表，按调用点泛型实体推断"
+BY_ORM, OF_ENTITY, ORM_NAMED, ENTITY_NAMED, NAMED_BY_RULE = "MyBatis-Plus ", "；实体 ", "；@TableName/@Table", "；实体注解表名", "；按默认命名规则推断"
+BY_NATIVE_QUERY, BY_REPOSITORY, BY_CLIENT, BY_HTTP = "JPA native query ", "JPA Repository ", "Feign ", "HTTP client "
 DYNAMIC_TABLE, BY_KEYWORD = "；包含动态表名表达式", "；SQL 解析失败，使用后备识别"
 FROM_MESSAGE, FROM_WRAPPER, RABBIT_LISTENER = "；从 ONS/RocketMQ Message 构造参数解析", "；从 RocketMQ 包装器参数解析", "Rabbit consumer annotation"
 
@@ -54,7 +57,7 @@ def contexts(facts: Facts, options: Options) -> Contexts:
         F.concat(F.lit("c|"), "call_id").alias("ctx_id"), "project", F.col("caller_key").alias("method_key"), "call_id", F.col("callee_key").alias("target_key"),
         "text", "qualifier_type", "qualifier_type_args", "qualifier_symbol", "ord",
     )
-    target = m.select(F.col("method_key").alias("target_key"), F.col("class_fqn").alias("owner"), "name", "param_types", "return_type")
+    target = m.select(F.col("method_key").alias("target_key"), F.col("class_fqn").alias("owner"), "name", "param_types", "return_type", F.col("is_project_source").alias("target_source"))
     within = m.select("method_key", F.col("class_fqn").alias("method_owner"), F.col("name").alias("method_name"))
     rows = own.unionByName(calls).join(target, "target_key").join(within, "method_key")
     rows = rows.withColumns({"owner": F.coalesce("owner", F.lit("")), "text": F.coalesce("text", F.lit("")), "owner_short": F.element_at(F.split(F.coalesce("owner", F.lit("")), r"\."), -1)})
@@ -123,15 +126,15 @@ def mybatis(c: Contexts) -> DataFrame:
     rows = c.rows.join(marked, "owner", "left").filter(F.col("owner").endswith("Mapper") | F.col("_m").isNotNull() | F.col("owner").startswith("tk.mybatis.mapper."))
     s = mapper.statements(c.facts["mapper_file"]).select(F.col("namespace").alias("owner"), F.col("id").alias("name"), "sql").distinct()
     stated = rows.join(s, ["owner", "name"])
-    by_file = sql_resources(stated, "sql", F.concat_ws(".", F.lit("Mapper XML"), "owner", "name"), "mapper")
+    by_file = sql_resources(stated, "sql", F.concat(F.lit(BY_STATEMENT), "owner", F.lit("#"), "name"), "mapper")
     generated = F.col("owner").startswith("tk.mybatis.mapper.") | F.contains(F.col("name"), F.lit("ByExample")) | F.col("name").isin("selectByPrimaryKey", "insertSelective")
     open_ = rows.filter(generated).join(by_file.select("ctx_id").distinct(), "ctx_id", "left_anti")
     inner = _marked(c, F.coalesce("qualifier_type", "method_owner"), F.col("qualifier_type_args"), F.when(F.col("class_fqn").startswith("tk.mybatis.mapper."), 0))
     param = F.filter(F.coalesce("param_types", F.array().cast("array<string>")), lambda p: ~p.endswith("Example") & F.contains(p, F.lit(".")) & ~p.startswith("java."))
     open_ = open_.join(inner, "ctx_id", "left").withColumn("class_fqn", F.coalesce("entity", F.try_element_at(param, F.lit(1))))
     open_ = open_.join(entity_names(c.facts), "class_fqn", "left")
-    name = F.coalesce("table", text.table_from_class(F.coalesce(F.element_at(F.split("qualifier_type", r"\."), -1), F.col("owner_short"))))
-    return by_file.unionByName(_out(open_, "MYSQL", name, text.generic_mapper_operation(F.col("name")), 1, _call_name(), "generated mapper"))
+    name = F.coalesce("table", F.when(F.col("target_source"), text.table_from_class(F.col("owner_short"))))
+    return by_file.unionByName(_out(open_, "MYSQL", name, text.generic_mapper_operation(F.col("name")), 1, F.concat(F.lit(BY_GENERIC), "owner", F.lit("#"), "name", F.lit(NO_STATEMENT)), "generated mapper"))
 
 
 def mybatis_plus(c: Contexts) -> DataFrame:
@@ -155,14 +158,16 @@ def mybatis_plus(c: Contexts) -> DataFrame:
     t = _marked(c, F.col("owner"), F.lit(None).cast("array<string>"), _orm_index()).withColumnRenamed("entity", "e2")
     rows = gate.join(by_arg, "ctx_id", "left").join(q, "ctx_id", "left").join(t, "ctx_id", "left").withColumn("class_fqn", F.coalesce("e0", "e1", "e2", "e3"))
     rows = rows.join(entity_names(c.facts), "class_fqn")
-    return _out(rows, "MYSQL", F.col("table"), op, F.when(F.col("explicit"), 0).otherwise(1), _call_name(), "orm")
+    named = F.when(F.col("explicit"), ORM_NAMED).otherwise(NAMED_BY_RULE)
+    detail = F.concat(F.lit(BY_ORM), _call_name(), F.lit(OF_ENTITY), "class_fqn", named)
+    return _out(rows, "MYSQL", F.col("table"), op, F.when(F.col("explicit"), 0).otherwise(1), detail, "orm")
 
 
 def jpa(c: Contexts) -> DataFrame:
     """X-3: native queries, and repositories by entity."""
     q = annotated(c.facts, "method", "Query", F.when(attribute("nativeQuery") == "true", attribute("value")), "sql").withColumnRenamed("target_id", "target_key")
     native = c.rows.join(q, "target_key").filter("sql is not null")
-    by_sql = sql_resources(native, "sql", F.concat(F.lit("@Query "), _call_name()), "query")
+    by_sql = sql_resources(native, "sql", F.concat(F.lit(BY_NATIVE_QUERY), _call_name()), "query")
     repo = F.coalesce(F.when(F.col("qualifier_type").rlike("Repository$"), F.col("qualifier_type")), F.when(F.col("owner").rlike("Repository$"), F.col("owner")))
     rows = c.rows.withColumn("repo", repo).filter("repo is not null").join(native.select("ctx_id"), "ctx_id", "left_anti")
     marker = F.when(F.col("class_fqn").rlike("Repository$"), 0)
@@ -172,7 +177,8 @@ def jpa(c: Contexts) -> DataFrame:
     near = near.groupBy("ctx_id").agg(F.min_by("class_fqn", "pos").alias("typed"))
     rows = rows.join(inner, "ctx_id", "left").join(near, "ctx_id", "left").withColumn("class_fqn", F.coalesce("entity", "typed")).join(entity_names(c.facts), "class_fqn")
     conf = F.when(F.col("explicit"), 0).otherwise(1)
-    return by_sql.unionByName(_out(rows, "MYSQL", F.col("table"), text.repository_operation(F.col("name")), conf, _call_name(), "repository"))
+    detail = F.concat(F.lit(BY_REPOSITORY), "repo", F.lit("."), "name", F.when(F.col("explicit"), ENTITY_NAMED).otherwise(NAMED_BY_RULE))
+    return by_sql.unionByName(_out(rows, "MYSQL", F.col("table"), text.repository_operation(F.col("name")), conf, detail, "repository"))
 
 
 def infrastructure(c: Contexts) -> DataFrame:
@@ -306,18 +312,18 @@ def external_http(c: Contexts) -> DataFrame:
     known = config.key_values(c.facts["config_file"])
     f = c.rows.join(feign_endpoints(c.facts), "target_key")
     raw = F.concat_ws(" ", "service", "verb", "display_path")
-    f = f.withColumn("raw", raw).withColumn("_conf", F.when(F.col("service").startswith("${") | (F.col("path") == "/"), 2).otherwise(0))
+    f = f.withColumn("raw", raw).withColumn("_conf", F.when(F.col("service").startswith("${") | (F.col("display_path") == "/"), 2).otherwise(0))
     f = config.resolve(f, known, "raw", "shown")
     note = lambda d: F.when(F.col("raw") == F.col("shown"), d).otherwise(F.concat(d, F.lit("；配置解析："), "raw", F.lit(" -> "), "shown"))
-    by_feign = _out(f, "EXTERNAL_HTTP", F.col("shown"), "CALL", F.col("_conf"), note(F.col("source")), "feign")
+    by_feign = _out(f, "EXTERNAL_HTTP", F.col("shown"), "CALL", F.col("_conf"), note(F.concat(F.lit(BY_CLIENT), "source")), "feign")
     owner = F.col("owner")
     client = F.contains(owner, F.lit("RestTemplate")) | F.contains(owner, F.lit("WebClient")) | F.contains(owner, F.lit("OkHttp")) | text.starts_with_any(owner, list(c.options.http_client_prefixes))
     h = c.rows.filter(client & F.col("call_id").isNotNull()).join(f.select("ctx_id"), "ctx_id", "left_anti").join(c.arguments, "ctx_id", "left")
     h = h.join(urls(c.facts).select(F.col("expr_id").alias("expr0"), F.col("value").alias("url")), "expr0", "left")
-    h = h.withColumn("raw", F.concat_ws(" ", text.http_verb(F.col("name")), F.coalesce("url", F.lit(UNKNOWN_URL))))
-    h = config.resolve(h, known, "raw", "shown")
+    h = config.resolve(h.withColumn("raw", F.coalesce("url", F.lit(UNKNOWN_URL))), known, "raw", "shown")
     conf = F.when(F.col("url").isNull(), 2).otherwise(1)
-    return by_feign.unionByName(_out(h, "EXTERNAL_HTTP", F.col("shown"), "CALL", conf, note(_call_name()), "client"))
+    name = F.concat_ws(" ", text.http_verb(F.col("name")), "shown")
+    return by_feign.unionByName(_out(h, "EXTERNAL_HTTP", name, "CALL", conf, note(F.concat(F.lit(BY_HTTP), _call_name())), "client"))
 
 
 EXTRACTORS: list[Callable[[Contexts], DataFrame]] = [mybatis, mybatis_plus, jpa, infrastructure, external_http]

@@ -212,8 +212,8 @@ def dispatch(facts: Facts, included: DataFrame, overrides: bool) -> DataFrame:
         extra = asked.filter("not is_abstract and is_virtual").join(below, "callee_key").select("callee_key", "qualifier", "target_key", F.lit(False).alias("_iface"))
         impl = impl.unionByName(extra)
     impl = impl.join(included.withColumnRenamed("method_key", "target_key"), "target_key", "left_semi")
-    counts = impl.filter("_iface").groupBy("callee_key", "qualifier").agg(F.count("*").alias("_n"))
-    impl = impl.join(counts, (impl["callee_key"] == counts["callee_key"]) & impl["qualifier"].eqNullSafe(counts["qualifier"]), "left").drop(counts["callee_key"]).drop(counts["qualifier"])
+    counts = impl.filter("_iface").groupBy(F.col("callee_key").alias("_callee"), F.col("qualifier").alias("_qualifier")).agg(F.count("*").alias("_n"))
+    impl = impl.join(counts, (F.col("callee_key") == F.col("_callee")) & F.col("qualifier").eqNullSafe(F.col("_qualifier")), "left")
     reason = F.when(F.col("_iface") & (F.col("_n") == 1), REASONS["only"]).when(F.col("_iface"), REASONS["several"]).otherwise(REASONS["override"])
     out = impl.select("callee_key", "qualifier", "target_key", reason.alias("reason"))
     found = out.filter(~F.col("reason").eqNullSafe(REASONS["override"])).select("callee_key").distinct()

@@ -65,9 +65,7 @@ class Engine:
     def _steps(self) -> None:
         """Edges of the graph, and the steps of the walk: from a method to what its calls may run."""
         f, o = self.facts, self.options
-        calls = f["call_site"].filter("not (kind = 'ref' and ref_name = 'new')")
-        known, missing = joins.resolve(calls, f["method"], "callee_key", "method_key")
-        self.unresolved = missing.select("caller_key", F.when(F.col("kind") == "ref", F.concat(F.lit("无法解析方法引用："), "text")).otherwise(F.concat(F.lit("无法解析调用："), "text")).alias("message"))
+        known, self.unresolved = resolved_calls(f)
         shown = self.methods.filter("shown").select("method_key")
         kept = known.join(shown.withColumnRenamed("method_key", "callee_key"), "callee_key", "left_semi")
         if o.hide_accessors:
@@ -89,15 +87,11 @@ class Engine:
     # ---- entries -----------------------------------------------------------------------------------
 
     def endpoints(self) -> DataFrame:
-        """(path, verb, method_key) of all mapped methods: the table that paths are joined to."""
-        e = extractors.endpoint_mappings(self.facts)
-        return e.select(text.normalize_path(F.col("class_path"), F.col("method_path")).alias("path"), "verb", "method_key")
+        return endpoints(self.facts)
 
     def by_path(self, paths: DataFrame) -> DataFrame:
         """(root_id, type, display, http_method, method_key) of entries for ``paths`` (value)."""
-        asked = paths.select("value", text.normalize_path(F.col("value")).alias("path"))
-        found = asked.join(self.endpoints(), "path")
-        return found.select(F.col("value").alias("root_id"), F.lit("HTTP").alias("type"), F.concat_ws(" ", "verb", "path").alias("display"), F.col("verb").alias("http_method"), "method_key")
+        return entries_at(paths, self.endpoints())
 
     def consumers(self) -> DataFrame:
         """(topic, method_key) of methods that consume."""
@@ -169,8 +163,7 @@ class Engine:
         found = self._collect(o, seen)
         if o.follow_local_consumers:
             made = found.filter((F.col("operation") == "PRODUCE") & F.col("type").isin(*QUEUE_TYPES)).select("root_id", F.col("name").alias("topic")).distinct()
-            eaten = joins.match_topics(made, self.consumers(), "topic", "consumed").select(F.col("root_id").alias("root"), "topic", F.col("method_key").alias("node")).distinct()
-            eaten = materialize(eaten.join(seen.select("root", "node"), ["root", "node"], "left_anti").join(labels, "node"), "eaten")
+            eaten = materialize(new_consumers(made, self.consumers(), seen).join(labels, "node"), "eaten")
             if not eaten.isEmpty():
                 first = start.groupBy("root").agg(F.min("node").alias("caller"), F.min(F.col("path")[0]).alias("_first"))
                 eaten = eaten.join(first, "root")
@@ -357,6 +350,32 @@ class Engine:
         return rows, materialize(entries, "batch-entries")
 
 
+def resolved_calls(facts: Facts) -> tuple[DataFrame, DataFrame]:
+    """(calls and references whose method is known, (caller_key, message) of the others); references to constructors are neither."""
+    calls = facts["call_site"].filter("not (kind = 'ref' and ref_name = 'new')")
+    known, missing = joins.resolve(calls, facts["method"], "callee_key", "method_key")
+    head = F.when(F.col("kind") == "ref", "无法解析方法引用：").otherwise("无法解析调用：")
+    return known, missing.select("caller_key", F.concat(head, "text").alias("message"))
+
+
+def endpoints(facts: Facts) -> DataFrame:
+    """(path, verb, method_key) of all mapped methods: the table that paths are joined to."""
+    e = extractors.endpoint_mappings(facts)
+    return e.select(text.normalize_path(F.col("class_path"), F.col("method_path")).alias("path"), "verb", "method_key")
+
+
+def entries_at(paths: DataFrame, found: DataFrame) -> DataFrame:
+    """Entries for ``paths`` (value) among ``endpoints``: one hash join on the normal path."""
+    asked = paths.select("value", text.normalize_path(F.col("value")).alias("path"))
+    return asked.join(found, "path").select(F.col("value").alias("root_id"), F.lit("HTTP").alias("type"), F.concat_ws(" ", "verb", "path").alias("display"), F.col("verb").alias("http_method"), "method_key")
+
+
+def new_consumers(made: DataFrame, consumers: DataFrame, seen: DataFrame) -> DataFrame:
+    """(root, topic, node): consumers of the topics ``made`` (root_id, topic) that the root hasn't ``seen`` (root, node)."""
+    eaten = joins.match_topics(made, consumers, "topic", "consumed").select(F.col("root_id").alias("root"), "topic", F.col("method_key").alias("node")).distinct()
+    return eaten.join(seen.select("root", "node"), ["root", "node"], "left_anti")
+
+
 def dispatch_roots(facts: Facts, known: DataFrame) -> DataFrame:
     """(method_key, impls, impl): implementations of every abstract method, without an injection to narrow them."""
     asked = known.filter("is_abstract").select(F.col("method_key").alias("callee_key"))
