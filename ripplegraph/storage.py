@@ -4,10 +4,30 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete what ``materialize`` writes within, once that is left: for work whose result is stored elsewhere."""
+    held = _scratch.set([])
+    try:
+        yield
+    finally:
+        made = _scratch.get() or []
+        _scratch.reset(held)
+        for path in made:
+            system, target = _file_system(spark, path)
+            system.delete(target, True)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster names it in ``spark.checkpoint.dir``; only a session that runs in one process gets one made where that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -22,6 +42,8 @@ def shared_folder(spark: SparkSession) -> str:
 def materialize(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts its lineage and outlives lost executors."""
     path = f"{shared_folder(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
+    if (held := _scratch.get()) is not None:
+        held.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -17,6 +17,26 @@ def test_yaml():
     assert {k: v for _, k, v in config.yaml(lines)} == {"a.b": "1", "a.c.d": "x", "a.e": "y", "f": "http://z"}
 
 
+def test_yaml_keeps_keys_as_written():
+    lines = "a:\n  - b: c\n  \"k\": v\n: none\nplain\n  # x: y\n"
+    assert {k: v for _, k, v in config.yaml(lines)} == {"a.- b": "c", 'a."k"': "v"}
+
+
+def test_tables_of_finished_work_go(spark, tmp_path):
+    from pathlib import Path
+
+    from ripplegraph.storage import materialize, scratch, shared_folder, write_file
+
+    before = materialize(spark.range(3).toDF("id"), "kept")
+    with scratch(spark):
+        inner = materialize(before, "gone")
+        path = Path(inner.inputFiles()[0].removeprefix("file:")).parent
+        assert path.exists() and inner.count() == 3
+    assert not path.exists() and before.count() == 3 and str(shared_folder(spark)).startswith("file:")
+    write_file(spark, f"{tmp_path}/a/b.txt", "é")
+    assert (tmp_path / "a" / "b.txt").read_text() == "é"
+
+
 def test_placeholders():
     c = {"a": "${b}", "b": "x${c:1}", "loop": "${loop2}", "loop2": "${loop}"}
     assert config.expand("${a}/${none}/${none:d}", c) == "x1/${none}/d"
