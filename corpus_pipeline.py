@@ -1,11 +1,17 @@
-"""From raw documents to packed training sequences: the stages of a corpus, one after another."""
+"""From raw documents to packed training sequences: the stages of a corpus, one after another.
+
+Rows may have null ids, texts and sources, texts of any length, ids and whole rows that are there again, and more columns
+of any name but ones that begin with two underscores; all stages but the last return the columns that they get.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripplegraph.llm.common import materialize, read
+from ripplegraph.llm.common import drop, read, scratch, shared_folder
 from ripplegraph.llm.langid import UNKNOWN, predicted
 from ripplegraph.llm.mixing import mixed, words
 from ripplegraph.llm.neardup import near_rows
@@ -61,8 +67,16 @@ STAGES = [("language", language), ("toxicity", toxicity), ("near_dedup", near_de
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each one's rows written and read again for the next."""
-    docs = read(spark, sf_dir, "documents")
+    """All stages over ``documents``, each one's rows written and read again for the next.
+
+    What a stage wrote on its way is deleted when its result is written, and that when the next stage's is.
+    """
+    docs, folder, last = read(spark, sf_dir, "documents"), shared_folder(spark), None
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        path = f"{folder}/{name}-{uuid.uuid4().hex}"
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if last is not None:
+            drop(last)
+        docs = last = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ripplegraph.storage import drop, materialize, read, shared_folder
+from ripplegraph.storage import drop, materialize, read, scratch, shared_folder
 
-__all__ = ["byte_buffers", "column_as_float64", "crc_of_id", "drawn", "drop", "letters", "map_texts", "materialize", "pieces", "read", "release_memory", "shared_folder", "small_batches"]
+__all__ = ["byte_buffers", "column_as_float64", "crc_of_id", "drawn", "drop", "letters", "map_texts", "materialize", "pieces", "read", "release_memory", "scratch", "shared_folder", "small_batches"]
 BATCH_ROWS = 1000
 
 _letters: np.ndarray | None = None

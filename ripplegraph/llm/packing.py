@@ -231,7 +231,8 @@ def pack(
 
     Null and empty texts make one piece, the end id alone. Longer texts than ``capacity`` ids are cut, all
     others stay whole. Repeated rows are packed each. An empty table gives an empty result. Pieces of a
-    length are numbered within (length, input partition), so a common length isn't gathered in one task.
+    length are numbered within (length, input partition), so a common length isn't gathered in one task. Ids may be
+    null; other columns of any name don't matter, but ``keep`` can't hold the new columns' names or ones that begin with an underscore.
     """
     cut = cut_pieces(rows, text, keep, capacity, end_id, json_name, rank_name)
     cut = cut.withColumns({"_part": F.spark_partition_id(), "_pos": F.monotonically_increasing_id()})

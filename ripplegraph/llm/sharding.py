@@ -51,7 +51,9 @@ def shard_rows(rows: DataFrame, keys: list[str], shards: int, keep: list[str]) -
 
     The keys and the shard count alone decide the shard (null keys hash like any other value, equal
     keys go together); ``grown_shard`` is the shard with one more shard. ``slot`` counts a shard's
-    rows from 0 without gaps, repeated rows included. An empty table gives an empty table.
+    rows from 0 without gaps, repeated rows included. An empty table gives an empty table. Only the key, not the
+    text, is hashed, whatever the text's length; other columns of any name don't matter, but ``keep`` can't hold
+    the new columns' names or ones that begin with an underscore.
 
     Slots need no shard in one task: rows are numbered within (shard, input partition), a bounded
     group however large the shard, and each such group starts where those before it end.

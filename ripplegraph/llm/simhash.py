@@ -60,7 +60,7 @@ def fingerprints(rows: DataFrame, text: str, keep: list[str], shingle: int) -> D
         made = [fingerprint(x or b"", shingle) for x in texts.to_pylist()]
         return [pa.array(np.array(made, np.uint64).view(np.int64))]
 
-    return map_texts(rows.withColumn("_bytes", F.col(text).cast("binary")), "_bytes", keep, of, "fp long")
+    return map_texts(rows.withColumn("__bytes", F.col(text).cast("binary")), "__bytes", keep, of, "fp long")
 
 
 def syndromes(words: np.ndarray) -> np.ndarray:
@@ -182,7 +182,8 @@ def near_duplicates(rows: DataFrame, text: str, key: str, shingle: int = 3) -> D
 
     Fingerprints within two bits are linked; a component's id is its smallest key. Null and empty texts
     have the fingerprint 0, linked like any other. Equal fingerprints are one node however many rows
-    share it. Null keys don't name a component unless all of its keys are null. Repeated rows stay repeated.
+    share it. Null keys don't name a component unless all of its keys are null. Repeated rows stay repeated. A text of
+    any length is one fingerprint; an empty table gives an empty result. Other columns of any name don't matter.
     """
     printed = materialize(fingerprints(rows, text, [key], shingle), "fingerprints")
     nodes = printed.groupBy("fp").agg(F.min(key).alias("_least"))

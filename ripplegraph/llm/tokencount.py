@@ -19,8 +19,9 @@ def token_counts(
 
     Which vocabulary strings encode alone as one token is proven before the first text (see ``bpe``).
     Pre-tokens among them count as one; only the others are merged, each once until a worker's bounded
-    table of counts is full. Null text counts as empty: 0 bytes, 0 tokens. Rows keep their number, repeated
-    ones included.
+    table of counts is full. Null text counts as empty: 0 bytes, 0 tokens. Long texts are read in parts, with
+    the whole text's tokens. Rows keep their number, repeated ones included; an empty table gives an empty result.
+    Other columns of any name don't matter, but ``keep`` can't hold the new columns' names.
     """
     schema = rows.select(*keep).schema.add("n_bytes", "long").add("n_tokens", "long")
 
