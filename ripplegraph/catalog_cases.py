@@ -11,7 +11,7 @@ from ripplegraph.catalog import query
 from ripplegraph.model import FACTS, Options
 from ripplegraph.operators import extractors, symbols
 from ripplegraph.plans.engine import dispatch_roots, facts_of
-from ripplegraph.storage import read
+from ripplegraph.storage import materialize, read
 
 BLANK = {"project": "p", "ord": 0, "kind": "call", "is_project_source": True, "is_abstract": False, "is_final": False, "return_type": "void", "text": "", "target_kind": "method", "pos": 0}
 
@@ -83,7 +83,7 @@ class Cases:
             self.method(self.once(), key.split("#")[0], key.split("#")[1], is_project_source=False)
 
     def facts(self):
-        return facts_of(self.spark, {name: both(parts) for name, parts in self.tables.items()})
+        return facts_of(self.spark, {name: materialize(both(parts), name) for name, parts in self.tables.items()})
 
 
 def told(found: DataFrame, key: str) -> DataFrame:

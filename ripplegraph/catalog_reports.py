@@ -417,3 +417,64 @@ def q_extractor_gates(spark, d):
     gated.supports = "text = '0'"
     found, warnings = extractors.run([gated, broken], context)
     return found.groupBy(F.col("name").alias("extractor")).agg(F.count("*").alias("n")).unionByName(spark.createDataFrame([(w.removesuffix("no"), 1) for w in warnings], "extractor string, n long"))
+
+
+@query(r"""SELECT p_partkey, CASE p_partkey % 12 WHEN 0 THEN 'a' || p_size || ',b' WHEN 1 THEN 'a' || p_size || ',s.b' WHEN 2 THEN 'a' || p_size WHEN 3 THEN 'a' || p_size || ',b,c' WHEN 4 THEN 'a' || p_size || ',b' WHEN 5 THEN 'a' || p_size || ',b' WHEN 6 THEN 'a' || p_size WHEN 7 THEN 'a' || p_size || ',b' WHEN 8 THEN 'a' || p_size || ',b' WHEN 9 THEN 'a' || p_size WHEN 10 THEN 'a' || p_size ELSE 'a' || p_size || ',b' END AS tables, p_partkey % 12 <> 11 AS parsed FROM part""")
+def q_sql_shapes(spark, d):
+    """S-35, S-36, X-6: tables of joins, lists, subqueries, WITH, UNION, INSERT SELECT, UPDATE, DELETE, quoted names, comments and literals, and of what can't be parsed."""
+    from ripplegraph.sources import mapper
+
+    a = cat("a", "$p_size")
+    shapes = [
+        ("select x.* from ", " x, b as y where x.id = y.id"),
+        ("select * from ", " left join s.b on 1 = 1 where exists (select 1)"),
+        ("delete from ", " where id in (1, 2)"),
+        ("select * from ", " union all select * from b union select * from c order by 1"),
+        ("insert into ", " (x, y) select x, y from b where z > 0"),
+        ("update ", " set x = (select max(x) from b) where id = 1"),
+        ("with q as (select * from ", " where x = 'from zz') select * from q"),
+        ("select * from (select * from ", " t inner join b using (id)) v"),
+        ("select * from `", "` t straight_join `b` on t.id = b.id"),
+        ("/* from y */ select extract(year from d) from ", " -- join z\n where n = 'it''s'"),
+        ("select * from ", " for update"),
+        ("oops (( from ", " join b"),
+    ]
+    sql = F.lit("")
+    for i, (x, y) in enumerate(shapes):
+        sql = F.when(F.col("p_partkey") % 12 == i, F.concat(F.lit(x), a, F.lit(y))).otherwise(sql)
+    read_ = read(spark, d, "part").select("p_partkey", mapper.statement_tables(sql).alias("t"))
+    return read_.select("p_partkey", F.array_join(F.array_sort("t.tables"), ",").alias("tables"), F.col("t.parsed").alias("parsed"))
+
+
+@query(r"""WITH v AS (SELECT n_nationkey + 1 AS line_no, CASE n_nationkey % 5 WHEN 0 THEN n_name WHEN 1 THEN '/a b' WHEN 2 THEN '/x/' || n_regionkey WHEN 3 THEN '/y?z=' || n_regionkey ELSE '/' END AS value FROM nation),
+e AS (SELECT *, CASE WHEN NOT starts_with(value, '/') THEN '必须以 `/` 开头，请输入接口路径，不要输入完整 URL。' WHEN value = '/' THEN '不能只输入根路径 `/`。' WHEN contains(value, ' ') THEN '路径中不能包含空格或制表符；请确认是否一行写了多个接口。' WHEN contains(value, '?') THEN '请只输入路径，不要包含 query 参数或 fragment。' END AS error FROM v),
+g AS (SELECT *, row_number() OVER (PARTITION BY value ORDER BY line_no) AS nth FROM e WHERE error IS NULL), d AS (SELECT * FROM g WHERE nth > 1)
+SELECT 'good' AS kind, value AS said FROM g WHERE nth = 1 UNION ALL SELECT 'error', '第 ' || line_no || ' 行 `' || value || '`：' || error FROM (SELECT * FROM e WHERE error IS NOT NULL ORDER BY line_no LIMIT 20)
+UNION ALL SELECT 'error', '还有 ' || COUNT(*) - 20 || ' 条错误未显示。' FROM e WHERE error IS NOT NULL HAVING COUNT(*) > 20
+UNION ALL SELECT 'note', '已自动去重 ' || COUNT(*) || ' 行重复接口，将仅扫描 ' || (SELECT COUNT(*) FROM g WHERE nth = 1) || ' 个唯一接口。' FROM d HAVING COUNT(*) > 0 UNION ALL SELECT 'note', '- 第 ' || line_no || ' 行重复：`' || value || '`' FROM d""")
+def q_batch_messages(spark, d):
+    """SC-9, S-48, O-5, O-6, P-28: inputs that run, messages about the others, and the note on duplicates."""
+    n = read(spark, d, "nation").orderBy("n_nationkey").collect()
+    value = lambda r: [r["n_name"], "/a b", f" /x/{r['n_regionkey']}\t", f"/y?z={r['n_regionkey']}", "/"][r["n_nationkey"] % 5]
+    good, errors, told = batch.accepted(batch.validate(batch.lines(spark, "\r\n".join(value(r) for r in n))))
+    rows = [("good", v) for v in good] + [("error", v) for v in errors] + [("note", v) for v in told.split("\n") if v]
+    return spark.createDataFrame(rows, "kind string, said string")
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 AND lower(p_name) LIKE '%a%' THEN 'READ' ELSE 'CALL' END AS operation, NOT (p_partkey % 4 = 0 AND (p_size % 10 = 3 OR lower(p_name) LIKE '%a%')) AS stays FROM part""")
+def q_query_patterns(spark, d):
+    """P-21 to P-23, A-3: external calls told as queries or left out by patterns, substrings in any case or expressions; a broken one matches nothing."""
+    rows = read(spark, d, "part").select("p_partkey", F.when(F.col("p_partkey") % 4 == 0, "EXTERNAL_HTTP").otherwise("MYSQL").alias("type"), cat("$p_name", "#", "$p_size").alias("name"), F.lit("CALL").alias("operation"))
+    told_ = resources.reclassify(rows.withColumn("name", F.col("name")), [r"regex:^[^#]*a", "regex:("])
+    kept = resources.drop_matching(rows, ["regex:^[^#]*A", r"regex:#\d?3$"]).select("p_partkey", F.lit(True).alias("stays"))
+    return told_.join(kept, "p_partkey", "left").select("p_partkey", "operation", F.coalesce("stays", F.lit(False)).alias("stays"))
+
+
+@query("""SELECT 'S' || s_suppkey AS method_key, s_suppkey % 4 = 3 AND s_suppkey % 3 <> 0 AS shown FROM supplier""")
+def q_shown_methods(spark, d):
+    """P-5 to P-8, SC-3: methods that a graph may show: not of excluded packages and, if asked for, only of the project's own source."""
+    s, k = read(spark, d, "supplier"), F.col("s_suppkey")
+    owner = F.when(k % 4 == 0, cat("java.util.S", "$s_suppkey")).when(k % 4 == 1, cat("org.springframework.S", "$s_suppkey")).when(k % 4 == 2, cat("own.gen.S", "$s_suppkey")).otherwise(cat("own.S", "$s_suppkey"))
+    method = fact(s, "method", method_key=cat("S", "$s_suppkey"), class_fqn=owner, name="m", param_types=[], modifiers=[], stmts=[], is_project_source=k % 3 != 0)
+    made = Engine(facts_of(spark, {"method": method}), Options(excluded_prefixes=(*Options().excluded_prefixes, "own.gen."), only_project_source=True))
+    return made.methods.select("method_key", "shown")

@@ -18,7 +18,7 @@ WRITE_PREFIXES = ("insert", "update", "delete", "remove", "save")
 
 def blank_to_null(value: Column) -> Column:
     """Null for null and blank text, else the text as it is."""
-    return F.when(F.trim(value) != "", value)
+    return F.when(value.rlike(r"\S"), value)
 
 
 def normalize_path(*parts: Column, fixed: bool = False) -> Column:

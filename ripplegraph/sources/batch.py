@@ -24,7 +24,7 @@ def lines(spark: SparkSession, raw: str) -> DataFrame:
     """(line_no, value): trimmed lines that aren't blank."""
     one = spark.createDataFrame([(raw,)], "raw string")
     split = one.select(F.posexplode(F.split("raw", "\r\n|\r|\n")).alias("at", "line"))
-    return split.select((F.col("at") + 1).alias("line_no"), F.trim("line").alias("value")).filter("value <> ''")
+    return split.select((F.col("at") + 1).alias("line_no"), F.regexp_replace("line", r"^\s+|\s+$", "").alias("value")).filter("value <> ''")
 
 
 def validate(inputs: DataFrame) -> DataFrame:
