@@ -96,17 +96,14 @@ def q_adjacency(spark, d):
 
 
 @query("""WITH r AS (SELECT 'P:' || l_partkey AS name, CASE WHEN l_linestatus = 'F' THEN 'WRITE' ELSE 'READ' END AS operation, l_orderkey, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS c FROM lineitem)
-SELECT 'MYSQL' AS type, name, operation, MAX(c) AS conf_rank, string_agg(DISTINCT 'O:' || l_orderkey, chr(10) || '---' || chr(10) ORDER BY 'O:' || l_orderkey) AS detail, 's' || MIN(l_orderkey) FILTER (l_orderkey % 3 = 0) AS source FROM r GROUP BY name, operation""")
+SELECT 'MYSQL' AS type, name, operation, MAX(c) AS conf_rank, string_agg(DISTINCT 'O:' || l_orderkey, chr(10) || '---' || chr(10) ORDER BY 'O:' || l_orderkey) AS detail, arg_min('s' || l_orderkey, 'O:' || l_orderkey) FILTER (l_orderkey % 3 = 0) AS source FROM r GROUP BY name, operation""")
 def q_merge_resources(spark, d):
     """A-4 to A-7: one row a resource, least certain confidence, all evidence, the first source that is known."""
     from ripplegraph.catalog import resource_rows
 
     key = F.regexp_extract("detail", r"(\d+)", 1).cast("long")
-    rows = resource_rows(spark, d).withColumn("ord", F.struct(F.col("detail"), key.alias("k"))).withColumn("source", F.when(key % 3 == 0, cat("s", key.cast("string"))))
-    by_number = rows.withColumn("_k", key)
-    merged = resources.merge(rows.drop("source"))
-    first = resources.merge(by_number.withColumn("ord", F.col("_k")).drop("_k")).select("type", "name", "operation", "source")
-    return merged.drop("ord").join(first, ["type", "name", "operation"])
+    rows = resource_rows(spark, d).withColumn("source", F.when(key % 3 == 0, cat("s", key.cast("string"))))
+    return resources.merge(rows).drop("ord")
 
 
 # ---- small results -----------------------------------------------------------------------------------

@@ -45,6 +45,7 @@ class Contexts:
     options: Options
     rows: DataFrame  # ctx_id, project, method_key, call_id, target_key, owner, owner_short, name, text, qualifier_*, method_owner, method_name
     arguments: DataFrame  # ctx_id, values (known argument strings in order), value0, value1, text0
+    values: DataFrame  # expr_id, value: the constants behind expressions
 
 
 def contexts(facts: Facts, options: Options) -> Contexts:
@@ -62,13 +63,13 @@ def contexts(facts: Facts, options: Options) -> Contexts:
     rows = own.unionByName(calls).join(target, "target_key").join(within, "method_key")
     rows = rows.withColumns({"owner": F.coalesce("owner", F.lit("")), "text": F.coalesce("text", F.lit("")), "owner_short": F.element_at(F.split(F.coalesce("owner", F.lit("")), r"\."), -1)})
     rows = materialize(rows, "contexts")
-    values = expression_values(facts)
+    values = materialize(expression_values(facts), "values")
     args = facts["call_arg"].join(values, "expr_id", "left").join(facts["expr"].select("expr_id", F.col("text").alias("arg_text")), "expr_id", "left")
     at = lambda c, p: F.max(F.when(F.col("pos") == p, F.col(c)))
     known = F.transform(F.array_sort(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("pos", "value")))), lambda x: x["value"])
     by_call = args.groupBy("call_id").agg(known.alias("values"), at("value", 0).alias("value0"), at("value", 1).alias("value1"), at("arg_text", 0).alias("text0"), at("expr_id", 0).alias("expr0"))
     arguments = by_call.select(F.concat(F.lit("c|"), "call_id").alias("ctx_id"), "values", "value0", "value1", "text0", "expr0")
-    return Contexts(facts, options, rows, materialize(arguments, "arguments"))
+    return Contexts(facts, options, rows, materialize(arguments, "arguments"), values)
 
 
 def _out(rows: DataFrame, kind: str, name: Column, operation: Column | str, conf: Column | int, detail: Column, rule: str) -> DataFrame:
@@ -197,7 +198,7 @@ def infrastructure(c: Contexts) -> DataFrame:
     made = f["expr"].filter("kind = 'new'").select(F.col("expr_id").alias("new_id"), F.col("operands").alias("new_args"), F.col("ref_symbol").alias("new_class"), F.col("text").alias("new_text"))
     message = message.join(held, "ref_symbol", "left").withColumn("new_id", F.when(F.col("kind") == "new", F.col("expr0")).otherwise(F.col("init0"))).join(made, "new_id")
     message = message.filter(F.contains(F.coalesce("new_class", "new_text"), F.lit("Message")))
-    values, texts = expression_values(f), f["expr"].select("expr_id", "text")
+    values, texts = c.values, f["expr"].select("expr_id", "text")
     for i in range(2):
         v = values.select(F.col("expr_id").alias(f"_e{i}"), F.col("value").alias(f"m{i}"))
         message = message.withColumn(f"_e{i}", F.try_element_at("new_args", F.lit(i + 1))).join(v, f"_e{i}", "left")
@@ -264,7 +265,7 @@ def _listeners(c: Contexts, slim: DataFrame) -> DataFrame:
     faces = f["supertype"].filter(configured(o.consumer_interfaces, F.col("super_fqn"), F.element_at(F.split("super_fqn", r"\."), -1))).select(F.col("class_fqn").alias("method_owner")).distinct()
     literal = text.blank_to_null(F.regexp_extract("text", r'return\s[^;]*?"([^"]*)"', 1))
     returned = F.regexp_extract("text", r"return\s+(?:\w+\s*\.\s*)*(\w+)\s*;", 1)
-    fields = f["variable"].filter("kind = 'field'").join(expression_values(f).withColumnRenamed("expr_id", "init_expr_id"), "init_expr_id")
+    fields = f["variable"].filter("kind = 'field'").join(c.values.withColumnRenamed("expr_id", "init_expr_id"), "init_expr_id")
     constants = fields.groupBy(F.col("owner_fqn").alias("method_owner"), F.col("name").alias("_field")).agg(F.min_by("value", "ord").alias("constant"))
     told = f["method"].filter("size(param_types) = 0 and name in ('topic', 'tag')").select(F.col("class_fqn").alias("method_owner"), "name", "ord", literal.alias("literal"), returned.alias("_field"))
     told = told.join(constants, ["method_owner", "_field"], "left").withColumn("v", F.coalesce("constant", "literal"))

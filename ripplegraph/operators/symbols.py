@@ -87,6 +87,9 @@ def urls(facts: Facts) -> DataFrame:
     e = materialize(e.select("expr_id", "kind", F.coalesce("const_value", "placeholder").alias("value"), "parts"), "url")
     known = e.filter("value is not null").select("expr_id", "value")
     open_ = e.filter("value is null and size(parts) > 0").select("expr_id", "kind", F.posexplode("parts").alias("pos", "part"))
+    if open_.isEmpty():
+        return known
+    last = None
     for _ in range(CHAIN):
         got = open_.join(known.select(F.col("expr_id").alias("part"), F.col("value").alias("v")), "part", "left")
         ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda x: x["v"])
@@ -94,6 +97,10 @@ def urls(facts: Facts) -> DataFrame:
         fmt = F.when(F.col("n") == F.col("k"), formatted(F.col("vs")[0], F.slice("vs", F.lit(2), F.greatest(F.size("vs") - 1, F.lit(0)))))
         made = got.select("expr_id", F.when(F.col("kind") == "format", fmt).when(F.col("k") > 0, F.array_join(F.array_compact("vs"), "")).alias("value"))
         known = materialize(e.filter("value is not null").select("expr_id", "value").unionByName(made.filter("value is not null")), "url")
+        now = tuple(known.agg(F.count("*"), F.bit_xor(F.xxhash64("expr_id", "value"))).first())
+        if now == last:
+            break
+        last = now
     return known
 
 

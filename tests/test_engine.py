@@ -228,3 +228,21 @@ def test_settings():
     assert (o.max_depth, o.excluded_prefixes, o.query_patterns, o.service_mappings) == (7, ("a.", "b.", "c."), ("x,y", "z"), {"a": "b", "e": "f"})
     assert Options.of(effective({"max_depth": 500, "row_timeout_seconds": -3}, shared)).max_depth == 100
     assert changed({"a": "x, y,x"}, {"a": "x\ny"}) == set() and changed({"a": "x"}, {"a": "y", "b": 1}) == {"a", "b"}
+
+
+def test_chains_of_any_length(spark):
+    from ripplegraph.operators import symbols
+    from ripplegraph.plans.engine import facts_of
+    from ripplegraph.plans.reach import closure
+
+    n = 70
+    exprs = [(f"e{i}", "ref", "", None, f"v{i}", []) for i in range(n)] + [(f"e{n}", "literal", "", "deep", None, []), ("c0", "ref", "", None, "w0", []), ("c1", "ref", "", None, "w1", [])]
+    held = [(f"v{i}", "local", "x", "C", "s", f"e{i + 1}", 0) for i in range(n)] + [("w0", "local", "x", "C", "s", "c1", 0), ("w1", "local", "x", "C", "s", "c0", 0)]
+    got = {r["expr_id"]: r["value"] for r in symbols.expression_values(facts_of(spark, {"expr": exprs, "variable": held})).collect()}
+    assert got == {f"e{i}": "deep" for i in range(n + 1)}
+    pairs = spark.createDataFrame([(f"k{i}", f"k{i + 1}") for i in range(40)] + [("k40", "k0")], "sub string, super string")
+    assert closure(pairs).filter("sub = 'k0'").agg({"depth": "max"}).first()[0] == 40
+    supers = [("p", f"t{i}", f"t{i + 1}", ["T"], 0) for i in range(20)]
+    classes = [("p", f"t{i}", f"t{i}", "class", False, False, ["T"], True) for i in range(21)]
+    up = symbols.ancestors(facts_of(spark, {"supertype": supers, "src_class": classes}), spark.createDataFrame([("s", "t0", ["E"])], "start string, class_fqn string, args array<string>"))
+    assert up.filter("class_fqn = 't20'").first()["args"] == ["E"]
