@@ -34,6 +34,7 @@ INSULTS = 0.02  # part of a toxic document's words that come from the toxic mode
 ROOT = 0x243F6A8885A308D3  # key of the empty beginning
 SLICE = 1 << 19  # bytes handled at once
 MOST_SHIPPED = 4_000_000  # letters in context up to which the model is broadcast (64 MB); a larger one is joined to the words
+MOST_MET = 500_000  # words whose evidence a worker remembers; then it begins anew
 MOST_LABELS = 5_000_000  # labels up to which they are broadcast
 MOST_FITTED = 50_000  # rows, about, that the logistic function is fitted on
 SCRIPTS = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))  # without spaces
@@ -165,6 +166,7 @@ class Model:
     def __init__(self, keys: np.ndarray, cond: np.ndarray, back: np.ndarray):
         order = np.argsort(keys)
         self.keys, self.cond, self.back = keys[order], cond[order].astype(np.float32), back[order].astype(np.float32)
+        self.met, self.known = np.zeros(0, np.uint64), np.zeros(0)  # keys of words that this worker has met, sorted, and their evidence
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Place of each key, -1 if it has none."""
@@ -189,12 +191,27 @@ class Model:
             i, at, before, back = i + 1, at[on], key[on], self.back[place[on]]
         return out
 
+    def _of_words(self, w: Words, distinct: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Evidence of different words (sorted keys, and where in ``w`` each is), those met before from memory."""
+        at = np.minimum(np.searchsorted(self.met, distinct), max(len(self.met) - 1, 0))
+        hit = self.met[at] == distinct if len(self.met) else np.zeros(len(distinct), bool)
+        out = np.zeros(len(distinct))
+        out[hit] = self.known[at[hit]]
+        new = np.flatnonzero(~hit)
+        out[new] = evidence(self.ratios(w.some(first[new])))
+        if len(self.met) + len(new) > MOST_MET:
+            self.met, self.known = self.met[:0], self.known[:0]
+        if len(new) <= MOST_MET:
+            place = np.searchsorted(self.met, distinct[new])
+            self.met, self.known = np.insert(self.met, place, distinct[new]), np.insert(self.known, place, out[new])
+        return out
+
     def evidence(self, array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(sum of the words' evidence, words) of each text."""
         sums, sizes = [], []
         for w in words(array):
-            _, first, place = np.unique(w.keys(), return_index=True, return_inverse=True)
-            sums.append(np.bincount(w.text, weights=evidence(self.ratios(w.some(first)))[place], minlength=w.texts))
+            distinct, first, place = np.unique(w.keys(), return_index=True, return_inverse=True)
+            sums.append(np.bincount(w.text, weights=self._of_words(w, distinct, first)[place], minlength=w.texts))
             sizes.append(np.bincount(w.text, minlength=w.texts))
         return np.concatenate(sums or [np.zeros(0)]), np.concatenate(sizes or [np.zeros(0, np.int64)])
 
