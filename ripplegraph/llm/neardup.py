@@ -131,19 +131,22 @@ def near_links(groups: DataFrame, sets: DataFrame) -> DataFrame:
 def near_rows(rows: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """``keep`` columns and ``component`` of every row: rows of one component are linked, at least through others.
 
-    First, each key's texts are held against its centre: that text whose keys are shared most, so that the original
-    of many copies, not one of the copies, is asked. Then, wherever a key's texts aren't all in one component, those
-    outside its largest component are held against all others of that key. So a large group of near copies doesn't cost the square of its size, and no pair is left out that could
-    join anything. Large keys are dealt over several groups on either side.
+    First, each key's texts are held against its centre: the text whose keys are shared most, so that the
+    original of many copies is asked rather than one of the copies. Then, wherever a key's texts aren't all in one
+    component, those outside its largest component are held against all others of that key. So a large group of
+    near copies doesn't cost the square of its size, and no pair is left out that could join anything. Large keys
+    are dealt over several groups on either side. Null and empty texts have no words and are one node; repeated
+    rows stay repeated; a text of any length is read whole; an empty table gives an empty result.
     """
     made = [materialize(signed(rows, text, keep), "signed")]
     printed = made[0]
     keep_table = lambda df, what: made.append(materialize(df, what)) or made[-1]
-    nodes = keep_table(printed.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys")), "nodes")
+    row = F.xxhash64(*[F.col(c) for c in keep])  # one row of a node brings its set, so that copies don't meet in one task
+    nodes = keep_table(printed.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.min(row).alias("row")), "nodes")
     keyed = nodes.select("node", "n", F.explode(F.array_distinct("keys")).alias("key"))
     shared = keep_table(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1"), "key"), "shared")
     reach = shared.groupBy("node").agg(F.sum("k").alias("reach"))
-    sets = printed.select("node", "hashes").join(reach.select("node"), "node", "left_semi")
+    sets = printed.select("node", row.alias("row"), "hashes").join(nodes.select("node", "row").join(reach.select("node"), "node"), ["node", "row"], "left_semi")
     sets = keep_table(sets.groupBy("node").agg(F.first("hashes").alias("hashes")), "sets")
 
     best = shared.join(reach, "node").groupBy("key").agg(F.max(F.struct("reach", "node", "n")).alias("c")).select("key", F.col("c.node").alias("centre"), F.col("c.n").alias("m"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,9 +39,9 @@ def jump(keys: np.ndarray, shards: int) -> np.ndarray:
 def jump_shard(key: Column, shards: int) -> Column:
     """``jump`` as a column over a long key."""
 
-    @F.pandas_udf(T.IntegerType())
-    def of(keys: pd.Series) -> pd.Series:
-        return pd.Series(jump(keys.to_numpy(dtype=np.int64).view(np.uint64), shards))
+    @F.arrow_udf(T.IntegerType())
+    def of(keys: pa.Array) -> pa.Array:
+        return pa.array(jump(keys.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), shards))
 
     return of(key)
 
