@@ -23,7 +23,7 @@ TOGETHER = 256  # of which so many are scored at once
 SAMPLE = 50_000  # vectors that an index is fitted on, about
 CELL = 50  # vectors in a cell, about, until there are MOST_CODES a half
 MOST_CODES = 256
-RECALL = 0.97  # of the sample's own neighbours, from which the part of all vectors that a query visits is set
+RECALL = 0.99  # of the sample's own neighbours, from which the part of all vectors that a query visits is set
 SEEDS = 4096  # sample vectors from which a query's first threshold comes
 
 
