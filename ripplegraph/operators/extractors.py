@@ -9,9 +9,12 @@ an analysis may be given another.
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from contextvars import copy_context
 from dataclasses import dataclass, replace
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -333,16 +336,21 @@ EXTRACTORS: list[Callable[[Contexts], DataFrame]] = [mybatis, mybatis_plus, jpa,
 def run(extractors: list[Callable[[Contexts], DataFrame]], c: Contexts) -> tuple[DataFrame, list[str]]:
     """(resources, warnings): each extractor over the contexts that it ``supports`` (an attribute, a condition; all if it has none).
 
-    Each is a job of its own, so one that fails costs its own resources and leaves a warning.
+    Each is a job of its own, side by side with the others, so one that fails costs its own resources and leaves a warning.
     """
     spark = c.rows.sparkSession
-    found, warnings = [spark.createDataFrame([], "ctx_id string, type string, name string, operation string, conf_rank int, detail string, rule string")], []
-    for extractor in extractors:
+    none = spark.createDataFrame([], "ctx_id string, type string, name string, operation string, conf_rank int, detail string, rule string")
+
+    def one(extractor: Callable[[Contexts], DataFrame]) -> DataFrame | str:
         gate = getattr(extractor, "supports", None)
         name = getattr(extractor, "__name__", type(extractor).__name__)
         try:
             given = c if gate is None else replace(c, rows=c.rows.filter(gate))
-            found.append(materialize(extractor(given).select(*RESOURCE).distinct(), "extracted"))
+            return materialize(extractor(given).select(*RESOURCE).distinct(), "extracted")
         except Exception as error:  # whatever an extractor raises concerns it alone
-            warnings.append(f"{name} 解析失败：{str(error).splitlines()[0] if str(error) else type(error).__name__}")
-    return _union(found), warnings
+            return f"{name} 解析失败：{str(error).splitlines()[0] if str(error) else type(error).__name__}"
+
+    with ThreadPoolExecutor(max(len(extractors), 1)) as pool:
+        done = [pool.submit(copy_context().run, inheritable_thread_target(one), e) for e in extractors]
+        found = [d.result() for d in done]
+    return _union([none, *[x for x in found if not isinstance(x, str)]]), [x for x in found if isinstance(x, str)]
