@@ -23,7 +23,7 @@ import os
 import numpy as np
 import pyarrow as pa
 
-from .common import byte_buffers, pieces
+from .common import byte_buffers, caches, pieces
 
 SPACE = 0x20
 RARE = 0x250  # characters from here on go to the library, up to where both agree on all Unicode versions
@@ -358,6 +358,7 @@ class Encoder:
 
 
 _encoders: dict[tuple, Encoder] = {}
+caches.append(_encoders)
 
 
 def encoder(with_ids: bool, json_name: str, rank_name: str) -> Encoder:

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from ripplegraph.storage import drop, materialize, read, scratch, shared_folder
 
-__all__ = ["byte_buffers", "column_as_float64", "crc_of_id", "drawn", "drop", "letters", "map_texts", "materialize", "pieces", "read", "release_memory", "scratch", "shared_folder", "small_batches"]
+__all__ = ["byte_buffers", "caches", "column_as_float64", "crc_of_id", "drawn", "drop", "forget", "letters", "map_texts", "materialize", "pieces", "read", "release_memory", "scratch", "shared_folder", "small_batches"]
 BATCH_ROWS = 1000
 
 _letters: np.ndarray | None = None
@@ -34,6 +34,17 @@ def release_memory() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+caches: list[dict] = []  # what this process keeps from task to task
+
+
+def forget() -> None:
+    """Drop what a worker keeps for other operators' tasks, which it may not see again."""
+    if any(caches):
+        for held in caches:
+            held.clear()
+        release_memory()
+
+
 def small_batches(rows: DataFrame) -> None:
     """Lower the session's limit on the rows of an Arrow batch to ``BATCH_ROWS``, since a row may hold a long text."""
     rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
@@ -50,6 +61,7 @@ def map_texts(rows: DataFrame, text: str, keep: list[str], made: Callable[[pa.Ar
     schema = T.StructType([*rows.select(*keep).schema.fields, *T._parse_datatype_string(fields).fields])
 
     def of(batches):
+        forget()
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *made(batch.column(at))], names=schema.names)
         release_memory()

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_buffers, crc_of_id, letters, map_texts, materialize, pieces, read, small_batches
+from .common import byte_buffers, crc_of_id, forget, letters, map_texts, materialize, pieces, read, small_batches
 
 GRAM = 4  # letters and blanks of an n-gram
 LEAST, MOST = 1 << 16, 1 << 23  # places of the filter: a power of two, ``ROOM`` times the n-grams of the largest language's probes
@@ -145,6 +145,7 @@ def train(docs: DataFrame, by_language: int = DOCS_BY_LANGUAGE) -> Filters:
     some = rows.join(F.broadcast(plan), "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 53)) < F.col("_of"))
 
     def count(batches):
+        forget()
         for batch in batches:
             language = batch.column(0).to_numpy()
             at = 0

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, map_texts, materialize, release_memory
+from .common import drop, forget, map_texts, materialize, release_memory
 from .components import components
 from .simhash import keys_of, majority, shingle_hashes
 
@@ -106,6 +106,7 @@ def near_links(groups: DataFrame, sets: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]):
+        forget()
         held: list[pa.RecordBatch] = []
         for batch in batches:
             if not batch.num_rows:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_buffers, crc_of_id, drawn, letters, map_texts, materialize, pieces, read, release_memory, small_batches
+from .common import byte_buffers, crc_of_id, drawn, forget, letters, map_texts, materialize, pieces, read, release_memory, small_batches
 
 UNSPACED, RUN = 4, 64
 INSULTS = 0.02  # part of a toxic document's words that come from the toxic model
@@ -265,6 +265,7 @@ def train(docs: DataFrame, labels: DataFrame, most_shipped: int = MOST_SHIPPED)
     fitting = (F.col("__r") % 5 == 0) & drawn(F.xxhash64("__id"), MOST_FITTED, n)
 
     def count(batches):
+        forget()
         for batch in batches:
             made = counts(batch.column(0), batch.column(1).to_numpy(zero_copy_only=False))
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], names=["key", "before", "toxic", "ordinary", "docs"])
