@@ -11,10 +11,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window as W
 
 from ripplegraph.storage import drop, materialize, read, scratch, shared_folder
 
-__all__ = ["byte_buffers", "caches", "column_as_float64", "crc_of_id", "drawn", "drop", "forget", "letters", "map_texts", "materialize", "pieces", "read", "release_memory", "scratch", "shared_folder", "small_batches"]
+__all__ = ["byte_buffers", "caches", "column_as_float64", "crc_of_id", "drawn", "drop", "forget", "letters", "map_texts", "materialize", "numbered", "pieces", "read", "release_memory", "scratch", "shared_folder", "small_batches"]
 BATCH_ROWS = 1000
 
 _letters: np.ndarray | None = None
@@ -79,6 +80,22 @@ def drawn(hashed: Column, wanted: int, of: int) -> Column:
     return F.pmod(hashed, F.lit(1 << 53)) < max(1, int(min(1.0, wanted / max(of, 1)) * (1 << 53)))
 
 
+def numbered(rows: DataFrame, group: list[str], order: list[Column], place: str) -> DataFrame:
+    """``rows`` with ``place``, which counts each group's rows from 0 in ``order``; no group meets in one task.
+
+    Rows are sorted over ranges of (group, order) and written; a range's first place follows from the sizes of the ranges
+    before it. Group columns hold no nulls. ``rows`` is read twice, so it should be a stored table.
+    """
+    by = [*[F.col(c) for c in group], *order]
+    ranged = rows.repartitionByRange(*by).sortWithinPartitions(*by)
+    held = materialize(ranged.withColumns({"__range": F.spark_partition_id(), "__at": F.monotonically_increasing_id()}), "sorted")
+    ranges = held.groupBy(*group, "__range").agg(F.min("__at").alias("__first"), F.count("*").alias("__rows"))
+    before = W.partitionBy(*group).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
+    starts = ranges.select(*group, "__range", "__first", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__start"))
+    at = F.col("__start") + F.col("__at") - F.col("__first")
+    return held.join(starts, [*group, "__range"]).withColumn(place, at.cast("long")).drop("__range", "__at", "__first", "__start")
+
+
 def byte_buffers(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a string array, one after another, and where each row begins (nulls are empty)."""
     array = array.cast(pa.large_string())
