@@ -16,22 +16,26 @@ from __future__ import annotations
 import math
 from collections import Counter
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import crc_of_id, forget, materialize, read, release_memory, small_batches
 
 END = "\n"  # the end of a text as a word; no word holds white space
-HOT = 200_000  # words at most that are frequent enough to be broadcast
-STOPS, LONGEST = b".!?", 256  # a passage ends at a word that ends so, or after so many words
-ROUNDS = 4  # of expected counts
+HOT = 500_000  # words at most that are frequent enough to be broadcast
+STOPS, EVERY, LONGEST = b".!?", 4, 256  # a passage ends at every fourth kind of word that ends so, or after so many words
+ROUNDS = 2  # of expected counts
 LONG = 16  # bytes of the longest piece used
 WIDE = 64  # bytes of a word from which it is spelled by itself
-HELD = 200_000  # counts that a task holds before it passes them on
+HELD = 500_000  # counts that a task holds before it passes them on
+TOGETHER = 200_000  # words spelled at once
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 TURN, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -172,8 +176,8 @@ def refined(types: DataFrame, units: list[bytes], p: np.ndarray, rounds: int = R
 
         def expect(batches, shared=shared):
             total = np.zeros(len(shared.value.number))
-            for batch in batches:
-                shared.value.spelled([w.encode() for w in batch.column(0).to_pylist()], total)
+            for table in gathered(batches, TOGETHER):
+                shared.value.spelled([w.encode() for w in table["word"].to_pylist()], total)
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["u", "e"])
 
@@ -192,7 +196,7 @@ def split(text: str | None) -> list[bytes]:
 def passages(words: list[bytes]) -> list[tuple[int, int]]:
     """(begin, end) of each passage; the last also holds the end of the text, which may be all it holds."""
     runs, begin = [], 0
-    for end in [*[i + 1 for i, w in enumerate(words) if w[-1] in STOPS], len(words)]:
+    for end in [*[i + 1 for i, w in enumerate(words) if w[-1] in STOPS and crc32(w) % EVERY == 0], len(words)]:
         while end - begin > LONGEST:
             runs.append((begin, begin + LONGEST))
             begin += LONGEST
@@ -276,63 +280,81 @@ class Words:
         return np.logaddexp(own, spelled + math.log(self.counts.rest)) / math.log(10)
 
 
-def read_passages(rows: DataFrame, words: Words, hot: dict[bytes, tuple[bool, float, float]]) -> DataFrame:
-    """Of each passage of each text a row with the sums over its hot words and how often it is there (``word`` a line end and more), and one for each other word."""
-    shared = rows.sparkSession.sparkContext.broadcast(hot)  # HOT words at most
+HEAD = "rid long, doc long, last long, tokens long, known long, base double, score double"
+
+
+def read_passages(rows: DataFrame, words: Words, hot: dict[str, int]) -> DataFrame:
+    """(r, word, head) of texts given as (rid, doc, text): a row with sums over its hot words for each passage, and one for each other word.
+
+    ``r`` is the passage's key combined with ``rid``, that of the row. A head's word is a line end and more, which no word is.
+    """
+    names, n = list(hot), np.array(list(hot.values()), np.float64)
+    values = [np.append(x, 0.0) for x in (n > 0, words.base(n), words.score(n, [w.encode() for w in names]))]
+    shared = rows.sparkSession.sparkContext.broadcast(({w.encode(): i for i, w in enumerate(names)}, values))  # HOT words at most
+    schema = T.StructType().add("r", "long").add("word", "string").add("head", T._parse_datatype_string(HEAD))
+    heads = pa.struct([(f.name, pa.float64() if f.dataType == T.DoubleType() else pa.int64()) for f in schema["head"].dataType])
 
     def read_(batches):
         forget()
-        known = shared.value
-        end = known[b"\n"]
+        number, (known, base, score) = shared.value
+        end = number[b"\n"]
         for batch in batches:
-            out: list[list] = [[] for _ in range(9)]
-            for doc, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            r, other, head = [], [], []
+            for rid, doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 mine = split(text.as_py())
                 runs = passages(mine)
-                keys = [passage_key(mine, a, b, i == len(runs) - 1) for i, (a, b) in enumerate(runs)]
-                times = Counter(keys)
-                for h, (a, b) in dict(zip(keys, runs, strict=True)).items():
-                    found = [known.get(w) for w in mine[a:b]]
-                    here = [x for x in found if x]
-                    rare = Counter([w for w, x in zip(mine[a:b], found, strict=True) if not x]) if len(here) < len(found) else {}
-                    if h == keys[-1]:
-                        here.append(end)
-                    sums = [sum(x[i] for x in here) for i in range(3)]
-                    size = b - a + (h == keys[-1])
-                    rows_ = [(f"\n{h}", times[h], size, *sums), *[(w.decode(), n, 0, 0, 0.0, 0.0) for w, n in rare.items()]]
-                    for column, value in zip(out, zip(*[(doc, key, h, *r) for r in rows_], strict=True), strict=True):
-                        column.extend(value)
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=PARTS)
+                keys = [rid ^ passage_key(mine, a, b, i == len(runs) - 1) for i, (a, b) in enumerate(runs)]
+                at = np.fromiter((number.get(w, -1) for w in [*mine, b"\n"]), np.int64, len(mine) + 1)
+                begin = np.array([a for a, _ in runs], np.int64)
+                sums = [np.add.reduceat(x[at], begin).tolist() for x in (known, base, score)]
+                size = np.diff(np.append(begin, len(at))).tolist()
+                r += keys
+                head += [(rid, doc, int(i == len(runs) - 1), k, int(s), x, y) for i, (k, s, x, y) in enumerate(zip(size, *sums, strict=True))]
+                other += [f"\n{k & 255}" for k in keys]
+                rare = np.flatnonzero(at < 0)
+                r += [keys[i] for i in (np.searchsorted(begin, rare, side="right") - 1).tolist()]
+                other += [mine[i].decode() for i in rare.tolist()]
+                head += [None] * len(rare)
+            columns = [None if x is None else dict(zip(heads.names, x, strict=True)) for x in head]
+            yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()), pa.array(other, pa.string()), pa.array(columns, heads)], names=["r", "word", "head"])
         release_memory()
 
-    return rows.mapInArrow(read_, "doc long, text long, h long, word string, n long, tokens long, known long, base double, score double")
+    return rows.mapInArrow(read_, schema)
 
 
-PARTS = ["doc", "text", "h", "word", "n", "tokens", "known", "base", "score"]
+def gathered(batches, rows: int):
+    """Arrow batches put together to tables of about ``rows`` rows."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += len(batch)
+        if n >= rows:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
 
 
 def weighed(parts: DataFrame, words: Words) -> DataFrame:
-    """Adds to the rows of other words, which now have their count ``c`` or null, what they are worth."""
+    """(r, head, c, score) of the parts, where other words, which now have their count ``c`` or null, get their score."""
     shared = parts.sparkSession.sparkContext.broadcast(words)  # the vocabulary's size
 
     def weigh(batches):
-        for batch in batches:
-            column = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
-            met: dict[tuple[str, int | None], int] = {}
-            place = np.array([met.setdefault(x, len(met)) for x in zip(column["word"].to_pylist(), column["c"].to_pylist(), strict=True)], np.int64)
-            own = np.array([w[0] != "\n" for w, _ in met], bool)
-            c, base, score = np.array([x or 0 for _, x in met], np.float64), np.zeros(len(met)), np.zeros(len(met))
-            kinds = [w.encode() for w, _ in met if w[0] != "\n"]
-            base[own], score[own] = shared.value.base(c[own]), shared.value.score(c[own], kinds)
-            n = column["n"].to_numpy()
-            more = {"known": np.where(own & (c > 0), 1, 0)[place] * n, "base": base[place] * n, "score": score[place] * n}
-            head = (~own)[place]
-            out = [column[k] for k in ("doc", "text", "h")] + [pa.array(np.where(head, n, 0)), pa.array(head.astype(np.int64)), column["tokens"]]
-            out += [pa.array(column[k].to_numpy() + v) for k, v in more.items()]
-            yield pa.RecordBatch.from_arrays(out, names=["doc", "text", "h", "times", "copies", "tokens", "known", "base", "score"])
-
-    return parts.mapInArrow(weigh, "doc long, text long, h long, times long, copies long, tokens long, known long, base double, score double")
+        for table in gathered(batches, TOGETHER):
+            coded = table["word"].chunk(0).dictionary_encode() if len(table) else pa.array([], pa.string()).dictionary_encode()
+            place = coded.indices.to_numpy()
+            kinds = coded.dictionary.to_pylist()
+            c = pc.fill_null(table["c"], 0).to_numpy()
+            of = np.zeros(len(kinds))
+            of[place] = c
+            own = np.array([w[0] != "\n" for w in kinds], bool)
+            score = np.zeros(len(kinds))
+            score[own] = shared.value.score(of[own], [w.encode() for w in kinds if w[0] != "\n"])
+            mine = own[place]
+            yield pa.RecordBatch.from_arrays([table["r"].chunk(0), table["head"].chunk(0), pa.array(c, mask=~mine), pa.array(score[place].astype(np.float32), mask=~mine)], names=["r", "head", "c", "score"])
+        release_memory()
+
+    return parts.select("r", "word", "head", "c").mapInArrow(weigh, f"r long, head struct<{HEAD.replace(' ', ':')}>, c long, score float".replace(",:", ", "))
 
 
 def sum_of_logs(a: Column, b: Column) -> Column:
@@ -353,31 +375,30 @@ def lattice_scores(rows: DataFrame, key: str, text: str, learn: Column) -> DataF
     types = table.filter("word is not null").select("word", "n")
     runs = table.filter("word is null").select("h", "n")
     counts, passage = Counts.of(types), Counts.of(runs)
-    lattice = refined(types.filter(F.col("word") != END).select("word"), *existing_units())
-    words = Words(counts, lattice)
+    words = Words(counts, refined(types.filter(F.col("word") != END).select("word"), *existing_units()))
     frequent = (F.col("n") * HOT >= counts.total) | (F.col("word") == END)
-    some = {r["word"].encode(): r["n"] for r in types.filter(frequent).collect()}
-    some.setdefault(b"\n", 0)
-    n = np.array(list(some.values()), np.float64)
-    hot = {w: (c > 0, b, s) for (w, c), b, s in zip(some.items(), words.base(n).tolist(), words.score(n, list(some)).tolist(), strict=True)}
-
-    parts = rows.select(F.col(key).cast("long").alias("doc"), F.xxhash64(whole).alias("text"), whole.alias("__text"))
-    parts = read_passages(parts, words, hot)
-    joined = parts.join(types.filter(~frequent).select("word", F.col("n").alias("c")), "word", "left")
-    sums = weighed(joined.select(*PARTS, "c"), words).groupBy("doc", "text", "h")
-    sums = sums.agg(*[F.sum(c).alias(c) for c in ("times", "copies", "tokens", "known", "base", "score")])
-    met = sums.join(runs.withColumnRenamed("n", "c"), "h", "left")
-    each = F.col("times") / F.col("copies")
+    hot = {END: 0} | {r["word"]: r["n"] for r in types.filter(frequent).collect()}
+
+    sent = rows.select(F.xxhash64(F.col(key), whole).alias("rid"), F.col(key).cast("long").alias("doc"), whole.alias("__text"))
+    joined = read_passages(sent, words, hot).join(types.filter(~frequent).select("word", F.col("n").alias("c")), "word", "left")
+    parts = weighed(joined, words).repartition("r")  # no two rows of a passage are likely to meet before
+    base = F.log10((F.col("c") + 0.5) / (counts.total + 0.5 * (counts.kinds + 1)))
+    some = lambda x: F.coalesce(F.sum(x), F.lit(0))
+    sums = parts.groupBy("r").agg(
+        *[F.first(f"head.{c}", ignorenulls=True).alias(c) for c in ("rid", "doc", "last")], F.count("head").alias("copies"), F.sum("head.tokens").alias("tokens"),
+        (F.sum("head.known") + F.count_if(F.col("c") > 0)).alias("known"), (F.sum("head.base") + some(base)).alias("base"), (F.sum("head.score") + some(F.col("score").cast("double"))).alias("score"),
+    )
+    met = sums.withColumn("h", F.col("r").bitwiseXOR(F.col("rid"))).drop("r").join(runs.withColumnRenamed("n", "c"), "h", "left")
     own = F.log10((F.col("c") - passage.held) / max(passage.total, 1))
     spelled = F.col("score") / F.col("copies") + math.log10(passage.rest)
-    score = F.when(F.col("c").isNull(), spelled).otherwise(sum_of_logs(own, spelled))
-    per = {k: F.col(k) / F.col("copies") * each for k in ("tokens", "known", "base")} | {"score": score * each}
-    total = met.groupBy("doc", "text").agg(*[F.sum(v).alias(k) for k, v in per.items()], F.max("copies").alias("copies"))
-    total = total.withColumn("__row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    whole_number = lambda c: F.round(c).cast("long")
+    score = F.when(F.col("c").isNull(), spelled).otherwise(sum_of_logs(own, spelled)) * F.col("copies")
+    total = met.groupBy("rid", "doc").agg(*[F.sum(c).alias(c) for c in ("tokens", "known", "base")], F.sum(score).alias("score"), F.sum(F.col("last") * F.col("copies")).alias("rows"))
+    per = {c: F.col(c) / F.col("rows") for c in ("tokens", "known", "base", "score")}  # equal rows of the table score alike
+    total = total.withColumn("__row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
     return total.select(
-        F.col("doc").alias(key), whole_number("tokens").alias("n_tokens"), whole_number("known").alias("n_known"), F.lit(counts.total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score"
-    )
+        F.col("doc").alias(key), per["tokens"].cast("long").alias("n_tokens"), per["known"].cast("long").alias("n_known"), F.lit(counts.total).cast("long").alias("train_tokens"),
+        per["base"].alias("base_score"), per["score"].alias("score"),
+    )
 
 
 def op11_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Scores of the subword lattice against plain versions: all spellings of a word, counts, and a text's probability."""
 
 import math
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -59,7 +60,7 @@ def test_existing_vocabulary():
 
 
 def test_passages():
-    stop = b"end."
+    stop = next(w for w in (f"w{i}.".encode() for i in range(99)) if zlib.crc32(w) % L.EVERY == 0)
     assert L.passages([]) == [(0, 0)] and L.passages([b"a", stop]) == [(0, 2), (2, 2)] and L.passages([stop, b"a"]) == [(0, 1), (1, 2)]
     assert L.passages([b"a"] * (L.LONGEST + 1)) == [(0, L.LONGEST), (L.LONGEST, L.LONGEST + 1)]
 
@@ -105,7 +106,7 @@ def plain(rows, learned):
     return out
 
 
-@pytest.mark.parametrize("hot", [5, 200_000])
+@pytest.mark.parametrize("hot", [5, 500_000])
 def test_scores(spark, monkeypatch, hot):
     monkeypatch.setattr(L, "HOT", hot)
     rng = np.random.default_rng(8)
@@ -117,7 +118,8 @@ def test_scores(spark, monkeypatch, hot):
     got = sorted(tuple(r) for r in L.lattice_scores(frame, "doc_id", "text", learn).select(F.coalesce("doc_id", F.lit(-1)), "n_tokens", "n_known", "train_tokens", "base_score", "score").collect())
     want = sorted((-1 if i is None else i, *x) for (i, _), x in zip(rows, plain(rows, [r for r in rows if r[0] is not None and r[0] % 3 != 1]), strict=True))
     assert [g[:4] for g in got] == [w[:4] for w in want]
-    assert np.allclose([g[4:] for g in got], [w[4:] for w in want], rtol=1e-9)
+    assert np.allclose([g[4] for g in got], [w[4] for w in want], rtol=1e-12)
+    assert np.allclose([g[5] for g in got], [w[5] for w in want], rtol=1e-6)  # a rare word's score travels as a float
 
 
 def test_nothing_to_learn_from(spark):
