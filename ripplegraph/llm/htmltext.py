@@ -2,8 +2,9 @@
 
 Markup is stripped to lines, one for each block. Each line's length, less the text of its links, is summed
 over a sliding window of lines. Where that sum surges the main text begins, and it ends where the sum
-dives. Elements that are never main text (scripts, forms, menus, and what names itself so by tag, role, class or id)
-are markup here and leave no line. Where the author marks an article that holds a third of the page or more, its lines widen the surge and
+dives. Elements that are never main text (scripts, menus, what is hidden, and what names itself so by tag, role, class or id)
+are markup here and leave no line; a form, a header or a name loses that where it holds the page's text. Paragraphs and headings at the edges of the
+text belong to it, however short they are; only lines of links and loose short lines end there. Where the author marks an article that holds a third of the page or more, its lines widen the surge and
 the dive to its own beginning and end, so short paragraphs at its edges stay; text beyond them stays as well.
 """
 
@@ -23,7 +24,8 @@ SURGE = 80  # characters in a window from which it is text
 QUIET = 3  # windows in a row below it that end the text
 
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "object", "canvas", "xmp", "noembed", "noframes"}
-DROPPED = {"head", "nav", "header", "footer", "aside", "form", "menu", "dialog", "select", "button", "option", "datalist", "fieldset", "input"}
+DROPPED = {"head", "nav", "footer", "aside", "menu", "dialog", "select", "button", "option", "datalist", "input"}
+AROUND = {"header", "form", "fieldset"}  # noise unless they hold the page's text
 EMPTY = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCKS = {
     "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure",
@@ -31,9 +33,10 @@ BLOCKS = {
     "summary", "table", "tbody", "td", "tfoot", "th", "thead", "title", "tr", "ul",
 }
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+PROSE = HEADINGS | {"p", "pre", "blockquote", "dd", "li", "figcaption"}
 _WORDS = (
     r"(?:ads?|adverts?|advertis[a-z0-9]*|banner|sponsor[a-z0-9]*|promo[a-z0-9]*|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|login|"
-    r"comments?|commentlist|disqus|respond|replies|reply|nav|navbar|navigation|menu|topbar|breadcrumbs?|header|masthead|footer|foot|sidebar|side|aside|widget|related|recommend[a-z0-9]*|"
+    r"comments?|commentlist|discussions?|disqus|respond|replies|reply|nav|navbar|navigation|menu|topbar|breadcrumbs?|header|masthead|footer|foot|sidebar|side|aside|widget|related|recommend[a-z0-9]*|"
     r"share|sharing|social|pagination|pager|toolbar|skip|search|copyright|legal|tags?|byline-links)"
 )
 _BEFORE = r"(?:site|main|page|global|top|bottom|left|right|primary|secondary|post|posts|entry|article|user|wp|block|js|mobile|desktop|sub|email|google|div|wrap|wrapper|story|content)"
@@ -47,10 +50,17 @@ ASIDE = re.compile(rf"(?:{_BEFORE}[-_]+)*(?:ads?|advert[a-z0-9]*|sponsor[a-z0-9]
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar", "toolbar"}
 # a quote that nothing closes is a character like any other; no part is read twice
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*+)(?:>|\Z)", re.S)
+HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 ATTRIBUTE = re.compile(r"([a-zA-Z:_-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+UNQUOTED = re.compile(r"=\s*[^\s\"'=]+\s*\Z")
 WHITE = re.compile(r"\s+")
 
 
+def _closed(attributes: str) -> bool:
+    """Whether a tag ends in a slash that isn't part of a value without quotes."""
+    return attributes.rstrip().endswith("/") and not UNQUOTED.search(attributes)
+
+
 def _noise(tag: str, attributes: str, within: bool) -> tuple[bool, bool]:
     """Whether an element is by its own word not main text: by tag, role or state, and by class or id alone.
 
@@ -58,12 +68,12 @@ def _noise(tag: str, attributes: str, within: bool) -> tuple[bool, bool]:
     """
     if tag in DROPPED:
         return True, False
+    named = tag in AROUND and not (tag == "header" and within)
     if not attributes or tag in ("html", "body", "main"):
-        return False, False
-    named = False
+        return False, named
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), (a or b or c).lower()
-        if (name == "role" and value in ROLES) or (name == "aria-hidden" and value == "true"):
+        if (name == "role" and value in ROLES) or (name == "aria-hidden" and value == "true") or (name == "style" and HIDDEN.search(value)):
             return True, False
         if name in ("class", "id"):
             for x in value.split():
@@ -85,10 +95,10 @@ class Named:
 
 
 class Line:
-    __slots__ = ("heading", "linked", "marked", "text")
+    __slots__ = ("heading", "linked", "marked", "prose", "text")
 
-    def __init__(self, text: str, linked: int, marked: bool, heading: bool):
-        self.text, self.linked, self.marked, self.heading = text, linked, marked, heading
+    def __init__(self, text: str, linked: int, marked: bool, heading: bool, prose: bool):
+        self.text, self.linked, self.marked, self.heading, self.prose = text, linked, marked, heading, prose
 
 
 BARRIERS = ("div", "section", "article", "main", "table", "blockquote")  # an open element above these isn't ended by one like it
@@ -123,8 +133,8 @@ class Open:
             self.article -= own
         return around
 
-    def heading(self) -> bool:
-        return any(self.places.get(h) for h in HEADINGS)
+    def within(self, tags: set[str]) -> bool:
+        return any(self.places.get(t) for t in tags)
 
 
 def lines(page: str) -> list[Line]:
@@ -133,7 +143,7 @@ def lines(page: str) -> list[Line]:
     What is noise by its class or id alone stays if it holds most of the page's text or the only article, or a first
     heading with paragraphs.
     """
-    blocks: list[tuple[list, bool, bool]] = []  # (text, in a link, name around it) of each piece; article, heading
+    blocks: list[tuple[list, bool, bool, bool]] = []  # (text, in a link, name around it) of each piece; article, heading, prose
     held: list[tuple[str, bool, Named | None]] = []
     now, name, every = Open(), None, []
     outside = Named()  # of all that isn't so named
@@ -141,7 +151,7 @@ def lines(page: str) -> list[Line]:
 
     def end_of_block() -> None:
         if held:
-            blocks.append((held.copy(), now.article > 0, now.heading()))
+            blocks.append((held.copy(), now.article > 0, now.within(HEADINGS), now.within(PROSE)))
         held.clear()
 
     at, n = 0, len(page)
@@ -167,7 +177,7 @@ def lines(page: str) -> list[Line]:
             continue
         attributes = m[3] or ""
         if tag in RAW:
-            if attributes.rstrip().endswith("/"):
+            if _closed(attributes):
                 continue
             close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             at = close.end() if close else n
@@ -176,7 +186,7 @@ def lines(page: str) -> list[Line]:
             end_of_block()
         if tag == "br" and not now.noise:
             held.append((" ", False, name))
-        if tag in EMPTY or attributes.rstrip().endswith("/") and tag not in BLOCKS:
+        if tag in EMPTY or _closed(attributes) and tag not in BLOCKS:
             continue
         if tag in ENDS_ITSELF and (depth := now.last(tag)) >= 0:  # a new one ends an open one
             within = (*LISTS.get(tag, ()), *(BARRIERS if tag != "a" else ()))
@@ -202,11 +212,11 @@ def lines(page: str) -> list[Line]:
         own = (x.h1 and x.paragraphs > 1) or (not outside.article and (x.article or most))
         x.stays = own and (x.around is None or x.around.stays)
     out = []
-    for pieces, own, heading in blocks:
+    for pieces, own, heading, prose in blocks:
         kept = [p for p in pieces if p[2] is None or p[2].stays]
         text = WHITE.sub(" ", html.unescape("".join(p[0] for p in kept))).strip()
         if text:
-            out.append(Line(text, sum(len(p[0]) for p in kept if p[1]), own, heading))
+            out.append(Line(text, sum(len(p[0]) for p in kept if p[1]), own, heading, prose))
     return out
 
 
@@ -215,14 +225,16 @@ def window_sums(weights: list[int]) -> list[int]:
     return [sum(weights[i : i + WINDOW]) for i in range(len(weights))]
 
 
-def surge_and_dive(weights: list[int], links: list[int] | None = None) -> tuple[int, int] | None:
+def surge_and_dive(weights: list[int], links: list[int] | None = None, prose: list[bool] | None = None) -> tuple[int, int] | None:
     """First line and one past the last of the text between a surge and a dive of the windows' sums.
 
     It is the heaviest run, with those of a tenth of its weight or more that only short lines with little
-    text in links (``links``, by line) part from it.
+    text in links (``links``, by line) part from it, and the lines of ``prose`` next to it that aren't mostly links. Where no window
+    surges, it is all from the first line with text of its own to the last.
     """
     n = len(weights)
-    links = links or [0] * n
+    links, prose = links or [0] * n, prose or [False] * n
+    loose = lambda i: not weights[i] or not prose[i] and weights[i] * WINDOW < SURGE
     sums = window_sums(weights)
     runs, at = [], 0
     while at < n:
@@ -237,17 +249,15 @@ def surge_and_dive(weights: list[int], links: list[int] | None = None) -> tuple[
             else:
                 quiet += 1
             at += 1
-        while begin + 1 < min(n, end + WINDOW) and weights[begin] * WINDOW < SURGE and (not weights[begin] or weights[begin] < weights[begin + 1] // 4):
+        while begin + 1 < min(n, end + WINDOW) and loose(begin) and (not weights[begin] or weights[begin] < weights[begin + 1] // 4):
             begin += 1  # the window surges before its long line; lines of links don't begin a text
         stop = min(n, end + WINDOW)
-        while stop - 1 > end and weights[stop - 1] * WINDOW < SURGE:
+        while stop - 1 > end and loose(stop - 1):
             stop -= 1
         runs.append((sum(weights[begin:stop]), begin, stop))
     if not runs:
-        if not any(weights):
-            return None
-        top = max(range(n), key=lambda i: weights[i])
-        return top, top + 1
+        own = [i for i in range(n) if weights[i]]
+        return (own[0], own[-1] + 1) if own else None
     heavy, begin, stop = max(runs, key=lambda r: r[0])
     little = lambda a, b: sum(links[a:b]) <= sum(weights[a:b])
     for own, start, end in reversed(runs):
@@ -256,6 +266,10 @@ def surge_and_dive(weights: list[int], links: list[int] | None = None) -> tuple[
     for own, start, end in runs:
         if start >= stop and 10 * own >= heavy and little(stop, start):
             stop = end
+    while begin and prose[begin - 1] and weights[begin - 1] > links[begin - 1]:
+        begin -= 1
+    while stop < n and prose[stop] and weights[stop] > links[stop]:
+        stop += 1
     return begin, stop
 
 
@@ -267,7 +281,9 @@ def main_text(page: str | None) -> str:
     weights = [max(0, len(x.text) - x.linked) for x in found]
     marked = [i for i, x in enumerate(found) if x.marked]
     widens = bool(marked) and 3 * sum(weights[i] for i in marked) >= sum(weights)
-    span = surge_and_dive(weights, [x.linked for x in found])
+    if not any(weights):  # a text that is a link as a whole
+        weights = [len(x.text) * (x.prose and len(x.text) >= SURGE) for x in found]
+    span = surge_and_dive(weights, [x.linked for x in found], [x.prose for x in found])
     if span is None:
         return ""
     begin = span[0]

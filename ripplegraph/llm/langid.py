@@ -23,6 +23,7 @@ ROOM = 4
 PROBES = 3
 DOCS_BY_LANGUAGE = 2000  # about so many documents of each language are learned from
 SHARE = 0.2  # an n-gram is a language's if it has that part of its frequency over all languages
+MUCH = 100_000  # n-grams of a language's texts from which one that comes once doesn't count
 SLICE = 1 << 19  # bytes handled at once
 UNKNOWN = "und"
 
@@ -120,13 +121,12 @@ def build(names: list[str], language: np.ndarray, packed: np.ndarray, total: np.
 
 
 def chosen(counted: DataFrame) -> DataFrame:
-    """(l, g) of the n-grams that are a language's own share, from (l, g, n); those that come once only where nothing comes twice."""
+    """(l, g) of the n-grams that are a language's own share, from (l, g, n); one that comes once is noise only in a language with much text."""
     total = counted.groupBy("l").agg(F.sum("n").alias("t"))
     rated = counted.join(F.broadcast(total), "l").withColumn("r", F.col("n") / F.col("t"))  # a row a language
     own = rated.groupBy("g").agg((F.sum("r") * SHARE).alias("least"))
     mine = rated.join(own, "g").filter(F.col("r") * (1 + 1e-9) >= F.col("least"))  # sums are rounded
-    often = mine.filter("n >= 2")
-    return (mine if often.isEmpty() else often).select("l", "g")
+    return mine.filter((F.col("n") >= 2) | (F.col("t") < MUCH)).select("l", "g")
 
 
 def train(docs: DataFrame, by_language: int = DOCS_BY_LANGUAGE) -> Filters:

@@ -1,5 +1,7 @@
 """What the main text of a page must keep."""
 
+import pytest
+
 from ripplegraph.llm import htmltext
 
 P = [f"Paragraph {i} says a good deal more than a line of a menu does. " * 5 for i in range(18)]
@@ -60,8 +62,8 @@ def test_every_page_is_cut_by_its_windows(monkeypatch):
     pages = pq.read_table("/root/testdata/sf0.1/pages.parquet").column("html").to_pylist()
     some, spans = htmltext.surge_and_dive, []
 
-    def counted(weights, links=None):
-        got = some(weights, links)
+    def counted(weights, links=None, prose=None):
+        got = some(weights, links, prose)
         spans.append((weights, links, got))
         return got
 
@@ -90,3 +92,42 @@ def test_time_is_linear_in_broken_markup():
     htmltext.main_text("<a" * 500_000 + "\"")
     htmltext.main_text("<a '" * 300_000 + "\"")
     assert time.perf_counter() - began < 30
+
+
+LONG_P = "A sentence of some length stands here, and another one follows it. " * 3
+NAV = "<ul><li><a href=/>Home</a></li><li><a href=/news>News</a></li><li><a href=/about>About us</a></li></ul>"
+
+
+def p(*texts, tag="p"):
+    return "".join(f"<{tag}>{t}</{tag}>" for t in texts)
+
+
+FORMS = {
+    "short paragraphs": (NAV + p(*[f"short line {i}" for i in range(30)]), [f"short line {i}" for i in range(30)]),
+    "a poem": ("<h1>Poem</h1>" + p(*[f"verse number {i}" for i in range(12)]) + NAV, ["Poem", *[f"verse number {i}" for i in range(12)]]),
+    "a poem in loose blocks": (NAV + p(*[f"verse {i}" for i in range(12)], tag="div") + NAV, [f"verse {i}" for i in range(12)]),
+    "lead and end": (NAV + p("Short lead.", *[LONG_P] * 4, "The end.") + NAV, ["Short lead.", *[LONG_P.strip()] * 4, "The end."]),
+    "several short ones at the end": (NAV + p(*[LONG_P] * 3, "One.", "Two.", "Three.", "Four."), [*[LONG_P.strip()] * 3, "One.", "Two.", "Three.", "Four."]),
+    "several short ones at the beginning": (NAV + p("One.", "Two.", "Three.", "Four.", *[LONG_P] * 3), ["One.", "Two.", "Three.", "Four.", *[LONG_P.strip()] * 3]),
+    "a form around the page": (f"<form id=aspnetForm>{NAV}{p(*[LONG_P] * 3)}</form>", [LONG_P.strip()] * 3),
+    "a form beside the text": (p(*[LONG_P] * 3) + f"<form>{p('Your name', 'Your mail')}<button>Send</button></form>", [LONG_P.strip()] * 3),
+    "a fieldset around the page": (f"<fieldset>{p(*[LONG_P] * 3)}</fieldset>", [LONG_P.strip()] * 3),
+    "a header within the article": (f"<header><p>Site name</p></header><article><header><h1>Title</h1></header>{p(*[LONG_P] * 2)}</article>", ["Title", *[LONG_P.strip()] * 2]),
+    "a header of the page": (f"<header><h2>Site</h2>{p('The motto of the site')}</header>{p(*[LONG_P] * 2)}", [LONG_P.strip()] * 2),
+    "a header around the text": (f"<header><h1>Title</h1>{p(*[LONG_P] * 2)}</header>", ["Title", *[LONG_P.strip()] * 2]),
+    "one linked paragraph": (f"<body><p><a href=/x>{LONG_P}</a></p></body>", [LONG_P.strip()]),
+    "links only": (NAV, []),
+    "hidden by style": (p(*[LONG_P] * 2) + f'<div style="color:red; display : none">{p(LONG_P + "hidden")}</div>', [LONG_P.strip()] * 2),
+    "hidden by attribute": (p(*[LONG_P] * 2) + f"<div hidden>{p(LONG_P + 'hidden')}</div>", [LONG_P.strip()] * 2),
+    "a discussion": (p(*[LONG_P] * 3) + f'<section class="discussion">{p("I agree with all of that, thanks.", "Me too, and so does my neighbour.")}</section>', [LONG_P.strip()] * 3),
+    "a section named discussion of an article": (f'<article>{p(LONG_P)}<section id="discussion"><h2>Discussion</h2>{p(LONG_P)}</section></article>', [LONG_P.strip(), "Discussion", LONG_P.strip()]),
+    "a short remark between links": (NAV + p(*[LONG_P] * 2, "See also the other one.") + NAV + NAV, [*[LONG_P.strip()] * 2, "See also the other one."]),
+    "a list as the text": (p(LONG_P) + "<ul>" + p("first point", "second point", "third point", "fourth point", tag="li") + "</ul>" + NAV, [LONG_P.strip(), "first point", "second point", "third point", "fourth point"]),
+    "headings between short paragraphs": (NAV + "".join(f"<h3>Day {i}</h3><p>Rain and wind.</p>" for i in range(5)) + p(LONG_P), [*[x for i in range(5) for x in (f"Day {i}", "Rain and wind.")], LONG_P.strip()]),
+}
+
+
+@pytest.mark.parametrize("form", FORMS)
+def test_forms_of_pages_without_an_article(form):
+    page, want = FORMS[form]
+    assert htmltext.main_text(f"<html><head><title>T</title></head><body>{page}</body></html>").split("\n\n") == (want or [""])
