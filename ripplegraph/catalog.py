@@ -405,12 +405,6 @@ def q_evidence_distinct(spark, d):
     return resources.distinct_evidence(resource_rows(spark, d)).drop("ord")
 
 
-@query(f"SELECT type, name, operation, MAX(conf_rank) AS conf_rank, string_agg(DISTINCT detail, chr(10)||'---'||chr(10) ORDER BY detail) AS detail FROM ({RESOURCE}) GROUP BY 1, 2, 3")
-def q_merge_resources(spark, d):
-    """A-4 to A-7: one row a resource, least certain confidence, all evidence."""
-    return resources.merge(resource_rows(spark, d)).drop("ord")
-
-
 @query("""WITH a AS (SELECT 'P:'||l_partkey AS node, 1 AS ord, l_shipmode_ AS v FROM (SELECT l_partkey, MAX(l_orderkey) AS l_shipmode_ FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1)),
 b AS (SELECT 'P:'||l_partkey AS node, 2 AS ord, v FROM (SELECT l_partkey, MIN(l_orderkey) AS v FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1))
 SELECT node, arg_max(v, ord) AS v FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY node""")

@@ -35,6 +35,7 @@ class Options:
     """What an analysis follows and how; see ``of`` for the ranges."""
 
     max_depth: int = 30
+    depth_first: bool = False
     only_project_source: bool = False
     excluded_prefixes: tuple[str, ...] = EXCLUDED_PREFIXES
     follow_local_consumers: bool = True

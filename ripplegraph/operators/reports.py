@@ -12,7 +12,7 @@ from ripplegraph.functions import text
 from ripplegraph.model import CONFIDENCE, EXTERNAL_OPERATIONS, OPERATIONS, RESOURCE_TYPES, ROW_STATUS
 from ripplegraph.plans.engine import Result
 from ripplegraph.plans.reach import unfold
-from ripplegraph.storage import write_file
+from ripplegraph.storage import write_file, write_text
 
 NONE = "无"
 # Headers.
@@ -235,13 +235,11 @@ def write_report(spark: SparkSession, path: str, batch: DataFrame, result: Resul
     """One file for each format of a batch, named like ``path`` with the format's extension; their paths."""
     made = []
     for kind in formats:
+        made.append(sibling(path, kind))
         if kind == "csv":
-            lines = [r["line"] for r in batch_csv(batch, result).orderBy("idx", "ord").collect()]
-            content: str | bytes = "\n".join([header(BATCH), *lines]) + "\n"
+            write_text(batch_csv(batch, result).orderBy("idx", "ord"), made[-1], header(BATCH) + "\n")
         else:
-            content = batch_markdown(batch, result, title, canceled) if kind == "md" else batch_workbook(batch, result, canceled)
-        made.append(sibling(path, kind))
-        write_file(spark, made[-1], content)
+            write_file(spark, made[-1], batch_markdown(batch, result, title, canceled) if kind == "md" else batch_workbook(batch, result, canceled))
     return made
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import threading
 import uuid
 from collections.abc import Callable
@@ -14,12 +15,14 @@ from pyspark.sql import functions as F
 from ripplegraph.functions import text
 from ripplegraph.model import FACTS, QUEUE_TYPES, Options
 from ripplegraph.operators import extractors, joins, resources
+from ripplegraph.operators.mentions import mentions
 from ripplegraph.operators.symbols import Facts, accessors, dispatch, first_methods, methods, qualifiers
-from ripplegraph.plans.reach import INFERRED_MARK, reach
+from ripplegraph.plans.reach import INFERRED_MARK, depth_first, reach
 from ripplegraph.sources import batch as batch_inputs
 from ripplegraph.storage import materialize
 
-TOPICS = 500  # looked for in texts at once
+log = logging.getLogger(__name__)
+CHUNK = 10  # rows of a job between two reports of progress
 
 
 def facts_of(spark: SparkSession, given: dict[str, DataFrame | list]) -> Facts:
@@ -80,7 +83,9 @@ class Engine:
         steps = meet.join(target, "target_key")
         inferred = F.col("reason").isNotNull()
         self.steps = materialize(
-            steps.select(F.col("caller_key").alias("src"), F.col("target_key").alias("dst"), inferred.cast("int").alias("conf"), F.when(inferred, F.concat("label", F.lit(INFERRED_MARK))).otherwise(F.col("label")).alias("label")).distinct(),
+            steps.select(F.col("caller_key").alias("src"), F.col("target_key").alias("dst"), inferred.cast("int").alias("conf"), F.when(inferred, F.concat("label", F.lit(INFERRED_MARK))).otherwise(F.col("label")).alias("label"), F.struct(F.col("kind") == "ref", "ord", "target_key").alias("at"))
+            .groupBy("src", "dst", "conf", "label")
+            .agg(F.min("at").alias("at")),
             "steps",
         )
 
@@ -106,15 +111,10 @@ class Engine:
         return found.distinct().select(F.col("value").alias("root_id"), F.lit("MQ").alias("type"), F.col("value").alias("display"), F.lit(None).cast("string").alias("http_method"), "method_key")
 
     def _mentions(self, topics: DataFrame) -> DataFrame:
-        """(value, method_key): topics, whole or without their tag, in the texts of methods; ``TOPICS`` of them a pass over the texts."""
-        m = first_methods(self.facts).select("method_key", "text").filter("text is not null")
+        """(value, method_key): topics, whole or without their tag, in the texts of methods."""
+        texts = first_methods(self.facts).select(F.col("method_key").alias("key"), "text")
         asked = [r["value"] for r in topics.select("value").distinct().orderBy("value").toLocalIterator()]  # what a user typed
-        out = self.spark.createDataFrame([], "value string, method_key string")
-        for i in range(0, len(asked), TOPICS):
-            words = F.array(*[F.struct(F.lit(v).alias("value"), F.lit(v.split(":", 1)[0]).alias("part")) for v in asked[i : i + TOPICS]])
-            hits = F.filter(words, lambda w: F.contains(F.col("text"), w["value"]) | F.contains(F.col("text"), w["part"]))
-            out = out.unionByName(m.select("method_key", F.explode(hits).alias("w")).select("w.value", "method_key"))
-        return out
+        return mentions(texts, [(v, part) for v in asked for part in {v, v.split(":", 1)[0]}]).withColumnRenamed("key", "method_key")
 
     def by_input(self, value: str) -> DataFrame:
         """Entries for what a user types: a path if it begins with a slash, else a topic."""
@@ -148,7 +148,7 @@ class Engine:
         labels = self.methods.select(F.col("method_key").alias("node"), "label")
         start = entries.select(F.col("root_id").alias("root"), F.col("method_key").alias("node")).join(labels, "node")
         start = start.select("root", "node", F.lit(0).alias("depth"), F.lit(0).alias("conf"), F.array("label").alias("path"))
-        seen = materialize(reach(self.steps, start, o.max_depth, with_path=True), "seen")
+        seen = materialize(self._walk(o, start), "seen")
         added = []
         links = None
         if o.follow_cross_project:
@@ -173,9 +173,15 @@ class Engine:
                 found = self._collect(o, seen)
         return self._result(o, entries, seen, found, added, links)
 
+    def _walk(self, o: Options, start: DataFrame) -> DataFrame:
+        """What ``start`` reaches within the depth limit, in the order that the options ask for."""
+        if o.depth_first:
+            return depth_first(self.steps, start, o.max_depth)
+        return reach(self.steps, start, o.max_depth, with_path=True)
+
     def _more(self, o: Options, seen: DataFrame, start: DataFrame) -> DataFrame:
         """``seen`` with what ``start`` reaches beyond it."""
-        more = reach(self.steps, start.select("root", "node", "depth", "conf", "path"), o.max_depth, with_path=True)
+        more = self._walk(o, start.select("root", "node", "depth", "conf", "path"))
         return materialize(seen.unionByName(more.join(seen.select("root", "node"), ["root", "node"], "left_anti")), "seen")
 
     def client_links(self, o: Options) -> DataFrame:
@@ -256,37 +262,30 @@ class Engine:
 
     # ---- batch -------------------------------------------------------------------------------------
 
-    def batch(self, inputs: DataFrame, options: Options | None = None, progress: Callable[[int, int, str], None] | None = None, stop: threading.Event | None = None) -> tuple[DataFrame, Result]:
+    def batch(self, inputs: DataFrame, options: Options | None = None, progress: Callable[[int, int, str], None] | None = None, stop: threading.Event | None = None, chunk: int = CHUNK) -> tuple[DataFrame, Result]:
         """(batch rows (idx, input, status, reason, method_key), result) of ``inputs`` (idx, value); no hops to other projects.
 
-        All rows are one job. If that fails, or if a limit of seconds a row, ``progress`` (done, all, input) or ``stop`` asks for it,
-        the rows that can be analysed run one by one: a row that fails or takes too long is FAILED with its reason, and the
-        others stay. After ``stop`` is set no more rows begin, and those that haven't run are left out.
+        All rows are one job, or ``chunk`` rows a job where ``progress`` (done, all, input) or ``stop`` wants to be heard. A job that
+        fails, or takes longer than its rows' limits of seconds together, is done again by halves, so that one bad row among many costs a few
+        jobs; alone it is FAILED with its reason. After ``stop`` is set no more jobs begin, and rows that haven't run are left out.
         """
         o = replace(options or self.options, follow_cross_project=False)
         if inputs.limit(batch_inputs.MOST_INPUTS + 1).count() > batch_inputs.MOST_INPUTS:
             raise ValueError(f"more than {batch_inputs.MOST_INPUTS} inputs")
         rows, entries = self._batch_rows(inputs)
-        if not (o.row_timeout_seconds or progress or stop):
-            try:
-                return rows, self.analyze(entries, o)
-            except Exception:  # some row is at fault: each by itself tells which
-                pass
         asked = [(r["idx"], r["input"], r["status"]) for r in rows.orderBy("idx").collect()]
+        size = chunk if progress or stop is not None else len(asked)
         parts, failed, left = [], [], []
-        for i, (idx, value, status) in enumerate(asked):
+        for i in range(0, len(asked), max(size, 1)):
+            some = asked[i : i + size]
             if stop is not None and stop.is_set():
-                left.append(idx)
+                left += [idx for idx, _, _ in some]
                 continue
             if progress:
-                progress(i, len(asked), value)
-            if status == "SUCCESS":
-                try:
-                    parts.append(self._timed(lambda v=value: self._held(self.analyze(entries.filter(F.col("root_id") == v), o)), o.row_timeout_seconds))
-                except TimeoutError:
-                    failed.append((idx, f"超过单行超时 {o.row_timeout_seconds} 秒"))
-                except Exception as error:
-                    failed.append((idx, str(error).splitlines()[0] if str(error) else type(error).__name__))
+                progress(i, len(asked), some[0][1])
+            done, wrong = self._isolated(entries, [(idx, value) for idx, value, status in some if status == "SUCCESS"], o)
+            parts += done
+            failed += wrong
         if progress:
             progress(len(asked) - len(left), len(asked), "")
         wrong = self.spark.createDataFrame(failed, "idx int, _why string")
@@ -297,6 +296,24 @@ class Engine:
             parts = [self.analyze(entries.limit(0), o)]
         return rows, Result(*[reduce(DataFrame.unionByName, [getattr(p, f.name) for p in parts]) for f in fields(Result)])
 
+    def _isolated(self, entries: DataFrame, asked: list[tuple[int, str]], o: Options) -> tuple[list[Result], list[tuple[int, str]]]:
+        """(results, (idx, reason) of the rows that failed) of some rows, tried together and then by halves."""
+        if not asked:
+            return [], []
+        mine = entries.filter(F.col("root_id").isin([v for _, v in asked]))
+        try:
+            return [self._timed(lambda: self._held(self.analyze(mine, o)), o.row_timeout_seconds * len(asked))], []
+        except TimeoutError:
+            reason = f"超过单行超时 {o.row_timeout_seconds} 秒"
+        except Exception as error:
+            reason = str(error).splitlines()[0] if str(error) else type(error).__name__
+        log.warning("%d rows of a batch, from %s on: %s", len(asked), asked[0][1], reason)
+        if len(asked) == 1:
+            return [], [(asked[0][0], reason)]
+        half = len(asked) // 2
+        (a, wrong_a), (b, wrong_b) = (self._isolated(entries, some, o) for some in (asked[:half], asked[half:]))
+        return a + b, wrong_a + wrong_b
+
     @staticmethod
     def _held(result: Result) -> Result:
         """``result`` computed, so that what fails fails here."""

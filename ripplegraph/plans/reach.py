@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ripplegraph.storage import drop, materialize
 
@@ -88,9 +89,61 @@ def unfold(edges: DataFrame, root: str, max_depth: int) -> DataFrame:
     return _one(levels, "unfolded").withColumn("path", F.array_join("path", " -> "))
 
 
+def depth_first(edges: DataFrame, roots: DataFrame, max_depth: int) -> DataFrame:
+    """(root, node, depth, conf, path) as a depth-first walk meets the nodes, which enters each node once and none beyond ``max_depth``.
+
+    ``edges`` has src, dst, conf, label and ``at``, which orders a node's edges; ``roots`` is as for ``reach``. A node first met
+    deep isn't entered again from nearer, so under a depth limit the walk may miss what ``reach`` finds.
+
+    The walk meets edges in the order of their keys: the places of the edges that lead to a node, one for each step. A node's key is the least that
+    one of its predecessors gives, of those that are entered themselves. Each round works all keys out from the last round's, for all roots at
+    once, until none changes; a node's key is right once those before it are, and a wrong one dies when it outgrows the depth limit.
+    """
+    ranked = edges.groupBy("src", "dst").agg(F.min(F.struct("at", "conf", "label")).alias("b")).select("src", "dst", "b.*")
+    ranked = ranked.withColumn("place", F.row_number().over(W.partitionBy("src").orderBy("at", "dst")))
+    steps = materialize(ranked.select("src", "dst", "conf", "label", "place"), "steps")
+    given = lambda c, other: F.col(c) if c in roots.columns else other.alias(c)
+    start = roots.select("root", "node", given("depth", F.lit(0)), given("conf", F.lit(0)), given("path", F.array("node"))).distinct()
+    order = F.row_number().over(W.partitionBy("root").orderBy("depth", "conf", "path", "node"))
+    start = start.groupBy("root", "node").agg(F.min(F.struct("depth", "conf", "path")).alias("b")).select("root", "node", "b.*")
+    first = materialize(start.select("root", "node", F.array(order).alias("key"), "depth", "conf", "path"), "walk")
+    met, last = first, None
+    while True:
+        now = tuple(met.agg(F.count("*"), F.bit_xor(F.xxhash64("root", "node", "key"))).first())
+        if now == last:
+            break
+        last = now
+        on = (F.col("f.node") == F.col("e.src")) & (F.col("f.depth") < max_depth)
+        step = met.alias("f").join(steps.alias("e"), on)
+        best = F.struct(F.array_append("f.key", F.col("e.place")).alias("key"), (F.col("f.depth") + 1).alias("depth"), F.greatest("f.conf", "e.conf").alias("conf"), F.array_append("f.path", F.col("e.label")).alias("path"))
+        step = step.select(F.col("f.root").alias("root"), F.col("e.dst").alias("node"), best.alias("best"))
+        step = step.unionByName(first.select("root", "node", F.struct("key", "depth", "conf", "path").alias("best")))
+        nxt = materialize(step.groupBy("root", "node").agg(F.min("best").alias("best")).select("root", "node", "best.*"), "walk")
+        if met is not first:
+            drop(met)
+        met = nxt
+    drop(steps)
+    return met.drop("key")
+
+
 def closure(pairs: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """(sub, ancestor, depth) of the transitive closure of (sub, super), by least depth."""
-    roots = pairs.select(F.col("sub").alias("root"), F.col("sub").alias("node")).distinct()
-    edges = pairs.select(F.col("sub").alias("src"), F.col("super").alias("dst"), F.lit(0).alias("conf"))
-    found = reach(edges, roots, max_depth).filter("depth > 0")
-    return found.select(F.col("root").alias("sub"), F.col("node").alias("ancestor"), "depth")
+    """(sub, ancestor, depth) of the transitive closure of (sub, super), by least depth; nothing is its own ancestor, circles included.
+
+    Each round puts together two chains of what the rounds before have found, which doubles their reach: a chain of
+    a thousand takes ten rounds.
+    """
+    found = pairs.filter("sub <> super").select("sub", F.col("super").alias("ancestor"), F.lit(1).alias("depth")).distinct()
+    found, last, reached = materialize(found, "closure"), None, 1
+    while max_depth is None or reached < max_depth:
+        now = tuple(found.agg(F.count("*"), F.sum("depth")).first())
+        if now == last:
+            break
+        last = now
+        up = found.select(F.col("sub").alias("_mid"), F.col("ancestor").alias("_top"), F.col("depth").alias("_more"))
+        longer = found.join(up, F.col("ancestor") == F.col("_mid")).filter("sub <> _top")
+        longer = longer.select("sub", F.col("_top").alias("ancestor"), (F.col("depth") + F.col("_more")).alias("depth"))
+        both = found.unionByName(longer).groupBy("sub", "ancestor").agg(F.min("depth").alias("depth"))
+        nxt = materialize(both, "closure")
+        drop(found)
+        found, reached = nxt, 2 * reached
+    return found if max_depth is None else found.filter(F.col("depth") <= max_depth)

@@ -70,6 +70,29 @@ def write_file(spark: SparkSession, path: str, content: str | bytes) -> None:
         out.close()
 
 
+def write_text(lines: DataFrame, path: str, head: str) -> None:
+    """One file of the ``line`` column, rows in their order, after ``head``; parts are written by tasks and then copied one after another.
+
+    No line passes through Python or stays in the driver's memory.
+    """
+    spark = lines.sparkSession
+    parts = f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
+    lines.select("line").write.text(parts)
+    source, folder = _file_system(spark, parts)
+    system, target = _file_system(spark, path)
+    out = system.create(target, True)
+    try:
+        out.write(bytearray(head.encode()))
+        for name in sorted(f.getPath().getName() for f in source.listStatus(folder)):
+            if name.startswith("part-"):
+                part = source.open(spark._jvm.org.apache.hadoop.fs.Path(folder, name))
+                spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, 1 << 16, False)
+                part.close()
+    finally:
+        out.close()
+        source.delete(folder, True)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One table of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

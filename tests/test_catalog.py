@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from ripplegraph import catalog, catalog_cases, catalog_engine, catalog_reports, catalog_rules  # noqa: F401
+from ripplegraph import catalog, catalog_cases, catalog_engine, catalog_reports, catalog_rules, catalog_walks  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -163,12 +163,14 @@ def test_rows_of_a_batch_fail_by_themselves(spark, engine, monkeypatch):
         return some(self, entries, options)
 
     monkeypatch.setattr(Engine, "analyze", analyze)
-    rows, result = engine.batch(inputs, progress=lambda *x: steps.append(x))
+    rows, result = engine.batch(inputs, progress=lambda *x: steps.append(x), chunk=1)
     got = {r["idx"]: (r["status"], r["reason"], r["method_key"]) for r in rows.collect()}
     assert got == {1: ("SUCCESS", None, "a.OrderController#save"), 2: ("FAILED", "broken row", None), 3: ("SKIPPED", "未定位到接口", None)}
     assert {r["root_id"] for r in result.resources.collect()} == {"/api/order/save"}
     assert [s[0] for s in steps] == [0, 1, 2, 3]
     assert "- 失败：1" in reports.batch_markdown(rows, result)
+    whole, _ = engine.batch(inputs)  # one job, which fails, then its halves
+    assert {r["idx"]: (r["status"], r["reason"], r["method_key"]) for r in whole.collect()} == got
     with pytest.raises(ValueError):
         engine.batch(spark.range(101).selectExpr("cast(id as int) as idx", "concat('/x', id) as value"))
 
@@ -179,7 +181,7 @@ def test_a_batch_that_is_stopped_or_takes_too_long(spark, engine, monkeypatch):
 
     inputs = spark.createDataFrame([(1, "/api/order/save"), (2, "/bill/get-one"), (3, "/none")], "idx int, value string")
     stop = threading.Event()
-    rows, result = engine.batch(inputs, progress=lambda done, n, value: done == 1 and stop.set(), stop=stop)
+    rows, result = engine.batch(inputs, progress=lambda done, n, value: done == 1 and stop.set(), stop=stop, chunk=1)
     assert sorted(r["idx"] for r in rows.collect()) == [1, 2]
     monkeypatch.setattr(Engine, "analyze", lambda self, entries, options=None: time.sleep(1.5))
     monkeypatch.setattr(Engine, "_held", staticmethod(lambda result: result))

@@ -75,7 +75,43 @@ def test_mapper(spark, tmp_path):
         ("delete from `t1` where a = NULL", ["t1"]),
         ("with q as (select * from t1) select * from q join t2 on q.a = t2.a", ["t1", "t2"]),
         ("select extract(year from d) from t1 -- from t2", ["t1"]),
+        ("select trim(both 'x' from c) from t", ["t"]),
+        ("select substring(a from 2 for 3), extract(day from d) from t, u", ["t", "u"]),
+        ("select trim(both (select x from s) from c) from t", ["s", "t"]),
+        ("merge into t using s on (t.id = s.id) when matched then update set a = 1 when not matched then insert (a) values (s.a)", ["t", "s"]),
+        ("merge t using (select * from s) q on t.id = q.id when matched then delete", ["t", "s"]),
+        ("delete from a using b, c where a.id = b.id", ["a", "b", "c"]),
+        ("delete a from t1 a join t2 b on a.id = b.id", ["t1", "t2"]),
+        ("select * from f(1), t", ["t"]),
+        ("select * from generate_series(1, 3) as g(n) join t on t.n = g.n", ["t"]),
+        ("select * from lateral (select * from t) x, t2", ["t", "t2"]),
+        ("select * from t, lateral (select * from u where u.i = t.i) x left join v on true", ["t", "u", "v"]),
+        ("create table x as select * from y", ["x", "y"]),
+        ("create table if not exists x (a int, b text)", ["x"]),
+        ("create or replace view v as with q as (select * from t) select * from q", ["v", "t"]),
+        ("truncate table t", ["t"]),
+        ("select * from (t1 join t2 on t1.a = t2.a), t3", ["t1", "t2", "t3"]),
+        ("select * from (t1, t2) left join t3 on true", ["t1", "t2", "t3"]),
+        ("select * from a.b.c x join `d`.`e` y using (id)", ["a.b.c", "d.e"]),
+        ("select * from t1 where a is distinct from b and c is not distinct from d", ["t1"]),
+        ("select * from (with q as (select * from t) select * from q) x, q", ["t", "q"]),
+        ("with q as (select * from t), r (a, b) as (select * from q) select * from r join q on true", ["t"]),
+        ("with recursive q as (select 1 union all select a from q join t on true) select * from q", ["t"]),
+        ("with q as (select * from s) insert into t select * from q", ["s", "t"]),
+        ("with q as (select * from s) delete from t using q where t.i = q.i", ["s", "t"]),
+        ("insert ignore into t (a, b) values (1, 2) on duplicate key update a = values(a)", ["t"]),
+        ("replace into t select * from u", ["t", "u"]),
+        ("update t1 a join t2 b on a.i = b.i set a.x = b.x", ["t1", "t2"]),
+        ("update t1, t2 set t1.x = t2.x where t1.i in (select i from t3)", ["t1", "t2", "t3"]),
+        ("update t set x = s.x from s, u where t.i = s.i", ["t", "s", "u"]),
+        ("select (select max(a) from t1), (select min(b) from t2) from t3 for update", ["t1", "t2", "t3"]),
+        ("select * from t1 force index (i) where exists (select 1 from t2 where t2.a = t1.a)", ["t1", "t2"]),
+        ("(select a from t1) union (select b from t2) except select c from t3 order by 1", ["t1", "t2", "t3"]),
+        ("select * from unnest(array[1]) u, t", ["t"]),
+        ("select * from t1 natural left join t2 cross join t3 as c", ["t1", "t2", "t3"]),
+        ("select case when a from t", ["t"]),
         ("call proc()", None),
+        ("select 1 )", None),
         ("select (", None),
     ],
 )
