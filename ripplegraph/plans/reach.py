@@ -1,7 +1,8 @@
 """Recursive plans: reachability by frontier, bounded path enumeration, closures.
 
 Reachability runs level by level. Each level joins the frontier of all roots at once to the edges, keeps one
-winning row for each (root, node), and drops what has been visited by an anti join. Edges are put together once. Levels
+winning row for each (root, node), and drops what has been visited by an anti join. Only nodes that can be met again and lead on
+are looked up there, from level ``SHALLOW`` on: they are a folder of their own in each level's table, so the rest of former levels isn't read again. Edges are put together once. Levels
 are written to the shared folder, and every ``COMPACT`` of them become one table, so the plan of a level never
 grows beyond that and a lost executor costs one level. Tables that nothing reads any more are deleted.
 """
@@ -17,6 +18,7 @@ from pyspark.sql.window import Window as W
 from ripplegraph.storage import drop, materialize
 
 COMPACT = 12  # levels that become one table
+SHALLOW = 6  # levels from which it pays to know which nodes must be remembered
 INFERRED_MARK = " [推断分支]"
 
 
@@ -30,40 +32,73 @@ def reach(edges: DataFrame, roots: DataFrame, max_depth: int | None = 30, with_p
     """
     label = "label" if "label" in edges.columns else "dst"
     best = F.min(F.struct("conf", F.col(label).alias("label")))
-    steps = materialize(edges.groupBy("src", "dst").agg(best.alias("b")).select("src", "dst", "b.*"), "steps")
     given = lambda c, other: F.col(c) if c in roots.columns else other.alias(c)
     start = roots.select("root", "node", given("depth", F.lit(0)), given("conf", F.lit(0)), given("path", F.array("node"))).distinct()
     names = ["root", "node", "depth", "conf", *(["path"] if with_path else [])]
-    start = start.groupBy("root", "node").agg(F.min(F.struct(*names[2:])).alias("b")).select("root", "node", "b.*")
+    start = start.groupBy("root", "node").agg(F.min(F.struct(*names[2:])).alias("b")).select("root", "node", "b.*", F.lit(MET).alias("kind"))
     frontier = materialize(start, "reach")
-    levels = [frontier]
+    steps = materialize(edges.groupBy("src", "dst").agg(best.alias("b")).select("src", "dst", "b.*", F.lit(MET).alias("kind")), "steps")
+    levels, walked, begun = [frontier], 0, start.select("node")
     while True:
+        walked += 1
+        if walked == SHALLOW:
+            steps = _kinds(steps, begun)
         rank = [(F.col("f.depth") + 1).alias("depth"), F.greatest("f.conf", "e.conf").alias("conf")]
         if with_path:
             rank.append(F.array_append("f.path", F.col("e.label")).alias("path"))
         on = F.col("f.node") == F.col("e.src")
-        step = frontier.alias("f").join(steps.alias("e"), on if max_depth is None else on & (F.col("f.depth") < max_depth))
-        step = step.select(F.col("f.root").alias("root"), F.col("e.dst").alias("node"), F.struct(*rank).alias("best"))
+        step = frontier.filter(F.col("kind") != LAST).alias("f").join(steps.alias("e"), on if max_depth is None else on & (F.col("f.depth") < max_depth))
+        step = step.select(F.col("f.root").alias("root"), F.col("e.dst").alias("node"), F.struct(*rank, "e.kind").alias("best"))
         step = step.groupBy("root", "node").agg(F.min("best").alias("best")).select("root", "node", "best.*")
-        step = step.join(_all(levels).select("root", "node"), ["root", "node"], "left_anti")
-        frontier = materialize(step, "reach")
+        step = step.join(_all(levels).filter(F.col("kind") == MET).select("root", "node"), ["root", "node"], "left_anti")
+        frontier = materialize(step, "reach", ["kind"])
         if frontier.isEmpty():
             drop(frontier)
             break
         levels.append(frontier)
         if len(levels) > COMPACT:
-            levels = [_one(levels[:-1], "reach"), frontier]
+            levels = [_one(levels[:-1], "reach", ["kind"]), frontier]
     drop(steps)
-    return levels[0] if len(levels) == 1 else _one(levels, "reached")
+    found = _all(levels).select(*names, "kind")
+    if walked < SHALLOW:
+        out = materialize(found.drop("kind"), "reached")
+        for t in levels:
+            drop(t)
+        return out
+    ends = found.filter(F.col("kind") == LAST).groupBy("root", "node").agg(F.min(F.struct(*names[2:])).alias("b")).select("root", "node", "b.*")
+    ends = ends.join(found.filter(F.col("kind") == MET).select("root", "node"), ["root", "node"], "left_anti")  # met on the first levels
+    out = materialize(found.filter(F.col("kind") != LAST).select(*names).unionByName(ends), "reached")
+    for t in levels:
+        drop(t)
+    return out
+
+
+ONCE, MET, LAST = 0, 1, 2  # kinds of nodes: met once at most by each root; met again; met again, but nothing follows
+
+
+def _kinds(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """``edges`` with the kind of their dst, which tells what a walk must remember of it.
+
+    A node with one predecessor that no walk begins at is met once. One that nothing follows can be met at each level without harm,
+    and the best row is chosen at the end. Only the others have to be looked up at every level.
+    """
+    one = lambda rows, c, *n: rows.select(F.col(c).alias("dst"), *[F.lit(x).alias(k) for x, k in zip(n, ("n", "out", "begun"), strict=True)])
+    each = one(edges, "dst", 1, 0, 0).unionByName(one(edges, "src", 0, 1, 0)).unionByName(one(start, "node", 0, 0, 1))
+    sums = each.groupBy("dst").agg(*[F.sum(c).alias(c) for c in ("n", "out", "begun")])
+    kind = F.when(F.col("begun") > 0, MET).when(F.col("n") < 2, ONCE).when(F.col("out") > 0, MET).otherwise(LAST)
+    kinds = sums.filter("n > 0").select("dst", kind.alias("kind"))
+    steps = materialize(edges.drop("kind").join(kinds, "dst"), "steps")
+    drop(edges)
+    return steps
 
 
 def _all(levels: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, levels)
 
 
-def _one(tables: list[DataFrame], what: str) -> DataFrame:
+def _one(tables: list[DataFrame], what: str, by: list[str] | None = None) -> DataFrame:
     """One table of several, which are deleted."""
-    out = materialize(_all(tables), what)
+    out = materialize(_all(tables), what, by)
     for t in tables:
         drop(t)
     return out

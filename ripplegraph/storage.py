@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -39,13 +40,15 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def materialize(df: DataFrame, what: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, which cuts its lineage and outlives lost executors."""
+def materialize(df: DataFrame, what: str, by: list[str] | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder, in folders by the columns ``by``, and read it back, which cuts its lineage and outlives lost executors."""
     path = f"{shared_folder(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
     if (held := _scratch.get()) is not None:
         held.append(path)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._stored = path
+    return table
 
 
 def _file_system(spark: SparkSession, path: str):
@@ -55,7 +58,8 @@ def _file_system(spark: SparkSession, path: str):
 
 def drop(df: DataFrame) -> None:
     """Delete the files of a table made by ``materialize`` that nothing reads any more."""
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+    found = getattr(df, "_stored", None)
+    for path in [found] if found else {re.sub(r"(/[^/=]+=[^/]*)*/[^/]*$", "", f) for f in df.inputFiles()}:
         system, target = _file_system(df.sparkSession, path)
         system.delete(target, True)
 

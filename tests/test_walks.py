@@ -81,3 +81,27 @@ def test_lines_become_one_file(spark, tmp_path):
 
 
 sys.setrecursionlimit(10_000)
+
+
+@pytest.mark.parametrize("shallow,compact", [(1, 2), (2, 12), (6, 3)])
+def test_deep_walks_remember_what_can_come_again(spark, monkeypatch, shallow, compact):
+    monkeypatch.setattr(plans, "SHALLOW", shallow)
+    monkeypatch.setattr(plans, "COMPACT", compact)
+    rng = random.Random(shallow)
+    edges = {(i, i + 1) for i in range(12)} | {(rng.randrange(13), rng.randrange(13)) for _ in range(6)} | {(rng.randrange(13), 20 + rng.randrange(4)) for _ in range(12)} | {(5, 0), (40, 41), (41, 40)}
+    conf = {e: rng.randrange(3) for e in edges}
+    roots = [0, 3, 22, 40]
+    want = {}
+    for r in roots:
+        met, front = {r: (0, 0)}, {r: 0}
+        for depth in range(1, 30):
+            nxt = {}
+            for (a, b), c in conf.items():
+                if a in front and b not in met:
+                    nxt[b] = min(nxt.get(b, 9), max(front[a], c))
+            met |= {n: (depth, c) for n, c in nxt.items()}
+            front = nxt
+        want |= {(r, n): v for n, v in met.items()}
+    frame = spark.createDataFrame([(a, b, c) for (a, b), c in conf.items()], "src int, dst int, conf int")
+    got = plans.reach(frame, spark.createDataFrame([(r, r) for r in roots], "root int, node int"), None)
+    assert sorted(tuple(r) for r in got.collect()) == sorted((*k, *v) for k, v in want.items())
