@@ -19,7 +19,7 @@ from ripplegraph.operators.mentions import mentions
 from ripplegraph.operators.symbols import Facts, accessors, dispatch, first_methods, methods, qualifiers
 from ripplegraph.plans.reach import INFERRED_MARK, depth_first, reach
 from ripplegraph.sources import batch as batch_inputs
-from ripplegraph.storage import materialize
+from ripplegraph.storage import matching, materialize
 
 log = logging.getLogger(__name__)
 CHUNK = 10  # rows of a job between two reports of progress
@@ -262,12 +262,15 @@ class Engine:
 
     # ---- batch -------------------------------------------------------------------------------------
 
-    def batch(self, inputs: DataFrame, options: Options | None = None, progress: Callable[[int, int, str], None] | None = None, stop: threading.Event | None = None, chunk: int = CHUNK) -> tuple[DataFrame, Result]:
+    def batch(self, inputs: DataFrame, options: Options | None = None, progress: Callable[[int, int, str], None] | None = None, stop: threading.Event | None = None, chunk: int = CHUNK, ledger: str | None = None) -> tuple[DataFrame, Result]:
         """(batch rows (idx, input, status, reason, method_key), result) of ``inputs`` (idx, value); no hops to other projects.
 
         All rows are one job, or ``chunk`` rows a job where ``progress`` (done, all, input) or ``stop`` wants to be heard. A job that
         fails, or takes longer than its rows' limits of seconds together, is done again by halves, so that one bad row among many costs a few
         jobs; alone it is FAILED with its reason. After ``stop`` is set no more jobs begin, and rows that haven't run are left out.
+
+        With a ``ledger``, a folder for one set of facts and options, each job's results are stored there as they are done; a later call takes
+        them from there and runs only the rest, so a stopped batch goes on where it was.
         """
         o = replace(options or self.options, follow_cross_project=False)
         if inputs.limit(batch_inputs.MOST_INPUTS + 1).count() > batch_inputs.MOST_INPUTS:
@@ -275,7 +278,10 @@ class Engine:
         rows, entries = self._batch_rows(inputs)
         asked = [(r["idx"], r["input"], r["status"]) for r in rows.orderBy("idx").collect()]
         size = chunk if progress or stop is not None else len(asked)
-        parts, failed, left = [], [], []
+        parts, told = self._kept(ledger) if ledger else ([], {})
+        failed = [(idx, told[value]) for idx, value, status in asked if status == "SUCCESS" and told.get(value)]
+        left = []
+        asked = [a for a in asked if a[1] not in told]
         for i in range(0, len(asked), max(size, 1)):
             some = asked[i : i + size]
             if stop is not None and stop.is_set():
@@ -283,7 +289,7 @@ class Engine:
                 continue
             if progress:
                 progress(i, len(asked), some[0][1])
-            done, wrong = self._isolated(entries, [(idx, value) for idx, value, status in some if status == "SUCCESS"], o)
+            done, wrong = self._isolated(entries, [(idx, value) for idx, value, status in some if status == "SUCCESS"], o, ledger)
             parts += done
             failed += wrong
         if progress:
@@ -296,24 +302,47 @@ class Engine:
             parts = [self.analyze(entries.limit(0), o)]
         return rows, Result(*[reduce(DataFrame.unionByName, [getattr(p, f.name) for p in parts]) for f in fields(Result)])
 
-    def _isolated(self, entries: DataFrame, asked: list[tuple[int, str]], o: Options) -> tuple[list[Result], list[tuple[int, str]]]:
+    def _isolated(self, entries: DataFrame, asked: list[tuple[int, str]], o: Options, ledger: str | None = None) -> tuple[list[Result], list[tuple[int, str]]]:
         """(results, (idx, reason) of the rows that failed) of some rows, tried together and then by halves."""
         if not asked:
             return [], []
         mine = entries.filter(F.col("root_id").isin([v for _, v in asked]))
         try:
-            return [self._timed(lambda: self._held(self.analyze(mine, o)), o.row_timeout_seconds * len(asked))], []
+            result = self._timed(lambda: self._held(self.analyze(mine, o)), o.row_timeout_seconds * len(asked))
+            if ledger:
+                self._keep(ledger, result, [(v, None) for _, v in asked])
+            return [result], []
         except TimeoutError:
             reason = f"超过单行超时 {o.row_timeout_seconds} 秒"
         except Exception as error:
             reason = str(error).splitlines()[0] if str(error) else type(error).__name__
         log.warning("%d rows of a batch, from %s on: %s", len(asked), asked[0][1], reason)
         if len(asked) == 1:
+            if ledger:
+                self._keep(ledger, None, [(asked[0][1], reason)])
             return [], [(asked[0][0], reason)]
         half = len(asked) // 2
-        (a, wrong_a), (b, wrong_b) = (self._isolated(entries, some, o) for some in (asked[:half], asked[half:]))
+        (a, wrong_a), (b, wrong_b) = (self._isolated(entries, some, o, ledger) for some in (asked[:half], asked[half:]))
         return a + b, wrong_a + wrong_b
 
+    def _keep(self, ledger: str, result: Result | None, done: list[tuple[str, str | None]]) -> None:
+        """Store results and the rows that they are for; without that list, which is written last, a part doesn't count."""
+        at = f"{ledger}/{uuid.uuid4().hex}"
+        for f in fields(Result) if result else ():
+            getattr(result, f.name).write.parquet(f"{at}/{f.name}")
+        self.spark.createDataFrame(done, "input string, why string").write.parquet(f"{at}/done")
+
+    def _kept(self, ledger: str) -> tuple[list[Result], dict[str, str | None]]:
+        """(results, reason or null by input) of what a ledger holds."""
+        parts, told = [], {}
+        for mark in matching(self.spark, f"{ledger}/*/done/_SUCCESS"):
+            at = mark.rsplit("/", 2)[0]
+            done = {r["input"]: r["why"] for r in self.spark.read.parquet(f"{at}/done").collect()}  # MOST_INPUTS rows at most
+            told |= done
+            if None in done.values():
+                parts.append(Result(*[self.spark.read.parquet(f"{at}/{f.name}") for f in fields(Result)]))
+        return parts, told
+
     @staticmethod
     def _held(result: Result) -> Result:
         """``result`` computed, so that what fails fails here."""

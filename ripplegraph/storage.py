@@ -56,6 +56,12 @@ def _file_system(spark: SparkSession, path: str):
     return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
 
 
+def matching(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match a pattern, sorted."""
+    system, target = _file_system(spark, pattern)
+    return sorted(f.getPath().toString() for f in system.globStatus(target) or [])
+
+
 def drop(df: DataFrame) -> None:
     """Delete the files of a table made by ``materialize`` that nothing reads any more."""
     found = getattr(df, "_stored", None)

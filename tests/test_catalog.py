@@ -8,7 +8,7 @@ from ripplegraph import catalog, catalog_cases, catalog_engine, catalog_reports,
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"q_engine_batch", "q_engine_resources", "q_engine_hops", "q_engine_entries", "q_warnings", "q_shown_methods"}  # tests of the engine cover them
+SLOW = {"q_engine_batch", "q_batch_resume", "q_engine_resources", "q_engine_hops", "q_engine_entries", "q_warnings", "q_shown_methods"}  # tests of the engine cover them
 
 
 @pytest.fixture(scope="module")

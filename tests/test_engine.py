@@ -175,7 +175,7 @@ def test_rows_of_a_batch_fail_by_themselves(spark, engine, monkeypatch):
         engine.batch(spark.range(101).selectExpr("cast(id as int) as idx", "concat('/x', id) as value"))
 
 
-def test_a_batch_that_is_stopped_or_takes_too_long(spark, engine, monkeypatch):
+def test_a_batch_that_is_stopped_or_takes_too_long(spark, engine, monkeypatch, tmp_path):
     import threading
     import time
 
@@ -183,6 +183,16 @@ def test_a_batch_that_is_stopped_or_takes_too_long(spark, engine, monkeypatch):
     stop = threading.Event()
     rows, result = engine.batch(inputs, progress=lambda done, n, value: done == 1 and stop.set(), stop=stop, chunk=1)
     assert sorted(r["idx"] for r in rows.collect()) == [1, 2]
+    some, analysed = Engine.analyze, []
+    monkeypatch.setattr(Engine, "analyze", lambda self, entries, options=None: analysed.append(sorted(r["root_id"] for r in entries.collect())) or some(self, entries, options))
+    stop.clear()
+    folder = f"{tmp_path}/ledger"
+    engine.batch(inputs, progress=lambda done, n, value: done == 1 and stop.set(), stop=stop, chunk=1, ledger=folder)
+    rows, result = engine.batch(inputs, ledger=folder)
+    assert analysed == [["/api/order/save"], ["/bill/get-one"], ["/bill/get-one"]][: len(analysed)] and sum(a == ["/api/order/save"] for a in analysed) == 1
+    whole, all_ = engine.batch(inputs)
+    same = lambda a, b: sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    assert same(rows, whole) and same(result.resources, all_.resources) and same(result.edges, all_.edges)
     monkeypatch.setattr(Engine, "analyze", lambda self, entries, options=None: time.sleep(1.5))
     monkeypatch.setattr(Engine, "_held", staticmethod(lambda result: result))
     with pytest.raises(TimeoutError):
