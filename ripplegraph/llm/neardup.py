@@ -72,30 +72,62 @@ def signed(rows: DataFrame, text: str, keep: list[str]) -> DataFrame:
     return map_texts(rows.withColumn("__bytes", F.col(text).cast("binary")), "__bytes", keep, of, "node long, n long, keys array<long>, hashes binary")
 
 
+def prefixes(members: list[np.ndarray], size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rank, member) of the rarest shingles of each member, as many as two near members can't differ in altogether.
+
+    Of two sets whose similarity is t or more, one holds a part t of the other at least; so if both are sorted by one order, they
+    share a shingle among the first n - ceil(t n) + 1. Rarest first, texts of one template share none of those.
+    """
+    owner = np.repeat(np.arange(len(members)), size)
+    _, kind, often = np.unique(np.concatenate(members), return_inverse=True, return_counts=True)
+    rank = np.empty(len(often), np.int64)
+    rank[np.argsort(often, kind="stable")] = np.arange(len(often))
+    rank = rank[kind]
+    order = np.lexsort((rank, owner))
+    rank, owner = rank[order], owner[order]
+    first = np.cumsum(size) - size
+    some = np.arange(len(owner)) - first[owner] < (size - -(-TENTHS * size // 10) + 1)[owner]
+    rank, owner = rank[some], owner[some]
+    order = np.argsort(rank, kind="stable")
+    return rank[order], owner[order]
+
+
 def near_pairs(nodes: np.ndarray, roots: np.ndarray, asks: np.ndarray, sets: list[bytes]) -> tuple[list[int], list[int]]:
     """Links between texts that ask and near ones of another root, one for each text and root.
 
-    The members' shingles are sorted once; a text that asks looks up its own and counts whom it meets.
+    A text that asks is compared with those that share one of its rarest shingles, have another root and are of a size near its own.
     """
     members = [np.frombuffer(s, np.uint32) for s in sets]
     size = np.array([len(m) for m in members])
-    owner = np.repeat(np.arange(len(members)), size)
-    values = np.concatenate(members)
-    order = np.argsort(values, kind="stable")
-    values, owner = values[order], owner[order]
+    rank, owner = prefixes(members, size)
+    by_owner = np.argsort(owner, kind="stable")
+    ends = np.searchsorted(owner[by_owner], np.arange(len(members) + 1))
     a, b = [], []
     for i in np.flatnonzero(asks).tolist():
-        first, last = np.searchsorted(values, members[i], side="left"), np.searchsorted(values, members[i], side="right")
+        mine = rank[by_owner[ends[i] : ends[i + 1]]]
+        first, last = np.searchsorted(rank, mine, side="left"), np.searchsorted(rank, mine, side="right")
         n = last - first
-        at = np.arange(int(n.sum())) + np.repeat(first - (np.cumsum(n) - n), n)
-        both = np.bincount(owner[at], minlength=len(members))
-        near = np.flatnonzero((10 * both >= TENTHS * (size[i] + size - both)) & (roots != roots[i]) & (nodes != nodes[i]))
+        at = np.unique(owner[np.arange(int(n.sum())) + np.repeat(first - (np.cumsum(n) - n), n)])
+        sized = np.minimum(size[at], size[i]) * 10 >= np.maximum(size[at], size[i]) * TENTHS
+        at = at[sized & (roots[at] != roots[i]) & (nodes[at] != nodes[i])]
+        if not len(at):
+            continue
+        both = in_common(members[i], [members[j] for j in at.tolist()])
+        near = at[10 * both >= TENTHS * (size[i] + size[at] - both)]
         near = near[np.unique(roots[near], return_index=True)[1]]
         a.extend([int(nodes[i])] * len(near))
         b.extend(nodes[near].tolist())
     return a, b
 
 
+def in_common(mine: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Shingles that a sorted set has in common with each of some others, none of them empty."""
+    values = np.concatenate(others)
+    place = np.minimum(np.searchsorted(mine, values), len(mine) - 1)
+    begin = np.cumsum([0, *(len(x) for x in others[:-1])])
+    return np.add.reduceat((mine[place] == values).astype(np.int64), begin)
+
+
 def near_links(groups: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (a, b) within the groups (gid, node, root, asks): a group is read in one piece, and holds a bounded number of texts."""
     links = "a long, b long"

@@ -57,6 +57,46 @@ def test_edited_copies_go(spark, monkeypatch, members, shingles):
     assert len(set(head[:48])) <= 26  # of the pairs of 0.82 and more nearly all are joined
 
 
+def brute_links(nodes, roots, asks, sets):
+    found = set()
+    for i in np.flatnonzero(asks):
+        for j in range(len(sets)):
+            x, y = (set(np.frombuffer(sets[k], np.uint32).tolist()) for k in (i, j))
+            if roots[i] != roots[j] and nodes[i] != nodes[j] and 10 * len(x & y) >= 8 * len(x | y):
+                found.add((int(nodes[i]), int(roots[j])))
+    return found
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_rarest_shingles_lose_no_link(seed):
+    rng = np.random.default_rng(seed)
+    base = [rng.integers(0, 400, int(rng.integers(1, 60))) for _ in range(5)]
+    sets = []
+    for _ in range(60):
+        x = base[rng.integers(5)].copy()
+        some = rng.random(len(x)) < rng.random() * 0.25
+        x[some] = rng.integers(0, 4000, int(some.sum()))
+        sets.append(np.unique(x.astype(np.uint32)).tobytes())
+    nodes, roots, asks = np.arange(60), rng.integers(0, 20, 60), rng.random(60) < 0.5
+    root = dict(zip(nodes.tolist(), roots.tolist(), strict=True))
+    got = neardup.near_pairs(nodes, roots, asks, sets)
+    assert {(a, root[b]) for a, b in zip(*got, strict=True)} == brute_links(nodes, roots, asks, sets)
+
+
+def test_texts_of_one_template_are_not_compared_pair_by_pair(monkeypatch):
+    """Seventy words of a template and twenty of one's own: similarity below the limit, and next to no comparison."""
+    compared = []
+    some = neardup.in_common
+    monkeypatch.setattr(neardup, "in_common", lambda mine, others: compared.append(len(others)) or some(mine, others))
+    for n in (1000, 2000, 4000):
+        rng = np.random.default_rng(n)
+        template = rng.integers(0, 1 << 32, 66, dtype=np.uint32)
+        sets = [np.unique(np.concatenate([template, rng.integers(0, 1 << 32, 24, dtype=np.uint32)])).tobytes() for _ in range(n)]
+        compared.clear()
+        assert neardup.near_pairs(np.arange(n), np.arange(n), np.ones(n, bool), sets) == ([], [])
+        assert sum(compared) < n
+
+
 def test_only_rows_of_a_group_replace_each_other(spark):
     a, b, c, d = ("the first text stands here alone", "another one says something else", "a third has its own words", "and a last one ends it")
     rows = [(None, a), (None, b), (None, b), (7, b), (7, c), (7, d), (9, d), (8, c), (8, c), (None, None)]
