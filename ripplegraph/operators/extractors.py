@@ -313,7 +313,7 @@ def endpoint_mappings(facts: Facts, attributes: tuple[str, str] = ("value", "pat
 
 def external_http(c: Contexts) -> DataFrame:
     """X-5: declared clients, then client classes by verb and address; placeholders from the project's configuration."""
-    known = config.key_values(c.facts["config_file"])
+    known = config.expanded(config.key_values(c.facts["config_file"]))
     f = c.rows.join(feign_endpoints(c.facts), "target_key")
     raw = F.concat_ws(" ", "service", "verb", "display_path")
     f = f.withColumn("raw", raw).withColumn("_conf", F.when(F.col("service").startswith("${") | (F.col("display_path") == "/"), 2).otherwise(0))

@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ripplegraph.plans.reach import reach
+from ripplegraph.plans.reach import closure
+from ripplegraph.storage import drop, materialize
 
 EXTENSIONS = {"properties": 0, "yml": 1, "yaml": 2}  # a later one overwrites an earlier one
-PLACEHOLDER = re.compile(r"\$\{([^}:]+)(?::([^}]*))?\}")
+PLACEHOLDER = r"\$\{([^}:]+)(?::([^}]*))?\}"
+BLANK_ENDS = r"(?U)^\s+|\s+$"
 ESCAPES = {"t": "\t", "n": "\n", "r": "\r", "f": "\f"}
 
 
@@ -97,51 +99,120 @@ def key_values(files: DataFrame) -> DataFrame:
     return lines.groupBy("project", "key").agg(F.max_by("value", F.struct("ext_rank", "path", "line_no")).alias("value"))
 
 
-def expand(value: str, configs: dict[str, str], visiting: frozenset = frozenset()) -> str:
-    """``value`` with its placeholders replaced, nested ones too; cycles and unknown keys without default stay as they are."""
-    if "${" not in value or not configs:
-        return value
+@dataclass
+class Expanded:
+    """A configuration whose own placeholders are replaced: ``known`` (project, key, value, _nested, _cyclic); ``parts`` and ``rings``
+    (project, key, parts) of the keys that hold placeholders, those on a cycle apart. Both are None where no value holds one."""
+
+    known: DataFrame
+    parts: DataFrame | None = None
+    rings: DataFrame | None = None
+
+
+def _part(text: Column | str, key: Column | None = None, ring: Column | None = None, other: Column | None = None, seen: Column | None = None) -> Column:
+    """A piece of a value: plain text, or a placeholder that is still open, by its key or, if that is on a cycle, its ring."""
+    none = F.lit(None).cast("string")
+    get = lambda c: none if c is None else c
+    path = F.array().cast("array<string>") if seen is None else seen
+    return F.struct(F.col(text).alias("text") if isinstance(text, str) else text.alias("text"), get(key).alias("key"), get(ring).alias("ring"), get(other).alias("other"), path.alias("seen"))
 
-    def one(m: re.Match) -> str:
-        key, default = m[1].strip(), m[2] or ""
-        if key in visiting:
-            return m[0]
-        if key in configs:
-            return expand(configs[key], configs, visiting | {key})
-        return default or m[0]
 
-    return PLACEHOLDER.sub(one, value)
+def _cut(rows: DataFrame, value: str) -> DataFrame:
+    """``rows`` with the ``parts`` of a value, placeholders open."""
+    rows = rows.withColumn("_whole", F.regexp_extract_all(value, F.lit(PLACEHOLDER), F.lit(0))).withColumn("_plain", F.split(value, PLACEHOLDER, -1))
 
+    def one(plain: Column, i: Column) -> Column:
+        whole = F.get("_whole", i)
+        key = F.regexp_replace(F.regexp_extract(whole, PLACEHOLDER, 1), BLANK_ENDS, "")
+        return F.array(_part(plain), _part(whole, key, None, F.regexp_extract(whole, PLACEHOLDER, 2)))
 
-def _keys(value: Column) -> Column:
-    """Keys of the placeholders in a value."""
-    return F.transform(F.regexp_extract_all(value, F.lit(r"\$\{([^}:]+)(?::[^}]*)?\}"), F.lit(1)), lambda k: F.trim(k))
+    kept = F.filter(F.flatten(F.transform("_plain", one)), lambda p: p["text"] != "")
+    return rows.withColumn("parts", kept).drop("_whole", "_plain")
+
+
+def _put(rows: DataFrame, field: str, found: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``rows`` (project, _id, parts) with parts whose ``field`` is set replaced by what ``found`` adds to them; where that is nothing they stay.
+
+    Only the open parts are sent to the table that knows them; texts between stay in their row.
+    """
+    opened = rows.select("project", "_id", F.posexplode("parts").alias("_at", "_p")).filter(F.col(f"_p.{field}").isNotNull())
+    opened = opened.select("project", "_id", "_at", F.col("_p.text").alias("text"), F.col(f"_p.{field}").alias("key"), F.col("_p.other").alias("other"), F.col("_p.seen").alias("seen"))
+    got = found(opened).groupBy("project", "_id").agg(F.map_from_entries(F.collect_list(F.struct("_at", "found"))).alias("_got"))
+    put = F.transform("parts", lambda p, i: F.coalesce(F.try_element_at("_got", i), F.array(p)))
+    return rows.join(got, ["project", "_id"], "left").select("project", "_id", F.flatten(put).alias("parts"))
 
 
-def resolve(rows: DataFrame, config: DataFrame, column: str, out: str) -> DataFrame:
-    """``rows`` (project, ``column``, ...) with ``out``: the value with placeholders replaced from the project's configuration.
+def _settle(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Placeholders of plain keys and of unknown ones become text; those of keys on a cycle become rings."""
+    text = F.coalesce("value", F.when(F.col("other") != "", F.col("other")).otherwise(F.col("text")))
+    part = F.when(F.col("_cyclic"), _part("text", None, F.col("key"))).when(F.col("_nested").isNull() | ~F.col("_nested"), _part(text))
+    return _put(rows, "key", lambda opened: opened.join(known, ["project", "key"], "left").withColumn("found", F.when(part.isNotNull(), F.array(part))))
 
-    Only distinct values that hold a placeholder take part, and each meets only the keys that it leads to, however
-    indirectly: those are found by walking from key to key, a join a step.
+
+def _fill(rows: DataFrame, table: DataFrame) -> DataFrame:
+    return _put(rows, "key", lambda opened: opened.join(table.withColumnRenamed("parts", "found"), ["project", "key"]))
+
+
+def _is_open(field: str) -> Column:
+    return F.exists("parts", lambda p: p[field].isNotNull())
+
+
+def expanded(config: DataFrame) -> Expanded:
+    """A configuration (project, key, value) with the placeholders in its own values replaced.
+
+    Each round puts the parts of all keys into each other, which doubles the depth that is done: nesting of fifty takes six
+    rounds. Keys on a cycle are found by a closure and left open, since what they become depends on the way to them.
+    """
+    config = config.select("project", "key", "value")
+    nested = config.filter(F.contains("value", F.lit("${")))
+    if nested.isEmpty():
+        return Expanded(config.withColumns({"_nested": F.lit(False), "_cyclic": F.lit(False)}))
+    cut = _cut(nested, "value").select("project", F.col("key").alias("_id"), "parts")
+    name = lambda p, k: F.concat(F.col(p), F.lit("\u0000"), F.col(k))
+    links = cut.select(name("project", "_id").alias("sub"), F.explode("parts").alias("p"), "project").filter("p.key is not null")
+    links = links.select("sub", F.concat("project", F.lit("\u0000"), F.col("p.key")).alias("super")).distinct()
+    links = materialize(links.join(links.select(F.col("sub").alias("super")).distinct(), "super", "left_semi").select("sub", "super"), "links")
+    back = links.select(F.col("sub").alias("ancestor"), F.col("super").alias("sub"))
+    around = closure(links).join(back, ["sub", "ancestor"], "left_semi").select("sub").unionByName(links.filter("sub = super").select("sub"))
+    around = around.distinct().select(F.substring_index("sub", "\u0000", 1).alias("project"), F.expr("substr(sub, instr(sub, '\u0000') + 1)").alias("key"), F.lit(True).alias("_ring"))
+    known = config.join(around, ["project", "key"], "left").withColumns({"_nested": F.contains("value", F.lit("${")), "_cyclic": F.coalesce("_ring", F.lit(False))}).drop("_ring")
+    known = materialize(known, "known")
+    parts = materialize(_settle(cut, known), "parts")
+    while not parts.filter(_is_open("key")).isEmpty():
+        nxt = materialize(_fill(parts, parts.select("project", F.col("_id").alias("key"), "parts")), "parts")
+        drop(parts)
+        parts = nxt
+    done = parts.select("project", F.col("_id").alias("key"), "parts")
+    rings = done.join(known.filter("_cyclic").select("project", "key"), ["project", "key"], "left_semi")
+    return Expanded(known, done, None if rings.isEmpty() else rings)
+
+
+def _around(opened: DataFrame, rings: DataFrame) -> DataFrame:
+    """One step along cycles: a key that is met again on its own way stays as it is written."""
+    further = F.transform("_parts", lambda p: F.when(p["ring"].isNull(), p).otherwise(_part(p["text"], None, p["ring"], None, F.array_append("seen", F.col("key")))))
+    again = F.array(_part("text"))
+    return opened.join(rings.withColumnRenamed("parts", "_parts"), ["project", "key"]).withColumn("found", F.when(F.array_contains("seen", F.col("key")), again).otherwise(further))
+
+
+def resolve(rows: DataFrame, config: DataFrame | Expanded, column: str, out: str) -> DataFrame:
+    """``rows`` (project, ``column``, ...) with ``out``: the value with placeholders replaced from the project's configuration, nested ones too.
+
+    Only distinct values that hold a placeholder take part. Cycles, and unknown keys without default, stay as they are written, and so does
+    all of a project without configuration. A step along a cycle is a round; all else takes no more than two joins.
     """
-    held = rows.filter(F.contains(F.col(column), F.lit("${"))).select("project", F.col(column).alias("_value")).distinct()
-    asked = held.select("project", "_value", F.explode(_keys(F.col("_value"))).alias("key")).distinct()
-    known = config.select("project", "key", "value")
-    if not known.filter(F.contains("value", F.lit("${"))).isEmpty():
-        name = lambda p, k: F.concat(F.col(p), F.lit("\u0000"), F.col(k))
-        inner = known.select("project", "key", F.explode(_keys(F.col("value"))).alias("to"))
-        edges = inner.select(name("project", "key").alias("src"), name("project", "to").alias("dst"), F.lit(0).alias("conf"))
-        roots = asked.select(name("project", "key").alias("root"), name("project", "key").alias("node")).distinct()
-        met = reach(edges, roots, None).select(F.col("root"), F.substring_index("node", "\u0000", -1).alias("_met"))
-        asked = asked.withColumn("root", name("project", "key")).join(met, "root").select("project", "_value", F.col("_met").alias("key")).distinct()
-    maps = asked.join(known, ["project", "key"]).groupBy("project", "_value").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("_map"))
-    plain = config.select("project").distinct()
-
-    @F.pandas_udf(T.StringType())
-    def replaced(values: pd.Series, configs: pd.Series) -> pd.Series:
-        some = {"\u0000": ""}  # the project has a configuration, whatever of it the value leads to
-        return pd.Series([expand(v, some | dict(c) if c is not None else some) for v, c in zip(values, configs, strict=True)])
-
-    done = held.join(plain, "project", "left_semi").join(maps, ["project", "_value"], "left").select("project", "_value", replaced("_value", "_map").alias("_done"))
-    joined = rows.join(done, (rows["project"] == done["project"]) & (rows[column] == done["_value"]), "left").drop(done["project"])
-    return joined.withColumn(out, F.coalesce("_done", column)).drop("_value", "_done")
+    if not isinstance(config, Expanded):
+        config = expanded(config)
+    held = rows.filter(F.contains(F.col(column), F.lit("${"))).select("project", F.col(column).alias("_id")).distinct()
+    held = held.join(config.known.select("project").distinct(), "project", "left_semi")
+    done = _settle(_cut(held, "_id").select("project", "_id", "parts"), config.known)
+    if config.parts is not None:
+        done = _fill(done, config.parts)
+    if config.rings is not None:
+        done = materialize(done, "values")
+        while not done.filter(_is_open("ring")).isEmpty():
+            nxt = materialize(_put(done, "ring", lambda opened: _around(opened, config.rings)), "values")
+            drop(done)
+            done = nxt
+    done = done.select(F.col("project").alias("_project"), "_id", F.array_join(F.transform("parts", lambda p: p["text"]), "").alias("_done"))
+    joined = rows.join(done, (rows["project"] == F.col("_project")) & (rows[column] == F.col("_id")), "left")
+    return joined.withColumn(out, F.coalesce("_done", column)).drop("_project", "_id", "_done")

@@ -1,4 +1,8 @@
+import re
+
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from ripplegraph.functions import text
 from ripplegraph.model import Options, parse_mappings
@@ -37,11 +41,53 @@ def test_tables_of_finished_work_go(spark, tmp_path):
     assert (tmp_path / "a" / "b.txt").read_text() == "é"
 
 
-def test_placeholders():
-    c = {"a": "${b}", "b": "x${c:1}", "loop": "${loop2}", "loop2": "${loop}"}
-    assert config.expand("${a}/${none}/${none:d}", c) == "x1/${none}/d"
-    assert config.expand("${loop}", c) == "${loop}"
-    assert config.expand("${none:d}", {}) == "${none:d}"  # without any configuration nothing is touched
+def expand(value, configs, visiting=frozenset()):
+    """Placeholders one by one, by recursion."""
+
+    def one(m):
+        key = m[1].strip()
+        if key in visiting:
+            return m[0]
+        return expand(configs[key], configs, visiting | {key}) if key in configs else m[2] or m[0]
+
+    return re.sub(config.PLACEHOLDER, one, value) if configs else value
+
+
+def resolved(spark, configs, values):
+    """Values of project p as resolve() gives them, with clashing names beside them."""
+    known = spark.createDataFrame([("p", k, v) for k, v in configs.items()] + [("q", "only", "q")], "project string, key string, value string")
+    rows = spark.createDataFrame([("p", i, v) for i, v in enumerate(values)], "project string, key int, raw string")
+    found = config.resolve(rows, known, "raw", "value").collect()
+    assert len(found) == len(values)
+    return [r["value"] for r in sorted(found, key=lambda r: r["key"])]
+
+
+def test_placeholders(spark):
+    c = {"a": "${b}", "b": "x${c:1}", "loop": "${loop2}", "loop2": "<${loop}${b}>", "self": "s${self}${a}", "in": "${loop}/${self:d}/${ loop2\t}", "e": ""}
+    values = ["${a}/${none}/${none:d}", "${loop}", "${loop2}${loop}", "${self}", "${in}-${in}", "no", "", None, "${", "${}", "${:x}", "a${e}b${e:z}", "${none:}", "${a}" * 50, "$1\\${b}"]
+    assert resolved(spark, c, values) == [v if v is None else expand(v, c) for v in values]
+    other = spark.createDataFrame([("none", "${a:d}"), (None, "${a}")], "project string, raw string")
+    known = spark.createDataFrame([("p", "a", "1")], "project string, key string, value string")
+    assert {r["out"] for r in config.resolve(other, known, "raw", "out").collect()} == {"${a:d}", "${a}"}  # without any configuration nothing is touched
+
+
+def test_nesting_of_fifty_takes_a_few_rounds(spark):
+    c = {f"k{i}": f"{i % 10}${{k{i + 1}:end}}" for i in range(50)}
+    rounds = []
+    real = config._fill
+    config._fill = lambda *x: rounds.append(1) or real(*x)
+    try:
+        assert resolved(spark, c, ["${k0}", "${k49}"]) == [expand("${k0}", c), "9end"]
+    finally:
+        config._fill = real
+    assert len(rounds) <= 8
+
+
+@settings(max_examples=4, deadline=None)
+@given(st.dictionaries(st.sampled_from("abcde"), st.text("ab${}:", max_size=12) | st.sampled_from(["${a}${b}", "${c:x}", "-${d}${e}", "${b}"]), max_size=5))
+def test_placeholders_of_any_form(spark, c):
+    values = ["${a}|${b}|${c}", "${d:${a}}${e}", *c.values()]
+    assert resolved(spark, c, values) == [expand(v, c) for v in values]
 
 
 def test_config_from_files(spark, tmp_path):
