@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-import io
-import re
-import zipfile
-
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ripplegraph.catalog import flag_rank, node, page_paths, query
 from ripplegraph.catalog_cases import Cases, cat, fact, note
-from ripplegraph.model import Options, changed, effective, parse_mappings, split_list
+from ripplegraph.functions import text
+from ripplegraph.model import FACTS, Options
 from ripplegraph.operators import extractors, reports, resources
 from ripplegraph.plans import engine
 from ripplegraph.plans.engine import Engine, Result, facts_of
-from ripplegraph.sources import batch, config
-from ripplegraph.storage import read
+from ripplegraph.sources import batch, config, settings
+from ripplegraph.storage import materialize, read
 
 KINDS = ("MYSQL", "REDIS", "KAFKA", "RABBITMQ", "ROCKETMQ", "EXTERNAL_HTTP")
 
@@ -163,8 +161,8 @@ UNION ALL SELECT 20, 0, '' UNION ALL SELECT 21, 0, '## 跳过与失败明细' UN
 SELECT row_number() OVER (ORDER BY part, k) - 1 AS at, line FROM x""".replace("\\\\", "\\"))
 def q_batch_markdown(spark, d):
     """SK-6, P-30, S-37: the Markdown report of a batch, line by line."""
-    lines = reports.batch_markdown(region_batch(spark, d), region_result(spark, d)).rstrip("\n").split("\n")
-    return spark.createDataFrame(list(enumerate(lines)), "at long, line string")
+    lines = reports.batch_lines(region_batch(spark, d), region_result(spark, d))
+    return lines.select((F.row_number().over(Window.orderBy("part", "idx")) - 1).cast("long").alias("at"), "line")
 
 
 @query("""WITH w AS (SELECT n_regionkey AS k, COALESCE(string_agg(lower(n_name), chr(10) ORDER BY n_nationkey) FILTER (n_nationkey % 2 = 0), '无') AS w, COALESCE(string_agg(lower(n_name), chr(10) ORDER BY n_nationkey) FILTER (n_nationkey % 2 = 1), '无') AS r, COUNT(*) AS n FROM nation GROUP BY 1),
@@ -176,11 +174,12 @@ h AS (SELECT 2 AS sheet, 1 AS row, ['序号', '输入URL', '状态', '原因', '
 a AS (SELECT sheet, row, v FROM i UNION ALL SELECT sheet, row, v FROM s UNION ALL SELECT * FROM o UNION ALL SELECT * FROM h)
 SELECT CAST(sheet AS INT) AS sheet, chr(CAST(64 + c AS INT)) || row AS cell, v[c] AS value FROM (SELECT sheet, row, v, unnest(range(1, len(v) + 1)) AS c FROM a)""")
 def q_batch_workbook(spark, d):
-    """SK-7, S-40, S-41: the cells of the batch's workbook, read back from its files."""
-    book = zipfile.ZipFile(io.BytesIO(reports.batch_workbook(region_batch(spark, d), region_result(spark, d))))
-    plain = lambda v: v.replace("&lt;", "<").replace("&gt;", ">").replace("&quot;", '"').replace("&apos;", "'").replace("&amp;", "&")
-    cells = [(i, ref, plain(v)) for i in (1, 2, 3) for ref, v in re.findall(r'<c r="([A-Z]+\d+)"[^>]*><is><t[^>]*>(.*?)</t>', book.read(f"xl/worksheets/sheet{i}.xml").decode(), re.S)]
-    return spark.createDataFrame(cells, "sheet int, cell string, value string")
+    """SK-7, S-41: the cells of the batch's workbook."""
+    rows = reports.sheet_rows(region_batch(spark, d), region_result(spark, d))
+    rows = rows.withColumn("row", F.row_number().over(Window.partitionBy("sheet").orderBy("at")))
+    cells = rows.select("sheet", "row", F.posexplode("cells").alias("at", "value"))
+    letter = F.element_at(F.array(*[F.lit(text.column_letters(i)) for i in range(len(reports.SUMMARY))]), F.col("at") + 1)
+    return cells.select("sheet", F.concat(letter, F.col("row").cast("string")).alias("cell"), "value")
 
 
 @query("""SELECT * FROM (VALUES (0, '"入口类型","入口","资源类型","资源名称","操作","置信度","调用路径与证据"'), (1, '"序号","输入URL","状态","跳过/失败原因","HTTP方法","入口","分析方法","方法数","资源数","资源类型","资源名称","操作","置信度","证据"'), (2, '/x/a.md'), (3, 'a.CSV')) t(place, value)""")
@@ -194,34 +193,47 @@ def q_headers(spark, d):
 # ---- options, inputs, configuration ------------------------------------------------------------------
 
 
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 1 THEN 7 ELSE CAST(least(greatest(c_custkey % 130, 1), 100) AS INT) END AS depth, CASE WHEN c_custkey % 3 = 1 THEN 's,t' ELSE 'x' || c_nationkey || '#,z' END AS patterns,
+CASE WHEN c_custkey % 3 = 1 THEN 'a>far' ELSE 'a>n' || c_nationkey END AS mapped, 3 AS cross_depth FROM customer""")
+def q_settings_table(spark, d):
+    """SC-13, S-44, S-45: each project's own settings, or those of all projects where it says so; broken and missing ones as by default."""
+    k = F.col("c_custkey")
+    mine = {"use_shared": F.when(k % 3 == 1, "True").otherwise("false"), "max_depth": F.concat(F.lit(" "), (k % 130).cast("string")), "query_patterns": cat("x", "$c_nationkey", "#\r\n\n z "), "service_mappings": cat("a = b\n#c=d\na=n", "$c_nationkey", "\n=x\ny="), "max_cross_depth": F.lit("none")}
+    rows = read(spark, d, "customer").select(k.cast("string").alias("project"), F.explode(F.create_map(*[x for n, v in mine.items() for x in (F.lit(n), v)])).alias("name", "value"))
+    shared = spark.createDataFrame([("*", "max_depth", "7"), ("*", "query_patterns", "s\nt"), ("*", "service_mappings", "a=far")], "project string, name string, value string")
+    entry = F.transform(F.map_entries("service_mappings"), lambda e: F.concat(e["key"], F.lit(">"), e["value"]))
+    return settings.options(rows.unionByName(shared)).select(F.col("project").cast("long").alias("c_custkey"), F.col("max_depth").alias("depth"), F.array_join("query_patterns", ",").alias("patterns"), F.array_join(entry, ",").alias("mapped"), F.col("max_cross_depth").alias("cross_depth"))
+
+
 @query("""SELECT s_suppkey, CAST(least(greatest(s_suppkey - 20, 1), 100) AS INT) AS depth, CAST(least(greatest(s_suppkey - 50, 1), 10) AS INT) AS cross_depth, CAST(least(greatest(s_suppkey * 2000 - 5000, 0), 86400) AS INT) AS timeout,
 'java.,p' || s_nationkey || '.,' AS prefixes, s_suppkey % 2 = 0 AS merge FROM supplier""")
 def q_option_clamp(spark, d):
     """S-44, SC-13, A-22: options within their ranges, from a project's settings or those of all projects."""
-    made = []
-    for r in read(spark, d, "supplier").toLocalIterator():
-        k = r["s_suppkey"]
-        mine = {"max_depth": k - 20, "max_cross_depth": str(k - 50), "row_timeout_seconds": k * 2000 - 5000, "excluded_prefixes": f" java. ,\np{r['s_nationkey']}.\r\n", "merge_resources": k % 2 == 0}
-        o = Options.of(effective({"use_shared": True}, mine) if k % 3 else effective(mine, {}))
-        made.append((k, o.max_depth, o.max_cross_depth, o.row_timeout_seconds, ",".join([*o.excluded_prefixes, ""]), o.merge_resources))
-    return spark.createDataFrame(made, "s_suppkey long, depth int, cross_depth int, timeout int, prefixes string, merge boolean")
+    k, i = F.col("s_suppkey"), lambda c: c.cast("string")
+    mine = {"use_shared": F.lit("false"), "max_depth": i(k - 20), "max_cross_depth": i(k - 50), "row_timeout_seconds": i(k * 2000 - 5000), "excluded_prefixes": cat(" java. ,\np", "$s_nationkey", ".\r\n"), "merge_resources": i(k % 2 == 0)}
+    rows = read(spark, d, "supplier").select(i(k).alias("project"), F.explode(F.create_map(*[x for n, v in mine.items() for x in (F.lit(n), v)])).alias("name", "value"))
+    found = settings.options(rows)
+    return found.select(F.col("project").cast("long").alias("s_suppkey"), F.col("max_depth").alias("depth"), F.col("max_cross_depth").alias("cross_depth"), F.col("row_timeout_seconds").alias("timeout"), F.concat(F.array_join("excluded_prefixes", ","), F.lit(",")).alias("prefixes"), F.col("merge_resources").alias("merge"))
 
 
 @query("""SELECT n_nationkey, 'p' || n_regionkey AS target, n_nationkey % 2 = 1 AS changed FROM nation WHERE n_nationkey % 5 <> 0""")
 def q_map_parse(spark, d):
     """S-45, A-22: mapping lines, comments left out; lists that differ only in order of blanks and repeats are the same."""
-    rows = read(spark, d, "nation").orderBy("n_nationkey").collect()
-    text = "\r\n".join(f"{'# ' if r['n_nationkey'] % 5 == 0 else ' '}svc{r['n_nationkey']} = p{r['n_regionkey']} " for r in rows) + "\nno sign\n= x\ny ="
-    known = parse_mappings(text)
-    same = lambda k: bool(changed({"a": f"x{k}, y\n"}, {"a": f"x{k}\r\ny,{'x' if k % 2 == 0 else 'z'}{k}"}))
-    return spark.createDataFrame([(int(k[3:]), v, same(int(k[3:]))) for k, v in known.items()], "n_nationkey int, target string, changed boolean")
+    n, k = read(spark, d, "nation"), F.col("n_nationkey")
+    line = F.concat(F.when(k % 5 == 0, "# ").otherwise(" "), cat("svc", "$n_nationkey", " = p", "$n_regionkey", " "))
+    texts = n.groupBy("n_regionkey").agg(F.concat(F.array_join(F.array_sort(F.collect_list(line)), "\r\n"), F.lit("\nno sign\n= x\ny =")).alias("raw"))
+    found = texts.select(F.explode(settings.mappings(F.col("raw"))).alias("name", "target")).withColumn("n_nationkey", F.col("name").substr(4, 9).cast("int"))
+    one = lambda *parts: F.create_map(F.lit("a"), cat(*parts))
+    i = F.col("n_nationkey")
+    other = F.when(i % 2 == 0, one("x", "$n_nationkey", "\r\ny,x", "$n_nationkey")).otherwise(one("x", "$n_nationkey", "\r\ny,z", "$n_nationkey"))
+    return found.select("n_nationkey", "target", (F.size(settings.changed(one("x", "$n_nationkey", ", y\n"), other)) > 0).alias("changed"))
 
 
 @query("SELECT n_nationkey, n_regionkey || '|' || n_name || '|z' AS items, 3 AS n FROM nation")
 def q_list_option(spark, d):
     """S-44, A-22: lists of options by comma or line."""
-    made = [(r["n_nationkey"], split_list(f"{r['n_regionkey']} ,\r\n {r['n_name']}\n\n, z,z", distinct=True)) for r in read(spark, d, "nation").collect()]
-    return spark.createDataFrame([(k, "|".join(v), len(v)) for k, v in made], "n_nationkey int, items string, n int")
+    found = settings.items(cat("$n_regionkey", " ,\r\n ", "$n_name", "\n\n, z,z"), distinct=True)
+    return read(spark, d, "nation").select("n_nationkey", F.array_join(found, "|").alias("items"), F.size(found).alias("n"))
 
 
 PATH = r"regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*', ''), '[?#].*$', '')"
@@ -230,15 +242,8 @@ PATH = r"regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*', ''), '[?#].*$', '
 @query(rf"""WITH v AS (SELECT page_id AS line_no, trim({PATH}) AS value FROM pages WHERE {PATH} <> '') SELECT line_no, value, row_number() OVER (PARTITION BY value ORDER BY line_no) > 1 AND starts_with(value, '/') AND value <> '/' AND NOT regexp_matches(value, '\s') AND NOT contains(value, '://') AS duplicate FROM v""")
 def q_dedup_inputs(spark, d):
     """A-19, O-5: inputs line by line, the first of a value kept, the others told as duplicates."""
-    text = "\n".join(r["path"] for r in page_paths(spark, d).orderBy("page_id").collect())
-    ids = page_paths(spark, d).select((F.row_number().over(_by_id())).cast("int").alias("line_no"), "page_id")
-    return batch.validate(batch.lines(spark, text)).join(ids, "line_no").select(F.col("page_id").alias("line_no"), "value", "duplicate")
-
-
-def _by_id():
-    from pyspark.sql.window import Window
-
-    return Window.orderBy("page_id")
+    texts = page_paths(spark, d).select("page_id", F.concat("path", F.lit("\r\n \t\n")).alias("raw"))
+    return batch.validate(batch.split_lines(texts), ("page_id", "line_no")).select(F.col("page_id").alias("line_no"), "value", "duplicate")
 
 
 @query("""WITH c AS (SELECT n_regionkey AS k, arg_max(n_name, n_nationkey) AS v FROM nation GROUP BY 1), u AS (SELECT o_orderkey, o_custkey % 8 AS k, o_custkey % 2 = 0 AS has_default FROM orders)
@@ -386,15 +391,18 @@ def q_call_tree(spark, d):
     return reports.tree(Result(entries, blank, edges, blank, blank), "root").select("path", "depth")
 
 
-@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'a.b.Real' || p_size WHEN 3 THEN 'Plain' END AS entity FROM part""")
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'a.b.Real' || p_size WHEN 1 THEN CASE WHEN p_size % 3 = 2 THEN 'ENTITY' END WHEN 3 THEN 'Plain' END AS entity FROM part""")
 def q_concrete(spark, d):
-    """P-26: classes that can be entities; Object, wildcards and type variables, whatever their letter, can't."""
+    """P-26: classes that can be entities; Object, wildcards and type variables in scope, whatever their letter, can't, names like another class's variable can."""
     from ripplegraph.operators.symbols import concrete
 
     p, k = read(spark, d, "part"), F.col("p_partkey") % 4
     named = F.when(k == 0, cat("a.b.Real", "$p_size")).when(k == 1, "ENTITY").when(k == 2, F.element_at(F.array(F.lit("?"), F.lit("Object")), (F.col("p_size") % 2 + 1).cast("int"))).otherwise("Plain")
-    classes = spark.createDataFrame([("p", "a.Base", "Base", "class", False, False, ["ID", "ENTITY", "Plain"], True), ("p", "Plain", "Plain", "class", False, False, [], True)], "project string, class_fqn string, short_name string, kind string, is_abstract boolean, is_final boolean, type_params array<string>, is_project_source boolean")
-    return concrete(facts_of(spark, {"src_class": classes}), p.select("p_partkey", named.alias("entity")), "entity")
+    owner = F.element_at(F.array(F.lit("a.Base"), F.lit("a.Base$Inner"), F.lit("a.Other")), (F.col("p_size") % 3 + 1).cast("int"))
+    none = []
+    classes = [("p", "a.Base", "Base", "class", False, False, ["ID", "ENTITY"], True), ("p", "a.Base$Inner", "Inner", "class", False, False, none, True), ("p", "a.Other", "Other", "class", False, False, ["T"], True), ("p", "a.Third", "Third", "class", False, False, ["Plain"], True)]
+    facts = facts_of(spark, {"src_class": spark.createDataFrame(classes, FACTS["src_class"])})
+    return concrete(facts, p.select("p_partkey", named.alias("entity"), owner.alias("at")), ["entity"], "at").select("p_partkey", "entity")
 
 
 @query("SELECT extractor, n FROM (SELECT 'gated' AS extractor, COUNT(*) AS n FROM supplier WHERE s_suppkey % 3 = 0), (SELECT 1) UNION ALL SELECT 'broken 解析失败：', 1")
@@ -451,11 +459,12 @@ UNION ALL SELECT 'error', '还有 ' || COUNT(*) - 20 || ' 条错误未显示。'
 UNION ALL SELECT 'note', '已自动去重 ' || COUNT(*) || ' 行重复接口，将仅扫描 ' || (SELECT COUNT(*) FROM g WHERE nth = 1) || ' 个唯一接口。' FROM d HAVING COUNT(*) > 0 UNION ALL SELECT 'note', '- 第 ' || line_no || ' 行重复：`' || value || '`' FROM d""")
 def q_batch_messages(spark, d):
     """SC-9, S-48, O-5, O-6, P-28: inputs that run, messages about the others, and the note on duplicates."""
-    n = read(spark, d, "nation").orderBy("n_nationkey").collect()
-    value = lambda r: [r["n_name"], "/a b", f" /x/{r['n_regionkey']}\t", f"/y?z={r['n_regionkey']}", "/"][r["n_nationkey"] % 5]
-    good, errors, told = batch.accepted(batch.validate(batch.lines(spark, "\r\n".join(value(r) for r in n))))
-    rows = [("good", v) for v in good] + [("error", v) for v in errors] + [("note", v) for v in told.split("\n") if v]
-    return spark.createDataFrame(rows, "kind string, said string")
+    k = F.col("n_nationkey")
+    value = F.when(k % 5 == 0, F.col("n_name")).when(k % 5 == 1, "/a b").when(k % 5 == 2, cat(" /x/", "$n_regionkey", "\t")).when(k % 5 == 3, cat("/y?z=", "$n_regionkey")).otherwise("/")
+    lines = F.transform(F.array_sort(F.collect_list(F.struct(k, value.alias("v")))), lambda x: x["v"])
+    checked = materialize(batch.validate(batch.split_lines(read(spark, d, "nation").agg(F.array_join(lines, "\r\n").alias("raw")))), "checked")
+    good = checked.filter("error is null and not duplicate").select(F.lit("good").alias("kind"), F.col("value").alias("said"))
+    return good.unionByName(batch.messages(checked).select("kind", "said"))
 
 
 @query("""SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 AND lower(p_name) LIKE '%a%' THEN 'READ' ELSE 'CALL' END AS operation, NOT (p_partkey % 4 = 0 AND (p_size % 10 = 3 OR lower(p_name) LIKE '%a%')) AS stays FROM part""")

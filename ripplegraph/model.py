@@ -12,6 +12,7 @@ EXTERNAL_OPERATIONS = {"READ": "查询", "CALL": "非查询"}
 ROW_STATUS = {"SUCCESS": "成功", "SKIPPED": "跳过", "FAILED": "失败"}
 EXCLUDED_PREFIXES = ("java.", "javax.", "jakarta.", "kotlin.", "org.springframework.")
 QUEUE_TYPES = ("KAFKA", "RABBITMQ", "ROCKETMQ")
+RANGES = {"max_depth": (1, 100), "max_cross_depth": (1, 10), "row_timeout_seconds": (0, 86_400)}
 
 FACTS = {
     "project": "name STRING, base_path STRING, is_open BOOLEAN, is_indexing BOOLEAN",
@@ -68,7 +69,7 @@ class Options:
             elif str(f.type).startswith("tuple") and isinstance(value, str):
                 value = split_list(value)
             out[f.name] = value
-        for name, (low, high) in {"max_depth": (1, 100), "max_cross_depth": (1, 10), "row_timeout_seconds": (0, 86_400)}.items():
+        for name, (low, high) in RANGES.items():
             if name in out:
                 out[name] = min(max(int(out[name]), low), high)
         return Options(**out)

@@ -110,11 +110,12 @@ def entity_names(facts: Facts) -> DataFrame:
 
 def _marked(c: Contexts, start: Column, args: Column, markers: Column) -> DataFrame:
     """(ctx_id, entity): the entity type argument of the nearest marker type that a context's type is or extends."""
-    starts = c.rows.select("ctx_id", start.alias("class_fqn"), args.alias("args")).filter("class_fqn is not null")
-    keyed = starts.withColumn("start", F.concat_ws("|", "class_fqn", F.array_join(F.coalesce("args", F.array().cast("array<string>")), ",")))
+    starts = c.rows.select("ctx_id", start.alias("class_fqn"), args.alias("args"), "method_owner").filter("class_fqn is not null")
+    starts = concrete(c.facts, starts, ["args"], "method_owner")
+    keyed = starts.withColumn("start", F.concat_ws("|", "class_fqn", F.array_join(F.coalesce("args", F.array().cast("array<string>")), ",", "?")))
     up = ancestors(c.facts, keyed.select("start", "class_fqn", "args"))
-    found = up.withColumn("index", markers).filter("index is not null").select("start", "depth", F.try_element_at("args", (F.col("index") + 1).cast("int")).alias("entity"))
-    found = concrete(c.facts, found, "entity")
+    found = up.withColumn("index", markers).filter("index is not null").select("start", "class_fqn", "depth", F.try_element_at("args", (F.col("index") + 1).cast("int")).alias("entity"))
+    found = concrete(c.facts, found, ["entity"], "class_fqn")
     best = found.filter("entity is not null").groupBy("start").agg(F.min(F.struct("depth", "entity")).alias("b")).select("start", F.col("b.entity").alias("entity"))
     return keyed.join(best, "start").select("ctx_id", "entity")
 
@@ -151,10 +152,11 @@ def mybatis_plus(c: Contexts) -> DataFrame:
     args = c.facts["call_arg"].join(c.facts["expr"].select("expr_id", "kind", F.col("ref_symbol").alias("class_of")), "expr_id", "left")
     wrapper = F.coalesce(F.col("type_fqn").rlike("Wrapper"), F.lit(False))
     args = args.withColumns({"_wrapped": F.when(wrapper, F.try_element_at("type_args", F.lit(1))), "_plain": F.when(~wrapper, F.col("type_fqn"))})
-    args = concrete(c.facts, concrete(c.facts, args, "_wrapped"), "_plain")
+    args = args.withColumn("ctx_id", F.concat(F.lit("c|"), "call_id")).join(gate.select("ctx_id", "method_owner"), "ctx_id")
+    args = concrete(c.facts, args, ["_wrapped", "_plain"], "method_owner")
     literal = F.when(F.col("kind") == "class_literal", F.coalesce("class_of", F.try_element_at("type_args", F.lit(1))))
     given = F.coalesce(literal, "_wrapped")
-    by_arg = args.groupBy(F.concat(F.lit("c|"), "call_id").alias("ctx_id")).agg(
+    by_arg = args.groupBy("ctx_id").agg(
         F.min_by(given, F.when(given.isNotNull(), F.col("pos"))).alias("e0"),
         F.min_by("_plain", F.when(F.col("_plain").isNotNull(), F.col("pos"))).alias("e3"),
     )

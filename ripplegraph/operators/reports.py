@@ -1,9 +1,11 @@
-"""Reports: rows and lines as DataFrames; small documents (Markdown, spreadsheets) are put together on the driver."""
+"""Reports: rows, lines and cells as DataFrames; only a workbook is put together on the driver."""
 
 from __future__ import annotations
 
 import io
 import zipfile
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -141,44 +143,73 @@ def batch_csv(batch: DataFrame, result: Result) -> DataFrame:
     return rows.select("idx", "ord", _csv(cells).alias("line"))
 
 
-def _sections(batch: DataFrame, result: Result, markdown: bool) -> tuple[list[list[str]], list[list[str]], list]:
-    """Interface rows, summary rows and abnormal rows of a batch, whose number ``Engine.batch`` bounds."""
-    rows = batch_rows(batch, result).orderBy("idx").collect()
-    shown = result.warnings.filter(~F.col("message").rlike(CONSTRUCTOR_WARNING)).groupBy("root_id").agg(F.array_join(F.array_sort(F.collect_set("message")), ", ").alias("w"))
-    cells = {r["root_id"]: r for r in summaries(result, markdown).collect()}
-    warned = {r["root_id"]: r["w"] for r in shown.collect()}
-    md = (lambda v: (v or "").replace("|", "\\|").replace("\n", "<br>")) if markdown else (lambda v: v or "")
-    tick = (lambda v: f"`{md(v)}`") if markdown else md
-    interface = [[str(r["idx"]), tick(r["input"]), r["status_label"], *[md(r[c]) or NONE for c in ("reason", "http_method", "display", "analyzed")], str(r["methods"]), str(r["resources"])] for r in rows]
-    summary = []
-    for r in rows:
-        if r["status"] == "SUCCESS":
-            c = cells.get(r["input"])
-            kinds = [(c[k] if c else NONE) for k in ("mysql", "redis", "kafka", "rabbitmq", "rocketmq", "external_http")]
-            summary.append([str(r["idx"]), tick(r["input"]), *kinds, md(warned.get(r["input"])) or NONE])
-    return interface, summary, rows
+def interfaces(batch: DataFrame, result: Result, markdown: bool) -> DataFrame:
+    """(idx, status, reason, input, status_label, cells) of each row of a batch."""
+    plain, ticked = _shown(markdown)
+    cells = [F.col("idx").cast("string"), ticked("input"), F.col("status_label"), *[F.coalesce(text.blank_to_null(plain(c)), F.lit(NONE)) for c in ("reason", "http_method", "display", "analyzed")], F.col("methods").cast("string"), F.col("resources").cast("string")]
+    return batch_rows(batch, result).select("idx", "status", "reason", "input", "status_label", F.array(*cells).alias("cells"))
+
+
+def resource_summaries(batch: DataFrame, result: Result, markdown: bool) -> DataFrame:
+    """(idx, cells) of each row that succeeded: its resources by type, and its warnings but those of constructors."""
+    plain, ticked = _shown(markdown)
+    shown = result.warnings.filter(~F.col("message").rlike(CONSTRUCTOR_WARNING)).groupBy("root_id").agg(F.array_join(F.array_sort(F.collect_set("message")), ", ").alias("warned"))
+    rows = batch.filter("status = 'SUCCESS'").withColumn("root_id", F.col("input")).join(summaries(result, markdown), "root_id", "left").join(shown, "root_id", "left")
+    kinds = [F.coalesce(k, F.lit(NONE)) for k in ("mysql", "redis", "kafka", "rabbitmq", "rocketmq", "external_http")]
+    return rows.select("idx", F.array(F.col("idx").cast("string"), ticked("input"), *kinds, F.coalesce(text.blank_to_null(plain("warned")), F.lit(NONE))).alias("cells"))
+
+
+def _shown(markdown: bool) -> tuple[Callable[[str], Column], Callable[[str], Column]]:
+    """How a value, and one between ticks, is shown in Markdown or in a sheet."""
+    plain = lambda c: text.markdown(F.coalesce(c, F.lit(""))) if markdown else F.coalesce(c, F.lit(""))
+    return plain, lambda c: F.concat(F.lit("`"), plain(c), F.lit("`")) if markdown else plain(c)
+
+
+def _statuses(batch: DataFrame) -> DataFrame:
+    return batch.agg(F.count("*").alias("all"), *[F.count_if(F.col("status") == s).alias(s) for s in ROW_STATUS])
+
+
+def batch_lines(batch: DataFrame, result: Result, title: str = "批量统计", canceled: bool = False) -> DataFrame:
+    """(part, idx, line) of the Markdown report of a batch, in the order of part and idx."""
+    spark = batch.sparkSession
+    fixed = lambda part, *rows: spark.createDataFrame([(part, i, x) for i, x in enumerate(rows)], "part int, idx int, line string")
+    head = lambda names: ("| " + " | ".join(names) + " |", "|" + "---|" * len(names))
+    table = lambda part, rows: rows.select(F.lit(part).alias("part"), "idx", F.concat(F.lit("| "), F.array_join("cells", " | "), F.lit(" |")).alias("line"))
+    n = _statuses(batch)
+    told = [F.concat(F.lit(f"- {label}："), F.col(c).cast("string")) for label, c in (("总输入数", "all"), ("成功", "SUCCESS"), ("跳过", "SKIPPED"), ("失败", "FAILED"))]
+    counted = n.select(F.lit(1).alias("part"), F.posexplode(F.array(*told)).alias("idx", "line"))
+    rows = interfaces(batch, result, True)
+    odd = rows.filter("status <> 'SUCCESS'")
+    details = odd.select(F.lit(8).alias("part"), "idx", F.concat(F.lit("- "), F.col("idx").cast("string"), F.lit(". `"), "input", F.lit("`："), "status_label", F.lit("，"), F.coalesce("reason", F.lit(""))).alias("line"))
+    some = n.select(F.lit(5).alias("part"), F.posexplode(F.when(F.col("SUCCESS") > 0, F.array(*[F.lit(x) for x in head(SUMMARY)])).otherwise(F.array(F.lit("无成功接口。")))).alias("idx", "line"))
+    wrong = n.filter(F.col("SUCCESS") < F.col("all")).select(F.lit(7).alias("part"), F.posexplode(F.array(F.lit(""), F.lit("## 跳过与失败明细"), F.lit(""))).alias("idx", "line"))
+    state = ("- 执行状态：用户取消，已导出完成部分",) if canceled else ()
+    parts = [fixed(0, f"# {title}", "", "## 总览", ""), counted, fixed(2, *state, "", "## 接口结果", "", *head(INTERFACES)), table(3, rows), fixed(4, "", "## 资源汇总", ""), some, table(6, resource_summaries(batch, result, True)), wrong, details]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def batch_markdown(batch: DataFrame, result: Result, title: str = "批量统计", canceled: bool = False) -> str:
-    interface, summary, rows = _sections(batch, result, True)
-    count = lambda s: sum(r["status"] == s for r in rows)
-    table = lambda head, body: ["| " + " | ".join(head) + " |", "|" + "---|" * len(head), *["| " + " | ".join(r) + " |" for r in body]]
-    out = [f"# {title}", "", "## 总览", "", f"- 总输入数：{len(rows)}", f"- 成功：{count('SUCCESS')}", f"- 跳过：{count('SKIPPED')}", f"- 失败：{count('FAILED')}"]
-    out += ["- 执行状态：用户取消，已导出完成部分"] * canceled
-    out += ["", "## 接口结果", "", *table(INTERFACES, interface), "", "## 资源汇总", "", *(table(SUMMARY, summary) if summary else ["无成功接口。"])]
-    odd = [r for r in rows if r["status"] != "SUCCESS"]
-    if odd:
-        out += ["", "## 跳过与失败明细", ""]
-        out += [f"- {r['idx']}. `{r['input']}`：{r['status_label']}，{r['reason'] or ''}" for r in odd]
-    return "\n".join(out) + "\n"
+    """The Markdown report of a batch, whose number of rows ``Engine.batch`` bounds."""
+    return "\n".join(r["line"] for r in batch_lines(batch, result, title, canceled).orderBy("part", "idx").collect()) + "\n"
+
+
+def sheet_rows(batch: DataFrame, result: Result, canceled: bool = False) -> DataFrame:
+    """(sheet, at, cells) of a batch's workbook, sheets from 1; heads come first, then the rows in the order of ``at``."""
+    pair = lambda label, v: F.array(F.lit(label), v)
+    counted = [pair(label, F.col(c).cast("string")) for label, c in (("总输入数", "all"), ("成功", "SUCCESS"), ("跳过", "SKIPPED"), ("失败", "FAILED"))]
+    state = pair("执行状态", F.lit("用户取消，已导出完成部分" if canceled else "扫描完成"))
+    first = _statuses(batch).select(F.lit(1).alias("sheet"), F.posexplode(F.array(pair("指标", F.lit("值")), *counted, state)).alias("at", "cells"))
+    heads = batch.sparkSession.createDataFrame([(2, -1, INTERFACES), (3, -1, SUMMARY)], "sheet int, at int, cells array<string>")
+    body = lambda sheet, rows: rows.select(F.lit(sheet).alias("sheet"), F.col("idx").alias("at"), "cells")
+    return reduce(DataFrame.unionByName, [first, heads, body(2, interfaces(batch, result, False)), body(3, resource_summaries(batch, result, False))])
 
 
 def batch_workbook(batch: DataFrame, result: Result, canceled: bool = False) -> bytes:
     """Three sheets: overview, interfaces, resources."""
-    interface, summary, rows = _sections(batch, result, False)
-    count = lambda s: str(sum(r["status"] == s for r in rows))
-    first = [["指标", "值"], ["总输入数", str(len(rows))], ["成功", count("SUCCESS")], ["跳过", count("SKIPPED")], ["失败", count("FAILED")], ["执行状态", "用户取消，已导出完成部分" if canceled else "扫描完成"]]
-    return workbook(dict(zip(SHEETS, (first, [INTERFACES, *interface], [SUMMARY, *summary]), strict=True)))
+    sheets: dict[str, list[list[str]]] = {name: [] for name in SHEETS}
+    for r in sheet_rows(batch, result, canceled).orderBy("sheet", "at").collect():
+        sheets[SHEETS[r["sheet"] - 1]].append(r["cells"])
+    return workbook(sheets)
 
 
 def workbook(sheets: dict[str, list[list[str]]]) -> bytes:
@@ -238,8 +269,10 @@ def write_report(spark: SparkSession, path: str, batch: DataFrame, result: Resul
         made.append(sibling(path, kind))
         if kind == "csv":
             write_text(batch_csv(batch, result).orderBy("idx", "ord"), made[-1], header(BATCH) + "\n")
+        elif kind == "md":
+            write_text(batch_lines(batch, result, title, canceled).orderBy("part", "idx"), made[-1], "")
         else:
-            write_file(spark, made[-1], batch_markdown(batch, result, title, canceled) if kind == "md" else batch_workbook(batch, result, canceled))
+            write_file(spark, made[-1], batch_workbook(batch, result, canceled))
     return made
 
 

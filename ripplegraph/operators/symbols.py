@@ -126,13 +126,26 @@ def ancestors(facts: Facts, starts: DataFrame) -> DataFrame:
             levels = [materialize(out, "types"), level]
 
 
-def concrete(facts: Facts, rows: DataFrame, column: str) -> DataFrame:
-    """``rows`` with ``column`` null where it is no class that can be an entity: Object, a wildcard, or a type variable."""
-    named = F.when(~F.col(column).isin("java.lang.Object", "Object", "?", ""), F.col(column))
-    params = facts["src_class"].select(F.explode("type_params").alias("_p")).distinct()
-    params = params.join(facts["src_class"].select(F.col("class_fqn").alias("_p")), "_p", "left_anti").withColumn("_variable", F.lit(True))
-    out = rows.join(params, rows[column] == F.col("_p"), "left")
-    return out.withColumn(column, F.when(F.col("_variable").isNull(), named)).drop("_p", "_variable")
+def variables(facts: Facts) -> DataFrame:
+    """(owner, variables) of each class with type parameters in scope: its own and those of the classes around it."""
+    classes = facts["src_class"].select("class_fqn", "type_params").dropDuplicates(["class_fqn"])
+    own = classes.filter(F.size("type_params") > 0).select(F.col("class_fqn").alias("around"), "type_params")
+    names = F.split("class_fqn", r"[.$]")
+    around = F.transform(F.sequence(F.lit(1), F.size(names)), lambda n: F.substring("class_fqn", F.lit(1), F.length(F.array_join(F.slice(names, F.lit(1), n), "."))))
+    scopes = classes.select(F.col("class_fqn").alias("owner"), F.explode(around).alias("around")).join(own, "around")
+    return scopes.groupBy("owner").agg(F.array_distinct(F.flatten(F.collect_list("type_params"))).alias("variables"))
+
+
+def concrete(facts: Facts, rows: DataFrame, columns: list[str], owner: str) -> DataFrame:
+    """``rows`` with each of ``columns`` (a class, or an array of classes) null where it is none that can be an entity: Object, a wildcard,
+    or a type variable that the class ``owner``, in whose code it stands, has in scope; a variable of other classes is a name like any other.
+    """
+    known = variables(facts).select(F.col("owner").alias("_owner"), F.col("variables").alias("_variables"))
+    out = rows.join(known, F.col(owner) == F.col("_owner"), "left")
+    variable = lambda c: F.coalesce(F.array_contains("_variables", c), F.lit(False))
+    one = lambda c: F.when(~c.isin("java.lang.Object", "Object", "?", "") & ~variable(c), c)
+    arrays = {f.name for f in rows.schema.fields if f.dataType.typeName() == "array"}
+    return out.withColumns({c: F.transform(c, one) if c in arrays else one(F.col(c)) for c in columns}).drop("_owner", "_variables")
 
 
 def qualifiers(facts: Facts) -> DataFrame:

@@ -3,6 +3,7 @@ import re
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from ripplegraph.functions import text
 from ripplegraph.model import Options, parse_mappings
@@ -172,6 +173,31 @@ def test_options():
     assert parse_mappings("") == {}
 
 
+def test_settings_of_many_projects(spark):
+    from ripplegraph.model import changed, effective
+    from ripplegraph.sources import settings
+
+    shared = {"max_depth": "7", "excluded_prefixes": "a., b.\nc.", "query_patterns": "x,y\nz", "service_mappings": "a=b\n# c=d\n e = f=g\na=h\n=i\nj=\nk"}
+    own = [{"use_shared": "true", "max_depth": "500"}, {"max_depth": "500", "row_timeout_seconds": "-3"}, {"use_shared": "no", "excluded_prefixes": "", "merge_resources": "true", "service_mappings": ""}, {"depth_first": "false", "max_depth": None, "query_patterns": "a,b"}]
+    rows = [(f"p{i}", k, v) for i, o in enumerate([shared, *own]) for k, v in o.items()]
+    rows = [("*" if p == "p0" else p, k, v) for p, k, v in rows] + [(None, "max_depth", "1"), ("p9", None, "1")]
+    got = {r["project"]: r for r in settings.options(spark.createDataFrame(rows, "project string, name string, value string")).collect()}
+    assert set(got) == {f"p{i}" for i in range(1, 5)}
+    for i, o in enumerate(own, 1):
+        given = {k: v for k, v in effective(o | {"use_shared": o.get("use_shared") == "true"}, shared).items() if v is not None and k != "use_shared"}
+        want = Options.of({k: v == "true" if k in ("merge_resources", "depth_first") else v for k, v in given.items()})
+        assert {f: (tuple(v) if isinstance(v, list) else v) for f, v in got[f"p{i}"].asDict().items() if f != "project"} == vars(want)
+    a, b = {"a": "x, y,x", "n": "1", "s": "v"}, {"a": "x\ny", "n": "2", "t": "w"}
+    row = spark.createDataFrame([(a, b)], "a map<string,string>, b map<string,string>")
+    assert set(row.select(settings.changed(F.col("a"), F.col("b"))).first()[0]) == changed(a, b) == {"n", "s", "t"}
+
+
+def test_lines_of_many_texts(spark):
+    texts = spark.createDataFrame([(1, " /a \r\n\n/b"), (2, "/a\r/a"), (3, ""), (4, None)], "line int, raw string")
+    got = batch.validate(batch.split_lines(texts), ("line", "line_no")).orderBy("line", "line_no").collect()
+    assert [(r["line"], r["line_no"], r["value"], r["duplicate"]) for r in got] == [(1, 1, "/a", False), (1, 3, "/b", False), (2, 1, "/a", True), (2, 2, "/a", True)]
+
+
 def test_batch_inputs(spark):
     raw = "\n".join([" /a ", "", "b", "/a", "/c d", "/e?x", "/"] + [f"/p{i}" for i in range(100)])
     good, errors, note = batch.accepted(batch.validate(batch.lines(spark, raw)))
