@@ -172,6 +172,10 @@ def expanded(config: DataFrame) -> Expanded:
     links = cut.select(name("project", "_id").alias("sub"), F.explode("parts").alias("p"), "project").filter("p.key is not null")
     links = links.select("sub", F.concat("project", F.lit("\u0000"), F.col("p.key")).alias("super")).distinct()
     links = materialize(links.join(links.select(F.col("sub").alias("super")).distinct(), "super", "left_semi").select("sub", "super"), "links")
+    if links.isEmpty():  # no value leads to another that holds a placeholder
+        drop(links)
+        known = config.withColumns({"_nested": F.contains("value", F.lit("${")), "_cyclic": F.lit(False)})
+        return Expanded(known, materialize(_settle(cut, known), "parts").withColumnRenamed("_id", "key"))
     back = links.select(F.col("sub").alias("ancestor"), F.col("super").alias("sub"))
     around = closure(links).join(back, ["sub", "ancestor"], "left_semi").select("sub").unionByName(links.filter("sub = super").select("sub"))
     around = around.distinct().select(F.substring_index("sub", "\u0000", 1).alias("project"), F.expr("substr(sub, instr(sub, '\u0000') + 1)").alias("key"), F.lit(True).alias("_ring"))
