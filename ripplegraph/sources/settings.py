@@ -43,14 +43,17 @@ def changed(a: Column, b: Column) -> Column:
 def effective(settings: DataFrame) -> DataFrame:
     """(project, settings map) of each project: its own, or those of ``EVERYWHERE`` where its ``use_shared`` is true.
 
-    Of a setting that is there more than once the greatest value holds.
+    Of a setting that is there more than once the greatest value holds. The one row of ``EVERYWHERE`` is broadcast, so the projects
+    that share it, however many, don't meet in one task.
     """
     one = settings.groupBy("project", "name").agg(F.max("value").alias("value")).filter("name is not null")
     maps = one.groupBy("project").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("settings"))
     shared = F.lower(F.try_element_at("settings", F.lit("use_shared"))) == "true"
-    asked = maps.filter(F.col("project") != EVERYWHERE).select(F.col("project").alias("_project"), F.when(shared, EVERYWHERE).otherwise(F.col("project")).alias("project"))
-    found = asked.join(maps, "project", "left")
-    return found.select(F.col("_project").alias("project"), F.coalesce("settings", F.create_map().cast("map<string,string>")).alias("settings"))
+    asked = maps.filter(F.col("project") != EVERYWHERE).withColumn("_from", F.when(shared, EVERYWHERE))
+    everywhere = maps.filter(F.col("project") == EVERYWHERE).select(F.col("project").alias("_from"), F.col("settings").alias("_shared"))
+    found = asked.join(F.broadcast(everywhere), "_from", "left")
+    none = F.create_map().cast("map<string,string>")
+    return found.select("project", F.when(F.col("_from").isNull(), F.col("settings")).otherwise(F.coalesce("_shared", none)).alias("settings"))
 
 
 def options(settings: DataFrame) -> DataFrame:
