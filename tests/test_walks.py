@@ -62,6 +62,37 @@ def test_closure_doubles_its_reach(spark, monkeypatch):
     assert {tuple(r) for r in plans.closure(ring, 1).collect()} == {("a", "b", 1), ("b", "c", 1), ("c", "a", 1), ("c", "d", 1)}
 
 
+def test_closure_stores_each_pair_once(spark, monkeypatch):
+    """Rounds used to put all pairs together with all pairs and to store all of them again."""
+    stored, some = [], plans.materialize
+
+    def counted(df, what):
+        table = some(df, what)
+        stored.append(table.count())
+        return table
+
+    monkeypatch.setattr(plans, "materialize", counted)
+    chain = spark.range(100).select(F.col("id").alias("sub"), (F.col("id") + 1).alias("super"))
+    plans.closure(chain)
+    assert sum(stored) == 100 * 101 // 2
+
+
+def test_closure_of_any_graph(spark):
+    rng = random.Random(5)
+    edges = sorted({(rng.randrange(30), rng.randrange(30)) for _ in range(45)})
+    want = {}
+    for root in range(30):
+        front, depth, met = {root}, 0, set()
+        while front:
+            depth += 1
+            front = {b for a, b in edges if a in front} - met - {root}
+            met |= front
+            want |= {(root, n): depth for n in front}
+    for limit in (None, 3, 4):
+        got = plans.closure(spark.createDataFrame(edges, "sub int, super int"), limit)
+        assert sorted(tuple(r) for r in got.collect()) == sorted((*k, v) for k, v in want.items() if limit is None or v <= limit)
+
+
 @pytest.mark.parametrize("most", [3, 100_000])
 def test_mentions(spark, monkeypatch, most):
     monkeypatch.setattr(mentioned, "MOST", most)
