@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ripplegraph.functions import text
 from ripplegraph.model import FACTS, QUEUE_TYPES, Options
 from ripplegraph.operators import extractors, joins, resources
-from ripplegraph.operators.mentions import mentions
+from ripplegraph.operators.mentions import mentions, whole_and_untagged
 from ripplegraph.operators.symbols import Facts, accessors, dispatch, first_methods, methods, qualifiers
 from ripplegraph.plans.reach import INFERRED_MARK, depth_first, reach
 from ripplegraph.sources import batch as batch_inputs
@@ -113,8 +113,7 @@ class Engine:
     def _mentions(self, topics: DataFrame) -> DataFrame:
         """(value, method_key): topics, whole or without their tag, in the texts of methods."""
         texts = first_methods(self.facts).select(F.col("method_key").alias("key"), "text")
-        asked = [r["value"] for r in topics.select("value").distinct().orderBy("value").toLocalIterator()]  # what a user typed
-        return mentions(texts, [(v, part) for v in asked for part in {v, v.split(":", 1)[0]}]).withColumnRenamed("key", "method_key")
+        return mentions(texts, whole_and_untagged(topics)).withColumnRenamed("key", "method_key")
 
     def by_input(self, value: str) -> DataFrame:
         """Entries for what a user types: a path if it begins with a slash, else a topic."""

@@ -103,6 +103,18 @@ def test_mentions(spark, monkeypatch, most):
     assert mentions(spark.createDataFrame(texts, "key string, text string"), []).count() == 0
 
 
+def test_one_pass_looks_for_any_number_of_strings(spark, monkeypatch):
+    """Each 100,000 strings used to take a pass over the texts."""
+    passes, some = [], mentioned._pass
+    monkeypatch.setattr(mentioned, "_pass", lambda *a: passes.append(1) or some(*a))
+    monkeypatch.setattr(mentioned, "STEP", 7)
+    texts = spark.range(40).select(F.col("id").alias("key"), F.concat(F.lit("日 x"), F.repeat(F.lit("ab"), F.col("id").cast("int")), F.lit("w"), (F.col("id") * 9973).cast("string"), F.lit("ü")).alias("text"))
+    words = spark.range(130_000).select(F.concat(F.lit("w"), F.col("id").cast("string")).alias("value"), F.concat(F.lit("w"), F.col("id").cast("string")).alias("string")).unionByName(spark.createDataFrame([("long", "abababababababababw1"), ("long", "x"), ("none", "bb")], "value string, string string"))
+    want = {(f"w{str(i * 9973)[:k]}", i) for i in range(40) for k in range(1, 8) if int(str(i * 9973)[:k]) < 130_000} | {("long", i) for i in range(40)}
+    got = [tuple(r) for r in mentions(texts, words).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(passes) == 1
+
+
 def test_lines_become_one_file(spark, tmp_path):
     lines = spark.range(20_000).select("id", F.concat(F.lit('"line\nü '), F.col("id").cast("string"), F.lit('"')).alias("line")).repartition(9)
     write_text(lines.orderBy("id"), f"{tmp_path}/out.csv", "head\n")
