@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ripplegraph.operators import mentions as mentioned
 from ripplegraph.operators.mentions import mentions
 from ripplegraph.plans import reach as plans
-from ripplegraph.storage import write_text
+from ripplegraph.storage import read_lines, write_text
 
 
 def walked(edges, root, limit):
@@ -123,6 +123,20 @@ def test_lines_become_one_file(spark, tmp_path):
     assert (tmp_path / "none.csv").read_text() == "head\n"
 
 
+def test_lines_of_one_file_are_read_by_many_tasks(spark, tmp_path):
+    """A file used to be one record of one task."""
+    lines = [f"{i} ü\r" * (i % 5) for i in range(5_000)]
+    (tmp_path / "a.txt").write_bytes("\n".join(lines).encode() + b"\nlast\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    try:
+        got = read_lines(spark, f"{tmp_path}/a.txt")
+        rows = got.orderBy("line_no").collect()
+        assert got.rdd.getNumPartitions() > 3 and [tuple(r) for r in rows] == list(enumerate([*lines, "last"]))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 sys.setrecursionlimit(10_000)
 
 
