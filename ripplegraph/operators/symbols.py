@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ripplegraph.functions import text
 from ripplegraph.operators import joins
 from ripplegraph.plans.reach import COMPACT, closure
-from ripplegraph.storage import materialize
+from ripplegraph.storage import dealt, materialize, parts_of
 
 Facts = dict[str, DataFrame]
 CHAIN = 6  # steps from an address back to its parts
@@ -47,23 +47,25 @@ def value_fields(facts: Facts) -> DataFrame:
 def expression_values(facts: Facts) -> DataFrame:
     """(expr_id, value): the constant of an expression, or of what its variable holds, however long that chain is.
 
-    Each round follows twice as many steps as the one before, so chains of any length take few rounds; what is still
-    open when every chain must have ended runs in a circle and has no value.
+    Each round follows twice as many steps as the one before, so chains of any length take few rounds. The last open expression of
+    a chain is settled in each; what is still open when a round settles none runs in a circle and has no value.
     """
-    e = facts["expr"].select("expr_id", "const_value", "ref_symbol")
-    v = facts["variable"].select(F.col("symbol").alias("ref_symbol"), "init_expr_id").dropDuplicates(["ref_symbol"])
+    e, v = facts["expr"].select("expr_id", "const_value", "ref_symbol"), facts["variable"].select(F.col("symbol").alias("ref_symbol"), "init_expr_id")
+    parts = parts_of(e)
     p = value_fields(facts).withColumnRenamed("symbol", "ref_symbol")
-    e = e.join(v, "ref_symbol", "left").join(p, "ref_symbol", "left").dropDuplicates(["expr_id"])
+    plain = e.filter("ref_symbol is null").withColumns({"init_expr_id": F.lit(None).cast("string"), "placeholder": F.lit(None).cast("string")})  # no key that a partition could be full of
+    e = dealt(e.filter("ref_symbol is not null"), parts, "ref_symbol")
+    e = e.join(dealt(v, parts, "ref_symbol").dropDuplicates(["ref_symbol"]), "ref_symbol", "left").join(p, "ref_symbol", "left")
+    e = dealt(e.unionByName(plain), parts, "expr_id").dropDuplicates(["expr_id"])
     e = materialize(e.select("expr_id", F.coalesce("const_value", "placeholder").alias("value"), F.col("init_expr_id").alias("at")), "expr")
     done, left = e.filter("value is not null").select("expr_id", "value"), e.filter("value is null and at is not null")
-    n = left.count()
-    for _ in range(n.bit_length() + 1):
+    n, last = left.count(), None
+    while n and n != last:
         known = left.select(F.col("expr_id").alias("at"), F.col("at").alias("_at"), F.lit(None).cast("string").alias("_v")).unionByName(done.select(F.col("expr_id").alias("at"), F.lit(None).cast("string").alias("_at"), F.col("value").alias("_v")))
-        nxt = materialize(left.select("expr_id", "at").join(known, "at").select("expr_id", F.col("_v").alias("value"), F.col("_at").alias("at")), "expr")
+        nxt = materialize(dealt(left.select("expr_id", "at"), parts, "at").join(dealt(known, parts, "at"), "at").select("expr_id", F.col("_v").alias("value"), F.col("_at").alias("at")), "expr")
         done = done.unionByName(nxt.filter("value is not null").select("expr_id", "value"))
         left = nxt.filter("value is null and at is not null")
-        if left.isEmpty():
-            break
+        n, last = left.count(), n
     return done
 
 
