@@ -41,6 +41,19 @@ def test_depth_first_walk(spark, seed, nodes, count, limit):
     assert found == {(r, n): v for r in roots for n, v in walked(edges, r, limit).items()}
 
 
+def test_depth_first_keys_are_bytes_in_order(spark, monkeypatch):
+    """Keys and paths used to go through each round as arrays; places beyond one byte keep their order."""
+    kept, some = [], plans.materialize
+    monkeypatch.setattr(plans, "materialize", lambda df, what: kept.append(df.columns + [t for c, t in df.dtypes if c == "key"]) or some(df, what))
+    edges = [("a", f"b{i}", 0, "x", i) for i in range(600)] + [(f"b{i}", f"c{i // 300}", 0, "x", 0) for i in range(599, 200, -1)] + [("c0", "d", 0, "x", 0), ("b599", "e", 0, "x", 1), ("b254", "e", 0, "x", 1)]
+    frame, root = spark.createDataFrame(edges, "src string, dst string, conf int, label string, at int"), spark.createDataFrame([("a", "a")], "root string, node string")
+    got = {r["node"]: (r["depth"], r["conf"]) for r in plans.depth_first(frame, root, 9, with_path=False).collect()}
+    assert got == {n: v[:2] for n, v in walked(edges, "a", 9).items()}
+    assert all("path" not in c and "label" not in c for c in kept) and all(c[-1] == "binary" for c in kept if "key" in c)
+    paths = {r["node"]: r["path"] for r in plans.depth_first(frame.withColumn("label", F.concat("src", "dst")), root, 9).collect()}
+    assert paths["c0"] == ["a", "ab201", "b201c0"] and paths["c1"] == ["a", "ab300", "b300c1"] and paths["e"] == ["a", "ab254", "b254e"]
+
+
 def test_both_orders_differ_under_a_limit(spark):
     """a calls b and then c; b leads to c the long way, so a depth-first walk meets c at the limit and doesn't enter it."""
     edges = [("a", "b", 0, "b", 0), ("a", "c", 0, "c", 1), ("b", "x", 0, "x", 0), ("x", "c", 0, "c", 0), ("c", "d", 0, "d", 0)]
