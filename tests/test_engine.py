@@ -3,6 +3,7 @@ import zipfile
 from dataclasses import replace
 
 import pytest
+from pyspark.sql import functions as F
 
 from ripplegraph.model import Options
 from ripplegraph.operators import reports
@@ -242,6 +243,52 @@ def test_settings():
     assert changed({"a": "x, y,x"}, {"a": "x\ny"}) == set() and changed({"a": "x"}, {"a": "y", "b": 1}) == {"a", "b"}
 
 
+def test_expressions_in_parts_and_circles(spark, monkeypatch):
+    """A task used to hold whatever came to it, and expressions in circles were followed for as many rounds as their number has bits."""
+    from ripplegraph import storage
+    from ripplegraph.operators import symbols
+    from ripplegraph.plans.engine import facts_of
+
+    rounds, dealt, some, deal = [], [], symbols.materialize, symbols.dealt
+    monkeypatch.setattr(storage, "PART_ROWS", 50)
+    monkeypatch.setattr(symbols, "materialize", lambda df, what: rounds.append(what) or some(df, what))
+    monkeypatch.setattr(symbols, "dealt", lambda df, parts, *keys: dealt.append(parts) or deal(df, parts, *keys))
+    exprs = [(f"c{i}", "ref", "", None, f"w{i}", []) for i in range(300)] + [(f"a{i}", "ref", "", None, f"v{i}", []) for i in range(9)] + [("a9", "literal", "", "end", None, [])]
+    held = [(f"w{i}", "local", "x", "C", "s", f"c{i ^ 1}", 0) for i in range(300)] + [(f"v{i}", "local", "x", "C", "s", f"a{i + 1}", 0) for i in range(9)]
+    got = {r["expr_id"]: r["value"] for r in symbols.expression_values(facts_of(spark, {"expr": exprs, "variable": held})).collect()}
+    assert got == {f"a{i}": "end" for i in range(10)} and len(rounds) <= 6 and set(dealt) == {7}
+
+
+def test_arguments_in_parts(spark, monkeypatch):
+    """Arguments used to be gathered before they were dealt out by their call."""
+    from ripplegraph import storage
+    from ripplegraph.operators import extractors
+    from ripplegraph.plans.engine import facts_of
+
+    dealt, deal = [], extractors.dealt
+    monkeypatch.setattr(storage, "PART_ROWS", 4)
+    monkeypatch.setattr(extractors, "dealt", lambda df, parts, *keys: dealt.append((parts, *keys)) or deal(df, parts, *keys))
+    args = [(f"k{i}", pos, f"x{i}-{pos}", "s", []) for i in range(5) for pos in (2, 0, 1)]
+    exprs = [(f"x{i}-{pos}", "literal", f"t{pos}", None if pos == i else f"v{i}{pos}", None, []) for i in range(5) for pos in range(3)]
+    c = extractors.contexts(facts_of(spark, {"call_arg": args, "expr": exprs}), Options())
+    got = {r["ctx_id"]: tuple(r)[1:] for r in c.arguments.select("ctx_id", "values", "value0", "value1", "text0", "expr0").collect()}
+    known = lambda i, pos: None if pos == i else f"v{i}{pos}"
+    assert got == {f"c|k{i}": ([known(i, p) for p in range(3) if p != i], known(i, 0), known(i, 1), "t0", f"x{i}-0") for i in range(5)}
+    assert (4, "call_id") in dealt
+
+
+def test_compressed_tables_are_not_taken_for_small(spark):
+    """Tables of ten megabytes on disk, hundreds in memory, used to go through the driver to be broadcast."""
+    from ripplegraph.operators import extractors
+    from ripplegraph.plans.engine import facts_of
+    from ripplegraph.storage import materialize
+
+    extractors.contexts(facts_of(spark, {}), Options())
+    ids = materialize(spark.range(1_500_000).select(F.concat(F.lit("a.b.Class"), F.col("id").cast("string")).alias("k")), "sized")
+    plan = ids.join(ids.withColumn("v", F.lit(1)), "k")._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_chains_of_any_length(spark):
     from ripplegraph.operators import symbols
     from ripplegraph.plans.engine import facts_of
