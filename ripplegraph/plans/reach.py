@@ -2,7 +2,8 @@
 
 Reachability runs level by level. Each level joins the frontier of all roots at once to the edges, keeps one
 winning row for each (root, node), and drops what has been visited by an anti join. Only nodes that can be met again and lead on
-are looked up there, from level ``SHALLOW`` on: they are a folder of their own in each level's table, so the rest of former levels isn't read again. Edges are put together once. Levels
+are looked up there, from level ``SHALLOW`` on: they are a folder of their own in each level's table, so the rest of former levels isn't read again. Edges are put together once; more
+than one part of them is stored in buckets by src, so that a level shuffles its frontier and not all edges again. Levels
 are written to the shared folder, and every ``COMPACT`` of them become one table, so the plan of a level never
 grows beyond that and a lost executor costs one level. Tables that nothing reads any more are deleted.
 """
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ripplegraph.storage import drop, materialize
+from ripplegraph.storage import bucketed, drop, materialize, parts_of
 
 COMPACT = 12  # levels that become one table
 SHALLOW = 6  # levels from which it pays to know which nodes must be remembered
@@ -31,18 +32,20 @@ def reach(edges: DataFrame, roots: DataFrame, max_depth: int | None = 30, with_p
     as certain as its least certain edge. Cycles end because visited nodes are dropped.
     """
     label = "label" if "label" in edges.columns else "dst"
-    best = F.min(F.struct("conf", F.col(label).alias("label")))
+    best = [F.min(F.struct("conf", F.col(label).alias("label"))).alias("b")] if with_path else [F.min("conf").alias("conf")]  # labels are for paths only
     given = lambda c, other: F.col(c) if c in roots.columns else other.alias(c)
     start = roots.select("root", "node", given("depth", F.lit(0)), given("conf", F.lit(0)), given("path", F.array("node"))).distinct()
     names = ["root", "node", "depth", "conf", *(["path"] if with_path else [])]
     start = start.groupBy("root", "node").agg(F.min(F.struct(*names[2:])).alias("b")).select("root", "node", "b.*", F.lit(MET).alias("kind"))
     frontier = materialize(start, "reach")
-    steps = materialize(edges.groupBy("src", "dst").agg(best.alias("b")).select("src", "dst", "b.*", F.lit(MET).alias("kind")), "steps")
+    parts = parts_of(edges)
+    steps = _dealt(edges, parts).groupBy("src", "dst").agg(*best).select("src", "dst", "b.*" if with_path else "conf", F.lit(MET).alias("kind"))
+    steps = _stored(steps, parts)
     levels, walked, begun = [frontier], 0, start.select("node")
     while True:
         walked += 1
         if walked == SHALLOW:
-            steps = _kinds(steps, begun)
+            steps = _kinds(steps, begun, parts)
         rank = [(F.col("f.depth") + 1).alias("depth"), F.greatest("f.conf", "e.conf").alias("conf")]
         if with_path:
             rank.append(F.array_append("f.path", F.col("e.label")).alias("path"))
@@ -61,10 +64,7 @@ def reach(edges: DataFrame, roots: DataFrame, max_depth: int | None = 30, with_p
     drop(steps)
     found = _all(levels).select(*names, "kind")
     if walked < SHALLOW:
-        out = materialize(found.drop("kind"), "reached")
-        for t in levels:
-            drop(t)
-        return out
+        return found.drop("kind")  # each (root, node) once, as it is stored
     ends = found.filter(F.col("kind") == LAST).groupBy("root", "node").agg(F.min(F.struct(*names[2:])).alias("b")).select("root", "node", "b.*")
     ends = ends.join(found.filter(F.col("kind") == MET).select("root", "node"), ["root", "node"], "left_anti")  # met on the first levels
     out = materialize(found.filter(F.col("kind") != LAST).select(*names).unionByName(ends), "reached")
@@ -76,7 +76,17 @@ def reach(edges: DataFrame, roots: DataFrame, max_depth: int | None = 30, with_p
 ONCE, MET, LAST = 0, 1, 2  # kinds of nodes: met once at most by each root; met again; met again, but nothing follows
 
 
-def _kinds(edges: DataFrame, start: DataFrame) -> DataFrame:
+def _dealt(edges: DataFrame, parts: int) -> DataFrame:
+    """Edges dealt out by src, once for putting them together and for their buckets, if there is more than one part of them."""
+    return edges.repartition(parts, "src") if parts > 1 else edges
+
+
+def _stored(steps: DataFrame, parts: int) -> DataFrame:
+    """Edges dealt out by ``_dealt`` in a bucket for each part."""
+    return bucketed(steps, "steps", parts, "src") if parts > 1 else materialize(steps, "steps")
+
+
+def _kinds(edges: DataFrame, start: DataFrame, parts: int) -> DataFrame:
     """``edges`` with the kind of their dst, which tells what a walk must remember of it.
 
     A node with one predecessor that no walk begins at is met once. One that nothing follows can be met at each level without harm,
@@ -87,7 +97,7 @@ def _kinds(edges: DataFrame, start: DataFrame) -> DataFrame:
     sums = each.groupBy("dst").agg(*[F.sum(c).alias(c) for c in ("n", "out", "begun")])
     kind = F.when(F.col("begun") > 0, MET).when(F.col("n") < 2, ONCE).when(F.col("out") > 0, MET).otherwise(LAST)
     kinds = sums.filter("n > 0").select("dst", kind.alias("kind"))
-    steps = materialize(edges.drop("kind").join(kinds, "dst"), "steps")
+    steps = _stored(_dealt(edges.drop("kind").join(kinds, "dst"), parts), parts)
     drop(edges)
     return steps
 

@@ -6,6 +6,7 @@ import sys
 import pytest
 from pyspark.sql import functions as F
 
+from ripplegraph import storage
 from ripplegraph.operators import mentions as mentioned
 from ripplegraph.operators.mentions import mentions
 from ripplegraph.plans import reach as plans
@@ -175,3 +176,46 @@ def test_deep_walks_remember_what_can_come_again(spark, monkeypatch, shallow, co
     frame = spark.createDataFrame([(a, b, c) for (a, b), c in conf.items()], "src int, dst int, conf int")
     got = plans.reach(frame, spark.createDataFrame([(r, r) for r in roots], "root int, node int"), None)
     assert sorted(tuple(r) for r in got.collect()) == sorted((*k, *v) for k, v in want.items())
+
+
+@pytest.mark.parametrize("shallow,with_path", [(2, False), (6, False), (6, True)])
+def test_levels_do_not_shuffle_all_edges(spark, monkeypatch, shallow, with_path):
+    """Each level used to shuffle all edges again, with labels that no path asked for, and a shallow walk stored its rows twice."""
+    plain, stored, some, into = [], {}, plans.materialize, storage.bucketed
+
+    def seen(df, what, *a):
+        (plain if what == "reach" else stored.setdefault(what, [])).append((df.columns, df._jdf.queryExecution().executedPlan().toString()))
+        return some(df, what, *a)
+
+    monkeypatch.setattr(plans, "materialize", seen)
+    monkeypatch.setattr(plans, "bucketed", lambda df, what, *a: stored.setdefault(what, []).append((df.columns, "")) or into(df, what, *a))
+    monkeypatch.setattr(plans, "SHALLOW", shallow)
+    monkeypatch.setattr(storage, "PART_ROWS", 40)
+    rng = random.Random(7)
+    edges = [(f"n{rng.randrange(60)}", f"n{rng.randrange(60)}", rng.randrange(3)) for _ in range(150)]
+    edges += [(a, b, (c + 1) % 3) for a, b, c in edges[:60]]  # some twice, with another certainty
+    best, roots, want = {}, ["n0", "n1", "n2"], {}
+    for a, b, c in edges:
+        best[a, b] = min(c, best.get((a, b), 9))
+    for r in roots:
+        met, front = {r: (0, 0, [r])}, {r: (0, [r])}
+        for depth in range(1, 4):
+            nxt = {}
+            for (a, b), c in best.items():
+                if a in front and b not in met:
+                    found = max(front[a][0], c), [*front[a][1], b]
+                    nxt[b] = min(nxt.get(b, found), found)
+            met |= {n: (depth, *v) for n, v in nxt.items()}
+            front = nxt
+        want |= {(r, n): v if with_path else v[:2] for n, v in met.items()}
+    frame = spark.createDataFrame(edges, "src string, dst string, conf int")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = plans.reach(frame, spark.createDataFrame([(r, r) for r in roots], "root string, node string"), 3, with_path).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert {(r["root"], r["node"]): tuple(r)[2:] for r in got} == want and len(got) == len(want) > 30
+    assert len(plain) > 3 and not any("hashpartitioning(src" in p for _, p in plain)
+    assert ("reached" in stored) == (shallow == 2) and all(("label" in c) == with_path for c, _ in stored["steps"])
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("steps")]
