@@ -107,6 +107,51 @@ def test_closure_of_any_graph(spark):
         assert sorted(tuple(r) for r in got.collect()) == sorted((*k, v) for k, v in want.items() if limit is None or v <= limit)
 
 
+def test_closure_by_chains_stores_no_pairs(spark, monkeypatch):
+    """A chain of n used to store its n * (n + 1) / 2 pairs, which for long chains filled any disk."""
+    stored, some = [], plans.materialize
+
+    def counted(df, what):
+        table = some(df, what)
+        stored.append(table.count())
+        return table
+
+    monkeypatch.setattr(plans, "materialize", counted)
+    chain = spark.range(5000).select(F.col("id").alias("sub"), (F.col("id") + 1).alias("super"))
+    got = plans.closure(chain)
+    assert sum(stored) < 20 * 5000
+    assert got.count() == 5000 * 5001 // 2 and got.filter("ancestor - sub <> depth").isEmpty()
+    assert plans.closure(chain, 7).count() == sum(5001 - d for d in range(1, 8))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_closure_by_chains_of_any_graph(spark, monkeypatch, seed):
+    """Chains of all lengths, blocks of few nodes, circles alone, circles that are met and left, ways of several lengths."""
+    monkeypatch.setattr(plans, "FEW", 0)
+    monkeypatch.setattr(plans, "BLOCK", 3)
+    monkeypatch.setattr(plans, "TASK_PAIRS", 50)
+    rng = random.Random(seed)
+    hubs = [f"h{i}" for i in range(7)]
+    edges = {(f"o{i}", f"o{(i + 1) % 8}") for i in range(8)} | {("p0", "p1"), ("p1", "p0"), ("s", "s")}
+    for k in range(8 + 2 * seed):
+        way = [rng.choice(hubs), *[f"w{k}.{i}" for i in range(rng.randrange(8))], rng.choice(hubs)]
+        edges |= set(zip(way, way[1:]))
+    after, want = {}, set()
+    for a, b in edges:
+        after.setdefault(a, set()).add(b)
+    for root in {x for e in edges for x in e}:
+        front, depth, met = {root}, 0, {root}
+        while front:
+            depth += 1
+            front = {b for a in front for b in after.get(a, ())} - met
+            met |= front
+            want |= {(root, n, depth) for n in front}
+    frame = spark.createDataFrame([*sorted(edges), *sorted(edges)[:5], ("h0", None), (None, "h0")], "sub string, super string")
+    for limit in (None, 5):
+        assert sorted(tuple(r) for r in plans.closure(frame, limit).collect()) == sorted(x for x in want if limit is None or x[2] <= limit)
+    assert plans.closure(frame.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("most", [3, 100_000])
 def test_mentions(spark, monkeypatch, most):
     monkeypatch.setattr(mentioned, "MOST", most)
