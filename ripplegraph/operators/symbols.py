@@ -11,7 +11,6 @@ from ripplegraph.plans.reach import COMPACT, closure
 from ripplegraph.storage import dealt, materialize, parts_of
 
 Facts = dict[str, DataFrame]
-CHAIN = 6  # steps from an address back to its parts
 REASONS = {"only": "唯一实现类", "several": "接口存在多个实现", "override": "运行时可能调用覆写方法"}
 
 
@@ -77,33 +76,91 @@ def formatted(template: Column, arguments: Column) -> Column:
 
 
 def urls(facts: Facts) -> DataFrame:
-    """(expr_id, value) of address expressions: constants, local variables, injected fields, concatenations and formats.
+    """(expr_id, value) of address expressions: constants, local variables, injected fields, concatenations and formats, however deep.
 
-    Operands of a concatenation that aren't known are left out; a format needs all of its arguments.
+    Operands of a concatenation that aren't known are left out; a format needs all of its arguments. What leads back to
+    the expression that it is an operand of isn't known.
     """
-    e = facts["expr"].select("expr_id", "kind", "operands", "ref_symbol", "const_value")
+    e = facts["expr"].select("expr_id", F.coalesce("kind", F.lit("")).alias("kind"), "operands", "ref_symbol", "const_value").dropDuplicates(["expr_id"])
     v = facts["variable"].filter("kind = 'local'").select(F.col("symbol").alias("ref_symbol"), "init_expr_id").dropDuplicates(["ref_symbol"])
     p = value_fields(facts).withColumnRenamed("symbol", "ref_symbol")
     e = e.join(p, "ref_symbol", "left").join(v, "ref_symbol", "left")
     e = e.withColumn("parts", F.when(F.col("init_expr_id").isNotNull() & F.col("placeholder").isNull(), F.array("init_expr_id")).otherwise(F.col("operands")))
     e = materialize(e.select("expr_id", "kind", F.coalesce("const_value", "placeholder").alias("value"), "parts"), "url")
-    known = e.filter("value is not null").select("expr_id", "value")
-    open_ = e.filter("value is null and size(parts) > 0").select("expr_id", "kind", F.posexplode("parts").alias("pos", "part"))
-    if open_.isEmpty():
-        return known
-    last = None
-    for _ in range(CHAIN):
-        got = open_.join(known.select(F.col("expr_id").alias("part"), F.col("value").alias("v")), "part", "left")
-        ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda x: x["v"])
-        got = got.groupBy("expr_id").agg(F.first("kind").alias("kind"), ordered.alias("vs"), F.count("*").alias("n"), F.count("v").alias("k"))
-        fmt = F.when(F.col("n") == F.col("k"), formatted(F.col("vs")[0], F.slice("vs", F.lit(2), F.greatest(F.size("vs") - 1, F.lit(0)))))
-        made = got.select("expr_id", F.when(F.col("kind") == "format", fmt).when(F.col("k") > 0, F.array_join(F.array_compact("vs"), "")).alias("value"))
-        known = materialize(e.filter("value is not null").select("expr_id", "value").unionByName(made.filter("value is not null")), "url")
-        now = tuple(known.agg(F.count("*"), F.bit_xor(F.xxhash64("expr_id", "value"))).first())
-        if now == last:
-            break
-        last = now
-    return known
+    open_ = F.col("value").isNull() & F.coalesce(F.size("parts") > 0, F.lit(False))
+    known = e.filter(~open_).select("expr_id", "value")
+    parts = e.filter(open_).select("expr_id", "kind", F.posexplode("parts").alias("pos", "part"))
+    parts = parts.join(e.select(F.col("expr_id").alias("part"), F.lit(True).alias("_is")), "part", "left")
+    parts = materialize(parts.select("expr_id", "kind", "pos", F.when(F.col("_is"), F.col("part")).alias("part")), "url")
+    if parts.isEmpty():
+        return known.filter("value is not null")
+    known = _evaluated(parts, known)
+    left = materialize(parts.join(known, "expr_id", "left_anti"), "url")
+    if not left.isEmpty():  # circles and what leads to them
+        links = left.join(left.select(F.col("expr_id").alias("part")).distinct(), "part", "left_semi").select("expr_id", "part").distinct()
+        back = closure(links.select(F.col("expr_id").alias("sub"), F.col("part").alias("super"))).select(F.col("sub").alias("part"), F.col("ancestor").alias("expr_id"))
+        cut = links.join(back, ["expr_id", "part"], "left_semi").unionByName(links.filter("expr_id = part")).withColumn("_cut", F.lit(True))
+        left = left.join(cut, ["expr_id", "part"], "left").select("expr_id", "kind", "pos", F.when(F.col("_cut").isNull(), F.col("part")).alias("part"))
+        known = _evaluated(materialize(left, "url"), known)
+    return known.filter("value is not null")
+
+
+def _evaluated(parts: DataFrame, known: DataFrame) -> DataFrame:
+    """``known`` (expr_id, value) and what follows from it for expressions of ``parts`` (expr_id, kind, pos, part; no part: not known).
+
+    A round settles expressions all of whose parts are settled. A concatenation of which one part is open is that part's value between
+    two texts (``alt`` where it has none); rounds put two such steps into one, so chains of any length take few rounds. Circles stay open; more steps than
+    there are expressions aren't put together, so their texts end.
+    """
+    waiting, n = parts.withColumn("v", F.lit(None).cast("string")), parts.select("expr_id").distinct().count()
+    carried, news, found = None, known, [known]
+    has, text_of = lambda x: x["part"].isNotNull(), lambda ps: F.array_join(F.array_compact(F.transform(ps, lambda x: x["v"])), "")
+    while True:
+        hit = news.select(F.col("expr_id").alias("part"), F.col("value").alias("_v"), F.lit(True).alias("_hit"))
+        got = waiting.filter("part is not null").join(hit, "part", "left")
+        got = got.select("expr_id", "kind", "pos", F.when(F.col("_hit").isNull(), F.col("part")).alias("part"), F.col("_v").alias("v")).unionByName(waiting.filter("part is null"))
+        got = got.groupBy("expr_id").agg(F.first("kind").alias("kind"), F.array_sort(F.collect_list(F.struct("pos", "part", "v"))).alias("ps"), F.count("part").alias("open"))
+        vs, some = F.transform("ps", lambda x: x["v"]), F.exists("ps", lambda x: x["v"].isNotNull())
+        fails = (F.col("kind") == "format") & F.exists("ps", lambda x: x["part"].isNull() & x["v"].isNull())
+        fmt = F.when(~fails, formatted(vs[0], F.slice(vs, F.lit(2), F.greatest(F.size("ps") - 1, F.lit(0)))))
+        state = F.when((F.col("open") == 0) | fails, "settled").when((F.col("open") == 1) & (F.col("kind") != "format"), "carried").otherwise("waiting")
+        value = F.when(F.col("kind") == "format", fmt).when(some, text_of(F.col("ps")))
+        got = materialize(got.select("expr_id", "kind", "ps", state.alias("state"), value.alias("value")), "url")
+        settled = [got.filter("state = 'settled'").select("expr_id", "value")]
+        waiting = got.filter("state = 'waiting'").select("expr_id", "kind", F.inline("ps"))
+        of = F.filter("ps", has)[0]
+        new = got.filter("state = 'carried'").select("expr_id", F.col("value").alias("alt"), of["part"].alias("at"), F.lit(1).cast("long").alias("steps"), "ps", of["pos"].alias("_pos"))
+        new = new.select("expr_id", "at", "steps", "alt", text_of(F.filter("ps", lambda x: x["pos"] < F.col("_pos"))).alias("pre"), text_of(F.filter("ps", lambda x: x["pos"] > F.col("_pos"))).alias("post"))
+        grown = not new.isEmpty()
+        if carried is not None:
+            put = lambda v: F.coalesce(F.concat("pre", v, "post"), F.col("alt"))
+            at = materialize(carried.join(hit.withColumnRenamed("part", "at"), "at", "left").withColumn("value", F.when(F.col("_hit"), put("_v"))), "url")
+            rest = at.filter("_hit is null").select("expr_id", "at", "steps", "alt", "pre", "post")
+            settled.append(at.filter("_hit").select("expr_id", "value"))
+            after = [F.col(c).alias(f"_{c}") for c in ("at", "steps", "alt", "pre", "post")]
+            to = rest.filter(F.col("steps") <= n).select(F.col("expr_id").alias("at"), *after, F.lit(None).cast("string").alias("_v"), F.lit(False).alias("_hit"))
+            to = to.unionByName(at.filter("_hit").select(F.col("expr_id").alias("at"), *[F.lit(None).cast(rest.schema[c].dataType).alias(f"_{c}") for c in ("at", "steps", "alt", "pre", "post")], F.col("value").alias("_v"), "_hit"))
+            two, step = F.col("_hit").isNotNull() & ~F.col("_hit") & (F.col("steps") <= n), lambda a, b: F.when(F.col("two"), a).otherwise(F.col(b)).alias(b)
+            at = rest.join(to, "at", "left").withColumn("two", F.coalesce(two, F.lit(False)))
+            at = at.select(
+                "expr_id", F.coalesce("_hit", F.lit(False)).alias("done"), F.when(F.col("_hit"), put("_v")).alias("value"), step(F.col("_at"), "at"), step(F.col("steps") + F.col("_steps"), "steps"),
+                step(put("_alt"), "alt"), step(F.concat("pre", "_pre"), "pre"), step(F.concat("_post", "post"), "post"),
+            )
+            at = materialize(at, "url")
+            settled.append(at.filter("done").select("expr_id", "value"))
+            new = new.unionByName(at.filter("not done").select(*new.columns))
+        carried, news = new, settled[0]
+        for more in settled[1:]:
+            news = news.unionByName(more)
+        if news.isEmpty():
+            if not grown:
+                break
+        else:
+            found.append(news)
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return materialize(out, "url")
 
 
 def ancestors(facts: Facts, starts: DataFrame) -> DataFrame:

@@ -305,3 +305,51 @@ def test_chains_of_any_length(spark):
     classes = [("p", f"t{i}", f"t{i}", "class", False, False, ["T"], True) for i in range(21)]
     up = symbols.ancestors(facts_of(spark, {"supertype": supers, "src_class": classes}), spark.createDataFrame([("s", "t0", ["E"])], "start string, class_fqn string, args array<string>"))
     assert up.filter("class_fqn = 't20'").first()["args"] == ["E"]
+
+
+def test_addresses_of_any_depth(spark):
+    """Addresses used to be followed for six steps; beyond these their parts were lost."""
+    from ripplegraph.operators import symbols
+    from ripplegraph.plans.engine import facts_of
+
+    exprs, held, want = [], [], {}
+
+    def add(eid, kind, value, const=None, ref=None, operands=()):
+        exprs.append((eid, kind, "", const, ref, list(operands)))
+        if value is not None:
+            want[eid] = value
+
+    n = 40
+    for i in range(n):  # a variable that holds a concatenation with the next variable, to and fro
+        add(f"r{i}", "ref", "".join(f"<{j}" for j in range(i, n)) + "end" + "".join(f">{j}" for j in reversed(range(i, n))), ref=f"v{i}")
+        add(f"c{i}", "polyadic", want[f"r{i}"], operands=[f"a{i}", "gone", f"r{i + 1}", f"b{i}"])
+        add(f"a{i}", "literal", f"<{i}", f"<{i}")
+        add(f"b{i}", "literal", f">{i}", f">{i}")
+        held.append((f"v{i}", "local", "x", "C", "s", f"c{i}", 0))
+    add(f"r{n}", "literal", "end", "end")
+    for i in range(9):  # formats within formats, and a value that is used twice
+        add(f"f{i}", "format", "(" * (9 - i) + "x" + ")" * (9 - i) + "%", operands=["t0" if i else "t1", f"f{i + 1}"])
+        add(f"d{i}", "polyadic", "y" * 2 ** (9 - i), operands=[f"d{i + 1}", f"d{i + 1}"])
+    want |= {f"f{i}": "(" * (9 - i) + "x" + ")" * (9 - i) for i in range(9)} | {"f0": "(" * 9 + "x" + ")" * 9 + "%"}
+    add("f9", "literal", "x", "x")
+    add("d9", "literal", "y", "y")
+    add("t0", "literal", "(%s)", "(%s)")
+    add("t1", "literal", "(%s)%%", "(%s)%%")
+    add("n0", "polyadic", None, operands=["n1"])  # nothing at the end
+    for i in range(1, 9):
+        add(f"n{i}", "polyadic", None, operands=[f"n{i + 1}"])
+    add("n9", "ref", None, ref="?")
+    add("m0", "polyadic", "m", operands=["n0", "m1"])
+    add("m1", "literal", "m", "m")
+    add("m2", "format", None, operands=["t0", "n3"])
+    add("m3", "format", None, operands=["t0"])
+    add("o0", "polyadic", "o", operands=["m1x", "o1", "o2"])  # o0 -> o1 -> o3 -> o0: operands that lead back are left out
+    add("o1", "polyadic", "p", operands=["o3", "o4"])
+    add("o2", "literal", "o", "o")
+    add("o3", "polyadic", None, operands=["o0"])
+    add("o4", "literal", "p", "p")
+    add("o5", "polyadic", "op", operands=["o0", "o1"])
+    add("o6", "polyadic", "q", operands=["o6", "o7"])
+    add("o7", "literal", "q", "q")
+    got = {r["expr_id"]: r["value"] for r in symbols.urls(facts_of(spark, {"expr": exprs, "variable": held})).collect()}
+    assert got == want
