@@ -94,19 +94,19 @@ def urls(facts: Facts) -> DataFrame:
     parts = materialize(parts.select("expr_id", "kind", "pos", F.when(F.col("_is"), F.col("part")).alias("part")), "url")
     if parts.isEmpty():
         return known.filter("value is not null")
-    known = _evaluated(parts, known)
-    left = materialize(parts.join(known, "expr_id", "left_anti"), "url")
-    if not left.isEmpty():  # circles and what leads to them
+    known, ended = _evaluated(parts, known)
+    if not ended:  # circles and what leads to them
+        left = materialize(parts.join(known, "expr_id", "left_anti"), "url")
         links = left.join(left.select(F.col("expr_id").alias("part")).distinct(), "part", "left_semi").select("expr_id", "part").distinct()
         back = closure(links.select(F.col("expr_id").alias("sub"), F.col("part").alias("super"))).select(F.col("sub").alias("part"), F.col("ancestor").alias("expr_id"))
         cut = links.join(back, ["expr_id", "part"], "left_semi").unionByName(links.filter("expr_id = part")).withColumn("_cut", F.lit(True))
         left = left.join(cut, ["expr_id", "part"], "left").select("expr_id", "kind", "pos", F.when(F.col("_cut").isNull(), F.col("part")).alias("part"))
-        known = _evaluated(materialize(left, "url"), known)
+        known, _ = _evaluated(materialize(left, "url"), known)
     return known.filter("value is not null")
 
 
-def _evaluated(parts: DataFrame, known: DataFrame) -> DataFrame:
-    """``known`` (expr_id, value) and what follows from it for expressions of ``parts`` (expr_id, kind, pos, part; no part: not known).
+def _evaluated(parts: DataFrame, known: DataFrame) -> tuple[DataFrame, bool]:
+    """``known`` (expr_id, value) and what follows from it for expressions of ``parts`` (expr_id, kind, pos, part; no part: not known); whether that is all.
 
     A round settles expressions all of whose parts are settled. A concatenation of which one part is open is that part's value between
     two texts (``alt`` where it has none); rounds put two such steps into one, so chains of any length take few rounds. Circles stay open; more steps than
@@ -131,7 +131,7 @@ def _evaluated(parts: DataFrame, known: DataFrame) -> DataFrame:
         of = F.filter("ps", has)[0]
         new = got.filter("state = 'carried'").select("expr_id", F.col("value").alias("alt"), of["part"].alias("at"), F.lit(1).cast("long").alias("steps"), "ps", of["pos"].alias("_pos"))
         new = new.select("expr_id", "at", "steps", "alt", text_of(F.filter("ps", lambda x: x["pos"] < F.col("_pos"))).alias("pre"), text_of(F.filter("ps", lambda x: x["pos"] > F.col("_pos"))).alias("post"))
-        grown = not new.isEmpty()
+        ended, grown = got.filter("state <> 'settled'").isEmpty(), not new.isEmpty()
         if carried is not None:
             put = lambda v: F.coalesce(F.concat("pre", v, "post"), F.col("alt"))
             at = materialize(carried.join(hit.withColumnRenamed("part", "at"), "at", "left").withColumn("value", F.when(F.col("_hit"), put("_v"))), "url")
@@ -148,19 +148,18 @@ def _evaluated(parts: DataFrame, known: DataFrame) -> DataFrame:
             )
             at = materialize(at, "url")
             settled.append(at.filter("done").select("expr_id", "value"))
+            ended = ended and at.filter("not done").isEmpty()
             new = new.unionByName(at.filter("not done").select(*new.columns))
-        carried, news = new, settled[0]
+        carried, news = new if grown or carried is not None else None, settled[0]
         for more in settled[1:]:
             news = news.unionByName(more)
-        if news.isEmpty():
-            if not grown:
-                break
-        else:
-            found.append(news)
+        found.append(news)
+        if ended or not grown and news.isEmpty():
+            break
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
-    return materialize(out, "url")
+    return materialize(out, "url"), ended
 
 
 def ancestors(facts: Facts, starts: DataFrame) -> DataFrame:
